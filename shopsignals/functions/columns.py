@@ -104,6 +104,17 @@ def clip(col: Column | str, lo: float | None, hi: float | None) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(out)
 
 
+def round_to(col: Column | str, digits: int = 2) -> Column:
+    """Round half away from zero as scale → round → unscale.
+
+    The same IEEE steps run in any SQL engine, so results agree across Spark
+    and the oracle; differs from Python's binary ``round`` only at exact ties.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    k = float(10 ** digits)
+    return F.round(c.cast("double") * F.lit(k)) / F.lit(k)
+
+
 def r4(col: Column | str) -> Column:
     """Round a computed double to 4 places and clear negative zero."""
     c = F.col(col) if isinstance(col, str) else col

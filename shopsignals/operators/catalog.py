@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopsignals.functions.columns import category_code, coarse_event_type
+from shopsignals.functions.columns import category_code, coarse_event_type, round_to
 
 
 # ------------------------------------------------------------------------- B1
@@ -90,8 +90,8 @@ def product_card(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("category"), F.lit("Other")).alias("category"),
         F.coalesce(F.col("subcategory"), F.lit("General")).alias("subcategory"),
         F.coalesce(F.col("brand"), F.lit("Generic")).alias("brand"),
-        F.round(cur, 2).alias("base_price"),
-        F.round(F.coalesce(F.col("base_price_usd"), cur), 2).alias("original_price"),
+        round_to(cur, 2).alias("base_price"),
+        round_to(F.coalesce(F.col("base_price_usd"), cur), 2).alias("original_price"),
         F.concat_ws(" ", F.coalesce(F.col("brand"), F.lit("Generic")),
                     F.coalesce(F.col("subcategory"), F.lit("General"))).alias("description"),
         F.coalesce(F.col("inventory_count"), F.lit(0)).cast("bigint").alias("stock"),
@@ -176,7 +176,7 @@ def stock_value_by_category(catalog: DataFrame, n: int = 10) -> DataFrame:
     """Σ base × inventory per category, top n, rounded to 2."""
     v = F.coalesce(F.col("base_price_usd"), F.lit(0.0)) * F.coalesce(F.col("inventory_count"), F.lit(0))
     return (catalog.where(F.col("category").isNotNull()).groupBy("category")
-            .agg(F.round(F.sum(v), 2).alias("stock_value"))
+            .agg(round_to(F.sum(v), 2).alias("stock_value"))
             .orderBy(F.col("stock_value").desc(), F.col("category")).limit(n))
 
 
@@ -250,13 +250,13 @@ def page(df: DataFrame, order: list, page_no: int = 1, limit: int = 20) -> DataF
     """one page in a total order, with total, total_pages and has_more.
 
     The page is ``offset + limit`` over a sort (TakeOrdered for small offsets);
-    the total is a scalar subquery (a count), not a second driver round-trip.
+    the total (``total_rows``) is a scalar subquery (a count), not a second driver round-trip.
     """
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     start = (page_no - 1) * limit
     rows = df.orderBy(*order).offset(start).limit(limit) if start else df.orderBy(*order).limit(limit)
     pages = F.greatest(F.lit(1), F.ceil(total / F.lit(limit)))
     return (rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) + F.lit(start))
-                .withColumn("total", total)
+                .withColumn("total_rows", total)
                 .withColumn("total_pages", pages)
                 .withColumn("has_more", F.lit(start + limit) < total))

@@ -48,5 +48,8 @@ def query(name: str, out: str, oracle: str | None = None, views: tuple = ()):
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
     from shopsignals.plans import (  # noqa: F401
+        q_catalog,
         q_features,
+        q_pricing,
+        q_sessions,
     )
