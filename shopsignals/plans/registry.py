@@ -51,5 +51,6 @@ def load_all() -> None:
         q_catalog,
         q_features,
         q_pricing,
+        q_recommend,
         q_sessions,
     )
