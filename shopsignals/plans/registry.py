@@ -50,6 +50,7 @@ def load_all() -> None:
     from shopsignals.plans import (  # noqa: F401
         q_catalog,
         q_features,
+        q_ml,
         q_ops,
         q_pricing,
         q_recommend,
