@@ -77,6 +77,10 @@ def association_rules(b: DataFrame, min_support: float = 0.0003, min_confidence:
     support = n_ab / N, confidence = support / supp(antecedent),
     lift = confidence / supp(consequent); both directions; rounded 4/4/6.
     """
+    from shopsignals.session import materialize
+
+    # b feeds the basket count, the item counts and the pairs: compute it once
+    b = materialize(b)
     n = b.select(F.countDistinct("basket").alias("n")).scalar()
     counts = item_counts(b)
     # exact Apriori pruning: n_a ≥ n_ab ≥ min_support·N

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import BATCH_EVENT_TYPES, clip, event_weight
-from shopsignals.session import bounded_broadcast
+from shopsignals.session import bounded_broadcast, materialize
 
 _TYPE_COLS = {t: t for t in BATCH_EVENT_TYPES}
 
@@ -177,11 +177,15 @@ def with_wtp(df: DataFrame, wtp: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------- E1
 def minmax(df: DataFrame, cols: list[str], prefix: str = "norm_",
-           names: list[str] | None = None) -> DataFrame:
+           names: list[str] | None = None, materialize_input: bool = True) -> DataFrame:
     """Min-max normalise over the whole table; constant column → 0.5.
 
     The bounds are one scalar subquery (a struct), executed once and inlined.
+    The input is materialised first so bounds and rows come from a single
+    computation of the upstream plan.
     """
+    if materialize_input:
+        df = materialize(df)
     names = names or [prefix + c for c in cols]
     fields = []
     for c in cols:

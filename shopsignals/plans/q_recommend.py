@@ -252,7 +252,10 @@ def h12(fx):
 
 # -------------------------------------------------------------- H14 / H15
 def _samples(fx):
-    seqs = ss.session_sequences(fx("fx_clickstream"), fx("fx_catalog"))
+    from shopsignals.session import materialize
+
+    # the sequences feed the model, the popularity list and the samples
+    seqs = materialize(ss.session_sequences(fx("fx_clickstream"), fx("fx_catalog")))
     smp = ss.next_item_samples(ss.sequence_arrays(seqs))
     q = smp.select(F.concat_ws(":", "session_id", F.col("end_idx").cast("string")).alias("qid"),
                    F.element_at("padded", -1).alias("last_item"), "target")

@@ -66,6 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and read it back from the shared checkpoint dir.
+
+    Used where one intermediate feeds both a whole-table scalar (a bound, a
+    count, a median) and the rows themselves: without it the scalar
+    subquery would re-run the whole upstream plan (e.g. the clickstream
+    aggregation) a second time.
+    """
+    return cut_lineage(df)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 

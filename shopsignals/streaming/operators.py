@@ -135,7 +135,8 @@ def _competitor_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
-    for comp, p in pdf.sort_values(["timestamp", "seq", "_p"], kind="mergesort")[["competitor", "_p"]].itertuples(
+    # arrival order (the message sequence), as the reference applies messages
+    for comp, p in pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort")[["competitor", "_p"]].itertuples(
             index=False):
         prices[comp] = float(p)
     comps = sorted(prices)
