@@ -34,16 +34,37 @@ def intent_expr(event_type, engagement):
     return round_to(F.least(base + F.col(engagement) * 0.2, F.lit(1.0)), 4)
 
 
+def session_progress_ttl(events: DataFrame, ttl_seconds: int = 1800, session="session_id",
+                         order=("timestamp", "event_id")) -> DataFrame:
+    """Running session length that restarts when the gap to the previous
+    event of the session exceeds ``ttl_seconds`` — the feature hash expires
+    that long after its last write, so the next event starts from zero.
+
+    One window (partition by session, ordered): position, gap flag and the
+    running start of the current segment; no second partitioning.
+    """
+    w = Window.partitionBy(session).orderBy(*order)
+    ts = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    prev = F.lag(ts).over(w)
+    pos = F.row_number().over(w)
+    ev = events.withColumn("_pos", pos).withColumn(
+        "_new", prev.isNull() | ((ts - prev) > F.lit(int(ttl_seconds) * 1_000_000)))
+    start = F.max(F.when(F.col("_new"), F.col("_pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return ev.withColumn("session_length", (F.col("_pos") - start + 1).cast("bigint")).drop("_pos", "_new")
+
+
 # ------------------------------------------------------------------------- K3
-def session_features_batch(events: DataFrame, catalog: DataFrame, final_only: bool = False) -> DataFrame:
+def session_features_batch(events: DataFrame, catalog: DataFrame, final_only: bool = False,
+                           ttl_seconds: int | None = 1800) -> DataFrame:
     """K3: per-event session features (K2's batch twin); ``final_only`` keeps
     the last event of each session, i.e. the feature-store row.
 
     events: live clicks (event_id, timestamp, user_id, session_id, product_id,
-    event_type); catalog: (sku_id, base_price_usd).
+    event_type); catalog: (sku_id, base_price_usd). The length restarts after
+    a gap longer than the 30-minute feature TTL (``ttl_seconds=None``: never).
     """
     ev = events.where(F.col("session_id").isNotNull() & (F.col("session_id").cast("string") != ""))
-    ev = session_progress(ev)
+    ev = session_progress(ev) if ttl_seconds is None else session_progress_ttl(ev, ttl_seconds)
     cat = catalog.select(F.col("sku_id").alias("_sku"), F.col("base_price_usd").alias("_base"))
     ev = ev.join(cat, ev["product_id"] == cat["_sku"], "left")
     ev = (ev.withColumn("engagement_score", engagement_expr("session_length", "event_type"))
@@ -60,18 +81,28 @@ def session_features_batch(events: DataFrame, catalog: DataFrame, final_only: bo
 
 # ------------------------------------------------------------------------ D25
 def competitor_snapshot(feed: DataFrame, product="product_id", competitor="competitor",
-                        price="price", order=("timestamp", "seq")) -> DataFrame:
+                        price="price", order=("timestamp", "seq"), ttl_seconds: int | None = None) -> DataFrame:
     """Latest price per (product, competitor), then min/max per product.
 
     Bad prices (not parseable) and empty product ids are dropped first, like
     the stream handler. Both steps are aggregates (``max_by``), partial on
-    the map side; no window over a product's whole history.
+    the map side; no window over a product's whole history. With
+    ``ttl_seconds`` only events after the product's last gap longer than the
+    TTL count (the product hash expired and started over) — the K6 twin.
     """
     p = F.col(price).cast("string").try_cast("double")
     f = (feed.withColumn("_p", p)
              .where(F.col("_p").isNotNull() & F.col(product).isNotNull()
                     & (F.col(product).cast("string") != ""))
              .withColumn(competitor, F.coalesce(F.col(competitor), F.lit("unknown"))))
+    if ttl_seconds is not None:
+        ordcols = [o for o in order if o in feed.columns]
+        w = Window.partitionBy(product).orderBy(*ordcols, "_p")
+        ts = F.unix_micros(F.col("timestamp").cast("timestamp"))
+        gap = (ts - F.lag(ts).over(w)) > F.lit(int(ttl_seconds) * 1_000_000)
+        f = f.withColumn("_pos", F.row_number().over(w)).withColumn("_gap", F.coalesce(gap, F.lit(False)))
+        last_reset = f.where("_gap").groupBy(product).agg(F.max("_pos").alias("_r"))
+        f = f.join(last_reset, product, "left").where(F.col("_r").isNull() | (F.col("_pos") >= F.col("_r")))
     # arrival order; the price itself breaks exact ties so the result is total
     ordk = F.struct(*[F.col(o) for o in order if o in feed.columns], F.col("_p"))
     latest = (f.groupBy(product, competitor)

@@ -26,10 +26,14 @@ K3_SQL = f"""
 SELECT *, CASE WHEN base IS NULL THEN 0.0 ELSE {_r('base * (0.70 + intent_probability * 0.40)', 2)} END AS wtp_estimate
 FROM (SELECT *, {_r(f'least({_IB} + engagement_score * 0.2, 1.0)', 4)} AS intent_probability
  FROM (SELECT *, {_r(f'0.6 * least(session_length / 20.0, 1.0) + 0.4 * {_LW}', 4)} AS engagement_score
-  FROM (SELECT e.*, c.base_price_usd AS base,
-   row_number() OVER (PARTITION BY e.session_id ORDER BY e.timestamp, e.event_id) AS session_length
-   FROM fx_live_clicks e LEFT JOIN fx_catalog c ON e.product_id = c.sku_id
-   WHERE e.session_id IS NOT NULL AND CAST(e.session_id AS VARCHAR) <> '')))"""
+  FROM (SELECT *, pos - max(CASE WHEN nw THEN pos END) OVER (PARTITION BY session_id ORDER BY timestamp, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS session_length
+   FROM (SELECT e.*, c.base_price_usd AS base,
+    row_number() OVER (PARTITION BY e.session_id ORDER BY e.timestamp, e.event_id) AS pos,
+    coalesce(epoch_us(e.timestamp) - lag(epoch_us(e.timestamp)) OVER (PARTITION BY e.session_id
+     ORDER BY e.timestamp, e.event_id) > 1800000000, true) AS nw
+    FROM fx_live_clicks e LEFT JOIN fx_catalog c ON e.product_id = c.sku_id
+    WHERE e.session_id IS NOT NULL AND CAST(e.session_id AS VARCHAR) <> ''))))"""
 
 K3_FINAL_SQL = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) AS rn

@@ -1,7 +1,8 @@
 """Streaming operators (K1–K8).
 
 Each has a batch twin in ``shopsignals.operators`` and the tests run both on
-the same events. Keyed state lives in Spark's state store (checkpointed with
+the same events. Keyed state expires by event time (TTL after the key's last
+event, driven by the watermark), so replays expire state identically. Keyed state lives in Spark's state store (checkpointed with
 the query), so a lost executor replays from the checkpoint; sinks write by
 batch id, so a replayed batch overwrites instead of duplicating.
 """
@@ -55,23 +56,44 @@ _SESSION_OUT = T.StructType([
     T.StructField("timestamp", T.TimestampType()), T.StructField("user_id", T.LongType()),
     T.StructField("product_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("session_length", T.LongType())])
-_SESSION_STATE = T.StructType([T.StructField("length", T.LongType())])
+_SESSION_STATE = T.StructType([T.StructField("length", T.LongType()), T.StructField("last_ms", T.LongType())])
+
+
+def _ms(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1_000_000)
+
+
+def _expiry_ms(ts: pd.Series, ttl_ms: int, state: GroupState) -> int:
+    """TTL after the newest event of the key; a late event (older than the
+    watermark) still updates the state, and its expiry moves just past the
+    watermark."""
+    exp = int(pd.Timestamp(ts.max()).value // 1_000_000) + ttl_ms
+    return max(exp, int(state.getCurrentWatermarkMs()) + 1)
 
 
 def _session_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per session: running length across micro-batches; state expires 30
-    minutes (processing time) after the session's last event."""
+    """Per session: running length across micro-batches. A gap of more than
+    30 minutes since the session's previous event restarts the count (the
+    feature hash has expired); the state itself is dropped by an event-time
+    timeout once the watermark passes last event + 30 minutes."""
     if state.hasTimedOut:
         state.remove()
         return
-    n = state.get[0] if state.exists else 0
+    n, last = state.get if state.exists else (0, None)
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
     pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort")
-    pdf["session_length"] = range(n + 1, n + 1 + len(pdf))
-    state.update((int(n + len(pdf)),))
-    state.setTimeoutDuration(SESSION_TTL_MS)
+    lengths = []
+    for t in pdf["timestamp"]:
+        ms = _ms(t)
+        if last is not None and ms - last > SESSION_TTL_MS:
+            n = 0
+        n, last = n + 1, ms
+        lengths.append(n)
+    pdf["session_length"] = lengths
+    state.update((int(n), int(last)))
+    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], SESSION_TTL_MS, state))
     yield pdf[[f.name for f in _SESSION_OUT.fields]]
 
 
@@ -80,9 +102,10 @@ def session_features(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     the running counter; engagement, intent and WTP are native columns after
     it and the catalog join is stream-static."""
     ev = stream.where(F.col("session_id").isNotNull() & (F.col("session_id") != "")) \
-               .select(*[f.name for f in _SESSION_OUT.fields if f.name != "session_length"])
+               .select(*[f.name for f in _SESSION_OUT.fields if f.name != "session_length"]) \
+               .withWatermark("timestamp", "30 minutes")
     counted = ev.groupBy("session_id").applyInPandasWithState(
-        _session_step, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _session_step, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     cat = catalog.select(F.col("sku_id").alias("_sku"), F.col("base_price_usd").alias("_base"))
     j = counted.join(cat, counted["product_id"] == cat["_sku"], "left")
     return (j.withColumn("engagement_score", engagement_expr("session_length", "event_type"))
@@ -122,7 +145,8 @@ def affinity_stream(stream: DataFrame, catalog: DataFrame) -> DataFrame:
 _COMP_OUT = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("min", T.DoubleType()),
                           T.StructField("max", T.DoubleType()), T.StructField("n_competitors", T.LongType())])
 _COMP_STATE = T.StructType([T.StructField("competitors", T.ArrayType(T.StringType())),
-                            T.StructField("prices", T.ArrayType(T.DoubleType()))])
+                            T.StructField("prices", T.ArrayType(T.DoubleType())),
+                            T.StructField("last_ms", T.LongType())])
 
 
 def _competitor_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -131,17 +155,22 @@ def _competitor_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     if state.hasTimedOut:
         state.remove()
         return
-    prices = dict(zip(*state.get)) if state.exists else {}
+    comps0, prices0, last = state.get if state.exists else ([], [], None)
+    prices = dict(zip(comps0, prices0))
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
-    # arrival order (the message sequence), as the reference applies messages
-    for comp, p in pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort")[["competitor", "_p"]].itertuples(
-            index=False):
-        prices[comp] = float(p)
+    # arrival order (the message sequence), as the reference applies messages;
+    # a gap over the TTL means the product hash expired: start over
+    for comp, p, t in pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort")[
+            ["competitor", "_p", "timestamp"]].itertuples(index=False):
+        ms = _ms(t)
+        if last is not None and ms - last > COMPETITOR_TTL_MS:
+            prices = {}
+        prices[comp], last = float(p), ms
     comps = sorted(prices)
-    state.update((comps, [prices[c] for c in comps]))
-    state.setTimeoutDuration(COMPETITOR_TTL_MS)
+    state.update((comps, [prices[c] for c in comps], int(last)))
+    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], COMPETITOR_TTL_MS, state))
     vals = list(prices.values())
     yield pd.DataFrame({"product_id": [key[0]], "min": [min(vals)], "max": [max(vals)],
                         "n_competitors": [len(vals)]})
@@ -153,9 +182,10 @@ def competitor_stream_state(stream: DataFrame) -> DataFrame:
     s = stream.withColumn("_p", F.col("price").cast("string").try_cast("double")) \
               .where(F.col("_p").isNotNull() & F.col("product_id").isNotNull()) \
               .withColumn("competitor", F.coalesce("competitor", F.lit("unknown"))) \
-              .select("product_id", "competitor", "_p", "timestamp", "seq")
+              .select("product_id", "competitor", "_p", "timestamp", "seq") \
+              .withWatermark("timestamp", "6 hours")
     return s.groupBy("product_id").applyInPandasWithState(
-        _competitor_step, _COMP_OUT, _COMP_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        _competitor_step, _COMP_OUT, _COMP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------------ K7

@@ -72,12 +72,17 @@ def test_affinity_stream_equals_batch(spark, click_dir, tmp_dir):
 
 
 def test_competitor_stream_equals_snapshot(spark, tmp_dir):
-    feed = view(spark, SF_SMALL, "fx_competitor").select(
-        F.monotonically_increasing_id().alias("seq"), F.col("timestamp").cast("timestamp").alias("timestamp"),
-        F.col("sku_id").alias("product_id"), "competitor", F.col("competitor_price").cast("string").alias("price"))
-    feed = feed.withColumn("event_id", F.col("seq"))
+    from pyspark.sql import Window
+
+    # arrival sequence = ship-date order; events re-stamped one second apart so
+    # the whole feed sits inside the 6-hour TTL (expiry is tested separately)
+    raw = view(spark, SF_SMALL, "fx_competitor")
+    seq = F.row_number().over(Window.orderBy("timestamp", "sku_id", "competitor", "competitor_price"))
+    feed = raw.select(seq.cast("long").alias("seq"), F.col("sku_id").alias("product_id"), "competitor",
+                      F.col("competitor_price").cast("string").alias("price"))
+    feed = feed.withColumn("timestamp", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     d = os.path.join(tmp_dir, "comp")
-    _write_slices(feed.drop("event_id").withColumn("event_id", F.col("seq")), d)
+    _write_slices(feed.withColumn("event_id", F.col("seq")), d)
     out_dir = os.path.join(tmp_dir, "comp_out")
 
     def sink(batch, bid):
@@ -95,6 +100,35 @@ def test_competitor_stream_equals_snapshot(spark, tmp_dir):
     assert got == want and len(got) > 0
 
 
+def test_competitor_state_expires_after_ttl(spark, tmp_dir):
+    rows1 = [(1, "2024-01-01 00:00:00", 7, "S1", "10.0"), (2, "2024-01-01 00:00:01", 7, "S2", "12.0"),
+             (3, "2024-01-01 00:00:02", 8, "S1", "bad")]
+    rows2 = [(4, "2024-01-01 09:00:00", 9, "S1", "5.0"), (5, "2024-01-01 09:00:01", 7, "S3", "11.0")]
+    d, out_dir = os.path.join(tmp_dir, "c"), os.path.join(tmp_dir, "o")
+    schema = "seq long, ts string, product_id long, competitor string, price string"
+    for rows in (rows1, rows2):
+        spark.createDataFrame(rows, schema).withColumn("timestamp", F.to_timestamp("ts")).drop("ts") \
+             .coalesce(1).write.mode("append").parquet(d)
+
+    def sink(batch, bid):
+        batch.withColumn("bid", F.lit(bid)).write.mode("append").parquet(out_dir)
+
+    q = (so.competitor_stream_state(src.competitor_stream(spark, d, max_files=1)).writeStream.outputMode("update")
+         .foreachBatch(sink).option("checkpointLocation", os.path.join(tmp_dir, "ck"))
+         .trigger(availableNow=True).start())
+    _run(q)
+    res = spark.read.parquet(out_dir)
+    last = {r["product_id"]: (r["s"]["min"], r["s"]["max"], r["s"]["n_competitors"]) for r in
+            res.groupBy("product_id").agg(F.max_by(F.struct("min", "max", "n_competitors"), "bid").alias("s")).collect()}
+    # the bad price is dropped (no row for product 8); product 7's first two
+    # competitors expired 6 h after their update, so S3 starts a new state
+    assert 8 not in last
+    assert last[9] == (5.0, 5.0, 1)
+    assert last[7] == (11.0, 11.0, 1)
+    twin = ss.competitor_snapshot(spark.read.parquet(d), order=("seq",), ttl_seconds=6 * 3600)
+    assert {r["product_id"]: (r["min"], r["max"], r["n_competitors"]) for r in twin.collect()} == last
+
+
 def test_windowed_sessions_and_kpis(spark, click_dir, tmp_dir):
     w = so.session_features_windowed(src.click_stream(spark, click_dir, max_files=2))
     q = (w.writeStream.format("memory").queryName("k4_out").outputMode("append")
@@ -124,7 +158,7 @@ def test_price_stream_with_snapshots_equals_batch(spark, click_dir, tmp_dir):
     feats_path, comp_path, log_path = (os.path.join(tmp_dir, x) for x in ("feats", "comp", "log"))
     # Session features folded into a latest-per-session snapshot
     f = so.session_features(src.click_stream(spark, click_dir, max_files=1), cat)
-    q = (f.writeStream.foreachBatch(sinks.upsert_latest(feats_path, "session_id", ["session_length"]))
+    q = (f.writeStream.foreachBatch(sinks.upsert_latest(feats_path, "session_id", ["timestamp", "event_id"]))
          .option("checkpointLocation", os.path.join(tmp_dir, "ckf")).trigger(availableNow=True).start())
     _run(q)
     comp = ss.competitor_snapshot(view(spark, SF_SMALL, "fx_competitor").select(
