@@ -54,5 +54,6 @@ def load_all() -> None:
         q_ops,
         q_pricing,
         q_recommend,
+        q_scalar,
         q_sessions,
     )
