@@ -131,9 +131,12 @@ def fpgrowth_pairs(b: DataFrame, min_support: float, min_confidence: float) -> D
 # ------------------------------------------------------------------------- E8
 def top_rules(rules: DataFrame, k: int | None = None) -> DataFrame:
     """Consequents ranked by confidence per antecedent (tie → consequent)."""
-    w = Window.partitionBy("antecedents").orderBy(F.col("confidence").desc(), F.col("consequents"))
-    r = rules.withColumn("rank", F.row_number().over(w))
-    return r.where(F.col("rank") <= k) if k else r
+    order = [F.col("confidence").desc(), F.col("consequents")]
+    if k:
+        from shopsignals.operators.topk import top_k_per_group
+
+        return top_k_per_group(rules, ["antecedents"], order, k)
+    return rules.withColumn("rank", F.row_number().over(Window.partitionBy("antecedents").orderBy(*order)))
 
 
 # ------------------------------------------------------------------------ H16

@@ -65,14 +65,16 @@ def label_encode(df: DataFrame, cols: list[str], fill: str = "Unknown") -> DataF
     """Sorted distinct labels → 0-based index, joined back per column.
 
     The label dictionary is a distinct over one column (one shuffle, sized by
-    the number of labels, not rows); ranks come from a global ordering of that
-    small table. Unseen/NULL labels map through ``fill``.
+    the number of labels, not rows); positions come from a range sort with
+    per-partition offsets, never a single-partition window. Unseen/NULL labels
+    map through ``fill``.
     """
+    from shopsignals.operators.sessions import dense_index
+
     out = df
     for c in cols:
         labels = out.select(F.coalesce(F.col(c), F.lit(fill)).alias("_lab")).distinct()
-        codes = labels.withColumn(f"{c}_code",
-                                  (F.row_number().over(Window.orderBy("_lab")) - 1).cast("int"))
+        codes = dense_index(labels, "_lab", f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("int"))
         out = (out.withColumn("_lab", F.coalesce(F.col(c), F.lit(fill)))
                   .join(codes, "_lab", "left").drop("_lab")
                   .withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0))))
@@ -208,14 +210,20 @@ def category_tree_flat(catalog: DataFrame) -> DataFrame:
 
 def brand_list(catalog: DataFrame) -> DataFrame:
     """Sorted distinct brands with their position."""
+    from shopsignals.operators.sessions import dense_index
+
     d = catalog.where(F.col("brand").isNotNull()).select("brand").distinct()
-    return d.withColumn("position", F.row_number().over(Window.orderBy("brand")))
+    return dense_index(d, "brand", "position", start=1)
 
 
 # ------------------------------------------------------------------- E2 / E3 / E4
 def first_per_key(df: DataFrame, key: str | list, order: list) -> DataFrame:
     """The first row per key in a stated order (drop_duplicates keep-first)."""
     keys = [key] if isinstance(key, str) else list(key)
+    if all(isinstance(o, str) for o in order):
+        from shopsignals.operators.topk import first_per_group
+
+        return first_per_group(df, keys, order)  # aggregate: combined map-side
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
@@ -230,8 +238,9 @@ def top_products(catalog: DataFrame, n: int = 20) -> DataFrame:
 
 def top_by_category(catalog: DataFrame, n: int = 10) -> DataFrame:
     """Top n per category by review_count."""
-    w = Window.partitionBy("category").orderBy(F.col("review_count").desc(), F.col("sku_id"))
-    return catalog.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    from shopsignals.operators.topk import top_k_per_group
+
+    return top_k_per_group(catalog, ["category"], [F.col("review_count").desc(), F.col("sku_id")], n)
 
 
 def trending(catalog: DataFrame, n: int = 5) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopsignals.operators.topk import top_k_per_group
+
 _CARD_COLS = ["sku_id", "category", "subcategory", "review_count", "avg_rating", "inventory_count"]
 
 
@@ -32,8 +34,8 @@ def category_recs(catalog: DataFrame, k: int = 5) -> DataFrame:
     """H6: for every SKU, its category's top k by reviews, itself removed
     (top k+1 ranked once per category, then joined on category)."""
     order = [F.col("review_count").desc(), F.col("sku_id")]
-    top = _rank(catalog.select("sku_id", "category", "review_count"), ["category"], order)
-    top = top.where(F.col("_r") <= k + 1).select(
+    top = top_k_per_group(catalog.select("sku_id", "category", "review_count"), ["category"], order, k + 1, "_r")
+    top = top.select(
         "category", F.col("sku_id").alias("rec_sku"), F.col("_r").alias("_cr"))
     j = catalog.select("sku_id", "category").join(top, "category").where(F.col("rec_sku") != F.col("sku_id"))
     j = _rank(j, ["sku_id"], ["_cr"], "rank").where(F.col("rank") <= k)
@@ -70,13 +72,13 @@ def similar_products(catalog: DataFrame, k: int = 5) -> DataFrame:
     """
     cat = catalog.select("sku_id", "category", "subcategory")
     by_id = [F.col("sku_id")]
-    g1 = _rank(cat, ["category", "subcategory"], by_id).where(F.col("_r") <= k + 1)
+    g1 = top_k_per_group(cat, ["category", "subcategory"], by_id, k + 1, "_r")
     s1 = (cat.alias("s").join(g1.select("category", "subcategory", F.col("sku_id").alias("rec_sku")),
                               ["category", "subcategory"])
           .where(F.col("rec_sku") != F.col("sku_id")).select("sku_id", "rec_sku", F.lit(1.0).alias("score")))
-    r_cs = _rank(cat, ["category", "subcategory"], by_id, "_rcs")
-    m_c = _rank(r_cs.where(F.col("_rcs") <= k), ["category"], by_id, "_rc").where(F.col("_rc") <= 2 * k)
-    m_u = _rank(r_cs.where(F.col("_rcs") <= k), ["subcategory"], by_id, "_ru").where(F.col("_ru") <= 2 * k)
+    r_cs = top_k_per_group(cat, ["category", "subcategory"], by_id, k, "_rcs").drop("_rcs")
+    m_c = top_k_per_group(r_cs, ["category"], by_id, 2 * k, "_rc")
+    m_u = top_k_per_group(r_cs, ["subcategory"], by_id, 2 * k, "_ru")
     s2a = (cat.join(m_c.select("category", F.col("subcategory").alias("_sub"), F.col("sku_id").alias("rec_sku")),
                     "category").where(F.col("_sub") != F.col("subcategory"))
            .select("sku_id", "rec_sku", F.lit(0.5).alias("score")))
@@ -84,10 +86,7 @@ def similar_products(catalog: DataFrame, k: int = 5) -> DataFrame:
                     "subcategory").where(F.col("_cat") != F.col("category"))
            .select("sku_id", "rec_sku", F.lit(0.5).alias("score")))
     # score-0 padding from a bounded global list (scalar subquery)
-    g = (r_cs.where(F.col("_rcs") <= k)
-         .withColumn("_rc", F.row_number().over(Window.partitionBy("category").orderBy("sku_id")))
-         .withColumn("_ru", F.row_number().over(Window.partitionBy("subcategory").orderBy("sku_id")))
-         .where((F.col("_rc") <= 2 * k) & (F.col("_ru") <= 2 * k)))
+    g = m_c.select("sku_id", "category", "subcategory").join(m_u.select("sku_id"), "sku_id")
     pad = _top_array(g, by_id, 5 * k, ["sku_id", "category", "subcategory"])
     s3 = cat.select("sku_id", "category", "subcategory", F.explode(pad).alias("p"))
     s3 = s3.where((F.col("p.category") != F.col("category")) & (F.col("p.subcategory") != F.col("subcategory"))
@@ -110,9 +109,9 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
     ranked under both and each SKU reads the list of its own M (k+1 each).
     """
     part = [key] if key else []
-    base =0.6 * F.col("avg_rating") + 0.3 * F.log1p(F.col("review_count"))
+    base = 0.6 * F.col("avg_rating") + 0.3 * F.log1p(F.col("review_count"))
     if key:
-        inv_rank = _rank(cat, part, [F.col("inventory_count").desc(), F.col("sku_id")], "_ir")
+        inv_rank = top_k_per_group(cat, part, [F.col("inventory_count").desc(), F.col("sku_id")], 2, "_ir")
         stats = inv_rank.groupBy(key).agg(
             F.max(F.when(F.col("_ir") == 1, F.col("inventory_count"))).alias("_m1"),
             F.max(F.when(F.col("_ir") == 2, F.col("inventory_count"))).alias("_m2"),
@@ -132,7 +131,7 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
         lists = []
         for tag, mcol in (("m1", "_m1"), ("m2", "_m2")):
             sc = g.withColumn("_score", base + 0.1 * F.col("inventory_count") / (F.col(mcol) + 1))
-            rk = _rank(sc, part, [F.col("_score").desc(), F.col("sku_id")], "_pr").where(F.col("_pr") <= k + 1)
+            rk = top_k_per_group(sc, part, [F.col("_score").desc(), F.col("sku_id")], k + 1, "_pr")
             lists.append(rk.select(*part, F.lit(tag).alias("_which"), F.col("sku_id").alias("rec_sku"),
                                    F.col("_score").alias("score"), "_pr"))
         j = me.join(lists[0].unionByName(lists[1]), part + ["_which"])
@@ -180,7 +179,7 @@ def session_recs(events: DataFrame, catalog: DataFrame, per_category: int = 2, k
     seen = (ev.select("user_id", F.col("product_id").alias("sku_id")).distinct()
             .join(cat.select("sku_id", "category"), "sku_id").select("user_id", "category").distinct())
     seen = seen.join(cur, "user_id").where(F.col("category") != F.col("cur_cat"))
-    top = _rank(cat, ["category"], [F.col("review_count").desc(), F.col("sku_id")]).where(F.col("_r") <= per_category)
+    top = top_k_per_group(cat, ["category"], [F.col("review_count").desc(), F.col("sku_id")], per_category, "_r")
     j = seen.join(top.select("category", F.col("sku_id").alias("rec_sku"), "_r"), "category")
     j = _rank(j, ["user_id"], ["category", "_r"], "rank").where(F.col("rank") <= k)
     return j.select("user_id", "cur_sku", "rank", "rec_sku", "category")
@@ -233,8 +232,8 @@ def recommend_next(model: DataFrame, seqs: DataFrame, queries: DataFrame, k: int
     transitions to be removed, so the global top (k + 1) list is enough once
     the transition candidates (≤ k) are excluded: a bounded scalar array.
     """
-    trans = _rank(model.where(F.col("next_item") != F.col("item")), ["item"],
-                  [F.col("prob").desc(), F.col("next_item")], "_t").where(F.col("_t") <= k)
+    trans = top_k_per_group(model.where(F.col("next_item") != F.col("item")), ["item"],
+                            [F.col("prob").desc(), F.col("next_item")], k, "_t")
     q = queries.select("qid", F.col("last_item").alias("item"))
     a = q.join(trans.select("item", F.col("next_item").alias("rec"), "_t"), "item")
     a = a.select("qid", "item", "rec", F.lit(0).alias("_src"), F.col("_t").cast("double").alias("_o"))

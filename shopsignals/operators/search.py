@@ -81,7 +81,8 @@ def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score:
     brands = catalog.select(F.col("sku_id").alias("detected_sku"), F.lower("brand").alias("_lb"), "brand")
     best = best.join(brands, "detected_sku")
     per_brand = catalog.select("sku_id", F.lower("brand").alias("_lb"), "review_count")
-    top = per_brand.withColumn("rank", F.row_number().over(
-        Window.partitionBy("_lb").orderBy(F.col("review_count").desc(), F.col("sku_id")))).where(F.col("rank") <= n)
+    from shopsignals.operators.topk import top_k_per_group
+
+    top = top_k_per_group(per_brand, ["_lb"], [F.col("review_count").desc(), F.col("sku_id")], n)
     out = best.join(top, "_lb")
     return out.select("qid", "detected_sku", "brand", "best_score", "rank", F.col("sku_id").alias("rec_sku"))

@@ -168,6 +168,11 @@ def build_vocab(catalog: DataFrame) -> DataFrame:
     return _dense_index(skus, "sku_id", "item_idx", start=1)
 
 
+def dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
+    """Position of each (distinct) ``key`` in sorted order, starting at ``start``."""
+    return _dense_index(df, key, out, start)
+
+
 def _dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
     """Global 0/1-based position in ``key`` order, computed distributed:
     range-partition + sort, count rows per partition (a tiny aggregate),
@@ -189,7 +194,7 @@ def _dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame
 
 # ------------------------------------------------------------------------- E6
 def session_sequences(events: DataFrame, catalog: DataFrame, max_len: int = 50,
-                      min_len: int = 3, types=INTERACTION_EVENTS) -> DataFrame:
+                      min_len: int = 3, types=INTERACTION_EVENTS, salts: int = 16) -> DataFrame:
     """Interaction events of catalog SKUs per session, last ``max_len``,
     sessions with at least ``min_len`` events; one row per (session, pos).
 
@@ -200,11 +205,17 @@ def session_sequences(events: DataFrame, catalog: DataFrame, max_len: int = 50,
                       & F.col("sku_id").isNotNull() & F.col("event_type").isin(list(types)))
     vocab = build_vocab(catalog)
     ev = ev.join(vocab, "sku_id", "inner")
-    w_all = Window.partitionBy("session_id")
-    w_desc = w_all.orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    ev = (ev.withColumn("_n", F.count(F.lit(1)).over(w_all))
-            .withColumn("_rdesc", F.row_number().over(w_desc)))
-    ev = ev.where((F.col("_n") >= min_len) & (F.col("_rdesc") <= max_len))
+    # session sizes: a partial aggregate, never a window over a whole session
+    sizes = ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_len)
+    # exact last-max_len per session in two stages: the newest max_len of each
+    # (session, salt) slice first, so a hot session is cut down in parallel
+    # and the final window sees at most salts × max_len rows per session
+    desc = [F.col("timestamp").desc(), F.col("event_id").desc()]
+    ev = ev.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
+    ev = ev.withColumn("_r1", F.row_number().over(Window.partitionBy("session_id", "_salt").orderBy(*desc)))
+    ev = ev.where(F.col("_r1") <= max_len).join(sizes, "session_id", "inner")
+    ev = ev.withColumn("_rdesc", F.row_number().over(Window.partitionBy("session_id").orderBy(*desc)))
+    ev = ev.where(F.col("_rdesc") <= max_len)
     kept = F.least(F.col("_n"), F.lit(max_len))
     return ev.select("session_id", "event_id", "timestamp", "sku_id", "item_idx",
                      (kept - F.col("_rdesc") + 1).cast("int").alias("pos"),
@@ -247,12 +258,14 @@ def session_context(events: DataFrame, types=INTERACTION_EVENTS) -> DataFrame:
                            F.struct("timestamp", "event_id")).alias("_f"))
              .select("session_id", "_f.*"))
     out = first
+    from shopsignals.session import bounded_broadcast
+
     for col, code in (("device_type", "device_idx"), ("referral_source", "referral_idx")):
         labels = ev.select(F.col(col).alias("_lab")).where(F.col("_lab").isNotNull()).distinct()
-        n = labels.select(F.count(F.lit(1))).scalar()
-        codes = labels.withColumn(code, (F.row_number().over(Window.orderBy("_lab")) - 1).cast("int")) \
-                      .withColumn(f"_n_{code}", n)
-        out = out.join(F.broadcast(codes), out[col] == codes["_lab"], "left").drop("_lab")
+        codes = _dense_index(labels, "_lab", code)
+        n = codes.select(F.count(F.lit(1))).scalar()
+        codes = codes.withColumn(code, F.col(code).cast("int")).withColumn(f"_n_{code}", n)
+        out = out.join(bounded_broadcast(codes, 100_000), out[col] == codes["_lab"], "left").drop("_lab")
     onehot = lambda idx, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1),
                                         lambda i: F.when(i == F.col(idx), 1.0).otherwise(0.0))
     return out.select("session_id", "device_idx", "referral_idx",
