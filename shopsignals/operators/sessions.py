@@ -74,8 +74,11 @@ def session_features_batch(events: DataFrame, catalog: DataFrame, final_only: bo
             .withColumn("last_product_id", F.col("product_id"))
             .drop("_sku", "_base"))
     if final_only:
-        w = Window.partitionBy("session_id").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-        ev = ev.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        # newest event per session as an aggregate (combined map-side)
+        others = [c for c in ev.columns if c != "session_id"]
+        ev = (ev.groupBy("session_id")
+                .agg(F.max_by(F.struct(*others), F.struct("timestamp", "event_id")).alias("_last"))
+                .select("session_id", *[F.col(f"_last.{c}").alias(c) for c in others]))
     return ev
 
 
