@@ -180,11 +180,11 @@ def _dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame
     """Global 0/1-based position in ``key`` order, computed distributed:
     range-partition + sort, count rows per partition (a tiny aggregate),
     prefix-sum the counts, add the in-partition row number."""
-    from shopsignals.session import cut_lineage
+    from shopsignals.session import materialize
 
-    # the range split samples its bounds: materialise it once (reliable
-    # checkpoint) so the counts and the rows see the same partitions
-    s = cut_lineage(df.repartitionByRange(key).sortWithinPartitions(key)
+    # the range split samples its bounds: materialise it once (a written
+    # table) so the counts and the rows see the same partition ids
+    s = materialize(df.repartitionByRange(key).sortWithinPartitions(key)
                     .withColumn("_pid", F.spark_partition_id()))
     s = s.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(key)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))

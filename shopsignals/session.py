@@ -67,14 +67,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared checkpoint dir.
+    """Compute ``df`` once, write it as Parquet under the shared checkpoint
+    folder and read it back (a written table cuts the lineage like a reliable
+    checkpoint, but in one computation, and gives AQE exact sizes).
 
     Used where one intermediate feeds both a whole-table scalar (a bound, a
     count, a median) and the rows themselves: without it the scalar
     subquery would re-run the whole upstream plan (e.g. the clickstream
     aggregation) a second time.
     """
-    return cut_lineage(df)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shopsignals-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
