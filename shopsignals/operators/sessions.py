@@ -19,9 +19,9 @@ INTERACTION_EVENTS = ["page_view", "product_view", "add_to_cart", "purchase", "s
 
 # ------------------------------------------------------------------------- E5
 def session_progress(events: DataFrame, session="session_id", order=("timestamp", "event_id")) -> DataFrame:
-    """E5: running event count within the session (arrival order)."""
-    w = Window.partitionBy(session).orderBy(*order)
-    return events.withColumn("session_length", F.row_number().over(w).cast("bigint"))
+    """E5: running event count within the session (arrival order), computed
+    by ``running_position`` so a hot session is split across tasks."""
+    return running_position(events, session, order, None)
 
 
 def engagement_expr(length, event_type):
@@ -34,23 +34,69 @@ def intent_expr(event_type, engagement):
     return round_to(F.least(base + F.col(engagement) * 0.2, F.lit(1.0)), 4)
 
 
+def running_position(events: DataFrame, key: str = "session_id", order=("timestamp", "event_id"),
+                     ttl_seconds: int | None = None, out: str = "session_length") -> DataFrame:
+    """Per-event running position within ``key`` in ``order``, restarting
+    after a gap longer than ``ttl_seconds`` (None: never) — without putting a
+    whole key into one task.
+
+    1. Range-partition on (key, order): a hot key is split over consecutive
+       partitions; written once so partition ids are stable.
+    2. Inside each (partition, key) piece: local position, gap flags and the
+       last local segment start (a window over a bounded piece).
+    3. Only the first and last key of each partition can continue across a
+       boundary: their piece sizes, first/last times and local resets form a
+       table of at most 2 rows per partition (a proven bound → broadcast),
+       from which offsets and entering segment starts are carried.
+    """
+    from shopsignals.session import materialize
+
+    ttl_us = None if ttl_seconds is None else int(ttl_seconds) * 1_000_000
+    ts = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    ranged = materialize(events.withColumn("_ts", ts).repartitionByRange(key, *order)
+                         .withColumn("_pid", F.spark_partition_id()))
+    wl = Window.partitionBy("_pid", key).orderBy(*order)
+    r = ranged.withColumn("_lpos", F.row_number().over(wl))
+    if ttl_us is None:
+        r = r.withColumn("_lstart", F.lit(None).cast("int"))
+    else:
+        gap = F.coalesce((F.col("_ts") - F.lag("_ts").over(wl)) > F.lit(ttl_us), F.lit(False))
+        r = r.withColumn("_lstart", F.max(F.when(gap, F.col("_lpos"))).over(
+            wl.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ranged.groupBy("_pid").agg(F.min(key).alias("_f"), F.max(key).alias("_l"))
+    bkeys = ends.select("_pid", F.col("_f").alias(key)).union(ends.select("_pid", F.col("_l").alias(key))).distinct()
+    bstats = (r.join(F.broadcast(bkeys), ["_pid", key], "left_semi").groupBy("_pid", key)
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_fts"), F.max("_ts").alias("_lts"),
+                   F.max("_lstart").alias("_lr")))
+    wb = Window.partitionBy(key).orderBy("_pid")
+    prev_rows = wb.rowsBetween(Window.unboundedPreceding, -1)
+    b = (bstats.withColumn("_off", F.coalesce(F.sum("_n").over(prev_rows), F.lit(0)))
+               .withColumn("_plts", F.lag("_lts").over(wb)))
+    fnew = F.col("_plts").isNull()
+    if ttl_us is not None:
+        fnew = fnew | ((F.col("_fts") - F.col("_plts")) > F.lit(ttl_us))
+    b = b.withColumn("_fnew", fnew).withColumn(
+        "_rp", F.greatest(F.when(F.col("_lr").isNotNull(), F.col("_off") + F.col("_lr")),
+                          F.when(F.col("_fnew"), F.col("_off") + 1)))
+    b = b.withColumn("_enter", F.when(F.col("_fnew"), F.col("_off") + 1).otherwise(F.max("_rp").over(prev_rows)))
+    x = r.join(F.broadcast(b.select("_pid", key, "_off", "_enter")), ["_pid", key], "left")
+    off = F.coalesce(F.col("_off"), F.lit(0))
+    start = F.when(F.col("_lstart").isNotNull(), off + F.col("_lstart")).otherwise(
+        F.coalesce(F.col("_enter"), F.lit(1)))
+    return (x.withColumn(out, (off + F.col("_lpos") - start + 1).cast("bigint"))
+             .drop("_ts", "_pid", "_lpos", "_lstart", "_off", "_enter"))
+
+
 def session_progress_ttl(events: DataFrame, ttl_seconds: int = 1800, session="session_id",
                          order=("timestamp", "event_id")) -> DataFrame:
     """Running session length that restarts when the gap to the previous
     event of the session exceeds ``ttl_seconds`` — the feature hash expires
     that long after its last write, so the next event starts from zero.
 
-    One window (partition by session, ordered): position, gap flag and the
-    running start of the current segment; no second partitioning.
+    Computed by ``running_position`` (range split + boundary carry), so a
+    session holding a large share of all events is not sorted by one task.
     """
-    w = Window.partitionBy(session).orderBy(*order)
-    ts = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    prev = F.lag(ts).over(w)
-    pos = F.row_number().over(w)
-    ev = events.withColumn("_pos", pos).withColumn(
-        "_new", prev.isNull() | ((ts - prev) > F.lit(int(ttl_seconds) * 1_000_000)))
-    start = F.max(F.when(F.col("_new"), F.col("_pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ev.withColumn("session_length", (F.col("_pos") - start + 1).cast("bigint")).drop("_pos", "_new")
+    return running_position(events, session, order, ttl_seconds)
 
 
 # ------------------------------------------------------------------------- K3

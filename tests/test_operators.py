@@ -101,6 +101,32 @@ def test_cart_state_equals_sequential_replay(spark, seed):
     assert got == _replay(rows)
 
 
+# ------------------------------------------------------------------ E5 / K3 running position
+@pytest.mark.parametrize("ttl", [None, 600])
+def test_running_position_with_hot_session(spark, ttl):
+    import datetime as dt
+
+    from shopsignals.operators.sessions import running_position
+
+    rnd = random.Random(11)
+    rows, t = [], dt.datetime(2024, 1, 1)
+    for i in range(4000):  # one hot session spread over every range partition
+        t += dt.timedelta(seconds=rnd.choice([5, 30, 90, 900]))
+        rows.append((i, "hot", t))
+    for i in range(4000, 4600):  # many small sessions, timestamp ties on purpose
+        rows.append((i, f"s{i % 37}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 5000))))
+    df = spark.createDataFrame(rows, "event_id long, session_id string, timestamp timestamp")
+    got = {r["event_id"]: r["session_length"] for r in running_position(df, ttl_seconds=ttl).collect()}
+    want, last = {}, {}
+    for eid, s, ts in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        n, prev = last.get(s, (0, None))
+        if prev is not None and ttl is not None and (ts - prev).total_seconds() > ttl:
+            n = 0
+        last[s] = (n + 1, ts)
+        want[eid] = n + 1
+    assert got == want
+
+
 # ------------------------------------------------------------------ E9 vouchers
 def test_best_voucher_choices(spark):
     df = spark.createDataFrame([(1, 1500.0, False), (2, 2500.0, False), (3, 12000.0, False), (4, 6000.0, True),
