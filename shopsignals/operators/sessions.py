@@ -35,7 +35,8 @@ def intent_expr(event_type, engagement):
 
 
 def running_position(events: DataFrame, key: str = "session_id", order=("timestamp", "event_id"),
-                     ttl_seconds: int | None = None, out: str = "session_length") -> DataFrame:
+                     ttl_seconds: int | None = None, out: str = "session_length",
+                     time_col: str | None = None) -> DataFrame:
     """Per-event running position within ``key`` in ``order``, restarting
     after a gap longer than ``ttl_seconds`` (None: never) — without putting a
     whole key into one task.
@@ -52,7 +53,7 @@ def running_position(events: DataFrame, key: str = "session_id", order=("timesta
     from shopsignals.session import materialize
 
     ttl_us = None if ttl_seconds is None else int(ttl_seconds) * 1_000_000
-    ts = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    ts = F.unix_micros(F.col(time_col or order[0]).cast("timestamp"))  # gap clock
     ranged = materialize(events.withColumn("_ts", ts).repartitionByRange(key, *order)
                          .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", key).orderBy(*order)
@@ -145,13 +146,15 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
                     & (F.col(product).cast("string") != ""))
              .withColumn(competitor, F.coalesce(F.col(competitor), F.lit("unknown"))))
     if ttl_seconds is not None:
-        ordcols = [o for o in order if o in feed.columns]
-        w = Window.partitionBy(product).orderBy(*ordcols, "_p")
-        ts = F.unix_micros(F.col("timestamp").cast("timestamp"))
-        gap = (ts - F.lag(ts).over(w)) > F.lit(int(ttl_seconds) * 1_000_000)
-        f = f.withColumn("_pos", F.row_number().over(w)).withColumn("_gap", F.coalesce(gap, F.lit(False)))
-        last_reset = f.where("_gap").groupBy(product).agg(F.max("_pos").alias("_r"))
-        f = f.join(last_reset, product, "left").where(F.col("_r").isNull() | (F.col("_pos") >= F.col("_r")))
+        # keep the product's last segment (events after its last gap > TTL):
+        # segment start = position − position-since-reset + 1, both running
+        # positions computed without a whole-product window
+        ordcols = tuple([o for o in order if o in feed.columns] + ["_p"])
+        g = running_position(f, product, ordcols, None, "_gpos", time_col="timestamp")
+        g = running_position(g, product, ordcols, ttl_seconds, "_spos", time_col="timestamp")
+        g = g.withColumn("_start", F.col("_gpos") - F.col("_spos") + 1)
+        last = g.groupBy(product).agg(F.max("_start").alias("_last"))
+        f = g.join(last, product).where(F.col("_start") == F.col("_last"))
     # arrival order; the price itself breaks exact ties so the result is total
     ordk = F.struct(*[F.col(o) for o in order if o in feed.columns], F.col("_p"))
     latest = (f.groupBy(product, competitor)

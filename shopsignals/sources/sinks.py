@@ -39,8 +39,11 @@ def upsert_latest(path: str, key: list[str] | str, order: list[str]):
         spark = batch.sparkSession
         prev = read_latest(spark, path, before=batch_id)
         allr = batch if prev is None else batch.unionByName(prev.select(*batch.columns))
-        w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-        latest = allr.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        others = [c for c in allr.columns if c not in keys]
+        # latest row per key as an aggregate (combined map-side, no window)
+        latest = (allr.groupBy(*keys)
+                  .agg(F.max_by(F.struct(*others), F.struct(*[F.col(o) for o in order])).alias("_r"))
+                  .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
         latest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return run
