@@ -53,7 +53,9 @@ def running_position(events: DataFrame, key: str = "session_id", order=("timesta
     from shopsignals.session import materialize
 
     ttl_us = None if ttl_seconds is None else int(ttl_seconds) * 1_000_000
-    ts = F.unix_micros(F.col(time_col or order[0]).cast("timestamp"))  # gap clock
+    # gap clock: wall-clock microseconds, independent of the session time zone
+    ts = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                f"CAST(`{time_col or order[0]}` AS TIMESTAMP_NTZ))")
     ranged = materialize(events.withColumn("_ts", ts).repartitionByRange(key, *order)
                          .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", key).orderBy(*order)
