@@ -84,8 +84,11 @@ def association_rules(b: DataFrame, min_support: float = 0.0003, min_confidence:
     n = b.select(F.countDistinct("basket").alias("n")).scalar()
     counts = item_counts(b)
     # exact Apriori pruning: n_a ≥ n_ab ≥ min_support·N
-    frequent = counts.where(F.col("n_item") / n >= F.lit(min_support))
-    bb = b.join(frequent.select("item"), "item", "left_semi")
+    if min_support > 0:
+        frequent = counts.where(F.col("n_item") / n >= F.lit(min_support))
+        bb = b.join(frequent.select("item"), "item", "left_semi")
+    else:
+        bb = b  # every item passes: no pruning join
     pairs = item_pairs(bb, chunk_items)
     pairs = pairs.withColumn("support", F.col("n_ab") / n).where(F.col("support") >= F.lit(min_support))
     ca = counts.select(F.col("item").alias("item_a"), (F.col("n_item") / n).alias("supp_a"))
