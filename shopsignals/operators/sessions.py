@@ -90,6 +90,21 @@ def running_position(events: DataFrame, key: str = "session_id", order=("timesta
              .drop("_ts", "_pid", "_lpos", "_lstart", "_off", "_enter"))
 
 
+def last_segment(df: DataFrame, key: str, order, ttl_seconds: int, time_col: str | None = None) -> DataFrame:
+    """Rows of each key after its last gap longer than ``ttl_seconds`` — what
+    a store whose entry expires that long after its last write still holds.
+
+    Segment start = position − position-since-reset + 1, both running
+    positions from ``running_position`` (no whole-key window); the last
+    segment is the one with the largest start (a per-key max aggregate).
+    """
+    g = running_position(df, key, order, None, "_gpos", time_col=time_col)
+    g = running_position(g, key, order, ttl_seconds, "_spos", time_col=time_col)
+    g = g.withColumn("_start", F.col("_gpos") - F.col("_spos") + 1)
+    last = g.groupBy(key).agg(F.max("_start").alias("_last"))
+    return g.join(last, key).where(F.col("_start") == F.col("_last")).drop("_gpos", "_spos", "_start", "_last")
+
+
 def session_progress_ttl(events: DataFrame, ttl_seconds: int = 1800, session="session_id",
                          order=("timestamp", "event_id")) -> DataFrame:
     """Running session length that restarts when the gap to the previous
@@ -148,15 +163,8 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
                     & (F.col(product).cast("string") != ""))
              .withColumn(competitor, F.coalesce(F.col(competitor), F.lit("unknown"))))
     if ttl_seconds is not None:
-        # keep the product's last segment (events after its last gap > TTL):
-        # segment start = position − position-since-reset + 1, both running
-        # positions computed without a whole-product window
         ordcols = tuple([o for o in order if o in feed.columns] + ["_p"])
-        g = running_position(f, product, ordcols, None, "_gpos", time_col="timestamp")
-        g = running_position(g, product, ordcols, ttl_seconds, "_spos", time_col="timestamp")
-        g = g.withColumn("_start", F.col("_gpos") - F.col("_spos") + 1)
-        last = g.groupBy(product).agg(F.max("_start").alias("_last"))
-        f = g.join(last, product).where(F.col("_start") == F.col("_last"))
+        f = last_segment(f, product, ordcols, ttl_seconds, time_col="timestamp")
     # arrival order; the price itself breaks exact ties so the result is total
     ordk = F.struct(*[F.col(o) for o in order if o in feed.columns], F.col("_p"))
     latest = (f.groupBy(product, competitor)
@@ -166,15 +174,19 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
 
 
 # ------------------------------------------------------------------------ D26
-def user_affinity(events: DataFrame, catalog: DataFrame) -> DataFrame:
+def user_affinity(events: DataFrame, catalog: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     """Σ live weight per (user, category) and each user's top category.
 
     Returns (user_id, category, score, top_category); ties for the top go to
-    the category name in ascending order.
+    the category name in ascending order. With ``ttl_seconds`` (the K5 twin:
+    the affinity hash expires 24 h after its last increment) only the user's
+    events after the last longer gap count.
     """
     ev = events.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     cat = catalog.select(F.col("sku_id").alias("_sku"), F.col("category").alias("category"))
     j = ev.join(cat, ev["product_id"] == cat["_sku"], "inner").where(F.col("category").isNotNull())
+    if ttl_seconds is not None:
+        j = last_segment(j, "user_id", ("timestamp", "event_id"), ttl_seconds)
     aff = (j.groupBy("user_id", "category")
            .agg(F.sum(event_weight("event_type", "live")).alias("score")))
     top = (aff.groupBy("user_id")

@@ -125,6 +125,23 @@ def d26(fx):
     return ss.user_affinity(fx("fx_live_clicks"), fx("fx_catalog"))
 
 
+@query("d26_user_affinity_ttl", "user_id:i category:s score:d top_category:s", views=LIVE, oracle=f"""
+WITH j AS (SELECT e.user_id, e.event_id, e.timestamp, e.event_type, c.category FROM fx_live_clicks e
+  JOIN fx_catalog c ON e.product_id = c.sku_id WHERE e.user_id IS NOT NULL AND c.category IS NOT NULL),
+ g AS (SELECT *, coalesce(epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY user_id
+  ORDER BY timestamp, event_id) > 86400000000, false) AS gap,
+  row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS pos FROM j),
+ lr AS (SELECT user_id, max(CASE WHEN gap THEN pos END) AS r FROM g GROUP BY user_id),
+ s AS (SELECT g.* FROM g JOIN lr ON g.user_id = lr.user_id WHERE lr.r IS NULL OR g.pos >= lr.r),
+ a AS (SELECT user_id, category, sum({_LW}) AS score FROM s GROUP BY user_id, category),
+ t AS (SELECT user_id, category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY score DESC, category) AS rn FROM a) WHERE rn = 1)
+SELECT a.*, t.top_category FROM a JOIN t USING (user_id)""")
+def d26t(fx):
+    """D26 with the 24 h affinity expiry (K5's batch twin)."""
+    return ss.user_affinity(fx("fx_live_clicks"), fx("fx_catalog"), ttl_seconds=86400)
+
+
 # ------------------------------------------------------------------------ D27
 @query("d27_session_view", "user_id:i n_products:i first_product:i total_views:i top_category:s "
        "journey_explanation:s", views=LIVE, oracle="""

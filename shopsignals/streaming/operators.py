@@ -141,6 +141,50 @@ def affinity_stream(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.groupBy("user_id", "category").agg(F.sum(event_weight("event_type", "live")).alias("score"))
 
 
+_AFF_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("category", T.StringType()),
+                         T.StructField("score", T.DoubleType())])
+_AFF_STATE = T.StructType([T.StructField("categories", T.ArrayType(T.StringType())),
+                           T.StructField("scores", T.ArrayType(T.DoubleType())),
+                           T.StructField("last_ms", T.LongType())])
+
+
+def _affinity_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per user: category scores; a gap over 24 h since the user's previous
+    increment means the hash expired, so scoring starts over."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    cats0, scores0, last = state.get if state.exists else ([], [], None)
+    scores = dict(zip(cats0, scores0))
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    if pdf.empty:
+        return
+    for cat, w, t in pdf.sort_values(["timestamp", "event_id"], kind="mergesort")[
+            ["category", "_w", "timestamp"]].itertuples(index=False):
+        ms = _ms(t)
+        if last is not None and ms - last > AFFINITY_TTL_MS:
+            scores = {}
+        scores[cat], last = scores.get(cat, 0.0) + float(w), ms
+    cats = sorted(scores)
+    state.update((cats, [scores[c] for c in cats], int(last)))
+    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], AFFINITY_TTL_MS, state))
+    yield pd.DataFrame({"user_id": [key[0]] * len(cats), "category": cats, "score": [scores[c] for c in cats]})
+
+
+def affinity_stream_ttl(stream: DataFrame, catalog: DataFrame) -> DataFrame:
+    """K5 with the 24 h idle expiry (the ``user_affinity(ttl_seconds=86400)``
+    twin): keyed state per user, update mode, every touched user re-emitted
+    with all of its current category scores."""
+    cat = catalog.select(F.col("sku_id").alias("_sku"), "category")
+    ev = stream.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+    j = (ev.join(cat, ev["product_id"] == cat["_sku"], "inner").where(F.col("category").isNotNull())
+           .select("user_id", "category", "timestamp", "event_id",
+                   event_weight("event_type", "live").alias("_w"))
+           .withWatermark("timestamp", "24 hours"))
+    return j.groupBy("user_id").applyInPandasWithState(
+        _affinity_step, _AFF_OUT, _AFF_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 # ------------------------------------------------------------------------ K6
 _COMP_OUT = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("min", T.DoubleType()),
                           T.StructField("max", T.DoubleType()), T.StructField("n_competitors", T.LongType())])
