@@ -1,16 +1,20 @@
 """Streaming operators (K1–K8).
 
 Each has a batch twin in ``shopsignals.operators`` and the tests run both on
-the same events. Keyed state expires by event time (TTL after the key's last
-event, driven by the watermark), so replays expire state identically. Keyed state lives in Spark's state store (checkpointed with
-the query), so a lost executor replays from the checkpoint; sinks write by
-batch id, so a replayed batch overwrites instead of duplicating.
+the same events. The reference's feature hashes expire a fixed time after
+their last write; here an event after a longer gap starts the key's value
+over (vectorised per batch), and the state itself is dropped by an
+event-time timeout, so replays give identical results. Keyed state lives in
+Spark's state store (checkpointed with the query), so a lost executor
+replays from the checkpoint; sinks write by batch id, so a replayed batch
+overwrites instead of duplicating.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,18 +63,27 @@ _SESSION_OUT = T.StructType([
 _SESSION_STATE = T.StructType([T.StructField("length", T.LongType()), T.StructField("last_ms", T.LongType())])
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
-
-def _expiry_ms(ts: pd.Series, ttl_ms: int, state: GroupState) -> int:
+def _expiry_ms(ms: np.ndarray, ttl_ms: int, state: GroupState) -> int:
     """TTL after the newest event of the key; a late event (older than the
     watermark) still updates the state, and its expiry moves just past the
     watermark."""
-    exp = int(pd.Timestamp(ts.max()).value // 1_000_000) + ttl_ms
+    exp = int(np.max(ms)) + ttl_ms
     return max(exp, int(state.getCurrentWatermarkMs()) + 1)
 
 
+def _segments(ms_col: pd.Series, last, ttl_ms: int) -> np.ndarray:
+    """Vectorised gap segmentation of one key's ordered events: 0 = continues
+    the stored state, k > 0 = the k-th restart after a gap over the TTL.
+    ``ms_col`` is epoch milliseconds computed by Spark (``unix_millis``), so
+    the clock does not depend on the session time zone."""
+    ms = ms_col.astype("int64").to_numpy()
+    prev = np.concatenate([[ms[0] if last is None else last], ms[:-1]])
+    new = (ms - prev) > ttl_ms
+    if last is None:
+        new[0] = True
+    return np.cumsum(new), ms
+
+
 def _session_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per session: running length across micro-batches. A gap of more than
     30 minutes since the session's previous event restarts the count (the
@@ -83,17 +96,13 @@ def _session_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
-    pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort")
-    lengths = []
-    for t in pdf["timestamp"]:
-        ms = _ms(t)
-        if last is not None and ms - last > SESSION_TTL_MS:
-            n = 0
-        n, last = n + 1, ms
-        lengths.append(n)
-    pdf["session_length"] = lengths
-    state.update((int(n), int(last)))
-    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], SESSION_TTL_MS, state))
+    pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort").reset_index(drop=True)
+    seg, ms = _segments(pdf["_ms"], last, SESSION_TTL_MS)
+    pos = pd.Series(seg).groupby(seg).cumcount().to_numpy() + 1
+    pdf["session_length"] = pos + np.where(seg == 0, n, 0)
+    n, last = int(pdf["session_length"].iloc[-1]), int(ms[-1])
+    state.update((n, last))
+    state.setTimeoutTimestamp(_expiry_ms(ms, SESSION_TTL_MS, state))
     yield pdf[[f.name for f in _SESSION_OUT.fields]]
 
 
@@ -102,7 +111,8 @@ def session_features(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     the running counter; engagement, intent and WTP are native columns after
     it and the catalog join is stream-static."""
     ev = stream.where(F.col("session_id").isNotNull() & (F.col("session_id") != "")) \
-               .select(*[f.name for f in _SESSION_OUT.fields if f.name != "session_length"]) \
+               .select(*[f.name for f in _SESSION_OUT.fields if f.name != "session_length"],
+                       F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms")) \
                .withWatermark("timestamp", "30 minutes")
     counted = ev.groupBy("session_id").applyInPandasWithState(
         _session_step, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -155,19 +165,19 @@ def _affinity_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         return
     cats0, scores0, last = state.get if state.exists else ([], [], None)
-    scores = dict(zip(cats0, scores0))
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
-    for cat, w, t in pdf.sort_values(["timestamp", "event_id"], kind="mergesort")[
-            ["category", "_w", "timestamp"]].itertuples(index=False):
-        ms = _ms(t)
-        if last is not None and ms - last > AFFINITY_TTL_MS:
-            scores = {}
-        scores[cat], last = scores.get(cat, 0.0) + float(w), ms
+    pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort").reset_index(drop=True)
+    seg, ms = _segments(pdf["_ms"], last, AFFINITY_TTL_MS)
+    tail = pdf[seg == seg[-1]]  # only the last segment survives the batch
+    scores = dict(zip(cats0, scores0)) if seg[-1] == 0 else {}
+    for cat, w in tail.groupby("category", sort=False)["_w"].sum().items():
+        scores[cat] = scores.get(cat, 0.0) + float(w)
+    last = int(ms[-1])
     cats = sorted(scores)
-    state.update((cats, [scores[c] for c in cats], int(last)))
-    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], AFFINITY_TTL_MS, state))
+    state.update((cats, [scores[c] for c in cats], last))
+    state.setTimeoutTimestamp(_expiry_ms(ms, AFFINITY_TTL_MS, state))
     yield pd.DataFrame({"user_id": [key[0]] * len(cats), "category": cats, "score": [scores[c] for c in cats]})
 
 
@@ -179,6 +189,7 @@ def affinity_stream_ttl(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     ev = stream.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     j = (ev.join(cat, ev["product_id"] == cat["_sku"], "inner").where(F.col("category").isNotNull())
            .select("user_id", "category", "timestamp", "event_id",
+                   F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms"),
                    event_weight("event_type", "live").alias("_w"))
            .withWatermark("timestamp", "24 hours"))
     return j.groupBy("user_id").applyInPandasWithState(
@@ -200,21 +211,20 @@ def _competitor_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
         return
     comps0, prices0, last = state.get if state.exists else ([], [], None)
-    prices = dict(zip(comps0, prices0))
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
     # arrival order (the message sequence), as the reference applies messages;
     # a gap over the TTL means the product hash expired: start over
-    for comp, p, t in pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort")[
-            ["competitor", "_p", "timestamp"]].itertuples(index=False):
-        ms = _ms(t)
-        if last is not None and ms - last > COMPETITOR_TTL_MS:
-            prices = {}
-        prices[comp], last = float(p), ms
+    pdf = pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort").reset_index(drop=True)
+    seg, ms = _segments(pdf["_ms"], last, COMPETITOR_TTL_MS)
+    tail = pdf[seg == seg[-1]].drop_duplicates("competitor", keep="last")
+    prices = dict(zip(comps0, prices0)) if seg[-1] == 0 else {}
+    prices.update({c: float(p) for c, p in zip(tail["competitor"], tail["_p"])})
+    last = int(ms[-1])
     comps = sorted(prices)
-    state.update((comps, [prices[c] for c in comps], int(last)))
-    state.setTimeoutTimestamp(_expiry_ms(pdf["timestamp"], COMPETITOR_TTL_MS, state))
+    state.update((comps, [prices[c] for c in comps], last))
+    state.setTimeoutTimestamp(_expiry_ms(ms, COMPETITOR_TTL_MS, state))
     vals = list(prices.values())
     yield pd.DataFrame({"product_id": [key[0]], "min": [min(vals)], "max": [max(vals)],
                         "n_competitors": [len(vals)]})
@@ -226,7 +236,8 @@ def competitor_stream_state(stream: DataFrame) -> DataFrame:
     s = stream.withColumn("_p", F.col("price").cast("string").try_cast("double")) \
               .where(F.col("_p").isNotNull() & F.col("product_id").isNotNull()) \
               .withColumn("competitor", F.coalesce("competitor", F.lit("unknown"))) \
-              .select("product_id", "competitor", "_p", "timestamp", "seq") \
+              .select("product_id", "competitor", "_p", "timestamp", "seq",
+                      F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms")) \
               .withWatermark("timestamp", "6 hours")
     return s.groupBy("product_id").applyInPandasWithState(
         _competitor_step, _COMP_OUT, _COMP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
