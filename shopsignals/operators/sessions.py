@@ -34,12 +34,44 @@ def intent_expr(event_type, engagement):
     return round_to(F.least(base + F.col(engagement) * 0.2, F.lit(1.0)), 4)
 
 
+def _gap_clock(col: str):
+    """Wall-clock microseconds, independent of the session time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                  f"CAST(`{col}` AS TIMESTAMP_NTZ))")
+
+
 def running_position(events: DataFrame, key: str = "session_id", order=("timestamp", "event_id"),
                      ttl_seconds: int | None = None, out: str = "session_length",
-                     time_col: str | None = None) -> DataFrame:
+                     time_col: str | None = None, split_rows: int = 1_000_000) -> DataFrame:
     """Per-event running position within ``key`` in ``order``, restarting
-    after a gap longer than ``ttl_seconds`` (None: never) — without putting a
-    whole key into one task.
+    after a gap longer than ``ttl_seconds`` (None: never).
+
+    One aggregate finds the largest key. Up to ``split_rows`` rows per key a
+    single window over the key is used (a task holds at most that many
+    rows); beyond it the range-split path below runs, so a hot key is never
+    sorted by one task. Both paths give identical results.
+    """
+    biggest = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest <= split_rows:
+        return _running_position_window(events, key, order, ttl_seconds, out, time_col)
+    return _running_position_split(events, key, order, ttl_seconds, out, time_col)
+
+
+def _running_position_window(events, key, order, ttl_seconds, out, time_col) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order)
+    pos = F.row_number().over(w)
+    if ttl_seconds is None:
+        return events.withColumn(out, pos.cast("bigint"))
+    ts = _gap_clock(time_col or order[0])
+    prev = F.lag(ts).over(w)
+    ev = events.withColumn("_pos", pos).withColumn(
+        "_new", prev.isNull() | ((ts - prev) > F.lit(int(ttl_seconds) * 1_000_000)))
+    start = F.max(F.when(F.col("_new"), F.col("_pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return ev.withColumn(out, (F.col("_pos") - start + 1).cast("bigint")).drop("_pos", "_new")
+
+
+def _running_position_split(events, key, order, ttl_seconds, out, time_col) -> DataFrame:
+    """Running position for keys too large for one task.
 
     1. Range-partition on (key, order): a hot key is split over consecutive
        partitions; written once so partition ids are stable.
@@ -53,9 +85,7 @@ def running_position(events: DataFrame, key: str = "session_id", order=("timesta
     from shopsignals.session import materialize
 
     ttl_us = None if ttl_seconds is None else int(ttl_seconds) * 1_000_000
-    # gap clock: wall-clock microseconds, independent of the session time zone
-    ts = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                f"CAST(`{time_col or order[0]}` AS TIMESTAMP_NTZ))")
+    ts = _gap_clock(time_col or order[0])
     ranged = materialize(events.withColumn("_ts", ts).repartitionByRange(key, *order)
                          .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", key).orderBy(*order)
@@ -90,16 +120,17 @@ def running_position(events: DataFrame, key: str = "session_id", order=("timesta
              .drop("_ts", "_pid", "_lpos", "_lstart", "_off", "_enter"))
 
 
-def last_segment(df: DataFrame, key: str, order, ttl_seconds: int, time_col: str | None = None) -> DataFrame:
+def last_segment(df: DataFrame, key: str, order, ttl_seconds: int, time_col: str | None = None,
+                 split_rows: int = 1_000_000) -> DataFrame:
     """Rows of each key after its last gap longer than ``ttl_seconds`` — what
     a store whose entry expires that long after its last write still holds.
 
     Segment start = position − position-since-reset + 1, both running
-    positions from ``running_position`` (no whole-key window); the last
+    positions from ``running_position`` (hot keys split, see there); the last
     segment is the one with the largest start (a per-key max aggregate).
     """
-    g = running_position(df, key, order, None, "_gpos", time_col=time_col)
-    g = running_position(g, key, order, ttl_seconds, "_spos", time_col=time_col)
+    g = running_position(df, key, order, None, "_gpos", time_col=time_col, split_rows=split_rows)
+    g = running_position(g, key, order, ttl_seconds, "_spos", time_col=time_col, split_rows=split_rows)
     g = g.withColumn("_start", F.col("_gpos") - F.col("_spos") + 1)
     last = g.groupBy(key).agg(F.max("_start").alias("_last"))
     return g.join(last, key).where(F.col("_start") == F.col("_last")).drop("_gpos", "_spos", "_start", "_last")
@@ -157,7 +188,9 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
     ``ttl_seconds`` only events after the product's last gap longer than the
     TTL count (the product hash expired and started over) — the K6 twin.
     """
-    p = F.col(price).cast("string").try_cast("double")
+    numeric = dict(feed.dtypes).get(price, "string") != "string"
+    # string prices (the stream) are parsed and bad ones dropped; numeric ones pass as is
+    p = F.col(price).cast("double") if numeric else F.col(price).try_cast("double")
     f = (feed.withColumn("_p", p)
              .where(F.col("_p").isNotNull() & F.col(product).isNotNull()
                     & (F.col(product).cast("string") != ""))

@@ -102,8 +102,8 @@ def test_cart_state_equals_sequential_replay(spark, seed):
 
 
 # ------------------------------------------------------------------ E5 / K3 running position
-@pytest.mark.parametrize("ttl", [None, 600])
-def test_running_position_with_hot_session(spark, ttl):
+@pytest.mark.parametrize("ttl,split_rows", [(None, 100), (600, 100), (600, 10**9)])
+def test_running_position_with_hot_session(spark, ttl, split_rows):
     import datetime as dt
 
     from shopsignals.operators.sessions import running_position
@@ -116,7 +116,8 @@ def test_running_position_with_hot_session(spark, ttl):
     for i in range(4000, 4600):  # many small sessions, timestamp ties on purpose
         rows.append((i, f"s{i % 37}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 5000))))
     df = spark.createDataFrame(rows, "event_id long, session_id string, timestamp timestamp")
-    got = {r["event_id"]: r["session_length"] for r in running_position(df, ttl_seconds=ttl).collect()}
+    res = running_position(df, ttl_seconds=ttl, split_rows=split_rows)  # 100: the split path runs
+    got = {r["event_id"]: r["session_length"] for r in res.collect()}
     want, last = {}, {}
     for eid, s, ts in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         n, prev = last.get(s, (0, None))
