@@ -52,6 +52,17 @@ def test_price_rules_floor_below_cap(spark):
                    (99.99, "")]
 
 
+def test_live_prices_are_floor_or_within_caps(spark):
+    import __spark_entry__ as E
+
+    rows = E.queries()["i4_price_requests"](spark, SF_SMALL).collect()
+    assert len(rows) > 0
+    for r in rows:
+        b, f = r["base_price"], r["final_price"]
+        assert f == pytest.approx(round(0.1 * b, 2)) or (0.7 * b - 0.006 <= f <= 1.2 * b + 0.006)
+        assert r["reason"]
+
+
 def test_discount_reason_truncates(spark):
     df = spark.createDataFrame([(100.0, 81.5, 0.1, 0.1, "")],
                                "base_price double, final_price double, intent_probability double, "
