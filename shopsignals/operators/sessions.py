@@ -286,6 +286,7 @@ def _dense_index(df: DataFrame, key: str, out: str, start: int = 0) -> DataFrame
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    # offs has one row per partition: its broadcast is bounded by the partition count
     return (s.join(F.broadcast(offs), "_pid")
              .withColumn(out, (F.col("_off") + F.col("_i") - 1 + start).cast("bigint"))
              .drop("_pid", "_i", "_off"))
