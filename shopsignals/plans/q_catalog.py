@@ -205,14 +205,14 @@ def f2(fx):
     return ct.page(cat, [F.col("sku_id")], 2, 25)
 
 
-@query("f3_page_orders", "order_id:i email:i total:d position:i has_more:b", oracle="""
+@query("f3_page_orders", "order_id:i email:i total:d position:i total_rows:i has_more:b", oracle="""
 WITH o AS (SELECT o_orderkey AS order_id, o_custkey AS email, o_totalprice AS total, o_orderdate AS created_at
- FROM orders WHERE o_custkey = 1234)
+ FROM orders)
 SELECT order_id, email, total, row_number() OVER (ORDER BY created_at DESC, order_id) AS position,
- 5 < (SELECT count(*) FROM o) AS has_more FROM o ORDER BY created_at DESC, order_id LIMIT 5""")
+ (SELECT count(*) FROM o) AS total_rows, 40 < (SELECT count(*) FROM o) AS has_more
+FROM o ORDER BY created_at DESC, order_id LIMIT 20 OFFSET 20""")
 def f3(fx):
-    """one customer's order history, newest first, first page of 5."""
+    """the admin order history over all orders, newest first, page 2 of 20."""
     o = fx("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("email"),
                             F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
-    o = o.where(F.col("email") == 1234)
-    return ct.page(o, [F.col("created_at").desc(), F.col("order_id")], 1, 5)
+    return ct.page(o, [F.col("created_at").desc(), F.col("order_id")], 2, 20)
