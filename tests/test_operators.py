@@ -259,6 +259,18 @@ def test_parity_gap_is_zero(spark):
     assert len({r["savings_pct"] for r in rep}) == 1
 
 
+def test_public_users_hides_secrets_and_falls_back(spark):
+    from shopsignals.operators.catalog import public_users
+
+    schema = "email string, name string, password string"
+    a = spark.createDataFrame([("a@x", "A", "h1")], schema)
+    b = spark.createDataFrame([("b@x", "B", "h2")], schema)
+    empty = spark.createDataFrame([], schema)
+    got = public_users(a, b)
+    assert got.columns == ["email", "name"] and [r.email for r in got.collect()] == ["a@x"]
+    assert [r.email for r in public_users(empty, b).collect()] == ["b@x"]
+
+
 def test_demographic_leak(spark):
     r = fa.demographic_leak(spark, ft.MODEL_FEATURES).first()
     assert r["is_fair"] and r["demographic_features_used"] == ""
