@@ -186,9 +186,10 @@ def stock_value_by_category(catalog: DataFrame, n: int = 10) -> DataFrame:
 def low_stock(catalog: DataFrame, lt: int = 10, n: int = 10) -> DataFrame:
     """Inventory < lt (NULL → 0), the n lowest."""
     inv = F.coalesce(F.col("inventory_count"), F.lit(0))
-    return (catalog.where(inv < lt)
-            .select(F.col("sku_id"), F.col("product_name"), inv.cast("bigint").alias("inventory_count"))
-            .orderBy("inventory_count", "sku_id").limit(n))
+    # filter with missing stock as 0, sort by the raw value (missing last), tie → sku
+    top = (catalog.where(inv < lt)
+           .orderBy(F.col("inventory_count").asc_nulls_last(), F.col("sku_id")).limit(n))
+    return top.select(F.col("sku_id"), F.col("product_name"), inv.cast("bigint").alias("inventory_count"))
 
 
 # ------------------------------------------------------------------------ D23

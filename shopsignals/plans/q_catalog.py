@@ -118,8 +118,9 @@ def d13(fx):
 
 
 @query("d15_low_stock", "sku_id:i product_name:s inventory_count:i", views=CAT, oracle="""
-SELECT sku_id, product_name, coalesce(inventory_count, 0) AS inventory_count FROM fx_catalog
-WHERE coalesce(inventory_count, 0) < 10 ORDER BY inventory_count, sku_id LIMIT 10""")
+SELECT sku_id, product_name, coalesce(inventory_count, 0) AS inventory_count FROM
+ (SELECT * FROM fx_catalog WHERE coalesce(inventory_count, 0) < 10
+  ORDER BY inventory_count ASC NULLS LAST, sku_id LIMIT 10)""")
 def d15(fx):
     """The ten lowest-stock products under 10 units."""
     return ct.low_stock(fx("fx_catalog"), 10, 10)
