@@ -349,11 +349,15 @@ def next_item_samples(seq_arrays: DataFrame, max_len: int = 50, min_len: int = 3
 
 
 # ------------------------------------------------------------------------ E12
-def session_context(events: DataFrame, types=INTERACTION_EVENTS) -> DataFrame:
-    """Context of each session's first interaction event: device and
-    referral codes (alphabetical, rule Q13), one-hot arrays and hour/24."""
+def session_context(events: DataFrame, types=INTERACTION_EVENTS, catalog: DataFrame | None = None) -> DataFrame:
+    """Context of each session's first interaction event (of a catalog
+    SKU when ``catalog`` is given): device and referral codes over all
+    interaction events (alphabetical, rule Q13), one-hot arrays and hour/24."""
     ev = events.where(F.col("session_id").isNotNull() & F.col("event_type").isin(list(types)))
-    first = (ev.groupBy("session_id")
+    ctx_ev = ev
+    if catalog is not None:
+        ctx_ev = ev.join(catalog.select("sku_id").distinct(), "sku_id", "left_semi")
+    first = (ctx_ev.groupBy("session_id")
              .agg(F.min_by(F.struct("device_type", "referral_source", "hour_of_day"),
                            F.struct("timestamp", "event_id")).alias("_f"))
              .select("session_id", "_f.*"))

@@ -57,20 +57,21 @@ def e7(fx):
 
 
 @query("e12_session_context", "session_id:s device_idx:i referral_idx:i hour_norm:d ctx_len:i ctx_sum:d",
-       views=("fx_clickstream",), oracle="""
+       views=("fx_clickstream", "fx_catalog"), oracle="""
 WITH e AS (SELECT * FROM fx_clickstream WHERE session_id IS NOT NULL
   AND event_type IN ('page_view', 'product_view', 'add_to_cart', 'purchase', 'search')),
  f AS (SELECT session_id, arg_min(device_type, (timestamp, event_id)) AS device_type,
   arg_min(referral_source, (timestamp, event_id)) AS referral_source,
-  arg_min(hour_of_day, (timestamp, event_id)) AS hour_of_day FROM e GROUP BY session_id),
+  arg_min(hour_of_day, (timestamp, event_id)) AS hour_of_day FROM e
+  WHERE sku_id IN (SELECT sku_id FROM fx_catalog) GROUP BY session_id),
  d AS (SELECT device_type, row_number() OVER (ORDER BY device_type) - 1 AS device_idx FROM (SELECT DISTINCT device_type FROM e)),
  r AS (SELECT referral_source, row_number() OVER (ORDER BY referral_source) - 1 AS referral_idx FROM (SELECT DISTINCT referral_source FROM e))
 SELECT f.session_id, d.device_idx, r.referral_idx, CAST(f.hour_of_day AS DOUBLE) / 24.0 AS hour_norm,
  (SELECT count(*) FROM d) + (SELECT count(*) FROM r) + 1 AS ctx_len, 2.0 + CAST(f.hour_of_day AS DOUBLE) / 24.0 AS ctx_sum
 FROM f JOIN d USING (device_type) JOIN r USING (referral_source)""")
 def e12(fx):
-    """One-hot device/referral + hour of the session's first event."""
-    c = ss.session_context(fx("fx_clickstream"))
+    """One-hot device/referral + hour of the session's first catalog-SKU event."""
+    c = ss.session_context(fx("fx_clickstream"), catalog=fx("fx_catalog"))
     return c.select("session_id", "device_idx", "referral_idx", "hour_norm",
                     F.size("context").alias("ctx_len"),
                     F.aggregate("context", F.lit(0.0), lambda a, x: a + x).alias("ctx_sum"))
