@@ -73,9 +73,11 @@ def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score:
     qv = query_vectors(queries, idx, n_docs, sw)
     scores = (qv.join(idx.select("term", "sku_id", "weight"), "term")
               .groupBy("qid", "sku_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
-    # arg-max per query; ties → lowest sku_id (first catalog row)
-    best = scores.groupBy("qid").agg(
-        F.min_by(F.struct("sku_id", "score"), F.struct((-F.col("score")).alias("ns"), F.col("sku_id"))).alias("b"))
+    # arg-max per query; ties → lowest sku_id (first catalog row). Equal
+    # scores can differ in the last bits with the summation order, so the
+    # comparison uses the score rounded to 12 digits.
+    key = F.struct((-F.round(F.col("score"), 12)).alias("ns"), F.col("sku_id"))
+    best = scores.groupBy("qid").agg(F.min_by(F.struct("sku_id", "score"), key).alias("b"))
     best = best.select("qid", F.col("b.sku_id").alias("detected_sku"), F.col("b.score").alias("best_score")) \
                .where(F.col("best_score") >= min_score)
     brands = catalog.select(F.col("sku_id").alias("detected_sku"), F.lower("brand").alias("_lb"), "brand")

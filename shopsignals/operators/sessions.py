@@ -223,7 +223,9 @@ def user_affinity(events: DataFrame, catalog: DataFrame, ttl_seconds: int | None
     aff = (j.groupBy("user_id", "category")
            .agg(F.sum(event_weight("event_type", "live")).alias("score")))
     top = (aff.groupBy("user_id")
-           .agg(F.min_by("category", F.struct((-F.col("score")).alias("s"), F.col("category")))
+           # equal sums may differ in the last bits with the summation order:
+           # compare the score rounded to 12 digits, then the category name
+           .agg(F.min_by("category", F.struct((-F.round(F.col("score"), 12)).alias("s"), F.col("category")))
                 .alias("top_category")))
     return aff.join(top, "user_id", "inner")
 

@@ -8,6 +8,12 @@ from shopsignals.operators import catalog as ct
 from shopsignals.plans.registry import query
 
 CAT = ("fx_catalog",)
+ACTIVE = ("fx_catalog_active",)
+
+
+def _active(fx):
+    """The service-layer catalog: active rows with display defaults (B1)."""
+    return ct.clean_catalog(fx("fx_catalog"))
 
 
 @query("b1_clean_catalog",
@@ -59,23 +65,23 @@ SELECT CAST(sku_id AS VARCHAR) AS product_id, coalesce(product_name, concat_ws('
  coalesce(review_count, 0) AS review_count, coalesce(review_count, 0) AS popularity"""
 
 
-@query("b10_product_card", _CARD, views=CAT, oracle=_CARD_SQL + " FROM fx_catalog")
+@query("b10_product_card", _CARD, views=ACTIVE, oracle=_CARD_SQL + " FROM fx_catalog_active")
 def b10(fx):
     """Product card projection."""
-    return ct.product_card(fx("fx_catalog"))
+    return ct.product_card(_active(fx))
 
 
-@query("b11_search_catalog", "sku_id:i product_name:s category:s subcategory:s brand:s", views=CAT,
+@query("b11_search_catalog", "sku_id:i product_name:s category:s subcategory:s brand:s", views=ACTIVE,
        oracle="""
-SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog
+SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog_active
 WHERE lower(category) = 'standard' AND (contains(lower(product_name), 'ring') OR contains(lower(brand), 'ring')
  OR contains(lower(category), 'ring'))
 UNION ALL
-SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog
+SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog_active
 WHERE lower(subcategory) = 'small-3' AND contains(lower(brand), 'brand#1')""")
 def b11(fx):
     """Category filter + substring search, and subcategory + brand search."""
-    cat = fx("fx_catalog").select("sku_id", "product_name", "category", "subcategory", "brand")
+    cat = _active(fx).select("sku_id", "product_name", "category", "subcategory", "brand")
     a = ct.search_catalog(cat, category="STANDARD", q="Ring")
     b = ct.search_catalog(cat, subcategory="SMALL-3", q="brand#1")
     return a.unionByName(b)
@@ -126,49 +132,49 @@ def d15(fx):
     return ct.low_stock(fx("fx_catalog"), 10, 10)
 
 
-@query("d23_category_tree", "category:s subcategory:s position:i sub_count:i", views=CAT, oracle="""
+@query("d23_category_tree", "category:s subcategory:s position:i sub_count:i", views=ACTIVE, oracle="""
 SELECT category, subcategory, row_number() OVER (PARTITION BY category ORDER BY subcategory) AS position,
  count(*) OVER (PARTITION BY category) AS sub_count
-FROM (SELECT DISTINCT category, subcategory FROM fx_catalog WHERE category IS NOT NULL AND subcategory IS NOT NULL)""")
+FROM (SELECT DISTINCT category, subcategory FROM fx_catalog_active WHERE category IS NOT NULL AND subcategory IS NOT NULL)""")
 def d23(fx):
     """Category → sorted subcategories (flattened)."""
-    return ct.category_tree_flat(fx("fx_catalog"))
+    return ct.category_tree_flat(_active(fx))
 
 
-@query("d23_brand_list", "brand:s position:i", views=CAT, oracle="""
-SELECT brand, row_number() OVER (ORDER BY brand) AS position FROM (SELECT DISTINCT brand FROM fx_catalog
+@query("d23_brand_list", "brand:s position:i", views=ACTIVE, oracle="""
+SELECT brand, row_number() OVER (ORDER BY brand) AS position FROM (SELECT DISTINCT brand FROM fx_catalog_active
 WHERE brand IS NOT NULL)""")
 def d23b(fx):
     """Sorted brand list."""
-    return ct.brand_list(fx("fx_catalog"))
+    return ct.brand_list(_active(fx))
 
 
-@query("e2_top_products", "sku_id:i review_count:i rank:i", views=CAT, oracle="""
+@query("e2_top_products", "sku_id:i review_count:i rank:i", views=ACTIVE, oracle="""
 SELECT sku_id, review_count, row_number() OVER (ORDER BY review_count DESC, sku_id) AS rank
-FROM fx_catalog ORDER BY review_count DESC, sku_id LIMIT 20""")
+FROM fx_catalog_active ORDER BY review_count DESC, sku_id LIMIT 20""")
 def e2(fx):
     """Global top 20 by reviews."""
-    return ct.top_products(fx("fx_catalog"), 20)
+    return ct.top_products(_active(fx), 20)
 
 
-@query("e2_top_by_category", "category:s sku_id:i review_count:i rank:i", views=CAT, oracle="""
+@query("e2_top_by_category", "category:s sku_id:i review_count:i rank:i", views=ACTIVE, oracle="""
 SELECT * FROM (SELECT category, sku_id, review_count,
- row_number() OVER (PARTITION BY category ORDER BY review_count DESC, sku_id) AS rank FROM fx_catalog)
+ row_number() OVER (PARTITION BY category ORDER BY review_count DESC, sku_id) AS rank FROM fx_catalog_active)
 WHERE rank <= 10""")
 def e2c(fx):
     """Top 10 per category."""
-    return ct.top_by_category(fx("fx_catalog"), 10)
+    return ct.top_by_category(_active(fx), 10)
 
 
-@query("e3_trending", "sku_id:i trending_score:d rank:i trending_rank:s view_count:i", views=CAT, oracle="""
+@query("e3_trending", "sku_id:i trending_score:d rank:i trending_rank:s view_count:i", views=ACTIVE, oracle="""
 SELECT sku_id, review_count * avg_rating AS trending_score,
  row_number() OVER (ORDER BY review_count * avg_rating DESC, sku_id) AS rank,
  '#' || CAST(row_number() OVER (ORDER BY review_count * avg_rating DESC, sku_id) AS VARCHAR) AS trending_rank,
  review_count AS view_count
-FROM fx_catalog ORDER BY trending_score DESC, sku_id LIMIT 5""")
+FROM fx_catalog_active ORDER BY trending_score DESC, sku_id LIMIT 5""")
 def e3(fx):
     """Trending top 5 with rank labels."""
-    return ct.trending(fx("fx_catalog"), 5)
+    return ct.trending(_active(fx), 5)
 
 
 @query("e4_first_per_key", "product_id:i order_id:i email:i price:d", views=("fx_orders",), oracle="""
@@ -182,27 +188,27 @@ def e4(fx):
 _PAGE_OUT = "sku_id:i review_count:i position:i total_rows:i total_pages:i has_more:b"
 
 
-@query("f1_page_by_reviews", _PAGE_OUT, views=CAT, oracle="""
+@query("f1_page_by_reviews", _PAGE_OUT, views=ACTIVE, oracle="""
 SELECT sku_id, review_count, row_number() OVER (ORDER BY review_count DESC, sku_id) AS position,
- (SELECT count(*) FROM fx_catalog) AS total_rows,
- greatest(1, ceil((SELECT count(*) FROM fx_catalog) / 20)) AS total_pages,
- 60 < (SELECT count(*) FROM fx_catalog) AS has_more
-FROM fx_catalog ORDER BY review_count DESC, sku_id LIMIT 20 OFFSET 40""")
+ (SELECT count(*) FROM fx_catalog_active) AS total_rows,
+ greatest(1, ceil((SELECT count(*) FROM fx_catalog_active) / 20)) AS total_pages,
+ 60 < (SELECT count(*) FROM fx_catalog_active) AS has_more
+FROM fx_catalog_active ORDER BY review_count DESC, sku_id LIMIT 20 OFFSET 40""")
 def f1(fx):
     """third page of 20 by review count."""
-    return ct.page(fx("fx_catalog").select("sku_id", "review_count"),
+    return ct.page(_active(fx).select("sku_id", "review_count"),
                    [F.col("review_count").desc(), F.col("sku_id")], 3, 20)
 
 
-@query("f2_page_filtered", _PAGE_OUT, views=CAT, oracle="""
-WITH f AS (SELECT sku_id, review_count FROM fx_catalog WHERE lower(category) = 'promo')
+@query("f2_page_filtered", _PAGE_OUT, views=ACTIVE, oracle="""
+WITH f AS (SELECT sku_id, review_count FROM fx_catalog_active WHERE lower(category) = 'promo')
 SELECT sku_id, review_count, row_number() OVER (ORDER BY sku_id) AS position,
  (SELECT count(*) FROM f) AS total_rows, greatest(1, ceil((SELECT count(*) FROM f) / 25)) AS total_pages,
  50 < (SELECT count(*) FROM f) AS has_more
 FROM f ORDER BY sku_id LIMIT 25 OFFSET 25""")
 def f2(fx):
     """category-filtered page 2 in key order with total_pages."""
-    cat = ct.search_catalog(fx("fx_catalog"), category="promo").select("sku_id", "review_count")
+    cat = ct.search_catalog(_active(fx), category="promo").select("sku_id", "review_count")
     return ct.page(cat, [F.col("sku_id")], 2, 25)
 
 

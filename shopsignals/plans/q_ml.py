@@ -110,7 +110,7 @@ def i6m(fx):
     """I6 with the ridge model's predictions as the ML factor."""
     c = _ridge_inputs(fx)
     preds = ml.refresh_prices(c, ml.train_ridge(c))
-    return pr.catalog_price(fx("fx_catalog"), preds, as_of_date="2024-01-01")
+    return pr.catalog_price(ct.clean_catalog(fx("fx_catalog")), preds, as_of_date="2024-01-01")
 
 
 @query("c5_popularity_table", "product_id:i brand:s popularity:i interaction_count:i price:d category_code:s",

@@ -10,6 +10,13 @@ from shopsignals.plans.registry import query
 
 LIVE = ("fx_live_clicks", "fx_catalog")
 
+
+def _active(fx):
+    """The service catalog the daily price is computed for: active rows (B1)."""
+    from shopsignals.operators.catalog import clean_catalog
+
+    return clean_catalog(fx("fx_catalog"))
+
 # ------------------------------------------------------------- shared oracle SQL
 _LW = ("CASE event_type WHEN 'page_view' THEN 0.05 WHEN 'search' THEN 0.10 WHEN 'cart' THEN 0.40 "
        "WHEN 'purchase' THEN 1.00 WHEN 'wishlist' THEN 0.25 ELSE 0.05 END")
@@ -118,7 +125,7 @@ WITH a AS (SELECT e.user_id, c.category, sum({_LW}) AS score FROM fx_live_clicks
   JOIN fx_catalog c ON e.product_id = c.sku_id WHERE e.user_id IS NOT NULL AND c.category IS NOT NULL
   GROUP BY e.user_id, c.category),
  t AS (SELECT user_id, category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-  ORDER BY score DESC, category) AS rn FROM a) WHERE rn = 1)
+  ORDER BY round(score, 12) DESC, category) AS rn FROM a) WHERE rn = 1)
 SELECT a.*, t.top_category FROM a JOIN t USING (user_id)""")
 def d26(fx):
     """User × category affinity with the top category."""
@@ -135,7 +142,7 @@ WITH j AS (SELECT e.user_id, e.event_id, e.timestamp, e.event_type, c.category F
  s AS (SELECT g.* FROM g JOIN lr ON g.user_id = lr.user_id WHERE lr.r IS NULL OR g.pos >= lr.r),
  a AS (SELECT user_id, category, sum({_LW}) AS score FROM s GROUP BY user_id, category),
  t AS (SELECT user_id, category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-  ORDER BY score DESC, category) AS rn FROM a) WHERE rn = 1)
+  ORDER BY round(score, 12) DESC, category) AS rn FROM a) WHERE rn = 1)
 SELECT a.*, t.top_category FROM a JOIN t USING (user_id)""")
 def d26t(fx):
     """D26 with the 24 h affinity expiry (K5's batch twin)."""
@@ -236,7 +243,7 @@ def i5(fx):
 I6_SQL = f"""
 WITH b AS (SELECT sku_id, coalesce(base_price_usd, 0) AS base, coalesce(current_price_usd, base_price_usd, 0) AS cur,
   coalesce(inventory_count, 0) AS inv, coalesce(avg_rating, 0) AS rating, coalesce(review_count, 0) AS reviews
-  FROM fx_catalog),
+  FROM fx_catalog_active),
  m AS (SELECT *, least(greatest(CASE WHEN cur > 0 THEN cur / cur ELSE 1.0 END, 0.7), 1.5) AS ml,
   CASE WHEN inv < 20 THEN 1.08 WHEN inv > 500 THEN 0.95 ELSE 1.0 END AS ia,
   CASE WHEN rating >= 4.5 AND reviews > 100 THEN 1.05 WHEN rating < 2.5 AND reviews > 20 THEN 0.92 ELSE 1.0 END AS ra,
@@ -252,16 +259,16 @@ SELECT sku_id AS product_id, {_r('cur', 2)} AS base_price, final_price, total_sa
 
 @query("i6_catalog_price",
        "product_id:i base_price:d final_price:d total_savings:d savings_percent:d n_adjustments:i "
-       "stock_factor:s ml_factor:d cache_date:s", views=("fx_catalog",), oracle=I6_SQL)
+       "stock_factor:s ml_factor:d cache_date:s", views=("fx_catalog_active",), oracle=I6_SQL)
 def i6(fx):
     """Rule-adjusted catalog price without a model (ML factor 1)."""
-    p = pr.catalog_price(fx("fx_catalog"), as_of_date="2024-01-01")
+    p = pr.catalog_price(_active(fx), as_of_date="2024-01-01")
     stock = F.coalesce(F.try_element_at(F.filter("adjustments", lambda a: a["factor"].isin(
         "Low Stock Premium", "Overstock Discount")), F.lit(1))["factor"], F.lit(""))
     return p.withColumn("n_adjustments", F.size("adjustments")).withColumn("stock_factor", stock)
 
 
-@query("i6_price_explanation", "product_id:i explanation:s", views=("fx_catalog",), oracle=f"""
+@query("i6_price_explanation", "product_id:i explanation:s", views=("fx_catalog_active",), oracle=f"""
 SELECT product_id, CASE WHEN savings_percent > 0 THEN 'Price reduced by ' || printf('%.1f', savings_percent)
  || '% — ML model + ' || CAST(n_adjustments AS VARCHAR) || ' pricing factors analyzed for today (2024-01-01)'
  WHEN savings_percent < 0 THEN 'Price increased by ' || printf('%.1f', abs(savings_percent))
@@ -270,7 +277,7 @@ SELECT product_id, CASE WHEN savings_percent > 0 THEN 'Price reduced by ' || pri
 FROM ({I6_SQL})""")
 def i6e(fx):
     """The explanation text."""
-    return pr.catalog_price(fx("fx_catalog"), as_of_date="2024-01-01")
+    return pr.catalog_price(_active(fx), as_of_date="2024-01-01")
 
 
 # ------------------------------------------------------------------------ I12

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shopsignals.operators import baskets as bk
+from shopsignals.operators import catalog as ct
 from shopsignals.operators import recommend as rc
 from shopsignals.operators import search as se
 from shopsignals.operators import sessions as ss
@@ -12,6 +13,19 @@ from shopsignals.plans.q_sessions import E6_SQL
 from shopsignals.plans.registry import query
 
 CAT = ("fx_catalog",)
+ACTIVE = ("fx_catalog_active",)
+
+
+def _active(fx):
+    """The service-layer catalog: active rows with display defaults (B1)."""
+    return ct.clean_catalog(fx("fx_catalog"))
+
+
+def _on_active(sql: str) -> str:
+    """An oracle over the catalog, read from the active-catalog view instead."""
+    return sql.replace("fx_catalog", "fx_catalog_active")
+
+
 _RULES_OUT = "antecedents:s consequents:s confidence:d lift:d support:d"
 
 
@@ -130,15 +144,15 @@ def h16(fx):
     return bk.bought_together(r, fx("fx_catalog"), 5)
 
 
-@query("h4_similar_products", "sku_id:i rank:i rec_sku:i score:d", views=CAT, oracle="""
+@query("h4_similar_products", "sku_id:i rank:i rec_sku:i score:d", views=ACTIVE, oracle="""
 WITH p AS (SELECT a.sku_id, b.sku_id AS rec_sku,
   ((CASE WHEN a.category = b.category THEN 1 ELSE 0 END) + (CASE WHEN a.subcategory = b.subcategory THEN 1 ELSE 0 END)) / 2.0 AS score
-  FROM fx_catalog a JOIN fx_catalog b ON a.sku_id <> b.sku_id)
+  FROM fx_catalog_active a JOIN fx_catalog_active b ON a.sku_id <> b.sku_id)
 SELECT * FROM (SELECT sku_id, row_number() OVER (PARTITION BY sku_id ORDER BY score DESC, rec_sku) AS rank,
  rec_sku, score FROM p) WHERE rank <= 5""")
 def h4(fx):
     """H4: cosine-similar products (brute force in the oracle, bounded candidates in Spark)."""
-    return rc.similar_products(fx("fx_catalog"), 5)
+    return rc.similar_products(_active(fx), 5)
 
 
 _ENGINE_SQL = """
@@ -161,10 +175,10 @@ def h5(fx):
     return rc.engine_recs(fx("fx_catalog"), 5)
 
 
-@query("h6_category_recs", "sku_id:i rank:i rec_sku:i", views=CAT, oracle=_CATREC_SQL)
+@query("h6_category_recs", "sku_id:i rank:i rec_sku:i", views=ACTIVE, oracle=_on_active(_CATREC_SQL))
 def h6(fx):
     """H6: same-category top 5, current removed."""
-    return rc.category_recs(fx("fx_catalog"), 5)
+    return rc.category_recs(_active(fx), 5)
 
 
 _TREND_SQL = """
@@ -174,10 +188,10 @@ SELECT sku_id, rank, rec_sku FROM (SELECT c.sku_id, t.rec_sku, row_number() OVER
  FROM fx_catalog c JOIN t ON t.rec_sku <> c.sku_id) WHERE rank <= 4"""
 
 
-@query("h8_trending_recs", "sku_id:i rank:i rec_sku:i", views=CAT, oracle=_TREND_SQL)
+@query("h8_trending_recs", "sku_id:i rank:i rec_sku:i", views=ACTIVE, oracle=_on_active(_TREND_SQL))
 def h8(fx):
     """H8: trending top 6 with the current product removed, first 4."""
-    return rc.trending_recs(fx("fx_catalog"), 4, 6)
+    return rc.trending_recs(_active(fx), 4, 6)
 
 
 @query("h7_session_recs", "user_id:i cur_sku:i rank:i rec_sku:i category:s", views=("fx_live_clicks", "fx_catalog"),
@@ -220,34 +234,34 @@ WITH d AS (SELECT sku_id, lower(concat_ws(' ', coalesce(product_name, ''), coale
 SELECT sku_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY sku_id)) AS weight, df FROM w"""
 
 
-@query("h11_tfidf_index", "sku_id:i term:s weight:d df:i", views=CAT, oracle=_TOK_SQL)
+@query("h11_tfidf_index", "sku_id:i term:s weight:d df:i", views=ACTIVE, oracle=_on_active(_TOK_SQL))
 def h11(fx):
     """TF-IDF index over name, brand, category and subcategory."""
-    return se.tfidf_index(fx("fx_catalog"))
+    return se.tfidf_index(_active(fx))
 
 
-@query("h12_brand_search", "qid:s detected_sku:i brand:s best_score:d rank:i rec_sku:i", views=CAT, oracle=rf"""
-WITH idx AS ({_TOK_SQL}),
+@query("h12_brand_search", "qid:s detected_sku:i brand:s best_score:d rank:i rec_sku:i", views=ACTIVE, oracle=rf"""
+WITH idx AS ({_on_active(_TOK_SQL)}),
  q AS (SELECT DISTINCT p_name AS qid, lower(p_name) AS query FROM part),
  qt AS (SELECT qid, unnest(regexp_extract_all(query, '\b\w\w+\b')) AS term FROM q),
  qtf AS (SELECT qid, term, count(*) AS tf FROM qt GROUP BY qid, term),
  v AS (SELECT DISTINCT term, df FROM idx),
- qw AS (SELECT qtf.qid, qtf.term, qtf.tf * (ln((1 + (SELECT count(*) FROM fx_catalog)) / (1 + v.df)) + 1) AS raw
+ qw AS (SELECT qtf.qid, qtf.term, qtf.tf * (ln((1 + (SELECT count(*) FROM fx_catalog_active)) / (1 + v.df)) + 1) AS raw
   FROM qtf JOIN v USING (term)),
  qv AS (SELECT qid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS qweight FROM qw),
  sc AS (SELECT qv.qid, idx.sku_id, sum(qv.qweight * idx.weight) AS score FROM qv JOIN idx USING (term) GROUP BY qv.qid, idx.sku_id),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku_id) AS rn FROM sc) WHERE rn = 1
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, sku_id) AS rn FROM sc) WHERE rn = 1
   AND score >= 0.05),
  bb AS (SELECT b.qid, b.sku_id AS detected_sku, b.score AS best_score, c.brand, lower(c.brand) AS lb FROM b
-  JOIN fx_catalog c ON b.sku_id = c.sku_id),
+  JOIN fx_catalog_active c ON b.sku_id = c.sku_id),
  t AS (SELECT sku_id, lower(brand) AS lb, row_number() OVER (PARTITION BY lower(brand) ORDER BY review_count DESC, sku_id) AS rank
-  FROM fx_catalog)
+  FROM fx_catalog_active)
 SELECT bb.qid, bb.detected_sku, bb.brand, bb.best_score, t.rank, t.sku_id AS rec_sku FROM bb JOIN t USING (lb)
 WHERE t.rank <= 10""")
 def h12(fx):
     """Brand search for every distinct part name used as a query."""
     q = fx("part").select(F.col("p_name").alias("qid"), F.col("p_name").alias("query")).distinct()
-    return se.brand_search(fx("fx_catalog"), q, 10)
+    return se.brand_search(_active(fx), q, 10)
 
 
 # -------------------------------------------------------------- H14 / H15

@@ -61,6 +61,9 @@ SELECT event_id, timestamp, user_id, session_id, sku_id AS product_id,
 SELECT event_id, timestamp, user_id AS email, sku_id % 10 AS product_id,
  CASE event_type WHEN 'add_to_cart' THEN 'add' WHEN 'product_view' THEN 'add' WHEN 'search' THEN 'set' WHEN 'page_exit' THEN 'remove' ELSE 'order' END AS action,
  CASE WHEN event_type = 'search' THEN sku_id % 4 ELSE 1 END AS quantity, price_seen_usd * 10e0 AS price FROM fx_clickstream""",
+    # the service-layer catalog: active rows only (what clean_catalog keeps)
+    "fx_catalog_active": """
+SELECT * FROM fx_catalog WHERE upper(trim(is_active)) NOT IN ('FALSE', '0')""",
     "fx_vouchers": """
 SELECT * FROM (VALUES (1,'WELCOME10','percentage',10e0,0e0,500e0,0),(2,'FLAT500','flat',500e0,2000e0,500e0,0),
  (3,'ELECTRONICS15','category_percentage',15e0,5000e0,2000e0,1),(4,'SAVE20','percentage',20e0,10000e0,3000e0,0)) AS t(pos, code, type, value, min_cart, max_discount, needs_category)""",
@@ -72,7 +75,8 @@ SELECT concat(' save', CAST(c_custkey AS STRING), ' ') AS code, lower(c_name) AS
 }
 
 # fixture views that read other fixture views
-_DEPS = {"fx_live_clicks": ["fx_clickstream"], "fx_cart_log": ["fx_clickstream"]}
+_DEPS = {"fx_live_clicks": ["fx_clickstream"], "fx_cart_log": ["fx_clickstream"],
+         "fx_catalog_active": ["fx_catalog"]}
 
 
 def _closure(names) -> list[str]:
