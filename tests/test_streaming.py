@@ -152,6 +152,29 @@ def test_competitor_state_expires_after_ttl(spark, tmp_dir):
     assert {r["product_id"]: (r["min"], r["max"], r["n_competitors"]) for r in twin.collect()} == last
 
 
+def test_windowed_sessions_equal_batch_gap_segments(spark, click_dir, tmp_dir):
+    from shopsignals.operators.sessions import running_position
+
+    w = so.session_features_windowed(src.click_stream(spark, click_dir, max_files=1))
+    q = (w.writeStream.format("memory").queryName("k4_twin").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).trigger(availableNow=True).start())
+    _run(q)
+    got = {(r["session_id"], r["session_start"]): (r["session_length"], r["last_event_type"])
+           for r in spark.table("k4_twin").collect()}
+    assert len(got) > 0
+    ev = _clicks(spark)
+    g = running_position(ev, "session_id", ("timestamp", "event_id"), None, "_g")
+    g = running_position(g, "session_id", ("timestamp", "event_id"), 1800, "_s")
+    g = g.withColumn("_start", F.col("_g") - F.col("_s") + 1)
+    seg = g.groupBy("session_id", "_start").agg(
+        F.min("timestamp").alias("session_start"), F.count(F.lit(1)).alias("n"),
+        F.max_by("event_type", F.struct("timestamp", "event_id")).alias("last"))
+    want = {(r["session_id"], r["session_start"]): (r["n"], r["last"]) for r in seg.collect()}
+    # every session the watermark has closed equals one gap segment of the batch
+    for k, v in got.items():
+        assert want[k] == v
+
+
 def test_windowed_sessions_and_kpis(spark, click_dir, tmp_dir):
     w = so.session_features_windowed(src.click_stream(spark, click_dir, max_files=2))
     q = (w.writeStream.format("memory").queryName("k4_out").outputMode("append")
