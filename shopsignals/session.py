@@ -55,8 +55,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="shopsignals-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:  # informational only; the context's checkpoint dir is what is used
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001  (core settings may be read-only at run time)
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
