@@ -34,6 +34,22 @@ def test_cross_validation_and_robust_scaler(spark):
     assert len(imp) == 31 and abs(sum(r["importance"] for r in imp) - 1.0) < 1e-6
 
 
+def test_training_plan_writes_all_artifacts(spark, tmp_dir):
+    from shopsignals.plans.training import run_training
+
+    fx = lambda n: view(spark, SF_SMALL, n)
+    spec = ml.ModelSpec(ml.MODEL_FEATURES, max_iter=5, max_depth=3, step_size=0.1, subsampling_rate=0.8,
+                        min_instances_per_node=5, feature_subset="sqrt")
+    rep = run_training(fx("fx_clickstream"), fx("fx_catalog"), fx("fx_competitor"), fx("fx_profiles"),
+                       tmp_dir, spec, cv_folds=3)
+    assert rep["fairness"]["is_fair"] and rep["datasets"]["products_with_features"] > 0
+    assert 0.7 - 0.5 < rep["fairness"]["price_factor_stats"]["mean"] < 1.5 + 0.5
+    for name in ("model", "pricing_data", "user_segment_wtp", "category_recs", "rules", "legacy_events",
+                 "training_report"):
+        assert os.path.isdir(os.path.join(tmp_dir, name)), name
+    assert "predicted_factor" in spark.read.parquet(os.path.join(tmp_dir, "pricing_data")).columns
+
+
 def test_daily_price_table_partitioned(spark, tmp_dir):
     cat = view(spark, SF_SMALL, "fx_catalog")
     path = os.path.join(tmp_dir, "daily")
