@@ -50,6 +50,15 @@ def test_training_plan_writes_all_artifacts(spark, tmp_dir):
     assert "predicted_factor" in spark.read.parquet(os.path.join(tmp_dir, "pricing_data")).columns
 
 
+def test_session_recommender_holdout(spark):
+    from shopsignals.plans.training import run_session_recommender
+
+    fx = lambda n: view(spark, "/root/testdata/sf0.01", n)
+    m = run_session_recommender(fx("fx_clickstream"), fx("fx_catalog"))
+    assert m["val_samples"] > 0
+    assert 0.0 <= m["mrr_at_k"] <= m["hit_rate_at_k"] <= 1.0
+
+
 def test_daily_price_table_partitioned(spark, tmp_dir):
     cat = view(spark, SF_SMALL, "fx_catalog")
     path = os.path.join(tmp_dir, "daily")
