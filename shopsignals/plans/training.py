@@ -75,6 +75,21 @@ def run_training(clicks: DataFrame, catalog: DataFrame, feed: DataFrame, profile
     return report
 
 
+def run_time_scenario_training(pricing_table: DataFrame, out_dir: str, spec: ml.ModelSpec = ml.TIME_SPEC,
+                               key: str = "product_id") -> dict:
+    """Time-scenario job (I10 → J1 → J3b): every product under the four
+    hour-of-day scenarios, the 8-feature model trained on an 80/20 hash split
+    of products (all scenarios of a product stay on one side), test R²
+    reported, model saved."""
+    data = materialize(ft.time_scenarios(pricing_table))
+    train, test = ml.split(data, key, 0.2, spec.seed)
+    model = ml.train_price_model(train, spec)
+    m = ml.regression_metrics(model.transform(test.na.fill(0, subset=spec.features)), label=spec.label,
+                              log_space=True).first().asDict()
+    ml.save_model(model, f"{out_dir}/time_model")
+    return {"test_r2": m["r2"], "test_rows": m["n"], "n_features": len(spec.features)}
+
+
 def run_session_recommender(clicks: DataFrame, catalog: DataFrame, k: int = 10, val_fraction: float = 0.1,
                             seed: int = 42) -> dict:
     """Session recommender job (E6 → E7 → H14 → H15): sessions are split by a

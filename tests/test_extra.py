@@ -50,6 +50,15 @@ def test_training_plan_writes_all_artifacts(spark, tmp_dir):
     assert "predicted_factor" in spark.read.parquet(os.path.join(tmp_dir, "pricing_data")).columns
 
 
+def test_time_scenario_training(spark, tmp_dir):
+    from shopsignals.plans.training import run_time_scenario_training
+
+    spec = ml.ModelSpec(ml.TIME_SPEC.features, max_iter=5, max_depth=3, step_size=0.1, label="target_log")
+    m = run_time_scenario_training(_features(spark), tmp_dir, spec)
+    assert m["test_rows"] % 4 == 0 and m["test_rows"] > 0  # a product's four scenarios stay together
+    assert os.path.isdir(os.path.join(tmp_dir, "time_model"))
+
+
 def test_session_recommender_holdout(spark):
     from shopsignals.plans.training import run_session_recommender
 
