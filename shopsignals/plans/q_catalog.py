@@ -185,7 +185,18 @@ def e4(fx):
     return ct.first_per_key(fx("fx_orders"), "product_id", ["created_at", "order_id", "price", "quantity"])
 
 
-_PAGE_OUT = "sku_id:i review_count:i position:i total_rows:i total_pages:i has_more:b"
+@query("e4_product_meta", "product_id:i category_code:s brand:s", views=("fx_clickstream", "fx_catalog"),
+       oracle=f"SELECT DISTINCT product_id, category_code, brand FROM ({_LEGACY_SQL})")
+def e4m(fx):
+    """E4 + B22 + A8: product meta (product → category code, brand) from the
+    legacy export. Both attributes depend on the product only, so its first
+    row is any row: an aggregate per product, combined map-side."""
+    leg = ct.legacy_events(fx("fx_clickstream"), fx("fx_catalog"))
+    return ct.first_per_key(leg.select("product_id", "category_code", "brand"), "product_id",
+                            ["category_code", "brand"])
+
+
+_PAGE_OUT ="sku_id:i review_count:i position:i total_rows:i total_pages:i has_more:b"
 
 
 @query("f1_page_by_reviews", _PAGE_OUT, views=ACTIVE, oracle="""
