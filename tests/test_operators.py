@@ -179,6 +179,34 @@ def test_similar_products_matches_brute_force(spark):
     assert got == want
 
 
+def _similar_brute(rows, k):
+    want = {}
+    for s in rows:
+        cand = sorted(((-(((s[1] == t[1]) + (s[2] == t[2])) / 2.0), t[0]) for t in rows if t[0] != s[0]))[:k]
+        want[s[0]] = [(t, -c) for c, t in cand]
+    return want
+
+
+def test_similar_products_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["A", "B", "C", "D"]), st.sampled_from(["x", "y", "z"]))
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=2, max_size=40), st.integers(min_value=1, max_value=6))
+    def check(labels, k):
+        rows = [(i, c, u) for i, (c, u) in enumerate(labels)]
+        df = spark.createDataFrame(rows, "sku_id long, category string, subcategory string")
+        got = {}
+        for r in rc.similar_products(df, k).collect():
+            got.setdefault(r["sku_id"], []).append((r["rank"], r["rec_sku"], r["score"]))
+        got = {s: [(t, c) for _, t, c in sorted(v)] for s, v in got.items()}
+        assert got == _similar_brute(rows, k)
+
+    check()
+
+
 def test_engine_recs_matches_brute_force(spark):
     rows, df = _catalog(spark)
     k = 5
