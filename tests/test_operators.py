@@ -207,6 +207,40 @@ def test_similar_products_property(spark):
     check()
 
 
+def _engine_brute(rows, k):
+    want = {}
+    for s in rows:
+        sid, c, u = s[0], s[1], s[2]
+        cand = [t for t in rows if t[2] == u and t[0] != sid] or [t for t in rows if t[1] == c and t[0] != sid] \
+            or [t for t in rows if t[0] != sid]
+        mx = max(t[5] for t in cand)
+        want[sid] = [t for _, t in sorted(
+            [(-(0.6 * t[3] + 0.3 * math.log1p(t[4]) + 0.1 * t[5] / (mx + 1)), t[0]) for t in cand])[:k]]
+    return want
+
+
+def test_engine_recs_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from(["x", "y", "z", "w"]),
+                    st.sampled_from([1.0, 3.0, 4.5]), st.sampled_from([0, 10, 200]), st.sampled_from([0, 5, 9]))
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=2, max_size=30), st.integers(min_value=1, max_value=5))
+    def check(items, k):
+        rows = [(i,) + t for i, t in enumerate(items)]
+        df = spark.createDataFrame(rows, "sku_id long, category string, subcategory string, avg_rating double, "
+                                         "review_count long, inventory_count long")
+        got = {}
+        for r in rc.engine_recs(df, k).collect():
+            got.setdefault(r["sku_id"], []).append((r["rank"], r["rec_sku"]))
+        got = {s: [t for _, t in sorted(v)] for s, v in got.items()}
+        assert got == _engine_brute(rows, k)
+
+    check()
+
+
 def test_engine_recs_matches_brute_force(spark):
     rows, df = _catalog(spark)
     k = 5
