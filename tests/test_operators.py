@@ -277,6 +277,51 @@ def test_rules_agree_with_fpgrowth_and_properties(spark):
         assert a[(k2[1], k2[0])][1] == a[k2][1]  # support is symmetric
 
 
+def test_rules_property_with_pruning_and_chunks(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    basket = st.lists(st.integers(min_value=0, max_value=12), min_size=1, max_size=9)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(basket, min_size=3, max_size=25), st.sampled_from([0.0, 0.1, 0.25]))
+    def check(bs, min_support):
+        rows = [(b, i) for b, items in enumerate(bs) for i in items]
+        df = spark.createDataFrame(rows, "basket long, item long")
+        fb = bk.filter_baskets(df, 2, 2)
+        got = {(r["antecedents"], r["consequents"]): (r["confidence"], r["support"])
+               for r in bk.association_rules(fb, min_support, 0.2, chunk_items=2).collect()}
+        # brute force: item counts with duplicates, distinct items, baskets of 2+
+        cnt = {}
+        for _, i in rows:
+            cnt[i] = cnt.get(i, 0) + 1
+        kept = [sorted({i for i in items if cnt[i] >= 2}) for items in bs]
+        kept = [k for k in kept if len(k) >= 2]
+        n = len(kept)
+        want = {}
+        if n:
+            ni, nab = {}, {}
+            for k in kept:
+                for i in k:
+                    ni[i] = ni.get(i, 0) + 1
+                for a, b in itertools.combinations(k, 2):
+                    nab[(a, b)] = nab.get((a, b), 0) + 1
+            for (a, b), c in nab.items():
+                sup = c / n
+                if sup < min_support:
+                    continue
+                for x, y in ((a, b), (b, a)):
+                    conf = sup / (ni[x] / n)
+                    if conf >= 0.2:
+                        want[(str(x), str(y))] = (round(conf * 1e4) / 1e4, round(sup * 1e6) / 1e6)
+        assert got.keys() == want.keys()
+        for key in want:
+            assert got[key][0] == pytest.approx(want[key][0], abs=1e-4)
+            assert got[key][1] == pytest.approx(want[key][1], abs=1e-6)
+
+    check()
+
+
 def test_item_pairs_chunking_is_exact(spark):
     rnd = random.Random(3)
     rows = [(b, i) for b in range(6) for i in rnd.sample(range(40), rnd.randint(2, 30))]
