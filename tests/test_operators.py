@@ -322,6 +322,22 @@ def test_rules_property_with_pruning_and_chunks(spark):
     check()
 
 
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_top_k_per_group_equals_full_ranking(spark, k):
+    from pyspark.sql import Window
+
+    from shopsignals.operators.topk import top_k_per_group
+
+    rnd = random.Random(k)
+    rows = [("hot" if i % 3 else f"g{i % 17}", rnd.randint(0, 20), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, score long, id long")
+    order = [F.col("score").desc(), F.col("id")]
+    got = {(r["g"], r["rank"], r["id"]) for r in top_k_per_group(df, ["g"], order, k).collect()}
+    full = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))) \
+             .where(F.col("rank") <= k)
+    assert got == {(r["g"], r["rank"], r["id"]) for r in full.collect()}
+
+
 def test_item_pairs_chunking_is_exact(spark):
     rnd = random.Random(3)
     rows = [(b, i) for b in range(6) for i in rnd.sample(range(40), rnd.randint(2, 30))]
