@@ -117,13 +117,29 @@ def read_profiles(spark, path, fmt="parquet") -> DataFrame:
     return _read(spark, path, PROFILE_SCHEMA, fmt)
 
 
-def head_events(df: DataFrame, n: int, order_by: str = "event_id") -> DataFrame:
+def head_events(df: DataFrame, n: int, order_by: str = "event_id", oversample: float = 4.0,
+                seed: int = 42) -> DataFrame:
     """First ``n`` rows in a stated order (repeatable, unlike file order).
 
-    Planned as TakeOrderedAndProject: each task keeps its own top ``n`` and
-    only those reach the final merge.
+    A plain ``orderBy().limit(n)`` keeps n rows per input partition before
+    its final merge, which grows with the partition count. Here a seeded
+    sample of the key column only *estimates* a cutoff key; an exact count
+    then checks that at least ``n`` rows lie at or below it (the filter
+    reaches the scan), and only those candidates are ordered and limited.
+    If the check fails the plain top-n runs — the result is always exact.
     """
-    return df.orderBy(F.col(order_by).asc()).limit(n)
+    key = F.col(order_by)
+    total = df.count()
+    if total <= n:
+        return df.orderBy(key.asc())
+    frac = min(1.0, oversample * n / total)
+    rank = int(n * frac * 1.25) + 100            # sample rank of the n-th key, with margin
+    cutoff = (df.select(key.alias("_k")).where(F.col("_k").isNotNull()).sample(fraction=frac, seed=seed)
+              .orderBy("_k").limit(rank).agg(F.max("_k")).first()[0])
+    cand = df.where(key <= F.lit(cutoff)) if cutoff is not None else df
+    if cutoff is None or cand.count() < n:
+        cand = df
+    return cand.orderBy(key.asc()).limit(n)
 
 
 def sample_keyed(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

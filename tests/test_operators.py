@@ -401,6 +401,16 @@ def test_demographic_leak(spark):
 
 
 # ------------------------------------------------------------------ A7 / J1 repeatability
+@pytest.mark.parametrize("n", [1, 777, 20000, 60000])
+def test_head_events_equals_plain_top_n(spark, n):
+    rnd = random.Random(n)
+    ids = list(range(50000))
+    rnd.shuffle(ids)
+    df = spark.createDataFrame([(i, rnd.randint(0, 9)) for i in ids], "event_id long, v long").repartition(7)
+    got = [r.event_id for r in readers.head_events(df, n).collect()]
+    assert got == sorted(ids)[:n]
+
+
 def test_keyed_sample_and_split_are_partitioning_independent(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = {r.k for r in readers.sample_keyed(df, "k", 0.1).collect()}
