@@ -103,9 +103,10 @@ def catalog_features(catalog: DataFrame) -> DataFrame:
             .withColumn("margin", F.try_divide(F.col("base_price_usd") - F.col("cost_price_usd"),
                                                F.col("base_price_usd")))
             .withColumn("price_range", F.col("max_price_usd") - F.col("min_price_usd"))
-            .withColumn("price_range_pct", F.col("price_range") / (F.col("base_price_usd") + 1))
-            .withColumn("inventory_urgency", 1.0 / (F.col("inventory_count") + 1))
-            .withColumn("stock_days_ratio", F.col("inventory_count") / (F.col("restock_days") + 1)))
+            # try_divide: a zero denominator (odd inputs) gives NULL, not a failed job
+            .withColumn("price_range_pct", F.try_divide(F.col("price_range"), F.col("base_price_usd") + 1))
+            .withColumn("inventory_urgency", F.try_divide(F.lit(1.0), F.col("inventory_count") + 1))
+            .withColumn("stock_days_ratio", F.try_divide(F.col("inventory_count"), F.col("restock_days") + 1)))
 
 
 # ------------------------------------------------------------------------- D4
@@ -132,9 +133,9 @@ def with_competitor(df: DataFrame, comp: DataFrame) -> DataFrame:
     """C2 + D5: left join, positioning computed before the fills."""
     j = df.join(comp, "sku_id", "left")
     base = F.col("base_price_usd")
-    j = (j.withColumn("price_vs_comp_avg", base / (F.col("comp_avg_price") + 1))
-          .withColumn("price_vs_comp_min", base / (F.col("comp_min_price") + 1))
-          .withColumn("comp_advantage", (F.col("comp_avg_price") - base) / (base + 1)))
+    j = (j.withColumn("price_vs_comp_avg", F.try_divide(base, F.col("comp_avg_price") + 1))
+          .withColumn("price_vs_comp_min", F.try_divide(base, F.col("comp_min_price") + 1))
+          .withColumn("comp_advantage", F.try_divide(F.col("comp_avg_price") - base, base + 1)))
     fills = {c: 0 for c in COMP_AGG_COLS}
     fills.update({"price_vs_comp_avg": 1.0, "price_vs_comp_min": 1.0, "comp_advantage": 0.0})
     return j.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
