@@ -41,7 +41,8 @@ def segment_crosstab(users: DataFrame, by: str, col: str = "calculated_segment")
 def audit_prices(prices: DataFrame) -> DataFrame:
     """Markup and savings per audited product: (product_id, markup_pct, savings_pct)."""
     return prices.select("product_id",
-                         ((F.col("final_price") - F.col("base_price")) / F.col("base_price") * 100).alias("markup_pct"),
+                         (F.try_divide(F.col("final_price") - F.col("base_price"), F.col("base_price")) * 100)
+                         .alias("markup_pct"),
                          F.col("savings_percent").alias("savings_pct"))
 
 

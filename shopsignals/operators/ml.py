@@ -90,7 +90,7 @@ def regression_metrics(pred: DataFrame, label: str = "target", prediction: str =
     y, p = F.col(label), F.col(prediction)
     # one pass: SS_res / SS_tot = mean squared error / population variance
     aggs = [
-        (1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("r2"),
+        (1 - F.try_divide(F.avg((y - p) * (y - p)), F.var_pop(y))).alias("r2"),
         F.avg(F.abs(y - p)).alias("mae_log" if log_space else "mae"),
         F.sqrt(F.avg((y - p) * (y - p))).alias("rmse_log" if log_space else "rmse"),
         F.count(F.lit(1)).cast("bigint").alias("n"),

@@ -130,7 +130,7 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
     if key:
         lists = []
         for tag, mcol in (("m1", "_m1"), ("m2", "_m2")):
-            sc = g.withColumn("_score", base + 0.1 * F.col("inventory_count") / (F.col(mcol) + 1))
+            sc = g.withColumn("_score", base + F.try_divide(0.1 * F.col("inventory_count"), F.col(mcol) + 1))
             rk = top_k_per_group(sc, part, [F.col("_score").desc(), F.col("sku_id")], k + 1, "_pr")
             lists.append(rk.select(*part, F.lit(tag).alias("_which"), F.col("sku_id").alias("rec_sku"),
                                    F.col("_score").alias("score"), "_pr"))
@@ -139,7 +139,7 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
         # whole-table level: the two bounded top-(k+1) lists are scalar arrays
         arrs = {}
         for tag, mcol in (("m1", "_m1"), ("m2", "_m2")):
-            sc = g.withColumn("_score", base + 0.1 * F.col("inventory_count") / (F.col(mcol) + 1)) \
+            sc = g.withColumn("_score", base + F.try_divide(0.1 * F.col("inventory_count"), F.col(mcol) + 1)) \
                   .withColumn("_ns", -F.col("_score"))
             arrs[tag] = _top_array(sc, [F.col("_ns"), F.col("sku_id")], k + 1, ["_ns", "sku_id", "_score"])
         arr = F.when(F.col("_which") == "m1", arrs["m1"]).otherwise(arrs["m2"])
