@@ -231,31 +231,48 @@ def user_affinity(events: DataFrame, catalog: DataFrame, ttl_seconds: int | None
 
 
 # ------------------------------------------------------------------------ D27
-def session_view(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per user — distinct viewed products in first-seen order (catalog
-    products only), count, top category (ties → first seen), last active, journey text."""
+def _first_seen(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(user_id, product_id, _first, category): first view of each catalog product per user (C11)."""
     ev = events.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     first = (ev.groupBy("user_id", "product_id")
              .agg(F.min(F.struct("timestamp", "event_id")).alias("_first")))
-    last = ev.groupBy("user_id").agg(F.max("timestamp").alias("last_active"))
     cat = catalog.select(F.col("sku_id").alias("product_id"), "category")
-    seen = first.join(cat, "product_id", "inner")                                   # C11
+    return first.join(cat, "product_id", "inner")
+
+
+def session_view(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per user — number of distinct viewed catalog products, the first
+    one, top category (ties → first seen), last active and the journey text.
+
+    Everything is an aggregate, so a user with a huge history is combined
+    map-side; the ordered product list is ``session_view_products`` (long
+    form), never one array per user.
+    """
+    ev = events.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+    last = ev.groupBy("user_id").agg(F.max("timestamp").alias("last_active"))
+    seen = _first_seen(events, catalog)
     cat_counts = (seen.groupBy("user_id", "category")
                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_f")))
     top = cat_counts.groupBy("user_id").agg(
         F.min_by("category", F.struct((-F.col("_n")).alias("n"), F.col("_f").alias("f"))).alias("top_category"))
-    prods = seen.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_first", "product_id"))),
-                    lambda s: s["product_id"]).alias("products_viewed"),
-        F.count(F.lit(1)).cast("bigint").alias("total_views"))
+    prods = seen.groupBy("user_id").agg(F.min_by("product_id", F.col("_first")).alias("first_product"),
+                                        F.count(F.lit(1)).cast("bigint").alias("total_views"))
     out = last.join(prods, "user_id", "left").join(top, "user_id", "left")
     tv = F.coalesce(F.col("total_views"), F.lit(0))
     journey = F.when(tv == 0, F.lit("Start browsing to build your personalized journey!")).otherwise(
         F.concat(F.lit("You've explored "), tv.cast("string"), F.lit(" product(s), showing strong interest in "),
                  F.col("top_category"), F.lit(". We're tailoring recommendations based on your journey.")))
-    return out.select("user_id", F.coalesce("products_viewed", F.array()).alias("products_viewed"),
-                      tv.alias("total_views"), "top_category", journey.alias("journey_explanation"),
-                      "last_active")
+    return out.select("user_id", tv.alias("total_views"), "first_product", "top_category",
+                      journey.alias("journey_explanation"), "last_active")
+
+
+def session_view_products(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """D27 product list in long form: (user_id, position, product_id) in
+    first-seen order; positions from ``running_position`` (hot users split)."""
+    seen = _first_seen(events, catalog).select("user_id", "product_id", F.col("_first.timestamp").alias("_ts"),
+                                               F.col("_first.event_id").alias("_eid"))
+    pos = running_position(seen, "user_id", ("_ts", "_eid"), None, "position")
+    return pos.select("user_id", "position", "product_id")
 
 
 # ------------------------------------------------------------------------ E11

@@ -166,8 +166,17 @@ FROM p JOIN t USING (user_id)""")
 def d27(fx):
     """D27 + C11: per-user session summary."""
     v = ss.session_view(fx("fx_live_clicks"), fx("fx_catalog"))
-    return v.select("*", F.size("products_viewed").alias("n_products"),
-                    F.element_at("products_viewed", 1).alias("first_product"))
+    return v.withColumn("n_products", F.col("total_views"))
+
+
+@query("d27_session_products", "user_id:i position:i product_id:i", views=LIVE, oracle="""
+WITH f AS (SELECT user_id, product_id, min(timestamp) AS ts, min_by(event_id, (timestamp, event_id)) AS eid
+  FROM fx_live_clicks WHERE user_id IS NOT NULL AND product_id IS NOT NULL GROUP BY user_id, product_id),
+ s AS (SELECT f.* FROM f JOIN fx_catalog c ON f.product_id = c.sku_id)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, eid) AS position, product_id FROM s""")
+def d27p(fx):
+    """Each user's viewed catalog products in first-seen order (long form)."""
+    return ss.session_view_products(fx("fx_live_clicks"), fx("fx_catalog"))
 
 
 # ------------------------------------------------------------------ I1 – I4
