@@ -85,18 +85,30 @@ def effective_price(price: str = "price", best: str = "best_price", predicted: s
 
 
 # ------------------------------------------------------------------------- L2
+def _order_id(as_of: str) -> Column:
+    """Order id = hash of (email, order time) (rule Q12: ids by second collide)."""
+    return F.xxhash64(F.col("email").cast("string"), F.lit(as_of))
+
+
 def orders_from_carts(lines: DataFrame, as_of: str, price: Column | str = "price") -> DataFrame:
-    """L2: one order per email from its cart lines: items, total rounded to
-    2, status completed; the id is a hash of (email, order time) (rule Q12)."""
+    """L2: one order header per email from its cart lines: item count, total
+    rounded to 2, status completed. An aggregate per email (combined
+    map-side); the lines themselves are ``order_lines``, not an array."""
     p = F.coalesce(F.col(price) if isinstance(price, str) else price, F.lit(0.0))
     q = F.coalesce(F.col("quantity"), F.lit(1))
-    g = lines.groupBy("email").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("product_id"), p.alias("price"), q.alias("quantity"))))
-        .alias("items"),
-        round_to(F.sum(p * q), 2).alias("total"))
+    g = lines.groupBy("email").agg(F.count(F.lit(1)).cast("bigint").alias("n_items"),
+                                   round_to(F.sum(p * q), 2).alias("total"))
     ts = F.lit(as_of).cast("timestamp")
-    return g.select(F.xxhash64(F.col("email").cast("string"), F.lit(as_of)).alias("order_id"), "email", "items",
-                    "total", ts.alias("created_at"), F.lit("completed").alias("status"))
+    return g.select(_order_id(as_of).alias("order_id"), "email", "n_items", "total", ts.alias("created_at"),
+                    F.lit("completed").alias("status"))
+
+
+def order_lines(lines: DataFrame, as_of: str, price: Column | str = "price") -> DataFrame:
+    """L2 items in long form: (order_id, email, product_id, price, quantity)."""
+    p = F.coalesce(F.col(price) if isinstance(price, str) else price, F.lit(0.0))
+    q = F.coalesce(F.col("quantity"), F.lit(1))
+    return lines.select(_order_id(as_of).alias("order_id"), "email", "product_id", p.alias("price"),
+                        q.alias("quantity"))
 
 
 # ------------------------------------------------------------------------- E9
