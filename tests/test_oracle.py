@@ -31,6 +31,16 @@ def test_query_matches_oracle(spark, name):
     assert a == b
 
 
+def test_switching_scale_dirs_in_one_session(spark):
+    from tests.conftest import SF_SMALL
+
+    q = QUERIES["d11_total_revenue"]
+    big = q(spark, SF_ORACLE).first()["order_count"]
+    small = q(spark, SF_SMALL).first()["order_count"]
+    again = q(spark, SF_ORACLE).first()["order_count"]
+    assert small < big == again
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
