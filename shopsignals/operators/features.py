@@ -288,9 +288,10 @@ def time_scenarios(features: DataFrame, scenarios=TIME_SCENARIOS) -> DataFrame:
     """
     arr = F.array(*[F.struct(F.lit(h).alias("hour_of_day"), F.lit(float(m)).alias("time_multiplier"))
                     for h, m in scenarios])
-    x = features.withColumn("_sc", F.explode(arr)).select("*", "_sc.*").drop("_sc")
-    x = x.withColumn("_lv", F.log1p(F.coalesce(F.col("demand_velocity"), F.lit(0))))
-    x = minmax(x, ["_lv"], names=["_nv"])
+    # normalise before the explode: the bounds are the same, the materialised table 4× smaller
+    f = features.withColumn("_lv", F.log1p(F.coalesce(F.col("demand_velocity"), F.lit(0))))
+    f = minmax(f, ["_lv"], names=["_nv"])
+    x = f.withColumn("_sc", F.explode(arr)).select("*", "_sc.*").drop("_sc")
     inv = F.coalesce(F.col("inventory_count"), F.lit(0))
     factor = (F.col("time_multiplier") + 0.15 * F.col("_nv")
               + 0.10 * clip(F.coalesce(F.col("comp_advantage"), F.lit(0.0)), -0.5, 0.5)
