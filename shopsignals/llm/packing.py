@@ -18,7 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from shopsignals.llm.tables import ship
 WINDOW, END = 4096, 2
 SEGMENTS = 256  # most pieces in one sequence
 GROUP = 4096  # examples packed together
-CACHE = 200_000  # remembered words of a worker
+CACHE = 500_000  # remembered words of a worker
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -102,41 +102,74 @@ def pack(examples: DataFrame, keys: list[str], limits: dict[str, int], groups: i
 
 
 _worker: dict = {}
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _chunk_ids(path: str, chunks: list[str]) -> list[np.ndarray]:
-    """Ids of blank-free chunks. White space parts this tokenizer's words, so a
-    chunk's ids do not depend on its neighbours; frequent chunks are remembered."""
+def _stem(word: str) -> tuple[str, str]:
+    """A word's stem in lower case and the marks at its end, where both are known
+    to be coded apart; else the word itself and no marks."""
+    stem = word.rstrip(MARKS)
+    if not stem or not word.isascii() or not stem[-1].isalnum() or "<|" in word:
+        return word, ""
+    return stem.lower(), word[len(stem):]
+
+
+def _word_ids(path: str, words: set[str]) -> dict[str, bytes]:
+    """Ids of blank-free words, at least of ``words``. White space parts this
+    tokenizer's words, so a word's ids do not depend on its neighbours; frequent
+    words are remembered from text to text."""
     if _worker.get("path") != path:
         from tokenizers import Tokenizer
 
         _worker.update(path=path, tokenizer=Tokenizer.from_file(path), seen={})
     seen = _worker["seen"]
-    missing = list({c for c in chunks if c not in seen})
-    if missing:
-        if len(seen) + len(missing) > CACHE:
-            seen.clear()
-        coded = _worker["tokenizer"].encode_batch_fast(missing, add_special_tokens=False)
-        seen.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(missing, coded))
-    return [seen[c] for c in chunks]
-
-
-def token_ids(path: str, texts: list[str], step: int = 1 << 20) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, with the end token. Long
-    texts are coded by stretches of about ``step`` characters, cut at blanks."""
+    missing = [w for w in words if w not in seen]
+    if len(seen) + 2 * len(missing) > CACHE:
+        seen.clear()
+        missing = list(words)
+    parts = [_stem(w) for w in missing]
+    new = [w for w in {x for p in parts for x in p} if w not in seen]
+    coded = _worker["tokenizer"].encode_batch_fast(new, add_special_tokens=False)
+    seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
+    seen.update((w, seen[stem] + seen[marks]) for w, (stem, marks) in zip(missing, parts))
+    return seen
+
+
+def token_ids(path: str, texts: Iterable[str], step: int = 1 << 21) -> Iterator[bytes]:
+    """Little-endian unsigned 32-bit ids of each text, with the end token. Texts
+    are coded by stretches of about ``step`` characters, cut at blanks."""
     end = np.array([END], "<u4").tobytes()
+    done: list[bytes] = []  # of a text in several stretches
+    held: list[tuple[list[str], bool]] = []  # words of a stretch, and whether its text ends there
+    size = 0
+
+    def flush():
+        ids = _word_ids(path, {w for words, _ in held for w in words})
+        for words, last in held:
+            done.extend(map(ids.__getitem__, words))
+            if last:
+                yield b"".join(done) + end
+                done.clear()
+        held.clear()
+
     for text in texts:
-        parts, i = [], 0
-        while i < len(text):
+        i = 0
+        while True:
             j = min(i + step, len(text))
             if j < len(text):
                 blank = text.rfind(" ", i, j)
                 if blank <= i:
                     blank = text.find(" ", j)
                 j = blank if blank > i else len(text)
-            parts += _chunk_ids(path, text[i:j].replace("\n", " ").split(" "))
+            held.append((text[i:j].replace("\n", " ").split(" "), j == len(text)))
+            size += j - i
+            if size >= step:
+                yield from flush()
+                size = 0
             i = j
-        yield b"".join(parts) + end
+            if i >= len(text):
+                break
+    yield from flush()
 
 
 def _cut(path: str, window: int):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from shopsignals.llm import packing
 from shopsignals.llm.packing import dot_product_pack, pack, pack_documents, token_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -21,7 +22,7 @@ def ids_of(text):
 def texts():
     rnd = random.Random(4)
     odd = ["", None, " ", "\n\n a", "É́ é  x\t y z q", "it's we'll 1234 \U0001F600!!", "<|endoftext|> a<|startoftext|>b",
-           "İİ ΣΣ Σ", "word " * 9000, "x" * 3000, "a\r\nb\x0bc\x0c", "́ ́a", " ᅠᆨ 각"]
+           "İİ ΣΣ Σ", "word " * 9000, "a'. it's. 's. <|endoftext|>. ab-c. X..9. ...  $5. É. a_b_ Ab,'", "x" * 3000, "a\r\nb\x0bc\x0c", "́ ́a", " ᅠᆨ 각"]
     return odd + [" ".join("".join(rnd.choice("abcdeéñ") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 900)))
                   for _ in range(120)]
 
@@ -31,6 +32,8 @@ def test_ids_are_the_tokenizers(monkeypatch):
     want = [ids_of(t).tobytes() for t in tx]
     assert list(token_ids(PATH, tx)) == want
     assert list(token_ids(PATH, tx, step=50)) == want
+    monkeypatch.setattr(packing, "CACHE", 40)
+    assert list(token_ids(PATH, tx, step=3000)) == want
 
 
 def test_pieces_cover_documents_once(docs):
