@@ -18,19 +18,22 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopsignals.llm.kernels import SEPARATORS, U, groups, text_buffer, word_ids, words
+from shopsignals.llm.span_lists import slices
 from shopsignals.llm.tables import ship
 
 WINDOW, END = 4096, 2
 SEGMENTS = 256  # most pieces in one sequence
-GROUP = 4096  # examples packed together
-CACHE = 500_000  # remembered words of a worker
+GROUP = 2048  # examples packed together
+CACHE = 1_000_000  # remembered words of a worker
+STEP = 1 << 23  # bytes coded at once
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -101,75 +104,146 @@ def pack(examples: DataFrame, keys: list[str], limits: dict[str, int], groups: i
     return dealt.groupBy("_pack_group").applyInArrow(_packer(limits, keys, to_arrow_schema(out)), out)
 
 
-_worker: dict = {}
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+class WordIds:
+    """Token ids of texts by their distinct words, remembered from batch to batch.
 
+    White space parts this tokenizer's words, so a word's ids do not depend on its
+    neighbours. Words of ASCII and Latin-1 letters, digits and marks are folded
+    to lower case and cut as the tokenizer cuts them, into runs of letters,
+    single digits and runs of marks; all other words go to it whole."""
 
-def _stem(word: str) -> tuple[str, str]:
-    """A word's stem in lower case and the marks at its end, where both are known
-    to be coded apart; else the word itself and no marks."""
-    stem = word.rstrip(MARKS)
-    if not stem or not word.isascii() or not stem[-1].isalnum() or "<|" in word:
-        return word, ""
-    return stem.lower(), word[len(stem):]
+    def __init__(self, path: str):
+        import os
 
-
-def _word_ids(path: str, words: set[str]) -> dict[str, bytes]:
-    """Ids of blank-free words, at least of ``words``. White space parts this
-    tokenizer's words, so a word's ids do not depend on its neighbours; frequent
-    words are remembered from text to text."""
-    if _worker.get("path") != path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), seen={})
-    seen = _worker["seen"]
-    missing = [w for w in words if w not in seen]
-    if len(seen) + 2 * len(missing) > CACHE:
-        seen.clear()
-        missing = list(words)
-    parts = [_stem(w) for w in missing]
-    new = [w for w in {x for p in parts for x in p} if w not in seen]
-    coded = _worker["tokenizer"].encode_batch_fast(new, add_special_tokens=False)
-    seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
-    seen.update((w, seen[stem] + seen[marks]) for w, (stem, marks) in zip(missing, parts))
-    return seen
-
-
-def token_ids(path: str, texts: Iterable[str], step: int = 1 << 21) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, with the end token. Texts
-    are coded by stretches of about ``step`` characters, cut at blanks."""
-    end = np.array([END], "<u4").tobytes()
-    done: list[bytes] = []  # of a text in several stretches
-    held: list[tuple[list[str], bool]] = []  # words of a stretch, and whether its text ends there
-    size = 0
-
-    def flush():
-        ids = _word_ids(path, {w for words, _ in held for w in words})
-        for words, last in held:
-            done.extend(map(ids.__getitem__, words))
-            if last:
-                yield b"".join(done) + end
-                done.clear()
-        held.clear()
-
-    for text in texts:
-        i = 0
-        while True:
-            j = min(i + step, len(text))
-            if j < len(text):
-                blank = text.rfind(" ", i, j)
-                if blank <= i:
-                    blank = text.find(" ", j)
-                j = blank if blank > i else len(text)
-            held.append((text[i:j].replace("\n", " ").split(" "), j == len(text)))
-            size += j - i
-            if size >= step:
-                yield from flush()
-                size = 0
-            i = j
-            if i >= len(text):
-                break
-    yield from flush()
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.hash = np.zeros(0, U)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _code(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and number of ids of ``words``; plain ones are one run each."""
+        size, parts = np.zeros(len(words), np.int64), []
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        n = int(plain.sum())
+        text = [words[i].decode() for i in order]
+        joined = [" ".join(text[i:min(i + 500, n)]) for i in range(0, n, 500)]
+        flat = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        if flat:
+            parts.append(np.concatenate(flat))
+            size[order[:n]] = np.diff(np.concatenate(([-1], np.flatnonzero(self.ends[parts[0]]))))
+        whole = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(text[n:], add_special_tokens=False)]
+        size[order[n:]] = [len(x) for x in whole]
+        ids = np.concatenate([*parts, *whole, np.zeros(0, "<u4")])
+        at = np.zeros(len(words), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return ids[slices(at, size)[0]], size
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of one group, end to end, and the number of each row."""
+        x, us, ue, row, plain = cut_words(raw, offsets)
+        h, first, inverse = np.unique(word_ids(x, us, ue), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        new[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] != h[at < len(self.hash)]
+        if len(self.hash) + new.sum() > CACHE:
+            self.hash, self.start, self.size, self.ids = self.hash[:0], self.start[:0], self.size[:0], self.ids[:0]
+            new[:] = True
+        if new.any():
+            f = first[new]
+            ids, size = self._code([x[i:j].tobytes() for i, j in zip(us[f].tolist(), ue[f].tolist())], plain[f])
+            start = len(self.ids) + np.cumsum(size) - size
+            o = np.argsort(merged := np.concatenate((self.hash, h[new])))
+            self.hash = merged[o]
+            self.start = np.concatenate((self.start, start))[o]
+            self.size = np.concatenate((self.size, size))[o]
+            self.ids = np.concatenate((self.ids, ids))
+        k = np.searchsorted(self.hash, h)[inverse]
+        size = self.size[k]
+        ids = self.ids[slices(self.start[k], size)[0]]
+        return ids, np.bincount(row, size, len(offsets) - 1).astype(np.int64)
+
+
+def cut_words(raw: np.ndarray, offsets: np.ndarray):
+    """Folded bytes of the rows, and start, end, row and kind of the words' runs
+    (positions in those bytes; kind: True if it is one run to the tokenizer)."""
+    ws, we, row = words(raw, offsets)
+    a = int(offsets[0])
+    ws, we = ws - a, we - a
+    x = raw[a:int(offsets[-1])].copy()
+    after_c3 = np.zeros(len(x), bool)
+    after_c3[1:] = x[:-1] == 0xC3
+    kind = KIND[x]
+    kind[after_c3] = 1
+    odd = (kind == 0) | (after_c3 & ((x == 0x97) | (x == 0xB7)))
+    odd[1:] |= (x[1:] == 0x7C) & (x[:-1] == 0x3C)  # special tokens hold "<|"
+    odd &= ~SEPARATORS[x]
+    bad = np.concatenate(([0], np.cumsum(odd)))
+    plain = bad[we] == bad[ws]
+    edge = np.zeros(len(x), bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    edge &= ~SEPARATORS[x]
+    i = np.flatnonzero(edge)
+    w = np.searchsorted(ws, i, side="right") - 1
+    i = i[plain[w] & (w >= 0)] if len(ws) else i[:0]
+    start = np.zeros(len(x), bool)
+    start[ws] = True
+    start[i] = True
+    us = np.flatnonzero(start)
+    w = np.searchsorted(ws, us, side="right") - 1
+    ue = np.minimum(np.append(us[1:], len(x)), we[w])
+    # fold case where the word is plain; others are folded by the tokenizer
+    upper = ((x >= 0x41) & (x <= 0x5A)) | (after_c3 & (x >= 0x80) & (x <= 0x9E))
+    up = np.flatnonzero(upper)
+    if len(up) and len(ws):
+        x[up[plain[np.searchsorted(ws, up, side="right") - 1]]] += 0x20
+    return x, us, ue, row[w], plain[w]
+
+
+# kinds of bytes in plain words: 1 letter (0xC3 begins a Latin-1 letter), 2 digit, 3 mark; 0: not plain
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[0x30:0x3A] = 2
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = 1
+KIND[0xC3] = 1
+KIND[0x27] = 0  # contractions
+
+_worker: dict[str, WordIds] = {}
+
+
+def stretches(raw: np.ndarray, lo: int, hi: int, step: int):
+    """Parts of about ``step`` bytes of one long row, cut at separators."""
+    while hi - lo > step:
+        sep = np.flatnonzero(SEPARATORS[raw[lo + 1:lo + step]])
+        if len(sep):
+            cut = lo + 1 + int(sep[-1])
+        else:  # a word longer than that
+            cut = lo + step
+            while cut < hi and not len(sep := np.flatnonzero(SEPARATORS[raw[cut:cut + step]])):
+                cut += step
+            cut = min(cut + int(sep[0]), hi) if len(sep) else hi
+        yield lo, cut
+        lo = cut
+    if hi > lo:
+        yield lo, hi
+
+
+def token_ids(path: str, raw: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[np.ndarray]:
+    """Ids of each row's text, with the end token, as unsigned 32-bit integers."""
+    if path not in _worker:
+        _worker[path] = WordIds(path)
+    code, end = _worker[path], np.array([END], "<u4")
+    for i, j in groups(offsets, step):
+        if j == i + 1:
+            parts = [code(raw, np.array(p))[0] for p in stretches(raw, int(offsets[i]), int(offsets[j]), step)]
+            yield np.concatenate([*parts, end])
+            continue
+        ids, size = code(raw, offsets[i:j + 1])
+        for part in np.split(ids, np.cumsum(size)[:-1]):
+            yield np.concatenate((part, end))
 
 
 def _cut(path: str, window: int):
@@ -178,12 +252,10 @@ def _cut(path: str, window: int):
     def apply(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            texts = b.column("text")
             rows: list[tuple] = []
-            for i, coded in enumerate(token_ids(path, (texts[j].as_py() or "" for j in range(b.num_rows)))):
-                n = len(coded) // 4
-                rows += [(ids[i], s, min(window, n - s), zlib.crc32(coded[4 * s:4 * (s + window)]), n)
-                         for s in range(0, n, window)]
+            for i, coded in enumerate(token_ids(path, *text_buffer(b.column("text")))):
+                n = len(coded)
+                rows += [(ids[i], s, min(window, n - s), zlib.crc32(coded[s:s + window]), n) for s in range(0, n, window)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
     return apply

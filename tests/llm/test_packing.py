@@ -5,14 +5,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shopsignals.llm import packing
-from shopsignals.llm.packing import dot_product_pack, pack, pack_documents, token_ids
+from shopsignals.llm.kernels import text_buffer
+from shopsignals.llm.packing import dot_product_pack, pack, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
@@ -29,11 +34,21 @@ def texts():
 
 def test_ids_are_the_tokenizers(monkeypatch):
     tx = [t or "" for t in texts()]
-    want = [ids_of(t).tobytes() for t in tx]
-    assert list(token_ids(PATH, tx)) == want
-    assert list(token_ids(PATH, tx, step=50)) == want
-    monkeypatch.setattr(packing, "CACHE", 40)
-    assert list(token_ids(PATH, tx, step=3000)) == want
+    tx += ["É ÀÉÎõü ß ŸÿŒœ ×÷ a×b Straße", "\x00a \x1fb c\x7fd", "A1b2 12% ab--C", "<| a<|endoftext|>b a|b <b>", "na\u00a0no\u2003x\u0085y"]
+    raw, off = text_buffer(pa.array(tx))
+    want = [ids_of(t).tolist() for t in tx]
+    for step, cache in ((1 << 23, 1 << 20), (200, 1 << 20), (3000, 40)):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        packing._worker.clear()
+        assert [x.tolist() for x in packing.token_ids(PATH, raw, off, step)] == want
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAÉé' \n9.<|>s×\u0301")), max_size=30), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_any_text(tx):
+    raw, off = text_buffer(pa.array(tx))
+    want = TOKENIZER.encode_batch(tx, add_special_tokens=False)
+    assert [x.tolist() for x in packing.token_ids(PATH, raw, off)] == [e.ids + [2] for e in want]
 
 
 def test_pieces_cover_documents_once(docs):
