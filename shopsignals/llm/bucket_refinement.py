@@ -32,7 +32,7 @@ from shopsignals.llm import repeats
 from shopsignals.llm.kernels import U, batch, groups, load8, mix, text_buffer, window_min
 from shopsignals.llm.span_lists import flatten, slices
 
-GRAM, CUT = 32, 64  # bytes of an initial sorted bucket; windows of one pointer
+GRAM = 32  # bytes of an initial sorted bucket
 SEGMENT = 1 << 21
 OUT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                  ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -68,7 +68,7 @@ def _pointers(width: int):
                 good = np.maximum(size - width + 1, 0)
                 ok = np.repeat(np.tile([True, False], len(size)),
                                np.ravel(np.column_stack((good, size - good))))[:len(low)]
-                s, n = repeats.runs(low, ok, CUT)
+                s, n = repeats.runs(low, ok, 3 * 64 - width + 1)  # what three identifiers cover
                 span = n + width - 1
                 h = mix(mix(g64[s], g64[s + (span - 64) // 2]), g64[s + span - 64] ^ span.astype(U))
                 if j > i + 1:
@@ -132,8 +132,8 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document after
     each byte covered by a ``width``-byte string that also starts earlier
     (smaller doc_id, or same document and earlier start) is taken out."""
-    if not 64 <= width <= 128:
-        raise ValueError("width must be 64 to 128 bytes: two identifiers of depth 64 cover it")
+    if not 64 <= width <= 112:
+        raise ValueError("width must be 64 to 112 bytes: two identifiers of depth 64 cover a string, three a pointer")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeats.repeated_spans(docs.where("doc_id is not null").withColumnRenamed("doc_id", "doc"),
                                    _pointers(width), _suffixes(width), keep_first=True)
