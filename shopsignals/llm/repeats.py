@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignals.llm.kernels import M1, U, batch, mix
-from shopsignals.llm.tables import release, ship, store
+from shopsignals.llm.tables import ship, store
 
 ROWS = pa.schema([("open", pa.int8()), ("a", pa.int64()), ("h", pa.int64()),
                   ("doc", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
@@ -197,8 +197,7 @@ def repeated_spans(texts: DataFrame, phrases: Callable, windows: Callable, keep_
     ``texts``: doc (not null), text. ``phrases(raw, offsets, doc)`` and
     ``windows(raw, offsets, doc, spans)`` give the Phrases of one Arrow batch,
     block by block: of all windows, or of single windows of the given spans."""
-    spark = texts.sparkSession
-    ship(spark)
+    ship(texts.sparkSession)
 
     def read_phrases(batches):
         from shopsignals.llm.kernels import text_buffer
@@ -219,9 +218,7 @@ def repeated_spans(texts: DataFrame, phrases: Callable, windows: Callable, keep_
         return settled(blocks(), keep_first)
 
     whole = store(exchange(texts.select("doc", "text").mapInArrow(read_phrases, ROWS_DDL), keep_first, True), "phrases")
-    release(spark)
     opened = by_document(whole.where("open = 1"))
     single = store(exchange(texts.select("doc", "text").join(opened, "doc")
                             .mapInArrow(read_windows, ROWS_DDL), keep_first, False), "windows")
-    release(spark)
     return by_document(whole.where("open = 0").unionByName(single).select("doc", "s", "n"))

@@ -22,27 +22,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/shopsignals-llm/{name}-{uuid.uuid4().hex}"
 
 
+# lets Spark delete the shuffle files of a query when it has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared folder and read it
-    back: the lineage is cut and a lost executor costs its own tasks only."""
+    back: the lineage is cut, a lost executor costs its own tasks only, and the
+    shuffle files behind the table are deleted."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark drop the
-    shuffle files of frames the driver has let go of."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
-
-
 _shipped: set[str] = set()
 
 
