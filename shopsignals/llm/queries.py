@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import bucket_refinement, entropy_mixing, packing, rlz_dedup, topk_search, warc
+from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, packing, rlz_dedup, topk_search, warc
 from shopsignals.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op5(spark, sf_dir):
     return rlz_dedup.kept_words(read(spark, sf_dir, "documents"), 35)
 
 
+@query("op8_adaptive_rules")
+def op8(spark, sf_dir):
+    """Counts and verdicts of all documents under their group's thresholds."""
+    return adaptive_rules.verdicts(read(spark, sf_dir, "documents"))
+
+
 @query("op9_entropy_mixing")
 def op9(spark, sf_dir):
     """All documents mixed to 150% of their words at weights 5, 2, 1."""
