@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, packing, rlz_dedup, topk_search, warc
+from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, mil_quality, packing, rlz_dedup, topk_search, warc
 from shopsignals.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,13 @@ def op5(spark, sf_dir):
     return rlz_dedup.kept_words(read(spark, sf_dir, "documents"), 35)
 
 
+@query("op6_mil_quality")
+def op6(spark, sf_dir):
+    """Quality scores of all documents, learned from the labels not held out."""
+    documents = read(spark, sf_dir, "documents")
+    return mil_quality.score(documents, mil_quality.train(documents, read(spark, sf_dir, "labels")), 0.3)
+
+
 @query("op8_adaptive_rules")
 def op8(spark, sf_dir):
     """Counts and verdicts of all documents under their group's thresholds."""
