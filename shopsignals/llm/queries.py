@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, mil_quality, packing, rlz_dedup, topk_search, warc
+from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, mil_quality, minhash_forest, packing, rlz_dedup, topk_search, warc
 from shopsignals.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op6(spark, sf_dir):
     return mil_quality.score(documents, mil_quality.train(documents, read(spark, sf_dir, "labels")), 0.3)
 
 
+@query("op7_jaccard_forest")
+def op7(spark, sf_dir):
+    """Near-duplicate groups of all documents at similarity 0.8."""
+    return minhash_forest.classes(read(spark, sf_dir, "documents"), 0.8)
+
+
 @query("op8_adaptive_rules")
 def op8(spark, sf_dir):
     """Counts and verdicts of all documents under their group's thresholds."""
