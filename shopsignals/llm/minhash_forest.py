@@ -40,6 +40,7 @@ from shopsignals.llm.tables import ship, store
 WORDS, TREES, DEPTH = 5, 16, 6
 NEAR = 4  # neighbours in trie order that a node is compared with
 CROWD = 4096  # nodes of a prefix kept together
+BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (8 bytes each)
 HASHES = TREES * DEPTH
 _rnd = np.random.default_rng(7)
 FACTOR = _rnd.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
@@ -201,7 +202,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store(texts.mapInArrow(_sign(threshold, recall), "doc_id long, f1 long, f2 long, n long, "
                                     "labels array<struct<key: long, rest: long>>"), "signatures")
-    classes = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
+    # stored, so that the joins below read two exchanges and a large class can be split
+    classes = store(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     members = store(signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).groupBy("doc_id").agg(F.min("node").alias("node")), "members")
     named = classes.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "node")
     nodes = store(signed.join(named, (signed["doc_id"] == named["node"]) & (signed["f1"] == named["_f1"]) & (signed["f2"] == named["_f2"]))
@@ -221,7 +223,9 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float
     near = F.explode(F.array("v", -F.col("best.m"))).alias("v")
     chosen = chosen.select("u", near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     chosen = store(chosen, "first-round")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # beyond that the texts are exchanged by node
     bodies = store(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = _verified(chosen, bodies, threshold)
     roots = components(links)
