@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, mil_quality, minhash_forest, packing, rlz_dedup, topk_search, warc
+from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, license_scan, mil_quality, minhash_forest, packing, rlz_dedup, topk_search, warc
 from shopsignals.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +57,8 @@ def op3(spark, sf_dir):
 @query("op4_exact_topk", """
 WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
@@ -96,3 +96,9 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """All documents mixed to 150% of their words at weights 5, 2, 1."""
     return entropy_mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan", license_scan.DOCUMENTS_SQL)
+def op10(spark, sf_dir):
+    """Licences of all documents, by header, licence file or nearest folder."""
+    return license_scan.scan_documents(read(spark, sf_dir, "documents"))
