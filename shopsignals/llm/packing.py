@@ -33,7 +33,7 @@ WINDOW, END = 4096, 2
 SEGMENTS = 256  # most pieces in one sequence
 GROUP = 2048  # examples packed together
 CACHE = 1_000_000  # remembered words of a worker
-STEP = 1 << 23  # bytes coded at once
+STEP = 1 << 21  # bytes coded at once
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -156,10 +156,10 @@ class WordIds:
             f = first[new]
             ids, size = self._code([x[i:j].tobytes() for i, j in zip(us[f].tolist(), ue[f].tolist())], plain[f])
             start = len(self.ids) + np.cumsum(size) - size
-            o = np.argsort(merged := np.concatenate((self.hash, h[new])))
-            self.hash = merged[o]
-            self.start = np.concatenate((self.start, start))[o]
-            self.size = np.concatenate((self.size, size))[o]
+            place = np.searchsorted(self.hash, h[new])
+            self.hash = np.insert(self.hash, place, h[new])
+            self.start = np.insert(self.start, place, start)
+            self.size = np.insert(self.size, place, size)
             self.ids = np.concatenate((self.ids, ids))
         k = np.searchsorted(self.hash, h)[inverse]
         size = self.size[k]
