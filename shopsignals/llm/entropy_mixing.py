@@ -28,7 +28,7 @@ from shopsignals.llm.tables import store
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
 ITERATIONS = 24  # most Newton steps; a step that halves the bracket counts too
 TOLERANCE = 1e-7  # of the target
-BLOCK = 4096  # documents of one size ranked together
+BLOCK = 512  # documents of one size ranked together
 WORD = r"[^\x20\x09-\x0D]+"
 
 
