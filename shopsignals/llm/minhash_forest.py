@@ -39,7 +39,7 @@ from shopsignals.llm.tables import ship, store
 
 WORDS, TREES, DEPTH = 5, 16, 6
 NEAR = 4  # neighbours in trie order that a node is compared with
-CROWD = 4096  # nodes of a prefix kept together
+CROWD = 512  # nodes of a prefix kept together
 BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (8 bytes each)
 HASHES = TREES * DEPTH
 _rnd = np.random.default_rng(7)
