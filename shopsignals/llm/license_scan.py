@@ -142,7 +142,8 @@ def scan(files: DataFrame, key: str, match: float = MATCH, whole: float = WHOLE)
     licensed = (f.where("is_file and _dir is not null").groupBy(F.col("_dir").alias("dir"))
                 .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("l"), "_path")).alias("b"))
                 .select("dir", F.col("b.l").alias("dir_license")))
-    near = nearest(f.where("_dir is not null and own is null").select(F.col("_dir").alias("folder")).distinct(), licensed)
+    # stored, so that the join below reads two exchanges and a large folder can be split
+    near = store(nearest(f.where("_dir is not null and own is null").select(F.col("_dir").alias("folder")).distinct(), licensed), "licence-folders")
     out = f.join(near, (f["_dir"] == near["_folder"]) & f["own"].isNull(), "left")
     origin = F.when(F.col("is_file"), "file").when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return out.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.coalesce("own", "inherited").alias("license"), origin.alias("origin"),
