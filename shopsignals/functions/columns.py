@@ -90,7 +90,7 @@ def first_nonzero(*cols: Column | str, default: float = 0.0) -> Column:
 def to_usd(col: Column | str, rate: float = 0.012) -> Column:
     """INR → USD, 2 decimals."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c * F.lit(rate), 2)
+    return round_to(c * F.lit(rate), 2)
 
 
 def clip(col: Column | str, lo: float | None, hi: float | None) -> Column:
@@ -113,14 +113,3 @@ def round_to(col: Column | str, digits: int = 2) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     k = float(10 ** digits)
     return F.round(c.cast("double") * F.lit(k)) / F.lit(k)
-
-
-def r4(col: Column | str) -> Column:
-    """Round a computed double to 4 places and clear negative zero."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.cast("double"), 4) + F.lit(0.0)
-
-
-def div(a: Column, b: Column) -> Column:
-    """Division that yields NULL instead of raising on zero (rule N6)."""
-    return F.try_divide(a, b)

@@ -162,15 +162,6 @@ def legacy_events(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ B23
-DEMOGRAPHIC = ("gender", "age_group", "country")
-
-
-def demographic_leak(spark, features: list[str]) -> DataFrame:
-    """Which demographic attributes are among the model features."""
-    leak = sorted(set(DEMOGRAPHIC) & set(features))
-    return spark.createDataFrame(
-        [(",".join(leak), len(leak) == 0, len(features))],
-        "demographic_features_used string, is_fair boolean, n_features int")
 
 
 # ------------------------------------------------------------------------ D13
@@ -193,13 +184,6 @@ def low_stock(catalog: DataFrame, lt: int = 10, n: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ D23
-def category_tree(catalog: DataFrame) -> DataFrame:
-    """Per category, the sorted distinct subcategories and their count."""
-    return (catalog.where(F.col("category").isNotNull()).groupBy("category")
-            .agg(F.sort_array(F.collect_set("subcategory")).alias("subcategories"))
-            .withColumn("sub_count", F.size("subcategories")))
-
-
 def category_tree_flat(catalog: DataFrame) -> DataFrame:
     """D23 in long form: (category, subcategory, position, sub_count)."""
     d = catalog.where(F.col("category").isNotNull() & F.col("subcategory").isNotNull()) \

@@ -14,40 +14,40 @@ Plan shape of ``product_features`` at scale:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import BATCH_EVENT_TYPES, clip, event_weight
-from shopsignals.session import bounded_broadcast, materialize
+from shopsignals.session import materialize
 
 _TYPE_COLS = {t: t for t in BATCH_EVENT_TYPES}
 
 
 # ---------------------------------------------------------------- D1 + D2 + D7
-def product_event_stats(clicks: DataFrame, segment_wtp: DataFrame | None = None) -> DataFrame:
-    """D1/D2 (and D7 when ``segment_wtp`` is given) in one aggregation.
+def product_event_stats(clicks: DataFrame, segment_wtp: DataFrame | None = None, full: bool = True) -> DataFrame:
+    """D1/D2 (and D7 when ``segment_wtp`` is given).
 
-    ``segment_wtp`` has columns (segment, segment_avg_wtp).
+    ``segment_wtp`` has columns (segment, segment_avg_wtp). ``full=False``
+    leaves out the median price and the sessions, which the feature table does
+    not use. One distinct count goes with the aggregate (no Expand); the second
+    and the median are aggregates of their own.
     """
     ev = clicks.where(F.col("sku_id").isNotNull())
     aggs = [
         F.count("event_id").cast("bigint").alias("total_events"),
         F.sum(event_weight("event_type", "demand")).alias("total_weighted_score"),
         F.avg("price_seen_usd").alias("avg_price_seen"),
-        F.median("price_seen_usd").alias("median_price_seen"),
         F.sum("quantity").cast("bigint").alias("total_quantity"),
         F.avg("session_duration_s").alias("avg_session_duration"),
         F.avg("scroll_depth_pct").alias("avg_scroll_depth"),
         F.avg("time_on_page_s").alias("avg_time_on_page"),
         F.countDistinct("user_id").cast("bigint").alias("unique_users"),
-        F.countDistinct("session_id").cast("bigint").alias("unique_sessions"),
     ]
     # Fixed pivot values → count_if, no extra job to discover values
     aggs += [F.count_if(F.col("event_type") == F.lit(t)).cast("bigint").alias(t)
              for t in BATCH_EVENT_TYPES]
     if segment_wtp is not None:
-        seg = bounded_broadcast(segment_wtp.select(
-            F.col("segment").alias("_seg"), F.col("segment_avg_wtp").alias("_seg_wtp")))
+        seg = segment_wtp.select(F.col("segment").alias("_seg"), F.col("segment_avg_wtp").alias("_seg_wtp"))
         ev = ev.join(seg, ev["user_segment"] == seg["_seg"], "left")
         has_seg = F.col("user_segment").isNotNull()
         aggs += [
@@ -56,6 +56,12 @@ def product_event_stats(clicks: DataFrame, segment_wtp: DataFrame | None = None)
             F.sum(F.when(has_seg, F.col("_seg_wtp"))).alias("_sum_wtp"),
         ]
     out = ev.groupBy("sku_id").agg(*aggs)
+    if full:
+        sessions = (ev.where(F.col("session_id").isNotNull()).select("sku_id", "session_id").distinct()
+                    .groupBy("sku_id").agg(F.count(F.lit(1)).alias("unique_sessions")))
+        out = (out.join(exact_median(ev, "sku_id", "price_seen_usd", "median_price_seen"), "sku_id", "left")
+                  .join(sessions, "sku_id", "left")
+                  .withColumn("unique_sessions", F.coalesce("unique_sessions", F.lit(0)).cast("bigint")))
     if segment_wtp is not None:
         # Q3: any unmatched segment (NaN in the reference) → 1.0
         out = out.withColumn(
@@ -66,6 +72,18 @@ def product_event_stats(clicks: DataFrame, segment_wtp: DataFrame | None = None)
     return out
 
 
+def exact_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """(key, out): the exact median of ``value`` per key from counts of equal
+    values, so rows are combined before the shuffle and no task buffers a key."""
+    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key)
+    c = (c.join(c.groupBy(F.col(key).alias("_k")).agg(F.sum("_n").alias("_all")), F.col(key) == F.col("_k"))
+          .withColumn("_upto", F.sum("_n").over(w.orderBy(value))))
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    hit = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+    return c.groupBy(key).agg(((hit(lower) + hit(upper)) / 2).alias(out))
+
+
 def event_pivot(clicks: DataFrame) -> DataFrame:
     """D2 alone: 9 fixed event-type count columns per SKU, 0 when absent."""
     return (clicks.where(F.col("sku_id").isNotNull()).groupBy("sku_id")
@@ -160,7 +178,7 @@ def product_wtp(clicks: DataFrame, seg: DataFrame) -> DataFrame:
     (sku, segment) before meeting the segment table."""
     pse = (clicks.where(F.col("sku_id").isNotNull() & F.col("user_segment").isNotNull())
            .groupBy("sku_id", "user_segment").agg(F.count(F.lit(1)).alias("n")))
-    s = bounded_broadcast(seg.select("segment", "segment_avg_wtp"))
+    s = seg.select("segment", "segment_avg_wtp")
     j = pse.join(s, pse["user_segment"] == s["segment"], "left")
     return (j.groupBy("sku_id").agg(
         F.sum(F.col("n") * F.col("segment_avg_wtp")).alias("_sw"),
@@ -225,6 +243,7 @@ def price_target(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ I11
+# Model inputs, table columns and catalog columns.
 MODEL_FEATURES = [
     "views", "purchases", "carts", "wishlists", "checkouts", "log_demand",
     "conversion_rate", "cart_rate", "wishlist_rate", "checkout_rate",
@@ -257,22 +276,23 @@ def merged_features(clicks: DataFrame, catalog: DataFrame, feed: DataFrame,
                     profiles: DataFrame) -> DataFrame:
     """Everything up to (not including) the target: D1–D7, B7, C1, C2, C4."""
     seg = segment_profile(profiles)
-    stats = demand_signals(product_event_stats(clicks, seg))
+    stats = demand_signals(product_event_stats(clicks, seg, full=False))
     cat = catalog_features(catalog.select(*CATALOG_COLS))
     merged = stats.join(cat, "sku_id", "inner")                    # C1
     merged = with_competitor(merged, competitor_stats(feed))       # C2 + D5
-    merged = merged.withColumn("weighted_wtp", F.coalesce("weighted_wtp", F.lit(1.0)))  # C4
-    # "no NaN in features": model inputs default to 0
-    return merged.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in MODEL_FEATURES
-                           else F.col(c) for c in merged.columns])
+    return merged.withColumn("weighted_wtp", F.coalesce("weighted_wtp", F.lit(1.0)))  # C4
 
 
 def product_features(clicks: DataFrame, catalog: DataFrame, feed: DataFrame,
                      profiles: DataFrame, keep_target: bool = False) -> DataFrame:
     """I11 (flagship): one row per SKU with 44 computed columns, sku_id → product_id."""
-    t = price_target(merged_features(clicks, catalog, feed, profiles))
+    merged = merged_features(clicks, catalog, feed, profiles)
+    merged = merged.select(*[c for c in PRICING_COLS if c in merged.columns])  # before it is written
+    t = price_target(merged)
     cols = PRICING_COLS + (["target"] if keep_target else [])
-    return t.select(*cols).withColumnRenamed("sku_id", "product_id")
+    # model inputs default to 0 after the target, which a missing value must not move
+    return t.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in MODEL_FEATURES else F.col(c) for c in cols]
+                    ).withColumnRenamed("sku_id", "product_id")
 
 
 # ------------------------------------------------------------------------ I10

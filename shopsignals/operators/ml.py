@@ -181,14 +181,16 @@ def train_popularity(df: DataFrame, x=("price", "interaction_count"), label: str
 
 
 def popularity_table(clicks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """C5 + D8: catalog ⟕ (popularity, interactions, mean price) per SKU."""
+    """C5 + D8: catalog ⟕ (popularity, interactions, mean price), one row per SKU
+    (of a SKU listed twice the smallest row in column order)."""
     from shopsignals.functions.columns import category_code, event_weight
 
     agg = (clicks.where(F.col("sku_id").isNotNull()).groupBy("sku_id").agg(
         F.sum(event_weight("event_type", "popularity")).alias("popularity"),
         F.count(F.lit(1)).alias("interaction_count"),
         F.avg("price_seen_usd").alias("price")))
-    c = catalog.select("sku_id", "category", "subcategory", "brand", "base_price_usd")
+    listed = ["category", "subcategory", "brand", "base_price_usd"]
+    c = catalog.groupBy("sku_id").agg(F.min(F.struct(*listed)).alias("_c")).select("sku_id", "_c.*")
     j = c.join(agg, "sku_id", "left")
     return j.select(F.col("sku_id").alias("product_id"), "category", "subcategory",
                     F.coalesce("brand", F.lit("generic")).alias("brand"), "base_price_usd",

@@ -186,23 +186,30 @@ def session_recs(events: DataFrame, catalog: DataFrame, per_category: int = 2, k
 
 
 # ------------------------------------------------------------------------ H10
-def recommend_all(catalog: DataFrame, events: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """Every strategy for every SKU, labelled and unioned.
+def recommend_all(catalog: DataFrame, active: DataFrame, events: DataFrame, k: int = 5) -> DataFrame:
+    """Every strategy, labelled and unioned.
 
-    (sku_id, strategy, rank, rec_sku, explanation)
+    (sku_id, user_id, strategy, rank, rec_sku, explanation). Answers are given for
+    active SKUs only; the engine strategy ranks the whole ``catalog``, the others
+    the ``active`` one. The session strategy answers a user's request for their
+    latest product, so its rows carry the user; the others hold for any user.
     """
-    eng = engine_recs(catalog, k).select("sku_id", F.lit("category_based").alias("strategy"), "rank", "rec_sku")
-    cat = category_recs(catalog, k).select("sku_id", F.lit("frequently_bought").alias("strategy"), "rank", "rec_sku")
-    tr = trending_recs(catalog, 4).select("sku_id", F.lit("trending").alias("strategy"), "rank", "rec_sku")
-    out = eng.unionByName(cat).unionByName(tr)
-    info = catalog.select("sku_id", "category", "subcategory")
+    nobody = F.lit(None).cast(dict(events.dtypes)["user_id"]).alias("user_id")
+    eng = engine_recs(catalog, k).select("sku_id", nobody, F.lit("category_based").alias("strategy"), "rank", "rec_sku")
+    cat = category_recs(active, k).select("sku_id", nobody, F.lit("frequently_bought").alias("strategy"), "rank", "rec_sku")
+    tr = trending_recs(active, 4).select("sku_id", nobody, F.lit("trending").alias("strategy"), "rank", "rec_sku")
+    ses = session_recs(events, active).select(F.col("cur_sku").alias("sku_id"), "user_id",
+                                              F.lit("session_based").alias("strategy"), "rank", "rec_sku")
+    out = eng.unionByName(cat).unionByName(tr).unionByName(ses)
+    info = active.select("sku_id", "category", "subcategory")
     out = out.join(info, "sku_id")
     expl = (F.when(F.col("strategy") == "category_based",
                    F.concat(F.lit("Similar products in "), F.col("category"), F.lit(" > "), F.col("subcategory"),
                             F.lit(" (ML model)")))
              .when(F.col("strategy") == "frequently_bought", F.concat(F.lit("Top rated products in "), F.col("category")))
+             .when(F.col("strategy") == "session_based", F.lit("Based on your browsing history"))
              .otherwise(F.lit("Most popular products right now (by rating & reviews)")))
-    return out.select("sku_id", "strategy", "rank", "rec_sku", expl.alias("explanation"))
+    return out.select("sku_id", "user_id", "strategy", "rank", "rec_sku", expl.alias("explanation"))
 
 
 # ------------------------------------------------------------------------ H14
@@ -255,10 +262,3 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame
     return t.agg(F.avg(F.when(F.col("hit_rank").isNotNull(), 1.0).otherwise(0.0)).alias("hit_rate"),
                  F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))).alias("mrr"),
                  F.count(F.lit(1)).alias("n_samples"))
-
-
-# ------------------------------------------------------------------------ H13
-def hybrid_popularity(scored: DataFrame, predicted: str = "predicted_score",
-                      popularity: str = "popularity") -> DataFrame:
-    """final = 0.6·predicted + 0.4·popularity."""
-    return scored.withColumn("final_score", 0.6 * F.col(predicted) + 0.4 * F.col(popularity))

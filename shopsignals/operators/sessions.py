@@ -19,8 +19,9 @@ INTERACTION_EVENTS = ["page_view", "product_view", "add_to_cart", "purchase", "s
 
 # ------------------------------------------------------------------------- E5
 def session_progress(events: DataFrame, session="session_id", order=("timestamp", "event_id")) -> DataFrame:
-    """E5: running event count within the session (arrival order), computed
-    by ``running_position`` so a hot session is split across tasks."""
+    """E5: running event count within the session (arrival order); a large
+    session is split across tasks (``running_position``), events without a
+    session count as one."""
     return running_position(events, session, order, None)
 
 
@@ -42,38 +43,13 @@ def _gap_clock(col: str):
 
 def running_position(events: DataFrame, key: str = "session_id", order=("timestamp", "event_id"),
                      ttl_seconds: int | None = None, out: str = "session_length",
-                     time_col: str | None = None, split_rows: int = 1_000_000) -> DataFrame:
+                     time_col: str | None = None) -> DataFrame:
     """Per-event running position within ``key`` in ``order``, restarting
     after a gap longer than ``ttl_seconds`` (None: never).
 
-    One aggregate finds the largest key. Up to ``split_rows`` rows per key a
-    single window over the key is used (a task holds at most that many
-    rows); beyond it the range-split path below runs, so a hot key is never
-    sorted by one task. Both paths give identical results.
-    """
-    biggest = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= split_rows:
-        return _running_position_window(events, key, order, ttl_seconds, out, time_col)
-    return _running_position_split(events, key, order, ttl_seconds, out, time_col)
-
-
-def _running_position_window(events, key, order, ttl_seconds, out, time_col) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    pos = F.row_number().over(w)
-    if ttl_seconds is None:
-        return events.withColumn(out, pos.cast("bigint"))
-    ts = _gap_clock(time_col or order[0])
-    prev = F.lag(ts).over(w)
-    ev = events.withColumn("_pos", pos).withColumn(
-        "_new", prev.isNull() | ((ts - prev) > F.lit(int(ttl_seconds) * 1_000_000)))
-    start = F.max(F.when(F.col("_new"), F.col("_pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ev.withColumn(out, (F.col("_pos") - start + 1).cast("bigint")).drop("_pos", "_new")
-
-
-def _running_position_split(events, key, order, ttl_seconds, out, time_col) -> DataFrame:
-    """Running position for keys too large for one task.
+    One plan at every size, in which no task sorts a whole key:
 
-    1. Range-partition on (key, order): a hot key is split over consecutive
+    1. Range-partition on (key, order): a large key is split over consecutive
        partitions; written once so partition ids are stable.
     2. Inside each (partition, key) piece: local position, gap flags and the
        last local segment start (a window over a bounded piece).
@@ -81,14 +57,24 @@ def _running_position_split(events, key, order, ttl_seconds, out, time_col) -> D
        boundary: their piece sizes, first/last times and local resets form a
        table of at most 2 rows per partition (a proven bound → broadcast),
        from which offsets and entering segment starts are carried.
+
+    Rows without a key are one group, like any other key.
     """
+    return _positions(events, key, order, ttl_seconds, time_col).withColumn(
+        out, (F.col("_pos") - F.col("_start") + 1).cast("bigint")).drop("_pos", "_start")
+
+
+def _positions(events, key, order, ttl_seconds, time_col) -> DataFrame:
+    """``events`` with _pos (position within the key) and _start (position at
+    which the current segment of the key began)."""
     from shopsignals.session import materialize
 
     ttl_us = None if ttl_seconds is None else int(ttl_seconds) * 1_000_000
     ts = _gap_clock(time_col or order[0])
-    ranged = materialize(events.withColumn("_ts", ts).repartitionByRange(key, *order)
-                         .withColumn("_pid", F.spark_partition_id()))
-    wl = Window.partitionBy("_pid", key).orderBy(*order)
+    # a struct is never NULL itself: its equality and order treat a NULL key as a value
+    ranged = materialize(events.withColumn("_ts", ts).withColumn("_key", F.struct(F.col(key).alias("k")))
+                         .repartitionByRange("_key", *order).withColumn("_pid", F.spark_partition_id()))
+    wl = Window.partitionBy("_pid", "_key").orderBy(*order)
     r = ranged.withColumn("_lpos", F.row_number().over(wl))
     if ttl_us is None:
         r = r.withColumn("_lstart", F.lit(None).cast("int"))
@@ -96,12 +82,12 @@ def _running_position_split(events, key, order, ttl_seconds, out, time_col) -> D
         gap = F.coalesce((F.col("_ts") - F.lag("_ts").over(wl)) > F.lit(ttl_us), F.lit(False))
         r = r.withColumn("_lstart", F.max(F.when(gap, F.col("_lpos"))).over(
             wl.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ranged.groupBy("_pid").agg(F.min(key).alias("_f"), F.max(key).alias("_l"))
-    bkeys = ends.select("_pid", F.col("_f").alias(key)).union(ends.select("_pid", F.col("_l").alias(key))).distinct()
-    bstats = (r.join(F.broadcast(bkeys), ["_pid", key], "left_semi").groupBy("_pid", key)
+    ends = ranged.groupBy("_pid").agg(F.min("_key").alias("_f"), F.max("_key").alias("_l"))
+    bkeys = ends.select("_pid", F.col("_f").alias("_key")).union(ends.select("_pid", F.col("_l").alias("_key"))).distinct()
+    bstats = (r.join(F.broadcast(bkeys), ["_pid", "_key"], "left_semi").groupBy("_pid", "_key")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_fts"), F.max("_ts").alias("_lts"),
                    F.max("_lstart").alias("_lr")))
-    wb = Window.partitionBy(key).orderBy("_pid")
+    wb = Window.partitionBy("_key").orderBy("_pid")
     prev_rows = wb.rowsBetween(Window.unboundedPreceding, -1)
     b = (bstats.withColumn("_off", F.coalesce(F.sum("_n").over(prev_rows), F.lit(0)))
                .withColumn("_plts", F.lag("_lts").over(wb)))
@@ -112,28 +98,22 @@ def _running_position_split(events, key, order, ttl_seconds, out, time_col) -> D
         "_rp", F.greatest(F.when(F.col("_lr").isNotNull(), F.col("_off") + F.col("_lr")),
                           F.when(F.col("_fnew"), F.col("_off") + 1)))
     b = b.withColumn("_enter", F.when(F.col("_fnew"), F.col("_off") + 1).otherwise(F.max("_rp").over(prev_rows)))
-    x = r.join(F.broadcast(b.select("_pid", key, "_off", "_enter")), ["_pid", key], "left")
+    x = r.join(F.broadcast(b.select("_pid", "_key", "_off", "_enter")), ["_pid", "_key"], "left")
     off = F.coalesce(F.col("_off"), F.lit(0))
     start = F.when(F.col("_lstart").isNotNull(), off + F.col("_lstart")).otherwise(
         F.coalesce(F.col("_enter"), F.lit(1)))
-    return (x.withColumn(out, (off + F.col("_lpos") - start + 1).cast("bigint"))
-             .drop("_ts", "_pid", "_lpos", "_lstart", "_off", "_enter"))
+    return (x.withColumn("_pos", off + F.col("_lpos")).withColumn("_start", start)
+             .drop("_ts", "_pid", "_key", "_lpos", "_lstart", "_off", "_enter"))
 
 
-def last_segment(df: DataFrame, key: str, order, ttl_seconds: int, time_col: str | None = None,
-                 split_rows: int = 1_000_000) -> DataFrame:
+def last_segment(df: DataFrame, key: str, order, ttl_seconds: int, time_col: str | None = None) -> DataFrame:
     """Rows of each key after its last gap longer than ``ttl_seconds`` — what
-    a store whose entry expires that long after its last write still holds.
-
-    Segment start = position − position-since-reset + 1, both running
-    positions from ``running_position`` (hot keys split, see there); the last
-    segment is the one with the largest start (a per-key max aggregate).
-    """
-    g = running_position(df, key, order, None, "_gpos", time_col=time_col, split_rows=split_rows)
-    g = running_position(g, key, order, ttl_seconds, "_spos", time_col=time_col, split_rows=split_rows)
-    g = g.withColumn("_start", F.col("_gpos") - F.col("_spos") + 1)
-    last = g.groupBy(key).agg(F.max("_start").alias("_last"))
-    return g.join(last, key).where(F.col("_start") == F.col("_last")).drop("_gpos", "_spos", "_start", "_last")
+    a store whose entry expires that long after its last write still holds:
+    the segment with the largest start (a per-key max aggregate)."""
+    g = _positions(df, key, order, ttl_seconds, time_col)
+    last = g.groupBy(F.col(key).alias("_last_key")).agg(F.max("_start").alias("_last"))
+    return (g.join(last, F.col(key).eqNullSafe(F.col("_last_key")) & (F.col("_start") == F.col("_last")))
+             .drop("_pos", "_start", "_last", "_last_key"))
 
 
 def session_progress_ttl(events: DataFrame, ttl_seconds: int = 1800, session="session_id",
@@ -179,7 +159,7 @@ def session_features_batch(events: DataFrame, catalog: DataFrame, final_only: bo
 
 # ------------------------------------------------------------------------ D25
 def competitor_snapshot(feed: DataFrame, product="product_id", competitor="competitor",
-                        price="price", order=("timestamp", "seq"), ttl_seconds: int | None = None) -> DataFrame:
+                        price="price", order=None, ttl_seconds: int | None = None) -> DataFrame:
     """Latest price per (product, competitor), then min/max per product.
 
     Bad prices (not parseable) and empty product ids are dropped first, like
@@ -187,7 +167,9 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
     the map side; no window over a product's whole history. With
     ``ttl_seconds`` only events after the product's last gap longer than the
     TTL count (the product hash expired and started over) — the K6 twin.
+    ``order`` is arrival order: ``seq`` where the feed has it, else the time.
     """
+    order = order or (("seq",) if "seq" in feed.columns else ("timestamp",))
     numeric = dict(feed.dtypes).get(price, "string") != "string"
     # string prices (the stream) are parsed and bad ones dropped; numeric ones pass as is
     p = F.col(price).cast("double") if numeric else F.col(price).try_cast("double")
@@ -381,14 +363,13 @@ def session_context(events: DataFrame, types=INTERACTION_EVENTS, catalog: DataFr
                            F.struct("timestamp", "event_id")).alias("_f"))
              .select("session_id", "_f.*"))
     out = first
-    from shopsignals.session import bounded_broadcast
 
     for col, code in (("device_type", "device_idx"), ("referral_source", "referral_idx")):
         labels = ev.select(F.col(col).alias("_lab")).where(F.col("_lab").isNotNull()).distinct()
         codes = _dense_index(labels, "_lab", code)
         n = codes.select(F.count(F.lit(1))).scalar()
         codes = codes.withColumn(code, F.col(code).cast("int")).withColumn(f"_n_{code}", n)
-        out = out.join(bounded_broadcast(codes, 100_000), out[col] == codes["_lab"], "left").drop("_lab")
+        out = out.join(codes, out[col] == codes["_lab"], "left").drop("_lab")
     onehot = lambda idx, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1),
                                         lambda i: F.when(i == F.col(idx), 1.0).otherwise(0.0))
     return out.select("session_id", "device_idx", "referral_idx",

@@ -65,7 +65,7 @@ def _products(fx):
 def _snapshot(fx):
     feed = fx("fx_competitor").select(F.col("sku_id").alias("product_id"), "competitor",
                                       F.col("competitor_price").alias("price"), "timestamp")
-    return ss.competitor_snapshot(feed, order=("timestamp",))
+    return ss.competitor_snapshot(feed)
 
 
 def _requests(fx):

@@ -129,19 +129,19 @@ SELECT sku_id, rank, rec_sku FROM (SELECT *, row_number() OVER (PARTITION BY sku
 WHERE rank <= 5"""
 
 
-@query("h16_bought_together", "sku_id:i rank:i rec_sku:s source:s", views=("fx_clickstream", "fx_catalog"),
-       oracle=f"""
+@query("h16_bought_together", "sku_id:i rank:i rec_sku:s source:s", views=("fx_clickstream",) + ACTIVE,
+       oracle=_on_active(f"""
 WITH r AS (SELECT antecedents, consequents, row_number() OVER (PARTITION BY antecedents
   ORDER BY confidence DESC, consequents) AS rank FROM ({rules_sql(USER_BASKETS, 5, 0.001, 0.05)})),
  a AS (SELECT c.sku_id, r.rank, r.consequents AS rec_sku, 'rules' AS source FROM fx_catalog c
   JOIN r ON CAST(c.sku_id AS VARCHAR) = r.antecedents WHERE r.rank <= 5),
  f AS (SELECT q.sku_id, q.rank, CAST(q.rec_sku AS VARCHAR) AS rec_sku, 'category' AS source FROM ({_CATREC_SQL}) q
   WHERE CAST(q.sku_id AS VARCHAR) NOT IN (SELECT antecedents FROM r))
-SELECT * FROM a UNION ALL SELECT * FROM f""")
+SELECT * FROM a UNION ALL SELECT * FROM f"""))
 def h16(fx):
     """Rule lookup with category fallback for every catalog SKU."""
     r = bk.rules_from_events(fx("fx_clickstream"), "user_id", "sku_id", min_support=0.001, min_confidence=0.05)
-    return bk.bought_together(r, fx("fx_catalog"), 5)
+    return bk.bought_together(r, _active(fx), 5)
 
 
 @query("h4_similar_products", "sku_id:i rank:i rec_sku:i score:d", views=ACTIVE, oracle="""
@@ -194,8 +194,7 @@ def h8(fx):
     return rc.trending_recs(_active(fx), 4, 6)
 
 
-@query("h7_session_recs", "user_id:i cur_sku:i rank:i rec_sku:i category:s", views=("fx_live_clicks", "fx_catalog"),
-       oracle="""
+_SESSION_SQL = """
 WITH e AS (SELECT * FROM fx_live_clicks WHERE user_id IS NOT NULL AND product_id IS NOT NULL),
  cur AS (SELECT user_id, arg_max(product_id, (timestamp, event_id)) AS cur_sku FROM e GROUP BY user_id),
  cc AS (SELECT cur.*, c.category AS cur_cat FROM cur JOIN fx_catalog c ON cur.cur_sku = c.sku_id),
@@ -204,23 +203,30 @@ WITH e AS (SELECT * FROM fx_live_clicks WHERE user_id IS NOT NULL AND product_id
  t AS (SELECT category, sku_id AS rec_sku, row_number() OVER (PARTITION BY category ORDER BY review_count DESC, sku_id) AS r
   FROM fx_catalog QUALIFY r <= 2)
 SELECT * FROM (SELECT s2.user_id, s2.cur_sku, row_number() OVER (PARTITION BY s2.user_id ORDER BY s2.category, t.r) AS rank,
- t.rec_sku, s2.category FROM s2 JOIN t USING (category)) WHERE rank <= 4""")
+ t.rec_sku, s2.category FROM s2 JOIN t USING (category)) WHERE rank <= 4"""
+
+
+@query("h7_session_recs", "user_id:i cur_sku:i rank:i rec_sku:i category:s", views=("fx_live_clicks",) + ACTIVE,
+       oracle=_on_active(_SESSION_SQL))
 def h7(fx):
-    """H7: session-based recommendations per user."""
-    return rc.session_recs(fx("fx_live_clicks"), fx("fx_catalog"))
+    """H7: session-based recommendations per user, from the active catalog."""
+    return rc.session_recs(fx("fx_live_clicks"), _active(fx))
 
 
-@query("h10_recommend_all", "sku_id:i strategy:s rank:i rec_sku:i explanation:s", views=CAT, oracle=f"""
-SELECT e.sku_id, 'category_based' AS strategy, e.rank, e.rec_sku,
+@query("h10_recommend_all", "sku_id:i user_id:i strategy:s rank:i rec_sku:i explanation:s",
+       views=CAT + ACTIVE + ("fx_live_clicks",), oracle=f"""
+SELECT e.sku_id, NULL AS user_id, 'category_based' AS strategy, e.rank, e.rec_sku,
  'Similar products in ' || c.category || ' > ' || c.subcategory || ' (ML model)' AS explanation
-FROM ({_ENGINE_SQL}) e JOIN fx_catalog c ON e.sku_id = c.sku_id
-UNION ALL SELECT q.sku_id, 'frequently_bought', q.rank, q.rec_sku, 'Top rated products in ' || c.category
-FROM ({_CATREC_SQL}) q JOIN fx_catalog c ON q.sku_id = c.sku_id
-UNION ALL SELECT q.sku_id, 'trending', q.rank, q.rec_sku, 'Most popular products right now (by rating & reviews)'
-FROM ({_TREND_SQL}) q""")
+FROM ({_ENGINE_SQL}) e JOIN fx_catalog_active c ON e.sku_id = c.sku_id
+UNION ALL SELECT q.sku_id, NULL, 'frequently_bought', q.rank, q.rec_sku, 'Top rated products in ' || c.category
+FROM ({_on_active(_CATREC_SQL)}) q JOIN fx_catalog_active c ON q.sku_id = c.sku_id
+UNION ALL SELECT q.sku_id, NULL, 'trending', q.rank, q.rec_sku, 'Most popular products right now (by rating & reviews)'
+FROM ({_on_active(_TREND_SQL)}) q
+UNION ALL SELECT q.cur_sku, q.user_id, 'session_based', q.rank, q.rec_sku, 'Based on your browsing history'
+FROM ({_on_active(_SESSION_SQL)}) q""")
 def h10(fx):
-    """H10 + G2: all strategies for every SKU, labelled."""
-    return rc.recommend_all(fx("fx_catalog"))
+    """H10 + G2: all strategies, labelled; answers for active SKUs only."""
+    return rc.recommend_all(fx("fx_catalog"), _active(fx), fx("fx_live_clicks"))
 
 
 _TOK_SQL = r"""

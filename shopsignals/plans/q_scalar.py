@@ -17,7 +17,8 @@ def a6(fx):
     return readers.head_events(fx("fx_clickstream").select("event_id", "sku_id", "event_type"), 250_000)
 
 
-@query("a7_sample_keyed", "event_id:i user_id:i")
+@query("a7_sample_keyed", "event_id:i user_id:i", views=("fx_clickstream",), oracle="""
+SELECT event_id, user_id FROM fx_clickstream WHERE substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8) < '80000000'""")
 def a7(fx):
     """Seeded keyed sample (50 % by a hash of event_id, seed 42)."""
     return readers.sample_keyed(fx("fx_clickstream").select("event_id", "user_id"), "event_id", 0.5, 42)
@@ -50,7 +51,7 @@ def b16(fx):
         fn.safe_int(F.col("inventory_count").cast("string"), 0).alias("inv_int"),
         fn.first_nonzero(F.col("inventory_count").cast("double"), F.col("review_count").cast("double"),
                          "weight_kg").alias("first_nonzero"),
-        fn.round_to(F.col("base_price_usd") * 0.012, 2).alias("price_usd"),
+        fn.to_usd("base_price_usd").alias("price_usd"),
         fn.clip("avg_rating", 2.0, 4.0).alias("rating_clipped"),
         F.log1p("review_count").alias("log_reviews"), F.expm1(F.log1p("review_count")).alias("back"))
 

@@ -6,8 +6,7 @@ own configuration (shuffle partitions, checkpoint dir, memory) always wins.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,65 +44,47 @@ def get_spark(master: str | None = None, app: str = "shopsignals",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The folder that driver and executors share for intermediate tables.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    folder under the system temp dir is created and registered.
+    ``spark.checkpoint.dir`` where the cluster names one; where it is unset, a
+    folder beside the warehouse, which is shared as well. Never a machine's own
+    temporary folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="shopsignals-ckpt-")
-        try:  # informational only; the context's checkpoint dir is what is used
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001  (core settings may be read-only at run time)
-            pass
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_marked: set[str] = set()
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables in the shared folder;
+    it is deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shopsignals-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, write it as Parquet under the shared checkpoint
-    folder and read it back (a written table cuts the lineage like a reliable
-    checkpoint, but in one computation, and gives AQE exact sizes).
+    """Compute ``df`` once, write it as Parquet under the shared folder and read
+    it back (a written table cuts the lineage like a reliable checkpoint, but in
+    one computation, and gives AQE exact sizes).
 
     Used where one intermediate feeds both a whole-table scalar (a bound, a
     count, a median) and the rows themselves: without it the scalar
     subquery would re-run the whole upstream plan (e.g. the clickstream
     aggregation) a second time.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/shopsignals-tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    Used for dimension-like inputs (segment profiles, vouchers, vocabularies)
-    whose size is not fixed by construction. Beyond the bound the frame is
-    returned unhinted, and the join falls back to a shuffle join that AQE can
-    still convert at run time.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    return spark.read.schema(df.schema).parquet(path)

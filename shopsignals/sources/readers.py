@@ -82,7 +82,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
     elif fmt == "json":
         df = spark.read.schema(schema).json(path)
     else:
-        df = spark.read.format(fmt).load(path)
+        df = spark.read.schema(schema).format(fmt).load(path)
     return nan_to_null(df)
 
 
@@ -117,37 +117,23 @@ def read_profiles(spark, path, fmt="parquet") -> DataFrame:
     return _read(spark, path, PROFILE_SCHEMA, fmt)
 
 
-def head_events(df: DataFrame, n: int, order_by: str = "event_id", oversample: float = 4.0,
-                seed: int = 42) -> DataFrame:
+def head_events(df: DataFrame, n: int, order_by: str = "event_id") -> DataFrame:
     """First ``n`` rows in a stated order (repeatable, unlike file order).
 
-    A plain ``orderBy().limit(n)`` keeps n rows per input partition before
-    its final merge, which grows with the partition count. Here a seeded
-    sample of the key column only *estimates* a cutoff key; an exact count
-    then checks that at least ``n`` rows lie at or below it (the filter
-    reaches the scan), and only those candidates are ordered and limited.
-    If the check fails the plain top-n runs — the result is always exact.
+    Rows without an order key are dropped first, whatever the table's size.
+    The plan keeps n rows per task and merges them, so ``n`` bounds both.
     """
-    key = F.col(order_by)
-    total = df.count()
-    if total <= n:
-        return df.orderBy(key.asc())
-    frac = min(1.0, oversample * n / total)
-    rank = int(n * frac * 1.25) + 100            # sample rank of the n-th key, with margin
-    cutoff = (df.select(key.alias("_k")).where(F.col("_k").isNotNull()).sample(fraction=frac, seed=seed)
-              .orderBy("_k").limit(rank).agg(F.max("_k")).first()[0])
-    cand = df.where(key <= F.lit(cutoff)) if cutoff is not None else df
-    if cutoff is None or cand.count() < n:
-        cand = df
-    return cand.orderBy(key.asc()).limit(n)
+    return df.where(F.col(order_by).isNotNull()).orderBy(F.col(order_by).asc()).limit(n)
 
 
 def sample_keyed(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Seeded sample by a hash of the key.
+    """Seeded sample by a hash of the key: rows whose first 32 bits of
+    md5(key ":" seed) lie below ``fraction`` of their range; no row without key.
 
     Membership depends only on (key, seed), so the sample is the same for any
-    partitioning and survives task retries — ``DataFrame.sample`` does not.
+    partitioning and engine and survives task retries.
     """
-    buckets = 1_000_000
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
-    return df.where(h < F.lit(int(round(fraction * buckets))))
+    if fraction >= 1:
+        return df.where(F.col(key).isNotNull())
+    h = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8)
+    return df.where(h < F.lit(f"{round(fraction * 2 ** 32):08x}"))

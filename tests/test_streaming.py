@@ -199,6 +199,16 @@ def test_validation_splits_rows(spark):
     assert n_ok == clicks.where(F.col("event_type").isin("search", "purchase")).count()
 
 
+def test_price_stream_before_the_first_snapshot(spark, tmp_dir):
+    products = spark.createDataFrame([(1, 100.0)], "product_id long, base_price double")
+    req = spark.createDataFrame([(7, 1, 3, "s")], "event_id long, product_id long, user_id long, session_id string")
+    log = os.path.join(tmp_dir, "log")
+    so.price_stream_batch(products, os.path.join(tmp_dir, "f"), os.path.join(tmp_dir, "c"), log)(req, 0)
+    r = spark.read.parquet(log).first()
+    assert r["intent_probability"] is not None and r["wtp_estimate"] is not None
+    assert r["competitor_min"] is None and r["final_price"] > 0
+
+
 def test_price_stream_with_snapshots_equals_batch(spark, click_dir, tmp_dir):
     cat = view(spark, SF_SMALL, "fx_catalog")
     feats_path, comp_path, log_path = (os.path.join(tmp_dir, x) for x in ("feats", "comp", "log"))
