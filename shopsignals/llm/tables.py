@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsignals.session import checkpoint_dir
+from shopsignals.session import tables_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/shopsignals-llm/{name}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # lets Spark delete the shuffle files of a query when it has ended
