@@ -79,16 +79,22 @@ def _pointers(width: int):
     return phrases
 
 
-def _suffixes(width: int):
-    def windows(raw, off, doc, spans):
+def _located(width: int):
+    def locate(raw, off, spans):
         row, s, n = flatten(spans)
-        for k in range(0, len(row), 1 << 14):
-            r, b, m = row[k:k + (1 << 14)], s[k:k + (1 << 14)], n[k:k + (1 << 14)]
-            at, so = slices(off[r] + b, m + width - 1)
-            _, g64 = _refine(raw[at])
-            w, _ = slices(so[:-1], m)
-            yield repeats.Phrases(g64[w], g64[w + width - 64], np.repeat(doc[r], m),
-                                  np.repeat(b, m) + w - np.repeat(so[:-1], m), np.ones(len(w), np.int64))
+        for k in range(0, len(row), 1 << 15):
+            r, b, m = row[k:k + (1 << 15)], s[k:k + (1 << 15)], n[k:k + (1 << 15)]
+            yield r, b, m, off[r] + b, off[r] + b + m + width - 1
+    return locate
+
+
+def _suffixes(width: int):
+    def windows(raw, off, doc, s, n):
+        _, g64 = _refine(raw[off[0]:off[-1]])
+        start = off[:-1] - off[0]
+        w, first = slices(start, n)
+        return repeats.Phrases(g64[w], g64[w + width - 64], np.repeat(doc, n),
+                               np.repeat(s, n) + np.arange(len(w)) - np.repeat(first[:-1], n), np.ones(len(w), np.int64))
     return windows
 
 
@@ -136,6 +142,6 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 100) -> DataFrame:
         raise ValueError("width must be 64 to 112 bytes: two identifiers of depth 64 cover a string, three a pointer")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeats.repeated_spans(docs.where("doc_id is not null").withColumnRenamed("doc_id", "doc"),
-                                   _pointers(width), _suffixes(width), keep_first=True)
+                                   _pointers(width), _located(width), _suffixes(width), keep_first=True)
     return (docs.join(spans, docs["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
             .mapInArrow(_cut(width), OUT_DDL))

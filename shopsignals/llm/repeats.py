@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopsignals.llm.kernels import M1, U, batch, mix
+from shopsignals.llm.kernels import U, batch, groups, mix, text_buffer
+from shopsignals.llm.span_lists import slices
 from shopsignals.llm.tables import ship, store
 
 ROWS = pa.schema([("open", pa.int8()), ("a", pa.int64()), ("h", pa.int64()),
@@ -191,34 +192,42 @@ def by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
 
 
-def repeated_spans(texts: DataFrame, phrases: Callable, windows: Callable, keep_first: bool) -> DataFrame:
+def repeated_spans(texts: DataFrame, phrases: Callable, locate: Callable, windows: Callable, keep_first: bool) -> DataFrame:
     """(doc, spans): runs of windows of each document whose content repeats.
 
-    ``texts``: doc (not null), text. ``phrases(raw, offsets, doc)`` and
-    ``windows(raw, offsets, doc, spans)`` give the Phrases of one Arrow batch,
-    block by block: of all windows, or of single windows of the given spans."""
+    ``texts``: doc (not null), text. ``phrases(raw, offsets, doc)`` gives the
+    Phrases of one Arrow batch, block by block. ``locate(raw, offsets, spans)``
+    gives row, s, n and byte range of the opened spans, and ``windows(raw,
+    offsets, doc, s, n)`` the single windows of such byte ranges as Phrases."""
     ship(texts.sparkSession)
 
     def read_phrases(batches):
-        from shopsignals.llm.kernels import text_buffer
-
         def blocks():
             for b in batches:
                 raw, off = text_buffer(b.column("text"))
                 yield from phrases(raw, off, b.column("doc").to_numpy(zero_copy_only=False))
         return settled(blocks(), keep_first)
 
-    def read_windows(batches):
-        from shopsignals.llm.kernels import text_buffer
+    def cut_out(batches):
+        for b in batches:
+            raw, off = text_buffer(b.column("text"))
+            doc = b.column("doc").to_numpy(zero_copy_only=False)
+            for row, s, n, lo, hi in locate(raw, off, b.column("spans")):
+                at, cut = slices(lo, hi - lo)
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(cut), pa.py_buffer(raw[at])])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(s), pa.array(n), body.cast(pa.binary())], ["doc", "s", "n", "body"])
 
+    def read_windows(batches):
         def blocks():
             for b in batches:
-                raw, off = text_buffer(b.column("text"))
-                yield from windows(raw, off, b.column("doc").to_numpy(zero_copy_only=False), b.column("spans"))
+                raw, off = text_buffer(b.column("body"))
+                for i, j in groups(off):
+                    yield windows(raw, off[i:j + 1], *(b.column(c).to_numpy(zero_copy_only=False)[i:j] for c in ("doc", "s", "n")))
         return settled(blocks(), keep_first)
 
     whole = store(exchange(texts.select("doc", "text").mapInArrow(read_phrases, ROWS_DDL), keep_first, True), "phrases")
     opened = by_document(whole.where("open = 1"))
-    single = store(exchange(texts.select("doc", "text").join(opened, "doc")
-                            .mapInArrow(read_windows, ROWS_DDL), keep_first, False), "windows")
+    # cut out and stored: the texts' exchange is over before that of the windows
+    bodies = store(texts.select("doc", "text").join(opened, "doc").mapInArrow(cut_out, "doc long, s long, n long, body binary"), "opened")
+    single = store(exchange(bodies.mapInArrow(read_windows, ROWS_DDL), keep_first, False), "windows")
     return by_document(whole.where("open = 0").unionByName(single).select("doc", "s", "n"))

@@ -52,20 +52,26 @@ def _phrases(width: int):
     return phrases
 
 
-def _windows(width: int):
-    def windows(raw, off, doc, spans):
+def _located(width: int):
+    def locate(raw, off, spans):
         at_row, s, n = flatten(spans)
         lo = np.searchsorted(at_row, np.arange(len(off)))
         for i, j in groups(off):
             ws, we, row = words(raw, off[i:j + 1])
             begin = np.searchsorted(row, np.arange(j - i))
-            ids = word_ids(raw, ws, we)
             r, b, m = at_row[lo[i]:lo[j]], s[lo[i]:lo[j]], n[lo[i]:lo[j]]
-            at, so = slices(begin[r - i] + b, m + width - 1)
-            half = grams(ids[at], HALF)
-            w, _ = slices(so[:-1], m)
-            yield repeats.Phrases(half[w], half[w + width - HALF], np.repeat(doc[r], m),
-                                  np.repeat(b, m) + w - np.repeat(so[:-1], m), np.ones(len(w), np.int64))
+            first = begin[r - i] + b
+            yield r, b, m, ws[first], we[first + m + width - 2]
+    return locate
+
+
+def _windows(width: int):
+    def windows(raw, off, doc, s, n):
+        ws, we, row = words(raw, off)
+        half = grams(word_ids(raw, ws, we), HALF)
+        w, first = slices(np.searchsorted(row, np.arange(len(doc))), n)
+        return repeats.Phrases(half[w], half[w + width - HALF], np.repeat(doc, n),
+                               np.repeat(s, n) + np.arange(len(w)) - np.repeat(first[:-1], n), np.ones(len(w), np.int64))
     return windows
 
 
@@ -121,7 +127,7 @@ def factors(documents: DataFrame, width: int = 35) -> DataFrame:
     if not HALF <= width <= 2 * HALF:
         raise ValueError("width must be 32 to 64 words: two identifiers of 32 words cover it")
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return repeats.repeated_spans(texts, _phrases(width), _windows(width), keep_first=False)
+    return repeats.repeated_spans(texts, _phrases(width), _located(width), _windows(width), keep_first=False)
 
 
 def kept_words(documents: DataFrame, width: int = 35) -> DataFrame:

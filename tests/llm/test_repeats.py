@@ -82,7 +82,7 @@ def test_small_blocks_and_batches_change_nothing(docs, monkeypatch):
 
     rows = corpus(7, 40)
 
-    def run(width, phrases, windows, keep):
+    def run(width, phrases, locate, windows, keep):
         """The two exchanges in plain numpy, one row a batch."""
         import pyarrow as pa
         texts = [(i, t) for i, t in rows if t is not None]
@@ -92,21 +92,29 @@ def test_small_blocks_and_batches_change_nothing(docs, monkeypatch):
             t = pa.Table.from_batches(rb, R.ROWS).sort_by([(c, "ascending") for c in ("open", "a", "h", "doc", "s")])
             return pa.Table.from_batches(list(R.compare(keep, opens)(t.to_batches(max_chunksize=1))), R.SPANS).to_pylist()
 
-        def one(f, extra=lambda i: ()):
+        def one():
             for i, t in texts:
                 raw = np.frombuffer(t.encode(), np.uint8)
-                yield from f(raw, np.array([0, len(raw)]), np.array([i]), *extra(i))
-        first = scan(one(phrases), True)
+                yield from phrases(raw, np.array([0, len(raw)]), np.array([i]))
+        first = scan(one(), True)
         opened = defaultdict(list)
         for r in first:
             if r["open"]:
                 opened[r["doc"]].append({"s": r["s"], "n": r["n"]})
         kind = pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())]))
-        second = scan(one(windows, lambda i: (pa.array([sorted(opened[i], key=lambda x: x["s"])], kind),)), False)
+
+        def single():
+            for i, t in texts:
+                raw = np.frombuffer(t.encode(), np.uint8)
+                spans = pa.array([sorted(opened[i], key=lambda x: x["s"])], kind)
+                for row, s, n, lo, hi in locate(raw, np.array([0, len(raw)]), spans):
+                    for k in range(len(lo)):
+                        yield windows(raw, np.array([lo[k], hi[k]]), np.array([i]), s[k:k + 1], n[k:k + 1])
+        second = scan(single(), False)
         return {(r["doc"], p) for r in first + second if not r["open"] for p in range(r["s"], r["s"] + r["n"])}
 
     monkeypatch.setattr(B, "SEGMENT", 150)
-    got = run(100, B._pointers(100), B._suffixes(100), True)
+    got = run(100, B._pointers(100), B._located(100), B._suffixes(100), True)
     seen, want = set(), set()
     for i, t in rows:
         b = (t or "").encode()
