@@ -106,8 +106,9 @@ def product_card(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ B11
 def search_catalog(df: DataFrame, category: str | None = None, subcategory: str | None = None,
                    q: str | None = None, skus: list | None = None,
-                   cols=("product_name", "brand", "category")) -> DataFrame:
-    """Case-insensitive filters and literal substring search (rule Q10)."""
+                   cols=("product_name", "brand", "category"), limit: int | None = None) -> DataFrame:
+    """Case-insensitive filters and literal substring search (rule Q10);
+    ``limit``: only that many, by sku_id (type-ahead)."""
     out = df
     if category:
         out = out.where(F.lower(F.col("category")) == category.lower())
@@ -121,7 +122,7 @@ def search_catalog(df: DataFrame, category: str | None = None, subcategory: str
         out = out.where(cond)
     if skus is not None:
         out = out.where(F.col("sku_id").isin(list(skus)))
-    return out
+    return out if limit is None else out.orderBy("sku_id").limit(limit)
 
 
 # ------------------------------------------------------------------------ B14

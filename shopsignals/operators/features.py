@@ -2,10 +2,10 @@
 
 Plan shape of ``product_features`` at scale:
 
-* the clickstream is read once and aggregated once by ``sku_id``: event-type
-  counts (D2), statistics (D1) and the segment-weighted WTP (D7) are one
-  ``groupBy.agg`` so the events shuffle exactly once, after map-side partial
-  aggregation. The segment table joins map-side (broadcast after a row check).
+* the clickstream is aggregated by ``sku_id``: event-type counts (D2),
+  statistics with one distinct count (D1) and the segment-weighted WTP (D7) are
+  one ``groupBy.agg`` after map-side partial aggregation. D1 alone adds the
+  exact median and the distinct sessions, each an aggregate of its own.
 * everything after that is per-SKU sized (catalog, competitor aggregates).
 * whole-table scalars (median restock days, min/max for normalisation) are
   scalar subqueries — computed once and inlined, never a window over one

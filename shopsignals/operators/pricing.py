@@ -88,8 +88,12 @@ def price_requests(req: DataFrame, products: DataFrame, features: DataFrame,
     products: (product_id, base_price); features: latest per session
     (session_id, intent_probability, engagement_score, wtp_estimate);
     competitor: (product_id, min). Requests for unknown products drop out
-    (the reference answers 404). All three lookups are equi-joins on keys.
+    (the reference answers 404), as do those with an empty product or user id
+    (400). All three lookups are equi-joins on keys.
     """
+    for c in ("product_id", "user_id"):
+        if c in req.columns:
+            req = req.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
     f = features.select("session_id", "intent_probability", "engagement_score", "wtp_estimate")
     c = competitor.select("product_id", F.col("min").alias("competitor_min"))
     j = (req.join(products.select("product_id", "base_price"), "product_id", "inner")

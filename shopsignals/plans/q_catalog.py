@@ -78,13 +78,16 @@ WHERE lower(category) = 'standard' AND (contains(lower(product_name), 'ring') OR
  OR contains(lower(category), 'ring'))
 UNION ALL
 SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog_active
-WHERE lower(subcategory) = 'small-3' AND contains(lower(brand), 'brand#1')""")
+WHERE lower(subcategory) = 'small-3' AND contains(lower(brand), 'brand#1')
+UNION ALL
+(SELECT sku_id, product_name, category, subcategory, brand FROM fx_catalog_active
+WHERE contains(lower(brand), 'brand') ORDER BY sku_id LIMIT 5)""")
 def b11(fx):
-    """Category filter + substring search, and subcategory + brand search."""
+    """Category filter + substring search, subcategory + brand search, type-ahead."""
     cat = _active(fx).select("sku_id", "product_name", "category", "subcategory", "brand")
     a = ct.search_catalog(cat, category="STANDARD", q="Ring")
     b = ct.search_catalog(cat, subcategory="SMALL-3", q="brand#1")
-    return a.unionByName(b)
+    return a.unionByName(b).unionByName(ct.search_catalog(cat, q="brand", cols=("brand",), limit=5))
 
 
 @query("b14_search_users", "c_custkey:i c_name:s c_mktsegment:s", oracle="""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shopsignals.operators import baskets as bk
@@ -276,9 +277,11 @@ def _samples(fx):
 
     # the sequences feed the model, the popularity list and the samples
     seqs = materialize(ss.session_sequences(fx("fx_clickstream"), fx("fx_catalog")))
-    smp = ss.next_item_samples(ss.sequence_arrays(seqs))
-    q = smp.select(F.concat_ws(":", "session_id", F.col("end_idx").cast("string")).alias("qid"),
-                   F.element_at("padded", -1).alias("last_item"), "target")
+    # the item before and the item itself at each position: what the padded samples end in
+    w = Window.partitionBy("session_id").orderBy("pos")
+    q = (seqs.withColumn("last_item", F.lag("item_idx").over(w)).where(F.col("pos") >= 3)
+         .select(F.concat_ws(":", "session_id", F.col("pos").cast("string")).alias("qid"), "last_item",
+                 F.col("item_idx").alias("target")))
     return seqs, q
 
 
