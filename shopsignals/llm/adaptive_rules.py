@@ -8,9 +8,10 @@ with one result, so one grouped sum builds those of every (lang, source), and
 adding them up gives those of a language and of the corpus, which stand in
 where a group has fewer than ``least`` documents. A document is rejected
 where a measure lies beyond the outer fence of its group: upper quartile plus
-``reach`` times the spread of the quartiles (for word length also below), where
-the spread counts as no less than ``slack``, so that a group of equal values
-does not reject its first deviation.
+``reach`` times the spread of the quartiles, where the spread counts as no less
+than ``slack``, so that a group of equal values does not reject its first
+deviation. Word length, a mean, is odd on both sides and strays more in short
+texts: there the reach grows by sqrt(1 + SHORT / n_words).
 
 Base rule: fewer than 10 words, or more than 20% of the words in repeated
 5-word windows.
@@ -36,8 +37,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 LOOKS = 5  # words of a repeated window
 GROWTH = 1.02
+SHORT = 20  # words at which a mean strays noticeably
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: measure: (value from the counts, least spread, whether low values are odd too)
+#: measure: (value from the counts, least spread, whether it is a mean of the words)
 MEASURES: dict[str, tuple[str, float, bool]] = {
     "symbols": ("n_symbols / n_words", 0.05, False),
     "dup_lines": ("n_dup_lines / n_lines", 0.1, False),
@@ -128,7 +130,7 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame, least: int = 200, reach: float = 4.0) -> DataFrame:
-    """Per lang and source: least and greatest accepted value of each measure."""
+    """Per lang and source: quartiles and reach (fence) of each measure."""
     own = quartiles(sketches, ["lang", "source"])
     lang = quartiles(sketches, ["lang"]).select(
         F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), *[F.col(c).alias(f"lang_{c}") for c in ("n", "lower", "upper")])
@@ -141,8 +143,8 @@ def thresholds(sketches: DataFrame, least: int = 200, reach: float = 4.0) -> Dat
     t = t.select("lang", "source", "measure", pick("lower").alias("lower"), pick("upper").alias("upper"))
     fence = F.greatest(F.col("upper") - F.col("lower"), slack[F.col("measure")]) * reach
     return t.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("upper") + fence)).alias(f"{m}_most") for m in MEASURES],
-        *[F.max(F.when(F.col("measure") == m, F.col("lower") - fence)).alias(f"{m}_least") for m, (_, _, low) in MEASURES.items() if low])
+        *[F.max(F.when(F.col("measure") == m, v)).alias(f"{m}_{name}") for m in MEASURES
+          for name, v in (("lower", F.col("lower")), ("upper", F.col("upper")), ("fence", fence))])
 
 
 def verdicts(documents: DataFrame, least: int = 200, reach: float = 4.0) -> DataFrame:
@@ -153,10 +155,12 @@ def verdicts(documents: DataFrame, least: int = 200, reach: float = 4.0) -> Data
     d = counted.join(t, counted["lang"].eqNullSafe(t["_lang"]) & counted["source"].eqNullSafe(t["_source"]), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     good = F.lit(True)
-    for m, (_, _, low) in MEASURES.items():
-        good = good & F.coalesce(_measure(m) <= F.col(f"{m}_most"), F.lit(True))
-        if low:
-            good = good & F.coalesce(_measure(m) >= F.col(f"{m}_least"), F.lit(True))
+    for m, (_, _, mean) in MEASURES.items():
+        fence = F.col(f"{m}_fence")
+        if mean:
+            fence = fence * F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_words")))
+            good = good & F.coalesce(_measure(m) >= F.col(f"{m}_lower") - fence, F.lit(True))
+        good = good & F.coalesce(_measure(m) <= F.col(f"{m}_upper") + fence, F.lit(True))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), (~failed & good).alias("kept"))
 
