@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.operators.topk import top_k_per_group
+from shopsignals.session import materialize
 
 _CARD_COLS = ["sku_id", "category", "subcategory", "review_count", "avg_rating", "inventory_count"]
 
@@ -156,6 +157,7 @@ def engine_recs(catalog: DataFrame, k: int = 5) -> DataFrame:
     cat = catalog.select(*_CARD_COLS).withColumn("avg_rating", F.coalesce("avg_rating", F.lit(0.0))) \
         .withColumn("review_count", F.coalesce("review_count", F.lit(0))) \
         .withColumn("inventory_count", F.coalesce("inventory_count", F.lit(0)))
+    cat = materialize(cat)  # the slim catalog, read once and written: every level ranks it again
     lv = (_engine_level(cat, "subcategory", k, 1)
           .unionByName(_engine_level(cat, "category", k, 2))
           .unionByName(_engine_level(cat, None, k, 3)))
