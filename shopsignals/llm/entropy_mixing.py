@@ -11,7 +11,9 @@ sums need sizes only, so they run on (source, size, documents) counts.
 Rates become copies by systematic rounding: the documents of a source lie in
 order of size on a line, each as long as its rate, and a document takes as many
 copies as integers fall on its length. Neighbours have about equal sizes, so
-the words taken stay within about one document of the target.
+the words taken stay within about one document of the target; where many
+documents share a size, each ``BLOCK`` of them adds at most one copy more or
+less, in either direction.
 
 Results in cases of doubt: null text has size 0; a document of size 0 takes 0
 words; null is a source of its own, after all others; further columns are
