@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopsignals.functions.columns import clip, round_to
 
@@ -88,10 +89,12 @@ def price_requests(req: DataFrame, products: DataFrame, features: DataFrame,
     products: (product_id, base_price); features: latest per session
     (session_id, intent_probability, engagement_score, wtp_estimate);
     competitor: (product_id, min). Requests for unknown products drop out
-    (the reference answers 404), as do those with an empty product or user id
-    (400). All three lookups are equi-joins on keys.
+    (the reference answers 404), as do those with an empty product, user or
+    session id (400). All three lookups are equi-joins on keys. ``variant``
+    defaults to A. The price that a repeated request gets from the cache is
+    ``serve_cached``.
     """
-    for c in ("product_id", "user_id"):
+    for c in ("product_id", "user_id", "session_id"):
         if c in req.columns:
             req = req.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
     f = features.select("session_id", "intent_probability", "engagement_score", "wtp_estimate")
@@ -102,9 +105,55 @@ def price_requests(req: DataFrame, products: DataFrame, features: DataFrame,
           .withColumn("engagement_score", F.coalesce("engagement_score", F.lit(DEFAULT_ENGAGEMENT)))
           .withColumn("wtp_estimate", F.coalesce("wtp_estimate", F.lit(DEFAULT_WTP))))
     j = price_reason(apply_price_rules(session_price(j)))
+    j = j.withColumn("variant", F.coalesce("variant", F.lit("A")) if "variant" in req.columns else F.lit("A"))
     return j.withColumn("discount_pct", discount_pct("final_price", "base_price"))
 
 
+def serve_cached(priced: DataFrame, ttl_seconds: int = 60, order=("timestamp", "event_id")) -> DataFrame:
+    """I4: ``priced`` requests as the service answers them in ``order``, with
+    ``cache_hit``. A request less than ``ttl_seconds`` after the last price
+    computed for its product and user gets that price and reason again; a hit
+    does not prolong the entry.
+
+    Whether a request is a hit depends on all before it, but not across a pause
+    longer than the TTL. So the requests of a product and user are cut at such
+    pauses (``running_position``, which splits a large key), and each stretch is
+    a sorted scan that remembers one price. A stretch without any pause is one
+    task's scan, whatever its length.
+    """
+    from shopsignals.operators.sessions import _gap_clock, _positions
+
+    ttl_us = int(ttl_seconds) * 1_000_000
+    cut = _positions(priced.withColumn("_pair", F.struct("product_id", "user_id")), "_pair", order, ttl_seconds, order[0])
+    cut = (cut.withColumn("_us", _gap_clock(order[0])).repartition("_pair", "_start")
+              .sortWithinPartitions("_pair", "_start", *order).drop("_pair"))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        stretch = since = answer = None
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("product_id", "user_id", "_start")))
+            fresh = zip(*(b.column(c).to_pylist() for c in ("_us", "final_price", "reason")))
+            hits, prices, reasons = [], [], []
+            for key, (at, price, reason) in zip(keys, fresh):
+                hit = key == stretch and at < since + ttl_us
+                if not hit:
+                    stretch, since, answer = key, at, (price, reason)
+                hits.append(hit)
+                prices.append(answer[0])
+                reasons.append(answer[1])
+            for name, values in (("final_price", prices), ("reason", reasons)):
+                i = b.schema.get_field_index(name)
+                b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type))
+            b = b.drop_columns(["_start", "_us"])
+            yield b.append_column("cache_hit", pa.array(hits, pa.bool_()))
+
+    out = T.StructType([*priced.schema.fields, T.StructField("cache_hit", T.BooleanType())])
+    return (cut.select(*priced.columns, "_start", "_us").mapInArrow(scan, out)
+               .withColumn("discount_pct", discount_pct("final_price", "base_price")))
+
+
 # ------------------------------------------------------------------------- I5
 def explain_prices(req: DataFrame, products: DataFrame, log: DataFrame, features: DataFrame,
                    competitor: DataFrame, as_of, ttl_seconds: int = 60) -> DataFrame:

@@ -215,7 +215,7 @@ def f1(fx):
 
 
 @query("f2_page_filtered", _PAGE_OUT, views=ACTIVE, oracle="""
-WITH f AS (SELECT sku_id, review_count FROM fx_catalog_active WHERE lower(category) = 'promo')
+WITH f AS (SELECT sku_id, coalesce(review_count, 0) AS review_count FROM fx_catalog_active WHERE lower(category) = 'promo')
 SELECT sku_id, review_count, row_number() OVER (ORDER BY sku_id) AS position,
  (SELECT count(*) FROM f) AS total_rows, greatest(1, ceil((SELECT count(*) FROM f) / 25)) AS total_pages,
  50 < (SELECT count(*) FROM f) AS has_more

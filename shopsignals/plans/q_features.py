@@ -99,6 +99,10 @@ FROM (SELECT *, least(CASE WHEN a0 < cost_price_usd * 1.05 THEN cost_price_usd *
    FROM ({MERGED_SQL}) m,
    (SELECT {", ".join(f"min({c}) AS mn_{n}, max({c}) AS mx_{n}" for c, n in _NORMS)} FROM ({MERGED_SQL})) b)))"""
 
+# the table's model inputs default to 0 once the target is built
+FEATURES_SQL = f"""
+SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in ft.MODEL_FEATURES)}), sku_id AS product_id FROM ({TARGET_SQL})"""
+
 I11_OUT = ("product_id:i base_price_usd:d cost_price_usd:d min_price_usd:d max_price_usd:d "
            "category:s subcategory:s brand:s views:i purchases:i carts:i wishlists:i checkouts:i "
            "demand_velocity:i log_demand:d conversion_rate:d cart_rate:d wishlist_rate:d checkout_rate:d "
@@ -110,7 +114,7 @@ I11_OUT = ("product_id:i base_price_usd:d cost_price_usd:d min_price_usd:d max_p
 
 
 @query("i11_product_features", I11_OUT, views=FX4,
-       oracle=f"SELECT *, sku_id AS product_id FROM ({TARGET_SQL})")
+       oracle=FEATURES_SQL)
 def i11(fx):
     """I11 flagship: the per-product pricing feature table."""
     return ft.product_features(fx("fx_clickstream"), fx("fx_catalog"),
@@ -243,7 +247,7 @@ SELECT p.product_id, s.hour_of_day, s.time_multiplier,
   + 0.10 * CASE WHEN p.inventory_count < 20 THEN 1.0 ELSE 0.0 END
   - 0.05 * CASE WHEN p.inventory_count > 500 THEN 1.0 ELSE 0.0 END
   + 0.05 * (p.weighted_wtp - 1.0), 0.7), 1.5)) AS target_log
-FROM (SELECT *, sku_id AS product_id FROM ({TARGET_SQL})) p CROSS JOIN fx_time_scenarios s,
+FROM ({FEATURES_SQL}) p CROSS JOIN fx_time_scenarios s,
  (SELECT min(ln(1 + demand_velocity)) AS mn, max(ln(1 + demand_velocity)) AS mx FROM ({TARGET_SQL})) b""")
 def i10(fx):
     """Time-scenario targets over the product feature table."""

@@ -180,8 +180,10 @@ def d27p(fx):
 
 
 # ------------------------------------------------------------------ I1 – I4
+_REQUESTS_SQL = """SELECT event_id, product_id, user_id, session_id FROM fx_live_clicks
+ WHERE event_type = 'cart' AND product_id IS NOT NULL AND user_id IS NOT NULL AND session_id <> ''"""
 I4_SQL = f"""
-WITH r AS (SELECT event_id, product_id, user_id, session_id FROM fx_live_clicks WHERE event_type = 'cart'),
+WITH r AS ({_REQUESTS_SQL}),
  f AS (SELECT session_id, intent_probability, engagement_score, wtp_estimate FROM ({K3_FINAL_SQL})),
  s AS ({SNAP_SQL}),
  j AS (SELECT r.*, c.base_price_usd AS base_price, coalesce(f.intent_probability, 0.05) AS intent_probability,
@@ -220,6 +222,29 @@ def i4(fx):
     return pr.price_requests(_requests(fx), _products(fx), _features(fx), _snapshot(fx))
 
 
+# the cache by its definition: from each computed request to the next one at least 60 s later
+I4_CACHED_SQL = f"""
+WITH RECURSIVE t AS (SELECT q.*, r.timestamp, row_number() OVER (PARTITION BY q.product_id, q.user_id ORDER BY r.timestamp, q.event_id) AS i
+  FROM ({I4_SQL.replace(_REQUESTS_SQL, "SELECT event_id, product_id, user_id, session_id FROM fx_price_requests WHERE session_id <> ''")}) q
+  JOIN fx_price_requests r USING (event_id)),
+ nx AS (SELECT a.product_id, a.user_id, a.i, min(b.i) AS j FROM t a JOIN t b ON a.product_id = b.product_id AND a.user_id = b.user_id
+  AND b.timestamp >= a.timestamp + INTERVAL 60 SECOND GROUP BY a.product_id, a.user_id, a.i),
+ an AS (SELECT product_id, user_id, CAST(1 AS BIGINT) AS i FROM t WHERE i = 1
+  UNION ALL SELECT nx.product_id, nx.user_id, nx.j FROM an JOIN nx ON an.product_id = nx.product_id AND an.user_id = nx.user_id AND an.i = nx.i),
+ w AS (SELECT t.product_id, t.user_id, t.event_id, t.i, max(an.i) AS k FROM t JOIN an ON t.product_id = an.product_id
+  AND t.user_id = an.user_id AND an.i <= t.i GROUP BY t.product_id, t.user_id, t.event_id, t.i)
+SELECT w.event_id, w.product_id, w.user_id, 'A' AS variant, c.base_price, c.final_price, c.reason, c.discount_pct, w.k <> w.i AS cache_hit
+FROM w JOIN t c ON w.product_id = c.product_id AND w.user_id = c.user_id AND w.k = c.i"""
+
+
+@query("i4_cached_prices",
+       "event_id:i product_id:i user_id:i variant:s base_price:d final_price:d reason:s discount_pct:d cache_hit:b",
+       views=LIVE + ("fx_competitor", "fx_price_requests"), oracle=I4_CACHED_SQL)
+def i4_cached(fx):
+    """I4: repeated price requests; a price computed less than 60 s before is given again."""
+    return pr.serve_cached(pr.price_requests(fx("fx_price_requests"), _products(fx), _features(fx), _snapshot(fx)))
+
+
 @query("i5_explain_prices",
        "event_id:i product_id:i user_id:i your_price:d discount_pct:d reason:s intent_probability:d "
        "session_length:i last_event:s is_cached:b", views=LIVE + ("fx_competitor",), oracle=f"""

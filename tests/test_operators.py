@@ -485,3 +485,34 @@ def test_ridge_matches_closed_form(spark):
     Z = (X - X.mean(0)) / X.std(0, ddof=1)  # Spark's scaler uses the sample std
     w = np.linalg.solve(Z.T @ Z + alpha * np.eye(p), Z.T @ (y - y.mean()))
     assert np.allclose(pred, Z @ w + y.mean(), atol=1e-4)
+
+
+# ------------------------------------------------------------- I4 price cache
+def test_price_cache_equals_sequential_replay(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2]), rng.randrange(0, 4000), float(i), f"r{i}", 100.0)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, product_id long, user_id long, s long, final_price double, "
+                                     "reason string, base_price double")
+    df = df.withColumn("timestamp", F.timestamp_seconds("s")).drop("s").repartition(6)
+    got = {r["event_id"]: (r["cache_hit"], r["final_price"], r["reason"], r["discount_pct"])
+           for r in pr.serve_cached(df, 60).collect()}
+    want, cache = {}, {}
+    for i, p, u, s, price, reason, base in sorted(rows, key=lambda r: (r[3], r[0])):
+        held = cache.get((p, u))
+        hit = held is not None and s < held[0] + 60
+        if not hit:
+            held = cache[(p, u)] = (s, price, reason)
+        want[i] = (hit, held[1], held[2], pytest.approx((base - held[1]) / base * 100))
+    assert got == want
+    assert {h for h, *_ in got.values()} == {True, False}
+
+
+def test_price_requests_without_an_id_are_rejected(spark):
+    req = spark.createDataFrame([(1, 1, 1, "s"), (2, 1, 1, None), (3, 1, 1, ""), (4, None, 1, "s"), (5, 1, None, "s")],
+                                "event_id long, product_id long, user_id long, session_id string")
+    products = spark.createDataFrame([(1, 10.0)], "product_id long, base_price double")
+    feats = spark.createDataFrame([], "session_id string, intent_probability double, engagement_score double, wtp_estimate double")
+    comp = spark.createDataFrame([], "product_id long, min double")
+    out = pr.price_requests(req, products, feats, comp).collect()
+    assert [(r["event_id"], r["variant"]) for r in out] == [(1, "A")]

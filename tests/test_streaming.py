@@ -196,7 +196,8 @@ def test_validation_splits_rows(spark):
     ok, bad = so.validate_events(clicks)
     n_ok, n_bad = ok.count(), bad.count()
     assert n_ok + n_bad == clicks.count()
-    assert n_ok == clicks.where(F.col("event_type").isin("search", "purchase")).count()
+    assert n_ok == clicks.where(F.col("event_type").isin("search", "purchase", "page_view")
+                                & F.col("session_id").isNotNull()).count()
 
 
 def test_price_stream_before_the_first_snapshot(spark, tmp_dir):
