@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return store(full.select("a", "b", "ta", "tb").mapInArrow(_similar(threshold), "a long, b long, similarity double"), "links")
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, roots): the node of every document (doc_id, node), the
     verified links between nodes (a, b, similarity), and the groups of linked
     nodes (node, root)."""
@@ -236,7 +236,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float
     return members, links, components(links)
 
 
-def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of its group),
     text_id (smallest doc_id of its text class) and n_links (verified links of its
     text to other texts; those inside a group that was already joined are not
@@ -252,7 +252,7 @@ def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999)
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def keep_one(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The documents without those that have a smaller doc_id in their group."""
     members, _, roots = near_duplicates(documents, threshold, recall)
     r = roots.withColumnRenamed("node", "_r")
