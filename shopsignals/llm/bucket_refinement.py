@@ -75,7 +75,9 @@ def _pointers(width: int):
                     row = i + np.searchsorted(ends, s, side="right")
                 else:
                     row = np.full(len(s), i)
-                yield repeats.Phrases(low[s], h, doc[row], s + base - off[row], n)
+                own, w = repeats.within(s, n, g32[width - GRAM:] == low, lambda w: g64[w], lambda w: g64[w + width - 64], True)
+                inner = doc[row[own]], w + base - off[row[own]]
+                yield repeats.Phrases(low[s], h, doc[row], s + base - off[row], n, inner)
     return phrases
 
 

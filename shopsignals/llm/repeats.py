@@ -10,6 +10,9 @@ never need comparing. Consecutive windows under one gram form a *phrase*.
 2. Only phrases that share the gram with a different phrase are opened, and
    their windows exchanged by window identifier.
 
+Equal windows of one phrase (periodic text keeps one smallest gram) are found
+where the phrase is cut (``within``), as no other phrase need hold its gram.
+
 Equal rows within a block are settled in the task that reads them, so one
 task sends at most one row per phrase or window, however often it occurs.
 A phrase identifier is 64 bits under a 64-bit gram, a window identifier 128.
@@ -39,13 +42,15 @@ BLOCK_ROWS = 1 << 19  # rows settled together before they are sent
 
 @dataclass(frozen=True)
 class Phrases:
-    """Phrases of one block: gram, phrase identifier, document, first window, windows."""
+    """Phrases of one block: gram, phrase identifier, document, first window, windows;
+    ``inner``: document and place of windows known to repeat inside their phrase."""
 
     a: np.ndarray
     h: np.ndarray
     doc: np.ndarray
     s: np.ndarray
     n: np.ndarray
+    inner: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def runs(low: np.ndarray, ok: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +102,28 @@ def settle(a, h, doc, s, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
     return send, hit
 
 
+def within(s, n, entered, first, second, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase and window of the windows that repeat inside their phrase.
+
+    ``entered``: the last gram of this window is its smallest. Equal windows hold
+    the last of their smallest grams at one offset, so between them such a gram
+    enters; phrases without one after their first window need no look. ``first``
+    and ``second`` hold the two halves of a window's identifier."""
+    after = np.flatnonzero(entered)
+    p = np.searchsorted(s, after, side="right") - 1
+    late = (p >= 0) & (after > s[p]) & (after < s[p] + n[p]) if len(s) else np.zeros(len(p), bool)
+    some = np.unique(p[late])
+    phrase, window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(some), 1 << 12):
+        q = some[k:k + (1 << 12)]
+        w, _ = slices(s[q], n[q])
+        own = np.repeat(q, n[q])
+        _, hit = settle(mix(first(w), own.astype(U)), second(w), own, w, keep_first)
+        phrase.append(own[hit])
+        window.append(w[hit])
+    return np.concatenate(phrase), np.concatenate(window)
+
+
 def join_spans(doc, s, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge window runs that touch, per document."""
     if not len(doc):
@@ -119,7 +146,8 @@ def settled(blocks: Iterator[Phrases], keep_first: bool) -> Iterator[pa.RecordBa
     def flush():
         a, h, doc, s, n = (np.concatenate([getattr(p, f) for p in held]) for f in ("a", "h", "doc", "s", "n"))
         send, hit = settle(a, h, doc, s, keep_first)
-        d, b, m = join_spans(doc[hit], s[hit], n[hit])
+        own, at = (np.concatenate([p.inner[i] for p in held]) for i in (0, 1))
+        d, b, m = join_spans(*map(np.concatenate, ((doc[hit], own), (s[hit], at), (n[hit], np.ones(len(at), np.int64)))))
         spread = mix(d.view(U), b.view(U))  # finished spans are dealt out evenly
         yield batch(ROWS, np.zeros(len(d), np.int8), spread, np.zeros(len(d), np.int64), d, b, m)
         k = int(send.sum())

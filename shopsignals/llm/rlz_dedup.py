@@ -42,13 +42,16 @@ def _phrases(width: int):
             if len(ws) < width:
                 continue
             ids = word_ids(raw, ws, we)
-            low = window_min(grams(ids, GRAM), width - GRAM + 1)
+            gram = grams(ids, GRAM)
+            low = window_min(gram, width - GRAM + 1)
             half = grams(ids, HALF)
             s, n = repeats.runs(low, row[:len(low)] == row[width - 1:], CUT)
             span = n + width - 1
             h = mix(mix(half[s], half[s + (span - HALF) // 2]), half[s + span - HALF] ^ span.astype(U))
             begin = np.searchsorted(row, np.arange(j - i))  # first word of each row
-            yield repeats.Phrases(low[s], h, doc[i + row[s]], s - begin[row[s]], n)
+            _, w = repeats.within(s, n, gram[width - GRAM:] == low, lambda w: half[w], lambda w: half[w + width - HALF], False)
+            inner = doc[i + row[w]], w - begin[row[w]]
+            yield repeats.Phrases(low[s], h, doc[i + row[s]], s - begin[row[s]], n, inner)
     return phrases
 
 

@@ -145,3 +145,23 @@ def test_rewrite_keeps_columns(docs):
     assert [out[i]["text"] for i in (1, 2, 3, 4)] == ["a b", "c", "left  as\nit is", None]
     assert [out[i]["n_chars"] for i in (1, 2, 3, 4)] == [3, 1, 14, None]
     assert out[1]["spans"] == "1"
+
+
+def test_periodic_runs_found_nowhere_else(docs):
+    """A text of one period keeps one smallest gram: its windows lie in one phrase."""
+    def around(i, middle):
+        return " ".join(f"l{i}x{k}" for k in range(40)) + middle + " ".join(f"r{i}x{k}" for k in range(40))
+
+    units = ["-", "~", "*", "=+", "0,1,", "abcdefghijk", "".join(chr(48 + k) for k in range(69)), "#", "%"]
+    sizes = [101, 150, 99 + 2 * 93, 102, 192, 130, 170, 192, 400]
+    rows = list(enumerate(around(i, (u * size)[:size]) for i, (u, size) in enumerate(zip(units, sizes))))
+    want = bytes_brute(rows)
+    assert [r[2] > 0 for r in want] == [True] * len(rows)
+    assert sorted(map(tuple, remove_repeated_bytes(docs(rows)).collect())) == want
+
+    period = lambda i, p, size: " " + " ".join(f"w{i}p{k % p}" for k in range(size)) + " "
+    sizes = [(1, 36), (2, 40), (3, 66), (5, 50), (28, 63), (28, 66), (1, 34 + 64), (2, 66)]
+    rows = list(enumerate(around(i, period(i, p, size)) for i, (p, size) in enumerate(sizes)))
+    want = words_brute(rows)
+    assert all(r[2] == size for r, (p, size) in zip(want, sizes))
+    assert sorted(map(tuple, kept_words(docs(rows)).collect())) == want
