@@ -8,18 +8,16 @@ Each of ``TREES`` trees labels a node by ``DEPTH`` minhash values and holds the
 labels as a sorted prefix trie. Two nodes of similarity s share the first d
 values of a tree with probability s**d; the prefix that must match is shortened
 from ``DEPTH`` until the chance that some tree brings two nodes at the threshold
-together, 1 - (1 - s**d)**TREES, reaches the target recall. Below such a prefix
-nodes lie in order of their further values, and a node is compared with its
-nearest neighbours there, longest common prefix first, and with the first node
-of the prefix; so a prefix of m nodes gives a multiple of m pairs, not m * m.
-Crowded prefixes are split by hash, their parts' first nodes compared with the
-first of all.
-
-Candidates are verified on the whole sets in two rounds: first each node with
-its smallest and its most frequent neighbour, then every candidate that still
-lies between different groups. Candidates inside one group cannot change the
-groups and are not verified again. Verified links make groups (connected
-components), found by repeated contraction to smaller ids.
+together, 1 - (1 - s**d)**TREES, reaches the target recall. All pairs of nodes
+below such a prefix are verified on the whole sets: those of a prefix of at most
+LISTED nodes are listed, once for all trees, and their texts brought together;
+a crowded prefix is split by hash into parts of about CROWD nodes, and each two
+parts are compared as one block, which sends on the number of links of each node
+and links enough to join what it found similar, not the pairs. So a crowd of m
+nodes costs m * m comparisons, and m * m / CROWD copies of its texts, a tree.
+
+Links make groups (connected components), found by repeated contraction to
+smaller ids.
 
 Results in cases of doubt: words are taken unchanged; a text without words, or a
 null one, is alone in its group, as is a row without doc_id, whose group is
@@ -38,8 +36,9 @@ from shopsignals.llm.kernels import M1, M2, M3, U, batch, grams, groups, mix, te
 from shopsignals.llm.tables import ship, store
 
 WORDS, TREES, DEPTH = 5, 16, 6
-NEAR = 4  # neighbours in trie order that a node is compared with
-CROWD = 512  # nodes of a prefix kept together
+LISTED = 16  # most nodes of a prefix whose pairs are listed; more are compared in blocks
+CROWD = 512  # nodes of a part of a crowded prefix; a block holds two parts
+COLUMNS = 4096  # shingles compared at once in a block
 BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (8 bytes each)
 HASHES = TREES * DEPTH
 _rnd = np.random.default_rng(7)
@@ -78,7 +77,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> tuple[n
 def _sign(threshold: float, recall: float):
     depth = prefix_depth(threshold, recall)
     schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()),
-                        ("labels", pa.list_(pa.struct([("key", pa.int64()), ("rest", pa.int64())])))])
+                        ("labels", pa.list_(pa.int64()))])
 
     def apply(batches):
         for b in batches:
@@ -99,47 +98,131 @@ def _sign(threshold: float, recall: float):
                 key = np.arange(1, TREES + 1, dtype=np.uint64) * M3 + np.zeros((len(head), 1), U)
                 for k in range(depth):
                     key = mix(key, low[:, :, k] + U(k + 1))
-                rest = np.zeros_like(key)
-                for k in range(depth, min(depth + 2, DEPTH)):
-                    rest = (rest << U(32)) | low[:, :, k]
                 own = mix(g, g ^ M3)
                 f1, f2 = np.add.reduceat(own, head), np.bitwise_xor.reduceat(own * M2, head)
-                labels = pa.ListArray.from_arrays(np.arange(0, key.size + 1, TREES, dtype=np.int32), pa.StructArray.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64))], ["key", "rest"]))
+                labels = pa.ListArray.from_arrays(np.arange(0, key.size + 1, TREES, dtype=np.int32), pa.array(key.ravel().view(np.int64)))
                 yield batch(schema, doc[i + r[head]], f1, f2, np.diff(np.append(head, len(g))), labels)
     return apply
 
 
-def _neighbours(threshold: float):
-    """Scan of trie rows sorted by (key, part, rest, node): candidate pairs."""
+def _all_pairs(threshold: float):
+    """Scan of rows sorted by (key, node), of at most LISTED a key: all pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def apply(batches):
-        held = None  # the first node of the last part, and the NEAR rows before
+        held = None  # the last LISTED rows
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "node", "n", "first")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n")]
             old = 0
             if held is not None:
                 old = len(held[0])
                 cols = [np.concatenate((x, c)) for x, c in zip(held, cols)]
-            key, part, node, n, first = cols
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-            head = np.flatnonzero(new)
-            own = head[np.cumsum(new) - 1]
-            i = np.arange(len(key))
-            pairs = [np.stack((i, own))[:, (i - own > NEAR) & (i >= old)]]
-            for k in range(1, NEAR + 1):
-                pairs.append(np.stack((i, i - k))[:, (i - own >= k) & (i >= old)])
-            p, q = np.concatenate(pairs, axis=1)
-            close = np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q])  # else no set is that similar
-            x, y = node[p[close]], node[q[close]]
-            lead = new & (i >= old) & (first != node)
-            x, y = np.concatenate((x, node[lead])), np.concatenate((y, first[lead]))
-            yield batch(schema, np.minimum(x, y), np.maximum(x, y))
-            start = head[-1]
-            keep = np.unique(np.concatenate(([start], np.arange(max(start, len(key) - NEAR), len(key)))))
-            held = [c[keep] for c in cols]
+            key, node, n = cols
+            for k in range(1, LISTED):
+                i = np.arange(max(old, k), len(key))
+                i = i[key[i] == key[i - k]]
+                j = i - k
+                close = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])  # else no set is that similar
+                yield batch(schema, node[j[close]], node[i[close]])
+            held = [c[-LISTED:] for c in cols]
+    return apply
+
+
+def _common(values: np.ndarray, row: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of values that each of the rows ``left`` has in common with each of
+    ``right``; the values of a row are distinct."""
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    _, at = np.unique(at[shared], return_inverse=True)
+    row = row[shared]
+    o = np.argsort(at, kind="stable")
+    at, row = at[o], row[o]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2 ** 24
+    for c in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        i, j = np.searchsorted(at, (c, c + COLUMNS))
+        held = np.zeros((rows, COLUMNS), np.float32)
+        held[row[i:j], at[i:j] - c] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (parent, child) that join what ``linked`` (symmetric) joins, from the
+    first row of each component outwards."""
+    left = np.ones(len(linked), bool)
+    up, down = [], []
+    for r in range(len(linked)):
+        if not left[r]:
+            continue
+        left[r] = False
+        todo = [r]
+        while todo:
+            x = todo.pop(0)
+            y = np.flatnonzero(linked[x] & left)
+            left[y] = False
+            up.append(np.full(len(y), x))
+            down.append(y)
+            todo += y.tolist()
+    return np.concatenate(up), np.concatenate(down)
+
+
+def _block(key, half, node, crowds, text, threshold: float):
+    """All pairs of one block: links enough to join what is similar, with their
+    similarity, and each node's number of links. A pair is counted only under the
+    smallest crowded prefix that its nodes share."""
+    raw, off = text_buffer(text)
+    parts = [(g, r + i) for i, j in groups(off) for g, r in [shingle_sets(raw, off[i:j + 1])]]
+    g, r = (np.concatenate(x) for x in zip(*parts))
+    m, n = len(node), np.bincount(r, minlength=len(node))
+    one = half[0] == half[-1]
+    left, right = (np.arange(m), np.arange(m)) if one else (np.flatnonzero(half == half[0]), np.flatnonzero(half != half[0]))
+    both = _common(g, r, m, left, right).astype(np.float64)
+    s = both / np.maximum(n[left][:, None] + n[right][None, :] - both, 1)
+    ok = s >= threshold
+    if one:
+        np.fill_diagonal(ok, False)
+    size = np.diff(crowds.offsets.to_numpy())
+    k, row = crowds.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(m), size)
+    counted = ok & (_common(k[k < key], row[k < key], m, left, right) == 0)
+    degree = np.zeros(m, np.int64)
+    degree[left] += counted.sum(1)
+    if not one:
+        degree[right] += counted.sum(0)
+    full, value = np.zeros((m, m), bool), np.zeros((m, m))
+    full[np.ix_(left, right)], value[np.ix_(left, right)] = ok, s
+    o = np.argsort(node)
+    up, down = (o[x] for x in _spanning((full | full.T)[np.ix_(o, o)]))
+    return node[up], node[down], np.maximum(value[up, down], value[down, up]), degree
+
+
+def _blocks(threshold: float):
+    """Scan of rows sorted by (key, lo, hi, part, node): a row a link (a, b,
+    similarity), and a row a node (a, links). One block is held at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("links", pa.int64())])
+
+    def done(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        part, node = (t.column(c).to_numpy() for c in ("part", "node"))
+        a, b, s, degree = _block(t.column("key")[0].as_py(), part, node, t.column("crowds").combine_chunks(),
+                                 t.column("text").combine_chunks(), threshold)
+        yield batch(schema, np.minimum(a, b), np.maximum(a, b), s, np.zeros(len(a), np.int64))
+        yield batch(schema, node, node, np.ones(len(node)), degree)
+
+    def apply(batches):
+        held, last = [], None
+        for b in batches:
+            block = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")])
+            edges = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if j == i:
+                    continue
+                if held and last != tuple(block[:, i]):
+                    yield from done(held)
+                    held = []
+                last = tuple(block[:, i])
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from done(held)
     return apply
 
 
@@ -194,55 +277,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return store(full.select("a", "b", "ta", "tb").mapInArrow(_similar(threshold), "a long, b long, similarity double"), "links")
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _joined(documents: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members, links, roots): the node of every document (doc_id, node), the
-    verified links between nodes (a, b, similarity), and the groups of linked
-    nodes (node, root)."""
+    verified links between nodes (a, b, similarity) that make the groups, the groups
+    of linked nodes (node, root), and all links of each node (node, n_links)."""
     ship(documents.sparkSession)
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store(texts.mapInArrow(_sign(threshold, recall), "doc_id long, f1 long, f2 long, n long, "
-                                    "labels array<struct<key: long, rest: long>>"), "signatures")
+                                    "labels array<long>"), "signatures")
     # stored, so that the joins below read two exchanges and a large class can be split
     classes = store(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     members = store(signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).groupBy("doc_id").agg(F.min("node").alias("node")), "members")
     named = classes.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "node")
     nodes = store(signed.join(named, (signed["doc_id"] == named["node"]) & (signed["f1"] == named["_f1"]) & (signed["f2"] == named["_f2"]))
                   .groupBy("node").agg(F.first("n").alias("n"), F.first("labels").alias("labels")), "nodes")
-    rows = nodes.select("node", "n", F.inline("labels"))
-    crowds = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("first")).where("many > 1")
-              .withColumnRenamed("key", "_key"))
-    rows = rows.join(crowds, rows["key"] == crowds["_key"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / CROWD)))
-    first = F.when(F.col("many") > CROWD, F.col("first")).otherwise(F.lit(None))
-    pairs = (rows.select("key", "part", "rest", "node", "n", F.coalesce(first, F.col("node")).alias("first"))
-             .repartition("key", "part").sortWithinPartitions("key", "part", "rest", "node")
-             .mapInArrow(_neighbours(threshold), "a long, b long"))
-    pairs = store(pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")), "candidates")
-    both = pairs.select("a", "b", "trees").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees"))
-    chosen = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("v"), F.max(F.struct("trees", (-F.col("b")).alias("m"))).alias("best"))
-    near = F.explode(F.array("v", -F.col("best.m"))).alias("v")
-    chosen = chosen.select("u", near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    chosen = store(chosen, "first-round")
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    rows = nodes.select("node", "n", F.explode("labels").alias("key"))
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("key", "_key")
+    rows = store(rows.join(many, rows["key"] == many["_key"]).select("key", "many", "node", "n"), "prefixes")
+    crowded = rows.where(F.col("many") > LISTED)
+    crowds = store(crowded.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("crowds")), "crowds")
+    pairs = (rows.where(F.col("many") <= LISTED).select("key", "node", "n").repartition("key").sortWithinPartitions("key", "node")
+             .mapInArrow(_all_pairs(threshold), "a long, b long").distinct())
+    ca, cb = (crowds.select(F.col("node").alias(f"_{c}"), F.col("crowds").alias(f"c{c}")) for c in "ab")
+    # pairs that share a crowded prefix are counted in its blocks
+    pairs = store(pairs.join(ca, F.col("a") == F.col("_a"), "left").join(cb, F.col("b") == F.col("_b"), "left")
+                  .where("not coalesce(arrays_overlap(ca, cb), false)").select("a", "b"), "candidates")
+    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)  # beyond that the texts are exchanged by node
     bodies = store(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    links = _verified(chosen, bodies, threshold)
-    roots = components(links)
-    ra, rb = (roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = (pairs.join(chosen, ["a", "b"], "left_anti").join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
-            .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
-    links = links.unionByName(_verified(store(rest, "second-round"), bodies, threshold))
-    return members, links, components(links)
+    listed = _verified(pairs, bodies, threshold)
+    parts = F.ceil(F.col("many") / CROWD)
+    blocks = (crowded.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+              .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node")
+              .join(crowds, "node").join(bodies.select("node", "text"), "node"))
+    found = store(blocks.select("key", "lo", "hi", "part", "node", "crowds", "text").repartition("key", "lo", "hi")
+                  .sortWithinPartitions("key", "lo", "hi", "part", "node")
+                  .mapInArrow(_blocks(threshold), "a long, b long, similarity double, links long"), "blocks")
+    links = store(listed.unionByName(found.where("a <> b").select("a", "b", "similarity").dropDuplicates(["a", "b"])), "links")
+    degree = (listed.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
+              .unionByName(found.where("a = b").select(F.col("a").alias("node"), "links"))
+              .groupBy("node").agg(F.sum("links").alias("n_links")))
+    return members, links, components(links), degree
+
+
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, roots) of ``_joined``."""
+    return _joined(documents, threshold, recall)[:3]
 
 
-def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of its group),
     text_id (smallest doc_id of its text class) and n_links (verified links of its
-    text to other texts; those inside a group that was already joined are not
-    looked for)."""
-    members, links, roots = near_duplicates(documents, threshold, recall)
-    degree = (links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("n_links")))
+    text to other texts)."""
+    members, _, roots, degree = _joined(documents, threshold, recall)
+    degree = degree.withColumnRenamed("node", "_d")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     m = members.withColumnRenamed("doc_id", "_m")
     r = roots.withColumnRenamed("node", "_r")
@@ -252,7 +341,7 @@ def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999)
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def keep_one(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The documents without those that have a smaller doc_id in their group."""
     members, _, roots = near_duplicates(documents, threshold, recall)
     r = roots.withColumnRenamed("node", "_r")

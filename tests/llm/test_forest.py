@@ -105,3 +105,53 @@ def test_keep_one_and_empty(docs):
 
 def test_depth_reaches_recall():
     assert M.prefix_depth(0.8, 0.999) == 4 and M.prefix_depth(0.8, 0.99999) < 4 and M.prefix_depth(0.99, 0.9) == M.DEPTH
+
+
+def template_corpus(seed, n=560, pairs=30):
+    """Texts that share three quarters of a pair's union, and pairs above 0.8."""
+    rnd = random.Random(seed)
+    template = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        own = [f"o{i}x{k}" for k in range(42)]
+        rows.append(template + own)
+        if i < pairs:  # a second text: most of the own words too, others at the end
+            rows.append(template + own[:22] + [f"p{i}x{k}" for k in range(20)])
+    rnd.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows, 1)]
+
+
+def degrees(links):
+    out = {}
+    for x in (y for p in links for y in p):
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
+def test_template_shared_by_many_texts(docs):
+    rows = template_corpus(4)
+    want, links = brute(rows)
+    assert len(links) == 30
+    got = {r["doc_id"]: r for r in M.classes(docs(rows)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items() if r["n_links"]} == degrees(links)
+
+
+@pytest.mark.parametrize("crowd", [7, 512])
+def test_numbers_of_links_match_brute_force(docs, monkeypatch, crowd):
+    monkeypatch.setattr(M, "CROWD", crowd)
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = corpus(6, 6, 30)
+    for i in range(1000, 1070):
+        w = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            w[rnd.randrange(150)] = f"v{i}x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(shingles(t)), i)
+    rows = [(i, t) for i, t in rows if sets[frozenset(shingles(t))] == i]  # no equal texts
+    links = brute(rows)[1]
+    assert len(links) > 500
+    assert {r["doc_id"]: r["n_links"] for r in M.classes(docs(rows)).collect() if r["n_links"]} == degrees(links)
