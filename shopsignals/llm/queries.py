@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import adaptive_rules, bucket_refinement, entropy_mixing, license_scan, mil_quality, minhash_forest, packing, rlz_dedup, topk_search, warc
+from shopsignals.llm import (adaptive_rules, bucket_refinement, entropy_mixing, license_scan, mil_quality, minhash_forest, packing, prefix_trie,
+                             rlz_dedup, run_detection, simhash_vptree, topk_search, warc)
 from shopsignals.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,21 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Licences of all documents, by header, licence file or nearest folder."""
     return license_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op11_run_detection")
+def op11(spark, sf_dir):
+    """Periodic runs of words in all documents, runs planted by id included."""
+    return run_detection.run_digests(read(spark, sf_dir, "documents"), rewrite=True)
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt."""
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_simhash_vptree")
+def op13(spark, sf_dir):
+    """SimHash fingerprints and components of all documents at three bits."""
+    return simhash_vptree.components_by_fingerprint(read(spark, sf_dir, "documents"), 3)
