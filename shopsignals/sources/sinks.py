@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsignals.sources.keyed_table import KeyedTable
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite",
                 fmt: str = "parquet") -> None:
@@ -26,50 +28,33 @@ def write_report(spark: SparkSession, report: dict, path: str) -> DataFrame:
     return df
 
 
-def upsert_latest(path: str, key: list[str] | str, order: list[str]):
-    """``foreachBatch`` sink keeping the latest row per key.
-
-    Each batch writes snapshot version ``v=<batch_id>`` = previous snapshot ∪
-    batch, latest row per key. Overwriting the version directory makes a
-    replayed batch idempotent; readers take the highest version.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-
+def upsert_latest(path: str, key: list[str] | str, order: list[str], **options):
+    """``foreachBatch`` sink keeping the latest row per key in a
+    ``KeyedTable`` (its ``options``: buckets, ttl_seconds, time_col)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = read_latest(spark, path, before=batch_id)
-        allr = batch if prev is None else batch.unionByName(prev.select(*batch.columns))
-        others = [c for c in allr.columns if c not in keys]
-        # latest row per key as an aggregate (combined map-side, no window)
-        latest = (allr.groupBy(*keys)
-                  .agg(F.max_by(F.struct(*others), F.struct(*[F.col(o) for o in order])).alias("_r"))
-                  .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
-        latest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        KeyedTable(batch.sparkSession, path, key, order, **options).upsert(batch, batch_id)
 
     return run
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(hconf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete snapshot version under ``path`` (optionally < ``before``)."""
-    vs = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={vs[-1]}") if vs else None
-
-
-def log_prices(df: DataFrame, path: str, ts_col: str = "timestamp") -> None:
-    """Append pricing decisions, partitioned by date."""
-    df.withColumn("date", F.to_date(F.col(ts_col))).write.mode("append").partitionBy("date").parquet(path)
+def read_latest(spark: SparkSession, path: str, keys: DataFrame | None = None, as_of=None) -> DataFrame | None:
+    """The latest row per key under ``path`` (None before the first batch), of
+    ``keys`` only where given. A snapshot that a batch job wrote whole as
+    ``v=<n>`` is read as well: the highest ``n``."""
+    table = KeyedTable(spark, path)
+    if table.versions():
+        return table.read(keys, as_of)
+    whole = sorted(int(n[2:]) for n in table.files.names(path) if n.startswith("v=") and "_SUCCESS" in table.files.names(f"{path}/{n}"))
+    return spark.read.parquet(f"{path}/v={whole[-1]}") if whole else None
+
+
+def log_prices(df: DataFrame, path: str, ts_col: str = "timestamp", batch_id: int | None = None) -> None:
+    """Append pricing decisions, partitioned by date. With ``batch_id`` (a
+    micro-batch) they go to the batch's own partitions of each date, which a
+    retry of the batch writes over, so that no decision is logged twice."""
+    dated = df.withColumn("date", F.to_date(F.col(ts_col)))
+    if batch_id is None:
+        dated.write.mode("append").partitionBy("date").parquet(path)
+    else:
+        (dated.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date", "batch_id").parquet(path))
