@@ -101,11 +101,17 @@ def price_requests(req: DataFrame, products: DataFrame, features: DataFrame,
     c = competitor.select("product_id", F.col("min").alias("competitor_min"))
     j = (req.join(products.select("product_id", "base_price"), "product_id", "inner")
             .join(f, "session_id", "left").join(c, "product_id", "left"))
+    return decide_prices(j)
+
+
+def decide_prices(j: DataFrame) -> DataFrame:
+    """I4 after the lookups: requests with base_price, competitor_min and the
+    session's features (null: defaults) -> price, reason, variant, discount."""
     j = (j.withColumn("intent_probability", F.coalesce("intent_probability", F.lit(DEFAULT_INTENT)))
           .withColumn("engagement_score", F.coalesce("engagement_score", F.lit(DEFAULT_ENGAGEMENT)))
           .withColumn("wtp_estimate", F.coalesce("wtp_estimate", F.lit(DEFAULT_WTP))))
     j = price_reason(apply_price_rules(session_price(j)))
-    j = j.withColumn("variant", F.coalesce("variant", F.lit("A")) if "variant" in req.columns else F.lit("A"))
+    j = j.withColumn("variant", F.coalesce("variant", F.lit("A")) if "variant" in j.columns else F.lit("A"))
     return j.withColumn("discount_pct", discount_pct("final_price", "base_price"))
 
 

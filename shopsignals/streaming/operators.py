@@ -3,27 +3,21 @@
 Each has a batch twin in ``shopsignals.operators`` and the tests run both on
 the same events. The reference's feature hashes expire a fixed time after
 their last write; here an event after a longer gap starts the key's value
-over (vectorised per batch), and the state itself is dropped by an
-event-time timeout, so replays give identical results. Keyed state lives in
-Spark's state store (checkpointed with the query), so a lost executor
-replays from the checkpoint; sinks write by batch id, so a replayed batch
-overwrites instead of duplicating.
+over, and the state itself is dropped by an event-time timer, so replays give
+identical results. Keyed state (``keyed_state``) lives in Spark's state store
+(checkpointed with the query), so a lost executor replays from the checkpoint;
+sinks write by batch id, so a replayed batch overwrites instead of duplicating.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shopsignals.functions.columns import LIVE_EVENT_TYPES, event_weight
-from shopsignals.operators.pricing import price_requests, session_wtp_expr
+from shopsignals.operators.pricing import decide_prices, discount_pct, price_requests, session_wtp_expr
 from shopsignals.operators.sessions import engagement_expr, intent_expr
+from shopsignals.streaming.keyed_state import Affinity, CompetitorRange, Lookup, PriceCache, RunningLength, with_state
 
 SESSION_TTL_MS = 30 * 60 * 1000
 AFFINITY_TTL_MS = 24 * 60 * 60 * 1000
@@ -55,55 +49,8 @@ def valid_clicks(stream: DataFrame, watermark: str = "30 minutes", dedupe: bool
 
 
 # ------------------------------------------------------------------------ K2
-_SESSION_OUT = T.StructType([
-    T.StructField("session_id", T.StringType()), T.StructField("event_id", T.LongType()),
-    T.StructField("timestamp", T.TimestampType()), T.StructField("user_id", T.LongType()),
-    T.StructField("product_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("session_length", T.LongType())])
-_SESSION_STATE = T.StructType([T.StructField("length", T.LongType()), T.StructField("last_ms", T.LongType())])
-
-
-def _expiry_ms(ms: np.ndarray, ttl_ms: int, state: GroupState) -> int:
-    """TTL after the newest event of the key; a late event (older than the
-    watermark) still updates the state, and its expiry moves just past the
-    watermark."""
-    exp = int(np.max(ms)) + ttl_ms
-    return max(exp, int(state.getCurrentWatermarkMs()) + 1)
-
-
-def _segments(ms_col: pd.Series, last, ttl_ms: int) -> np.ndarray:
-    """Vectorised gap segmentation of one key's ordered events: 0 = continues
-    the stored state, k > 0 = the k-th restart after a gap over the TTL.
-    ``ms_col`` is epoch milliseconds computed by Spark (``unix_millis``), so
-    the clock does not depend on the session time zone."""
-    ms = ms_col.astype("int64").to_numpy()
-    prev = np.concatenate([[ms[0] if last is None else last], ms[:-1]])
-    new = (ms - prev) > ttl_ms
-    if last is None:
-        new[0] = True
-    return np.cumsum(new), ms
-
-
-def _session_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per session: running length across micro-batches. A gap of more than
-    30 minutes since the session's previous event restarts the count (the
-    feature hash has expired); the state itself is dropped by an event-time
-    timeout once the watermark passes last event + 30 minutes."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    n, last = state.get if state.exists else (0, None)
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort").reset_index(drop=True)
-    seg, ms = _segments(pdf["_ms"], last, SESSION_TTL_MS)
-    pos = pd.Series(seg).groupby(seg).cumcount().to_numpy() + 1
-    pdf["session_length"] = pos + np.where(seg == 0, n, 0)
-    n, last = int(pdf["session_length"].iloc[-1]), int(ms[-1])
-    state.update((n, last))
-    state.setTimeoutTimestamp(_expiry_ms(ms, SESSION_TTL_MS, state))
-    yield pdf[[f.name for f in _SESSION_OUT.fields]]
+_SESSION_OUT = ("session_id string, event_id long, timestamp timestamp, user_id long, product_id long, event_type string, "
+                "session_length long")
 
 
 def session_features(stream: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -111,11 +58,10 @@ def session_features(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     the running counter; engagement, intent and WTP are native columns after
     it and the catalog join is stream-static."""
     ev = stream.where(F.col("session_id").isNotNull() & (F.col("session_id") != "")) \
-               .select(*[f.name for f in _SESSION_OUT.fields if f.name != "session_length"],
-                       F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms")) \
+               .select("session_id", "event_id", "timestamp", "user_id", "product_id", "event_type",
+                       F.unix_millis(F.col("timestamp").cast("timestamp")).alias("at_ms")) \
                .withWatermark("timestamp", "30 minutes")
-    counted = ev.groupBy("session_id").applyInPandasWithState(
-        _session_step, _SESSION_OUT, _SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    counted = with_state(ev, ["session_id"], RunningLength(SESSION_TTL_MS), _SESSION_OUT)
     cat = catalog.select(F.col("sku_id").alias("_sku"), F.col("base_price_usd").alias("_base"))
     j = counted.join(cat, counted["product_id"] == cat["_sku"], "left")
     return (j.withColumn("engagement_score", engagement_expr("session_length", "event_type"))
@@ -151,36 +97,6 @@ def affinity_stream(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.groupBy("user_id", "category").agg(F.sum(event_weight("event_type", "live")).alias("score"))
 
 
-_AFF_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("category", T.StringType()),
-                         T.StructField("score", T.DoubleType())])
-_AFF_STATE = T.StructType([T.StructField("categories", T.ArrayType(T.StringType())),
-                           T.StructField("scores", T.ArrayType(T.DoubleType())),
-                           T.StructField("last_ms", T.LongType())])
-
-
-def _affinity_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per user: category scores; a gap over 24 h since the user's previous
-    increment means the hash expired, so scoring starts over."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    cats0, scores0, last = state.get if state.exists else ([], [], None)
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["timestamp", "event_id"], kind="mergesort").reset_index(drop=True)
-    seg, ms = _segments(pdf["_ms"], last, AFFINITY_TTL_MS)
-    tail = pdf[seg == seg[-1]]  # only the last segment survives the batch
-    scores = dict(zip(cats0, scores0)) if seg[-1] == 0 else {}
-    for cat, w in tail.groupby("category", sort=False)["_w"].sum().items():
-        scores[cat] = scores.get(cat, 0.0) + float(w)
-    last = int(ms[-1])
-    cats = sorted(scores)
-    state.update((cats, [scores[c] for c in cats], last))
-    state.setTimeoutTimestamp(_expiry_ms(ms, AFFINITY_TTL_MS, state))
-    yield pd.DataFrame({"user_id": [key[0]] * len(cats), "category": cats, "score": [scores[c] for c in cats]})
-
-
 def affinity_stream_ttl(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     """K5 with the 24 h idle expiry (the ``user_affinity(ttl_seconds=86400)``
     twin): keyed state per user, update mode, every touched user re-emitted
@@ -189,58 +105,24 @@ def affinity_stream_ttl(stream: DataFrame, catalog: DataFrame) -> DataFrame:
     ev = stream.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     j = (ev.join(cat, ev["product_id"] == cat["_sku"], "inner").where(F.col("category").isNotNull())
            .select("user_id", "category", "timestamp", "event_id",
-                   F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms"),
-                   event_weight("event_type", "live").alias("_w"))
+                   F.unix_millis(F.col("timestamp").cast("timestamp")).alias("at_ms"),
+                   event_weight("event_type", "live").alias("weight"))
            .withWatermark("timestamp", "24 hours"))
-    return j.groupBy("user_id").applyInPandasWithState(
-        _affinity_step, _AFF_OUT, _AFF_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return with_state(j, ["user_id"], Affinity(AFFINITY_TTL_MS), "user_id long, category string, score double", "update")
 
 
 # ------------------------------------------------------------------------ K6
-_COMP_OUT = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("min", T.DoubleType()),
-                          T.StructField("max", T.DoubleType()), T.StructField("n_competitors", T.LongType())])
-_COMP_STATE = T.StructType([T.StructField("competitors", T.ArrayType(T.StringType())),
-                            T.StructField("prices", T.ArrayType(T.DoubleType())),
-                            T.StructField("last_ms", T.LongType())])
-
-
-def _competitor_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per product: latest price per competitor (arrival order), min/max; the
-    product's state expires 6 hours after its last update."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    comps0, prices0, last = state.get if state.exists else ([], [], None)
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    # arrival order (the message sequence), as the reference applies messages;
-    # a gap over the TTL means the product hash expired: start over
-    pdf = pdf.sort_values(["seq", "timestamp", "_p"], kind="mergesort").reset_index(drop=True)
-    seg, ms = _segments(pdf["_ms"], last, COMPETITOR_TTL_MS)
-    tail = pdf[seg == seg[-1]].drop_duplicates("competitor", keep="last")
-    prices = dict(zip(comps0, prices0)) if seg[-1] == 0 else {}
-    prices.update({c: float(p) for c, p in zip(tail["competitor"], tail["_p"])})
-    last = int(ms[-1])
-    comps = sorted(prices)
-    state.update((comps, [prices[c] for c in comps], last))
-    state.setTimeoutTimestamp(_expiry_ms(ms, COMPETITOR_TTL_MS, state))
-    vals = list(prices.values())
-    yield pd.DataFrame({"product_id": [key[0]], "min": [min(vals)], "max": [max(vals)],
-                        "n_competitors": [len(vals)]})
-
-
 def competitor_stream_state(stream: DataFrame) -> DataFrame:
     """K6: running competitor min/max per product (the D25 twin). Rows with
     an unparseable price or an empty product id are dropped first."""
-    s = stream.withColumn("_p", F.col("price").cast("string").try_cast("double")) \
-              .where(F.col("_p").isNotNull() & F.col("product_id").isNotNull()) \
+    s = stream.withColumn("value", F.col("price").cast("string").try_cast("double")) \
+              .where(F.col("value").isNotNull() & F.col("product_id").isNotNull()) \
               .withColumn("competitor", F.coalesce("competitor", F.lit("unknown"))) \
-              .select("product_id", "competitor", "_p", "timestamp", "seq",
-                      F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms")) \
+              .select("product_id", "competitor", "value", "timestamp", "seq",
+                      F.unix_millis(F.col("timestamp").cast("timestamp")).alias("at_ms")) \
               .withWatermark("timestamp", "6 hours")
-    return s.groupBy("product_id").applyInPandasWithState(
-        _competitor_step, _COMP_OUT, _COMP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return with_state(s, ["product_id"], CompetitorRange(COMPETITOR_TTL_MS),
+                      "product_id long, min double, max double, n_competitors long", "update")
 
 
 # ------------------------------------------------------------------------ K7
@@ -251,9 +133,70 @@ def live_kpis(stream: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ K8
+_REQUEST = "event_id long, timestamp timestamp, product_id long, user_id long, session_id string, variant string"
+_FEATURES = ["intent_probability", "engagement_score", "wtp_estimate"]
+
+
+def _tagged(requests: DataFrame, updates: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Requests and updates as rows of one stream; what an update lacks of a
+    request is filled in (a null would turn the frames' integers into floats)."""
+    empty = {"long": F.lit(0), "string": F.lit("")}
+    columns = [c.split() for c in _REQUEST.split(", ")]
+    fill = [F.coalesce(F.col(n), empty[t]).cast(t).alias(n) if n in (key, "event_id") and n in updates.columns
+            else F.col(n) if t == "timestamp" else empty[t].cast(t).alias(n) for n, t in columns]
+    both = updates.select(*fill, F.lit(False).alias("is_request"), *[F.col(n).cast("double").alias(n) for n in names])
+    rest = [c for c in requests.columns if c not in [n for n, _ in columns] + names]
+    both = both.withColumns({c: F.lit(None).cast(requests.schema[c].dataType) for c in rest})
+    asked = requests.withColumn("is_request", F.lit(True)).withColumns({n: F.lit(None).cast("double") for n in names})
+    return both.unionByName(asked).withColumn("at_ms", F.unix_millis("timestamp"))
+
+
+def price_stream(requests: DataFrame, features: DataFrame, competitor: DataFrame, products: DataFrame, delay: str = "10 minutes",
+                 feature_ttl_ms: int = SESSION_TTL_MS, competitor_ttl_ms: int = COMPETITOR_TTL_MS, cache_ttl_ms: int = 60_000) -> DataFrame:
+    """K8: price requests as they come (append mode), the stream form of
+    ``price_requests`` and ``serve_cached``.
+
+    requests: event_id, timestamp, product_id, user_id, session_id, optionally
+    variant; features: session updates as ``session_features`` gives them;
+    competitor: (timestamp, product_id, min) as ``competitor_stream_state`` does;
+    products: a table (product_id, base_price).
+
+    Three keyed states, each fed by one tagged stream: a request meets the latest
+    features of its session, then the latest competitor price of its product, and
+    is priced; then the price given to its user for its product less than
+    ``cache_ttl_ms`` before, if there is one, replaces its own. Nothing is read
+    again from a snapshot. A value is out of date its time to live after the
+    update. Requests later than the watermark (``delay``) are dropped, as are those
+    without an id or of an unknown product.
+    """
+    asked = requests.withColumn("variant", F.coalesce("variant", F.lit("A")) if "variant" in requests.columns else F.lit("A"))
+    for c in ("event_id", "timestamp", "product_id", "user_id", "session_id"):
+        asked = asked.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    columns = [c.split() for c in _REQUEST.split(", ")]
+    asked = asked.select(*[F.col(n).cast(t).alias(n) for n, t in columns])
+    wanted = [n for n, _ in columns]
+    known = features.where(F.col("session_id").isNotNull() & F.col("timestamp").isNotNull())
+    met = _tagged(asked, known, "session_id", _FEATURES).withWatermark("timestamp", delay)
+    met = with_state(met, ["session_id"], Lookup(feature_ttl_ms, _FEATURES, [*wanted, *_FEATURES]),
+                     f"{_REQUEST}, {', '.join(f'{n} double' for n in _FEATURES)}", event_time="timestamp")
+    offers = competitor.where(F.col("product_id").isNotNull() & F.col("timestamp").isNotNull()).withColumn("competitor_min", F.col("min"))
+    met = _tagged(met, offers.withWatermark("timestamp", delay), "product_id", ["competitor_min"])
+    met = with_state(met, ["product_id"], Lookup(competitor_ttl_ms, ["competitor_min"], [*wanted, *_FEATURES, "competitor_min"]),
+                     f"{_REQUEST}, {', '.join(f'{n} double' for n in _FEATURES)}, competitor_min double", event_time="timestamp")
+    known_products = products.select(F.col("product_id").alias("known_id"), F.col("base_price").cast("double").alias("base_price"))
+    priced = decide_prices(met.join(known_products, met["product_id"] == known_products["known_id"], "inner").drop("known_id"))
+    numbers = ["base_price", *_FEATURES, "competitor_min", "raw_price", "final_price"]
+    out = f"{_REQUEST}, {', '.join(f'{n} double' for n in numbers)}, rule_reason string, reason string"
+    names = [c.split()[0] for c in out.split(", ")]
+    priced = priced.select(*names, F.unix_micros("timestamp").alias("at_us"))
+    served = with_state(priced, ["product_id", "user_id"], PriceCache(cache_ttl_ms, [*names, "cache_hit"]), f"{out}, cache_hit boolean")
+    return served.withColumn("discount_pct", discount_pct("final_price", "base_price"))
+
+
 def price_stream_batch(products: DataFrame, features_path: str, competitor_path: str, log_path: str):
-    """K8: ``foreachBatch`` function pricing each micro-batch of requests from
-    the latest feature and competitor snapshots, appending to the price log.
+    """K8 from tables: ``foreachBatch`` function pricing each micro-batch of
+    requests from the keyed tables (A12) of features and competitor prices, of
+    which it reads what can hold the batch's keys, into the price log.
 
     Writes go to ``log_path/batch_id=<n>`` with overwrite, so a replayed batch
     replaces its own output (idempotent under retries).
@@ -262,8 +205,8 @@ def price_stream_batch(products: DataFrame, features_path: str, competitor_path:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        feats = read_latest(spark, features_path)
-        comp = read_latest(spark, competitor_path)
+        feats = read_latest(spark, features_path, batch.select("session_id").where("session_id is not null"))
+        comp = read_latest(spark, competitor_path, batch.select("product_id").where("product_id is not null"))
         if feats is None:  # no session written yet: defaults apply
             feats = spark.createDataFrame([], "session_id string, intent_probability double, "
                                               "engagement_score double, wtp_estimate double")
