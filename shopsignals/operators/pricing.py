@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shopsignals.functions.columns import clip, round_to
 
@@ -119,45 +118,67 @@ def serve_cached(priced: DataFrame, ttl_seconds: int = 60, order=("timestamp", "
     """I4: ``priced`` requests as the service answers them in ``order``, with
     ``cache_hit``. A request less than ``ttl_seconds`` after the last price
     computed for its product and user gets that price and reason again; a hit
-    does not prolong the entry.
-
-    Whether a request is a hit depends on all before it, but not across a pause
-    longer than the TTL. So the requests of a product and user are cut at such
-    pauses (``running_position``, which splits a large key), and each stretch is
-    a sorted scan that remembers one price. A stretch without any pause is one
-    task's scan, whatever its length.
+    does not prolong the entry. A request without a time is computed, for itself.
+
+    Whether a request is computed depends on all before it. Its successor is the
+    first request at least the time to live later; the computed requests are the
+    first one after each pause over the time to live, and the successors of
+    computed ones. These chains are followed by doubling: successors of 1, 2, 4 ..
+    steps are tables, joined from the longest down, so a stretch without a pause
+    costs a number of joins that grows with the logarithm of its length, each
+    spread over all tasks by request. Time is cut into slots of one time to live:
+    a successor is in the next two slots, and a slot holds at most one computed
+    request of a product and user, so that no step sees more than the requests of
+    one product and user in one slot together.
     """
     from shopsignals.operators.sessions import _gap_clock, _positions
-
-    ttl_us = int(ttl_seconds) * 1_000_000
-    cut = _positions(priced.withColumn("_pair", F.struct("product_id", "user_id")), "_pair", order, ttl_seconds, order[0])
-    cut = (cut.withColumn("_us", _gap_clock(order[0])).repartition("_pair", "_start")
-              .sortWithinPartitions("_pair", "_start", *order).drop("_pair"))
-
-    def scan(batches):
-        import pyarrow as pa
-
-        stretch = since = answer = None
-        for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in ("product_id", "user_id", "_start")))
-            fresh = zip(*(b.column(c).to_pylist() for c in ("_us", "final_price", "reason")))
-            hits, prices, reasons = [], [], []
-            for key, (at, price, reason) in zip(keys, fresh):
-                hit = key == stretch and at < since + ttl_us
-                if not hit:
-                    stretch, since, answer = key, at, (price, reason)
-                hits.append(hit)
-                prices.append(answer[0])
-                reasons.append(answer[1])
-            for name, values in (("final_price", prices), ("reason", reasons)):
-                i = b.schema.get_field_index(name)
-                b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type))
-            b = b.drop_columns(["_start", "_us"])
-            yield b.append_column("cache_hit", pa.array(hits, pa.bool_()))
-
-    out = T.StructType([*priced.schema.fields, T.StructField("cache_hit", T.BooleanType())])
-    return (cut.select(*priced.columns, "_start", "_us").mapInArrow(scan, out)
-               .withColumn("discount_pct", discount_pct("final_price", "base_price")))
+    from shopsignals.session import materialize
+
+    ttl = int(ttl_seconds) * 1_000_000
+    pair = F.struct("product_id", "user_id")
+    timed = priced.withColumn("_pair", pair).withColumn("_us", _gap_clock(order[0]))
+    cut = _positions(timed.where("_us is not null"), "_pair", order, ttl_seconds, order[0])
+    rows = materialize(cut.withColumn("_slot", F.floor(F.col("_us") / ttl)))
+    ids = rows.select("_pair", "_start", "_pos", "_us", "_slot")
+    spans = (ids.groupBy("_pair", "_start").agg((F.max("_us") - F.min("_us")).alias("_span")).where(F.col("_span") >= ttl)
+             .select("_pair", "_start"))
+    steps = [materialize(_successors(ids.join(spans, ["_pair", "_start"], "left_semi"), ttl))]
+    while not steps[-1].isEmpty():
+        again = steps[-1].select("_pair", F.col("_pos").alias("_next"), F.col("_next").alias("_pos2"))
+        steps.append(materialize(steps[-1].join(again, ["_pair", "_next"]).select("_pair", "_pos", F.col("_pos2").alias("_next"))))
+    reached = spans.select("_pair", F.col("_start").alias("_pos"))
+    for step in reversed(steps[:-1]):
+        on = reached.join(step, ["_pair", "_pos"]).select("_pair", F.col("_next").alias("_pos"))
+        reached = materialize(reached.unionByName(on))
+    computed = reached.unionByName(ids.select("_pair", F.col("_start").alias("_pos")).distinct()).distinct()
+    kept = rows.select("_pair", "_pos", "_slot", "final_price", "reason").join(computed, ["_pair", "_pos"], "left_semi")
+    kept = materialize(kept.select("_pair", "_slot", F.struct("_pos", "final_price", "reason").alias("_s")))
+    # the price in force was computed in the request's own slot, at or before it, or in the slot before
+    out = rows.join(kept.withColumnRenamed("_s", "_own"), ["_pair", "_slot"], "left")
+    late = kept.select("_pair", (F.col("_slot") + 1).alias("_slot"), F.col("_s").alias("_before"))
+    out = out.join(late, ["_pair", "_slot"], "left")
+    used = F.when(F.col("_own._pos") <= F.col("_pos"), F.col("_own")).otherwise(F.col("_before"))
+    out = out.withColumn("_used", used).withColumn("cache_hit", F.col("_used._pos") < F.col("_pos"))
+    answer = {"final_price": F.col("_used.final_price"), "reason": F.col("_used.reason")}
+    out = out.select(*[answer.get(c, F.col(c)).alias(c) for c in priced.columns], "cache_hit")
+    out = out.unionByName(timed.where("_us is null").select(*priced.columns, F.lit(False).alias("cache_hit")))
+    return out.withColumn("discount_pct", discount_pct("final_price", "base_price"))
+
+
+def _successors(ids: DataFrame, ttl: int) -> DataFrame:
+    """(_pair, _pos, _next): the first request of the stretch at least ``ttl``
+    microseconds after each, where there is one. As no pause in a stretch is longer
+    it lies in the next slot, or is the first of the slot after that."""
+    group = ["_pair", "_start", "_slot"]
+    events = ids.select(*group, "_us", F.col("_pos").alias("_event"), F.lit(None).cast("long").alias("_asks"))
+    asks = ids.select("_pair", "_start", (F.col("_slot") + 1).alias("_slot"), (F.col("_us") + ttl).alias("_us"),
+                      F.lit(None).cast("long").alias("_event"), F.col("_pos").alias("_asks"))
+    # from the slot's end backwards; at equal times an event counts for the request that asks
+    later = Window.partitionBy(*group).orderBy(F.desc("_us"), F.desc_nulls_last("_event")).rowsBetween(Window.unboundedPreceding, 0)
+    found = events.unionByName(asks).withColumn("_next", F.min("_event").over(later)).where("_asks is not null")
+    first = ids.groupBy("_pair", "_start", (F.col("_slot") - 1).alias("_slot")).agg(F.min("_pos").alias("_after"))
+    return (found.join(first, group, "left").select("_pair", F.col("_asks").alias("_pos"), F.coalesce("_next", "_after").alias("_next"))
+            .where("_next is not null"))
 
 
 # ------------------------------------------------------------------------- I5
