@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import round_to
+from shopsignals.operators.ranks import median
+from shopsignals.session import materialize
 
 
 def total_revenue(orders: DataFrame, total: str = "total") -> DataFrame:
@@ -51,15 +53,14 @@ def rfm(orders: DataFrame, as_of, date_col: str = "created_at") -> DataFrame:
     """Recency (days since the last order), frequency (orders),
     monetary (Σ totals); high_spender when monetary ≥ the median over users.
 
-    The median is one scalar subquery over the per-user table, not a window
-    over all users in one partition.
+    The median is one scalar, selected by rank over range-split totals.
     """
     t = F.lit(as_of).cast("date")
-    per = orders.groupBy("email").agg(
+    per = materialize(orders.groupBy("email").agg(
         F.datediff(t, F.max(F.col(date_col)).cast("date")).alias("recency"),
         F.countDistinct("order_id").cast("bigint").alias("frequency"),
-        F.sum("total").alias("monetary"))
-    med = per.select(F.median("monetary")).scalar()
+        F.sum("total").alias("monetary")))
+    med = median(per, "monetary")
     return per.withColumn("segment", F.when(F.col("monetary") >= med, "high_spender").otherwise("low_spender"))
 
 

@@ -94,13 +94,11 @@ def association_rules(b: DataFrame, min_support: float = 0.0003, min_confidence:
     ca = counts.select(F.col("item").alias("item_a"), (F.col("n_item") / n).alias("supp_a"))
     cb = counts.select(F.col("item").alias("item_b"), (F.col("n_item") / n).alias("supp_b"))
     p = pairs.join(ca, "item_a").join(cb, "item_b")
-    fwd = p.select(F.col("item_a").alias("ant"), F.col("item_b").alias("con"), "support",
-                   (F.col("support") / F.col("supp_a")).alias("confidence"),
-                   F.col("supp_b").alias("supp_con"))
-    rev = p.select(F.col("item_b").alias("ant"), F.col("item_a").alias("con"), "support",
-                   (F.col("support") / F.col("supp_b")).alias("confidence"),
-                   F.col("supp_a").alias("supp_con"))
-    r = fwd.unionByName(rev).where(F.col("confidence") >= F.lit(min_confidence))
+    # both directions from one row: the pairs and their joins run once
+    ways = [F.struct(F.col(f"item_{x}").alias("ant"), F.col(f"item_{y}").alias("con"),
+                     (F.col("support") / F.col(f"supp_{x}")).alias("confidence"), F.col(f"supp_{y}").alias("supp_con"))
+            for x, y in ("ab", "ba")]
+    r = p.select("support", F.inline(F.array(*ways))).where(F.col("confidence") >= F.lit(min_confidence))
     return r.select(F.col("ant").cast("string").alias("antecedents"),
                     F.col("con").cast("string").alias("consequents"),
                     round_to(F.col("confidence"), 4).alias("confidence"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopsignals.session import materialize
 from shopsignals.functions.columns import first_nonzero, round_to
 
 # The storefront vouchers, in listing order.
@@ -39,7 +40,7 @@ def cart_state(log: DataFrame, attrs: tuple = ("price",)) -> DataFrame:
     on an existing line; ≤ 0 removes), remove / delete, clear / order (empty
     the email's cart).
     """
-    ev = log.withColumn("_k", _key(*_ORDER))
+    ev = materialize(log.select(_key(*_ORDER).alias("_k"), "email", "product_id", "action", "quantity", *attrs))  # read once
     email_reset = (ev.where(F.col("action").isin("clear", "order"))
                    .groupBy("email").agg(F.max("_k").alias("_re")))
     key_ev = ev.where(F.col("product_id").isNotNull() & ~F.col("action").isin("clear", "order"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import category_code, coarse_event_type, round_to
+from shopsignals.operators.ranks import median
 
 
 # ------------------------------------------------------------------------- B1
@@ -42,13 +43,40 @@ def tags_count(col: Column | str) -> Column:
     return F.when(is_list, n).otherwise(F.lit(0))
 
 
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def mixed_date(col: Column | str) -> Column:
+    """A date written in any of the usual ways, the day first where that makes a
+    date: 25/01/24, 25-1-2024, 01/25/24 (no month 25: the month first), 2024-01-25
+    (with or without a time), 25 Jan 2024, 25th January, 2024, Jan 25, 2024.
+    Two-digit years from 69 on are of the last century. NULL for anything else."""
+    text = F.trim((F.col(col) if isinstance(col, str) else col).cast("string"))
+    end = r"(?:[T\s].*)?$"
+
+    def found(pattern: str, *groups: int) -> list[Column]:
+        return [F.regexp_extract(text, pattern, g) for g in groups]
+
+    def date(y: Column, m: Column, d: Column) -> Column:
+        year = F.when(F.length(y) == 2, F.concat(F.when(y < "69", F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
+        return F.try_to_date(F.concat_ws("-", year, m, d), "yyyy-M-d")
+
+    def month(name: Column) -> Column:
+        return F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.substring(name, 1, 3))).cast("string")
+
+    d, m, y = found(r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})" + end, 1, 2, 3)
+    iy, im, iday = found(r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})" + end, 1, 2, 3)
+    dd, dm, dy = found(r"^(\d{1,2})(?:st|nd|rd|th)?[\s\-./]+([A-Za-z]{3,9})\.?,?[\s\-./]+(\d{4}|\d{2})" + end, 1, 2, 3)
+    mm, md, my = found(r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4}|\d{2})" + end, 1, 2, 3)
+    return F.coalesce(date(y, m, d), date(y, d, m), date(iy, im, iday), date(dy, month(dm), dd), date(my, month(mm), md))
+
+
 def price_model_features(df: DataFrame, year_fill: str = "zero") -> DataFrame:
-    """launch_year (dd/MM/yy; bad → 0, or the median with ``year_fill='median'``),
+    """launch_year (``mixed_date``; bad → 0, or the median with ``year_fill='median'``),
     tags_count, is_active flag, price_margin, inventory_value, rating_weighted."""
-    year = F.year(F.try_to_date(F.col("launch_date"), "dd/MM/yy"))
+    year = F.year(mixed_date("launch_date"))
     if year_fill == "median":
-        med = df.select(F.median(F.year(F.try_to_date(F.col("launch_date"), "dd/MM/yy")))).scalar()
-        year = F.coalesce(year.cast("double"), med, F.lit(0.0))
+        year = F.coalesce(year.cast("double"), median(df.select(year.alias("year")), "year"), F.lit(0.0))
     else:
         year = F.coalesce(year, F.lit(0)).cast("double")
     return (df.withColumn("launch_year", year)
@@ -244,7 +272,8 @@ def trending(catalog: DataFrame, n: int = 5) -> DataFrame:
 def page(df: DataFrame, order: list, page_no: int = 1, limit: int = 20) -> DataFrame:
     """one page in a total order, with total, total_pages and has_more.
 
-    The page is ``offset + limit`` over a sort (TakeOrdered for small offsets);
+    The page is ``offset + limit`` over a sort (TakeOrdered for small offsets;
+    for deep pages see ``pages.store_order``);
     the total (``total_rows``) is a scalar subquery (a count), not a second driver round-trip.
     """
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()

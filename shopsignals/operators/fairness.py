@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import round_to
+from shopsignals.operators.ranks import median
+from shopsignals.session import materialize
 
 DEMOGRAPHIC = ("gender", "age_group", "country")
 
@@ -80,8 +82,8 @@ def parity_report(users: DataFrame, prices: DataFrame, dims=("gender", "age_grou
 
 def factor_stats(df: DataFrame, col: str = "price_factor") -> DataFrame:
     """Mean, median, min, max, sample std and range of a column."""
-    c = F.col(col)
-    return df.agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"),
+    c, df = F.col(col), materialize(df.select(col))
+    return df.agg(F.avg(c).alias("mean"), F.first(median(df, col)).alias("median"), F.min(c).alias("min"),
                   F.max(c).alias("max"), F.stddev_samp(c).alias("std"), (F.max(c) - F.min(c)).alias("range"),
                   F.count(c).cast("bigint").alias("count"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import BATCH_EVENT_TYPES, clip, event_weight
+from shopsignals.operators.ranks import median
 from shopsignals.session import materialize
 
 _TYPE_COLS = {t: t for t in BATCH_EVENT_TYPES}
@@ -114,7 +115,7 @@ def demand_signals(stats: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- B7
 def catalog_features(catalog: DataFrame) -> DataFrame:
     """Margin, price range, urgency, stock/restock; restock NULL → median."""
-    med = catalog.select(F.median("restock_days")).scalar()
+    med = median(catalog, "restock_days")
     restock = F.coalesce(F.col("restock_days").cast("double"), med)
     return (catalog
             .withColumn("restock_days", restock)

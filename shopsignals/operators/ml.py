@@ -1,7 +1,8 @@
 """Price models on Spark ML.
 
-Training runs on the cluster through Spark ML estimators; nothing is
-collected to the driver but model coefficients and metric scalars.
+Boosted trees are trained on the cluster through Spark ML estimators, linear
+models from one aggregate (``linear``); nothing is collected to the driver but
+model coefficients, sums of products and metric scalars.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (Imputer, PolynomialExpansion, RobustScaler, StandardScaler,
-                                VectorAssembler)
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopsignals.operators import linear
 from shopsignals.operators.features import MODEL_FEATURES
 
 
@@ -134,30 +135,15 @@ def predict_factor(model: PipelineModel, df: DataFrame, features: list[str] = MO
 
 
 # ------------------------------------------------------------------ J5, J6, I8
-def ridge_pipeline(features: list[str], label: str, reg_param: float) -> Pipeline:
-    """J5 + J6: median imputation, standard scaling, ridge regression.
-
-    sklearn's Ridge(alpha) minimises ||y − Xw||² + α||w||²; Spark's
-    LinearRegression minimises ||y − Xw||²/(2n) + λ/2·||w||² on a label
-    scaled by its std when ``standardization`` is off, so λ = α/n · std(y).
-    """
-    imp = Imputer(inputCols=features, outputCols=[f"{c}_imp" for c in features], strategy="median")
-    asm = VectorAssembler(inputCols=[f"{c}_imp" for c in features], outputCol="raw_features",
-                          handleInvalid="keep")
-    sc = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    lr = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, regParam=reg_param,
-                          standardization=False, solver="l-bfgs", maxIter=200, tol=1e-9)
-    return Pipeline(stages=[imp, asm, sc, lr])
-
-
 def train_ridge(df: DataFrame, features: list[str] = RIDGE_FEATURES, label: str = "current_price_usd",
                 alpha: float = 10.0) -> PipelineModel:
-    """Ridge regression of the current price on catalog features."""
-    d = df.select(*features, label).na.drop(subset=[label])
-    stats = d.select(F.count(F.lit(1)).alias("n"), F.stddev_samp(label).alias("s")).first()
-    n, s = int(stats["n"]), float(stats["s"] or 1.0)
-    return ridge_pipeline(features, label, alpha / max(n, 1) * s).fit(
-        df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double")))
+    """J5 + J6: ridge regression of the current price on catalog features, in
+    closed form: NULLs filled by the exact median, features scaled by their sample
+    deviation, ||y − Zw||² + alpha·||w||² minimised."""
+    fill = linear.median_fill(df, features)
+    m = linear.moments(df, features, label, fill).get(0)
+    coef = m.fit(alpha) if m else [0.0] * (len(features) + 1)
+    return linear.model(features, coef, fill, fill)
 
 
 def refresh_prices(catalog_features: DataFrame, model: PipelineModel,
@@ -173,11 +159,10 @@ def refresh_prices(catalog_features: DataFrame, model: PipelineModel,
 # ------------------------------------------------------------------ J4, H13
 def train_popularity(df: DataFrame, x=("price", "interaction_count"), label: str = "popularity") -> PipelineModel:
     """Degree-2 polynomial least squares of popularity on (price, interactions)."""
-    asm = VectorAssembler(inputCols=list(x), outputCol="raw")
-    poly = PolynomialExpansion(degree=2, inputCol="raw", outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol=label, regParam=0.0, solver="normal")
-    return Pipeline(stages=[asm, poly, lr]).fit(df.select(*[F.col(c).cast("double").alias(c) for c in x],
-                                                          F.col(label).cast("double")))
+    x = list(x)
+    m = linear.moments(df, x, label, products=[(0, 0), (0, 1), (1, 1)]).get(0)
+    coef = m.fit() if m else [0.0] * 6
+    return linear.model(x, coef, [0.0] * 5, products=[(0, 0), (0, 1), (1, 1)])
 
 
 def popularity_table(clicks: DataFrame, catalog: DataFrame) -> DataFrame:

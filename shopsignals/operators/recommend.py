@@ -71,7 +71,7 @@ def similar_products(catalog: DataFrame, k: int = 5) -> DataFrame:
       M'_sub(t); in that set at most 2k rows precede t with cat c and at most
       2k with sub u, so the first 5k rows (global sku order) suffice.
     """
-    cat = catalog.select("sku_id", "category", "subcategory")
+    cat = materialize(catalog.select("sku_id", "category", "subcategory"))  # read once, ranked several times
     by_id = [F.col("sku_id")]
     g1 = top_k_per_group(cat, ["category", "subcategory"], by_id, k + 1, "_r")
     s1 = (cat.alias("s").join(g1.select("category", "subcategory", F.col("sku_id").alias("rec_sku")),
@@ -153,17 +153,22 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
 
 
 def engine_recs(catalog: DataFrame, k: int = 5) -> DataFrame:
-    """H5: same-subcategory candidates, else same category, else all; top k by score."""
+    """H5: same-subcategory candidates, else same category, else all; top k by score.
+
+    Each SKU's level follows from the sizes of its groups, so it joins one list.
+    """
     cat = catalog.select(*_CARD_COLS).withColumn("avg_rating", F.coalesce("avg_rating", F.lit(0.0))) \
         .withColumn("review_count", F.coalesce("review_count", F.lit(0))) \
         .withColumn("inventory_count", F.coalesce("inventory_count", F.lit(0)))
     cat = materialize(cat)  # the slim catalog, read once and written: every level ranks it again
-    lv = (_engine_level(cat, "subcategory", k, 1)
-          .unionByName(_engine_level(cat, "category", k, 2))
-          .unionByName(_engine_level(cat, None, k, 3)))
-    lv = lv.where("_has")
-    first = lv.groupBy("sku_id").agg(F.min("level").alias("_lvl"))
-    x = lv.join(first, "sku_id").where(F.col("level") == F.col("_lvl"))
+    for c in ("subcategory", "category"):
+        size = cat.groupBy(F.col(c).alias("_of")).agg(F.count(F.lit(1)).alias(f"_{c}"))
+        cat = cat.join(size, F.col(c) == F.col("_of"), "left").drop("_of")
+    level = F.when(F.col("_subcategory") > 1, 1).when(F.col("_category") > 1, 2).otherwise(3)
+    cat = materialize(cat.withColumn("_lvl", level).drop("_subcategory", "_category"))
+    x = (_engine_level(cat, "subcategory", k, 1)
+         .unionByName(_engine_level(cat, "category", k, 2))
+         .unionByName(_engine_level(cat, None, k, 3))).where("_has")
     x = _rank(x, ["sku_id"], [F.col("score").desc(), F.col("rec_sku")], "rank").where(F.col("rank") <= k)
     return x.select("sku_id", "rank", "rec_sku", "score", "level")
 

@@ -1,9 +1,10 @@
 """TF-IDF product index and brand search.
 
 The index is a long table (sku_id, term, weight): tf·idf with
-idf = ln((1 + N) / (1 + df)) + 1 and rows L2-normalised. A query scores by
-joining its terms to the index on ``term`` — only documents sharing a term
-are touched; no document × document or query × catalog product is formed.
+idf = ln((1 + N) / (1 + df)) + 1 and rows L2-normalised. A query is answered by
+upper bounds per term (``candidate_pairs``): only documents that can beat the
+best score known for the query are scored, and postings of terms too common to
+matter are not read; no document × document or query × catalog product is formed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopsignals.session import materialize
+
 # tokens of two or more word characters, Unicode-aware
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 
@@ -60,6 +63,47 @@ def query_vectors(queries: DataFrame, index: DataFrame, n_docs, stop_words: list
     return q.select("qid", "term", (F.col("raw") / norm).alias("qweight"))
 
 
+LEVELS = 64  # impact levels that a term's postings are cut into
+SLACK = 1e-9  # scores this close are compared, not pruned
+
+
+def first_guess(index: DataFrame, qv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bounds, best): per query and term the most it can add to a score (qid, term,
+    qweight, ub), and per query the best score among each term's strongest document."""
+    strongest = index.groupBy("term").agg(F.max("weight").alias("top"), F.min_by("sku_id", F.struct(-F.col("weight"), "sku_id")).alias("sku_id"))
+    bounds = qv.join(strongest, "term").withColumn("ub", F.col("qweight") * F.col("top"))
+    best = pair_scores(bounds.select("qid", "sku_id").distinct(), index, qv).groupBy("qid").agg(F.max("score").alias("best"))
+    return bounds.drop("top", "sku_id"), best
+
+
+def candidate_pairs(index: DataFrame, qv: DataFrame, min_score: float) -> DataFrame:
+    """(qid, sku_id) of all documents that can be a query's best at ``min_score`` or more.
+
+    Terms are taken from the weakest bound up: while their bounds together stay
+    below the score already found, a document with no other term of the query
+    cannot win, so postings of these terms (the common ones) are never read. Of
+    the others only the impact levels are read whose weight, with all that the
+    remaining terms could add, reaches that score.
+    """
+    bounds, best = first_guess(index, qv)
+    by = Window.partitionBy("qid")
+    need = F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(min_score)) - SLACK
+    essential = (bounds.join(best, "qid", "left").withColumn("need", need)
+                 .withColumn("upto", F.sum("ub").over(by.orderBy("ub", "term"))).withColumn("all", F.sum("ub").over(by))
+                 .where(F.col("upto") >= F.col("need"))
+                 .select("qid", "term", ((F.col("need") - (F.col("all") - F.col("ub"))) / F.col("qweight")).alias("least")))
+    postings = index.select("term", F.floor(F.col("weight") * LEVELS).alias("level"), "sku_id", "weight")
+    levels = postings.groupBy("term", "level").agg(F.max("weight").alias("most"))
+    wanted = essential.join(levels, "term").where("most >= least").select("qid", "term", "level", "least")
+    return wanted.join(postings, ["term", "level"]).where("weight >= least").select("qid", "sku_id").distinct()
+
+
+def pair_scores(pairs: DataFrame, index: DataFrame, qv: DataFrame) -> DataFrame:
+    """The cosine of each (qid, sku_id)."""
+    return (pairs.join(index.select("sku_id", "term", "weight"), "sku_id").join(qv, ["qid", "term"])
+            .groupBy("qid", "sku_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
+
+
 def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score: float = 0.05,
                  stop_words: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Best-matching product (cosine ≥ ``min_score``) → its brand's top n
@@ -68,11 +112,10 @@ def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score:
     Output (qid, detected_sku, brand, best_score, rank, rec_sku).
     """
     sw = default_stop_words(catalog.sparkSession) if stop_words is None else stop_words
-    idx = index if index is not None else tfidf_index(catalog, sw)
+    idx = materialize(index if index is not None else tfidf_index(catalog, sw))
     n_docs = catalog.select(F.count(F.lit(1))).scalar()
-    qv = query_vectors(queries, idx, n_docs, sw)
-    scores = (qv.join(idx.select("term", "sku_id", "weight"), "term")
-              .groupBy("qid", "sku_id").agg(F.sum(F.col("qweight") * F.col("weight")).alias("score")))
+    qv = materialize(query_vectors(queries, idx, n_docs, sw))
+    scores = pair_scores(candidate_pairs(idx, qv, min_score), idx, qv)
     # arg-max per query; ties → lowest sku_id (first catalog row). Equal
     # scores can differ in the last bits with the summation order, so the
     # comparison uses the score rounded to 12 digits.
@@ -88,3 +131,45 @@ def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score:
     top = top_k_per_group(per_brand, ["_lb"], [F.col("review_count").desc(), F.col("sku_id")], n)
     out = best.join(top, "_lb")
     return out.select("qid", "detected_sku", "brand", "best_score", "rank", F.col("sku_id").alias("rec_sku"))
+
+
+# ------------------------------------------------------------- B11, B14 in bulk
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    n = F.length(text) - (size - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))))) \
+            .otherwise(F.array().cast("array<string>"))
+
+
+def search_many(df: DataFrame, key: str, cols: list[str], queries: DataFrame) -> DataFrame:
+    """B11/B14 for a table of queries (qid, q): (qid, ``key``) of every row with
+    ``q`` in one of ``cols``, any case, literally.
+
+    Rows are found by postings of character trigrams: each query is looked up by
+    its rarest trigram only, then the texts of these rows are compared. Queries of one or two
+    characters are looked up by postings of that length; NULL and empty ones find
+    nothing. Rows without a key are not found; a key's rows count as one.
+    """
+    asked = queries.select("qid", F.lower(F.col("q").cast("string")).alias("q")).where("q <> ''").distinct()
+    asked = materialize(asked.withColumn("size", F.least(F.length("q"), F.lit(GRAM))))
+    sizes = sorted(s for s in asked.agg(F.collect_set("size")).first()[0])  # at most three
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array(*[F.lower(F.col(c).cast("string")) for c in cols])).alias("text"))
+    texts = materialize(texts.where("text is not null").distinct())
+    if not sizes:
+        return asked.select("qid", F.lit(None).cast(df.schema[key].dataType).alias(key)).limit(0)
+    each = F.array_distinct(F.concat(*[_grams(F.col("text"), s) for s in sizes]))
+    postings = materialize(texts.select(F.explode(each).alias("gram"), "_key").distinct())
+    of_query = F.lit(None).cast("array<string>")
+    for s in sizes:
+        of_query = F.when(F.col("size") == s, _grams(F.col("q"), s)).otherwise(of_query)
+    used = asked.select("qid", "q", F.explode(of_query).alias("gram"))
+    often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram without postings is the rarest: the query finds nothing
+    rarest = (used.join(often, "gram", "left").groupBy("qid", "q")
+              .agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
+              .where("r.n is not null").select("qid", "q", F.col("r.gram").alias("gram")))
+    return (postings.join(rarest, "gram").join(texts, "_key").where(F.contains(F.col("text"), F.col("q")))
+            .select("qid", F.col("_key").alias(key)).distinct())

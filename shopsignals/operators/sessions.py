@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopsignals.functions.columns import INTENT_BASE, event_weight, lookup, round_to
+from shopsignals.functions.columns import INTENT_BASE, LIVE_EVENT_TYPES, event_weight, lookup, round_to
 from shopsignals.operators.pricing import session_wtp_expr
 
 INTERACTION_EVENTS = ["page_view", "product_view", "add_to_cart", "purchase", "search"]
@@ -188,6 +188,22 @@ def competitor_snapshot(feed: DataFrame, product="product_id", competitor="compe
                                        F.count(F.lit(1)).cast("bigint").alias("n_competitors"))
 
 
+# ------------------------------------------------------------------ K7 in batch
+def window_kpis(events: DataFrame, pane: str = "5 minutes", window: str = "30 minutes") -> DataFrame:
+    """K7's batch twin: events, events per live type and distinct sessions of every
+    sliding window, exactly. Sessions are made distinct per pane before panes are
+    spread over their windows."""
+    at = F.col("timestamp").cast("timestamp")
+    counts = [F.count_if(F.col("event_type") == t).alias(t) for t in LIVE_EVENT_TYPES]
+    panes = (events.where(F.col("timestamp").isNotNull()).groupBy(F.window(at, pane).alias("_pane"), F.col("session_id").cast("string").alias("_s"))
+             .agg(F.count(F.lit(1)).alias("events"), *counts))
+    held = panes.withColumn("_window", F.window(F.col("_pane.start"), window, pane))
+    per = held.groupBy("_window", "_s").agg(F.sum("events").alias("events"), *[F.sum(t).alias(t) for t in LIVE_EVENT_TYPES])
+    out = per.groupBy("_window").agg(F.sum("events").alias("events"), *[F.sum(t).alias(t) for t in LIVE_EVENT_TYPES],
+                                     F.count("_s").alias("active_sessions"))
+    return out.select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "events", *LIVE_EVENT_TYPES, "active_sessions")
+
+
 # ------------------------------------------------------------------------ D26
 def user_affinity(events: DataFrame, catalog: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     """Σ live weight per (user, category) and each user's top category.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shopsignals.operators import catalog as ct
+from shopsignals.operators import pages
+from shopsignals.operators import search as se
 from shopsignals.plans.registry import query
 
 CAT = ("fx_catalog",)
@@ -43,6 +45,16 @@ def b8(fx):
     return ct.price_model_features(fx("fx_catalog"))
 
 
+@query("b8_mixed_dates", "sku_id:i launch_day:s launch_year:i", views=("fx_mixed_dates",), oracle="""
+WITH t AS (SELECT sku_id, CAST(try_strptime(launch_date, ['%d/%m/%y', '%d/%m/%Y', '%m/%d/%y', '%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%d-%m-%Y', '%d %b %Y', '%b %d, %Y']) AS DATE) AS day
+ FROM fx_mixed_dates)
+SELECT sku_id, CAST(day AS VARCHAR) AS launch_day, coalesce(year(day), 0) AS launch_year FROM t""")
+def b8_mixed(fx):
+    """Launch dates in mixed formats, the day first where that is a date."""
+    day = ct.mixed_date("launch_date")
+    return fx("fx_mixed_dates").select("sku_id", day.cast("string").alias("launch_day"), F.coalesce(F.year(day), F.lit(0)).alias("launch_year"))
+
+
 @query("b9_label_encode", "sku_id:i category_code:i subcategory_code:i brand_code:i", views=CAT, oracle="""
 SELECT sku_id, dense_rank() OVER (ORDER BY coalesce(category, 'Unknown')) - 1 AS category_code,
  dense_rank() OVER (ORDER BY coalesce(subcategory, 'Unknown')) - 1 AS subcategory_code,
@@ -99,6 +111,27 @@ def b14(fx):
     return ct.search_text(cust, "00001", ["c_name", "c_mktsegment"])
 
 
+@query("b11_search_many", "qid:s sku_id:i", views=ACTIVE, oracle="""
+WITH q AS (SELECT DISTINCT upper(substr(p_name, 2, 1 + p_partkey % 6)) AS q FROM part UNION SELECT 'no such thing' UNION SELECT '#1')
+SELECT DISTINCT q AS qid, sku_id FROM q JOIN fx_catalog_active ON q <> '' AND (contains(lower(product_name), lower(q)) OR contains(lower(brand), lower(q))
+ OR contains(lower(category), lower(q)))""")
+def b11_many(fx):
+    """B11 in bulk: fragments of all part names, one to six letters, against name, brand and category."""
+    part = fx("part").select(F.upper(F.expr("substr(p_name, 2, 1 + p_partkey % 6)")).alias("q"))
+    more = part.sparkSession.createDataFrame([("no such thing",), ("#1",)], "q string")
+    q = part.unionByName(more).distinct().select(F.col("q").alias("qid"), "q")
+    return se.search_many(_active(fx), "sku_id", ["product_name", "brand", "category"], q)
+
+
+@query("b14_search_many", "qid:i c_custkey:i", oracle="""
+WITH q AS (SELECT c_custkey AS qid, substr(c_name, -4) AS q FROM customer)
+SELECT qid, c.c_custkey FROM q JOIN customer c ON contains(lower(c.c_name), lower(q)) OR contains(lower(c.c_mktsegment), lower(q))""")
+def b14_many(fx):
+    """B14 in bulk: the last four characters of every customer's name against all names and segments."""
+    q = fx("customer").select(F.col("c_custkey").alias("qid"), F.expr("substr(c_name, -4)").alias("q"))
+    return se.search_many(fx("customer"), "c_custkey", ["c_name", "c_mktsegment"], q)
+
+
 _LEGACY_SQL = """
 SELECT e.sku_id AS product_id, e.user_id, CASE e.event_type WHEN 'page_view' THEN 'view' WHEN 'product_view' THEN 'view'
  WHEN 'search' THEN 'view' WHEN 'add_to_cart' THEN 'cart' WHEN 'add_to_wishlist' THEN 'cart'
@@ -237,3 +270,25 @@ def f3(fx):
     o = fx("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("email"),
                             F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
     return ct.page(o, [F.col("created_at").desc(), F.col("order_id")], 2, 20)
+
+
+@query("f1_deep_page", _PAGE_OUT, views=ACTIVE, oracle="""
+SELECT sku_id, review_count, row_number() OVER (ORDER BY review_count DESC, sku_id) AS position, (SELECT count(*) FROM fx_catalog_active) AS total_rows,
+ greatest(1, ceil((SELECT count(*) FROM fx_catalog_active) / 20)) AS total_pages, 1000 < (SELECT count(*) FROM fx_catalog_active) AS has_more
+FROM fx_catalog_active ORDER BY review_count DESC, sku_id LIMIT 20 OFFSET 980""")
+def f1_deep(fx):
+    """F1 on a stored order: the fiftieth page of 20 by review count."""
+    cat = _active(fx).select("sku_id", "review_count")
+    return pages.stored_page(cat.sparkSession, pages.store_order(cat, [F.col("review_count").desc(), F.col("sku_id")]), 50, 20)
+
+
+@query("f3_deep_page", "order_id:i email:i total:d position:i total_rows:i has_more:b", oracle="""
+WITH o AS (SELECT o_orderkey AS order_id, o_custkey AS email, o_totalprice AS total, o_orderdate AS created_at FROM orders)
+SELECT order_id, email, total, row_number() OVER (ORDER BY created_at DESC, order_id) AS position,
+ (SELECT count(*) FROM o) AS total_rows, 10020 < (SELECT count(*) FROM o) AS has_more
+FROM o ORDER BY created_at DESC, order_id LIMIT 20 OFFSET 10000""")
+def f3_deep(fx):
+    """F3 on a stored order: page 501 of 20 of the order history, newest first."""
+    o = fx("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("email"),
+                            F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
+    return pages.stored_page(o.sparkSession, pages.store_order(o, [F.col("created_at").desc(), F.col("order_id")]), 501, 20)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shopsignals.operators import pricing as pr
@@ -315,6 +317,22 @@ def i6e(fx):
 
 
 # ------------------------------------------------------------------------ I12
+@query("i7_daily_prices", "product_id:i cache_date:s final_price:d n_prices:i", views=("fx_catalog_active",), oracle=f"""
+SELECT p.product_id, d.cache_date, p.final_price, 1 AS n_prices FROM ({I6_SQL}) p, (VALUES ('2024-01-01'), ('2024-01-02')) AS d(cache_date)""")
+def i7(fx):
+    """The daily price table of two days, written by day and read back: one price per product and day."""
+    from shopsignals.session import tables_dir
+    from shopsignals.sources.sinks import write_table
+
+    cat = _active(fx)
+    path = f"{tables_dir(cat.sparkSession)}/daily-{uuid.uuid4().hex}"
+    for day in ("2024-01-01", "2024-01-02"):
+        write_table(pr.daily_prices(cat, day), path, partition_by=["cache_date"], mode="append")
+    back = cat.sparkSession.read.parquet(path)
+    return (back.groupBy("product_id", F.col("cache_date").cast("string").alias("cache_date"))
+            .agg(F.max("final_price").alias("final_price"), F.count(F.lit(1)).alias("n_prices")))
+
+
 @query("i12_session_wtp", "event_id:i wtp_estimate:d", views=LIVE, oracle=f"SELECT event_id, wtp_estimate FROM ({K3_SQL})")
 def i12(fx):
     """Session WTP per event."""

@@ -277,16 +277,23 @@ def _samples(fx):
 
     # the sequences feed the model, the popularity list and the samples
     seqs = materialize(ss.session_sequences(fx("fx_clickstream"), fx("fx_catalog")))
-    # the item before and the item itself at each position: what the padded samples end in
+    return seqs, _last_items(seqs)
+
+
+def _last_items(seqs):
+    """The item before and the item itself at each position: what the padded samples end in."""
     w = Window.partitionBy("session_id").orderBy("pos")
-    q = (seqs.withColumn("last_item", F.lag("item_idx").over(w)).where(F.col("pos") >= 3)
-         .select(F.concat_ws(":", "session_id", F.col("pos").cast("string")).alias("qid"), "last_item",
-                 F.col("item_idx").alias("target")))
-    return seqs, q
+    return (seqs.withColumn("last_item", F.lag("item_idx").over(w)).where(F.col("pos") >= 3)
+            .select(F.concat_ws(":", "session_id", F.col("pos").cast("string")).alias("qid"), "last_item",
+                    F.col("item_idx").alias("target")))
+
+
+def _next_sql(train: str = "true", scored: str = "true") -> str:
+    return _NEXT_SQL.replace("/*train*/ true", train).replace("/*scored*/ true", scored)
 
 
 _NEXT_SQL = f"""
-WITH s AS ({E6_SQL}),
+WITH al AS ({E6_SQL}), s AS (SELECT * FROM al WHERE /*train*/ true), sc AS (SELECT * FROM al WHERE /*scored*/ true),
  tr AS (SELECT a.item_idx AS item, b.item_idx AS next_item, count(*) AS n FROM s a JOIN s b
   ON a.session_id = b.session_id AND b.pos = a.pos + 1 GROUP BY 1, 2),
  pr AS (SELECT *, n / sum(n) OVER (PARTITION BY item) AS prob FROM tr),
@@ -295,7 +302,7 @@ WITH s AS ({E6_SQL}),
  pop AS (SELECT item_idx AS item, count(*) AS pop FROM s GROUP BY item_idx),
  pl AS (SELECT item, row_number() OVER (ORDER BY pop DESC, item) - 1 AS o FROM pop QUALIFY o < 21),
  q AS (SELECT t.session_id || ':' || CAST(t.pos AS VARCHAR) AS qid, l.item_idx AS last_item, t.item_idx AS target
-  FROM s t JOIN s l ON t.session_id = l.session_id AND l.pos = t.pos - 1 WHERE t.pos >= 3),
+  FROM sc t JOIN sc l ON t.session_id = l.session_id AND l.pos = t.pos - 1 WHERE t.pos >= 3),
  a AS (SELECT q.qid, tk.next_item AS rec, 0 AS src, tk.t AS o FROM q JOIN tk ON q.last_item = tk.item),
  b AS (SELECT q.qid, pl.item AS rec, 1 AS src, pl.o FROM q, pl WHERE pl.item <> q.last_item
   AND NOT EXISTS (SELECT 1 FROM a WHERE a.qid = q.qid AND a.rec = pl.item)),
@@ -311,13 +318,30 @@ def h14(fx):
     return rc.recommend_next(rc.fit_next_item(seqs), seqs, q, 10)
 
 
-@query("h15_ranking_metrics", "hit_rate:d mrr:d n_samples:i", views=("fx_clickstream", "fx_catalog"),
-       oracle=_NEXT_SQL + """, h AS (SELECT r.qid, min(r.rank) AS hr FROM recs r JOIN q ON r.qid = q.qid AND r.rec = q.target
+_METRICS_SQL = """, h AS (SELECT r.qid, min(r.rank) AS hr FROM recs r JOIN q ON r.qid = q.qid AND r.rec = q.target
   GROUP BY r.qid)
 SELECT avg(CASE WHEN h.hr IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(coalesce(1.0 / h.hr, 0.0)) AS mrr,
- count(*) AS n_samples FROM q LEFT JOIN h ON q.qid = h.qid""")
+ count(*) AS n_samples FROM q LEFT JOIN h ON q.qid = h.qid"""
+_HELD_OUT = "substr(md5(session_id || ':42'), 1, 8) < '1999999a'"  # a tenth of the sessions
+
+
+@query("h15_heldout_metrics", "hit_rate:d mrr:d n_samples:i", views=("fx_clickstream", "fx_catalog"),
+       oracle=_next_sql(f"NOT ({_HELD_OUT})", _HELD_OUT) + _METRICS_SQL)
+def h15_heldout(fx):
+    """Hit rate@10 and MRR@10 on a tenth of the sessions, the model fitted on the others."""
+    seqs, _ = _samples(fx)
+    held = F.expr("substr(md5(cast(concat(session_id, ':42') as binary)), 1, 8) < '1999999a'")
+    train, val = seqs.where(~held), seqs.where(held)
+    q = _last_items(val)
+    recs = rc.recommend_next(rc.fit_next_item(train), train, q, 10)
+    return rc.ranking_metrics(recs, q.select("qid", "target"), 10)
+
+
+@query("h15_ranking_metrics", "hit_rate:d mrr:d n_samples:i", views=("fx_clickstream", "fx_catalog"),
+       oracle=_NEXT_SQL + _METRICS_SQL)
 def h15(fx):
-    """Hit rate@10 and MRR@10 of the next-item model on its samples."""
+    """Hit rate@10 and MRR@10 of the next-item model on the samples it was
+    fitted on; ``h15_heldout_metrics`` has the figures of unseen sessions."""
     seqs, q = _samples(fx)
     recs = rc.recommend_next(rc.fit_next_item(seqs), seqs, q, 10)
     return rc.ranking_metrics(recs, q.select("qid", "target"), 10)

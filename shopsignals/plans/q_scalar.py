@@ -24,6 +24,23 @@ def a7(fx):
     return readers.sample_keyed(fx("fx_clickstream").select("event_id", "user_id"), "event_id", 0.5, 42)
 
 
+@query("a7_sample_rows", "event_id:i user_id:i event_type:s", views=("fx_clickstream",), oracle="""
+SELECT event_id, user_id, event_type FROM fx_clickstream WHERE event_id IS NOT NULL
+ORDER BY substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 15), event_id LIMIT 5000""")
+def a7_rows(fx):
+    """A seeded sample of exactly 5,000 events."""
+    return readers.sample_rows(fx("fx_clickstream").select("event_id", "user_id", "event_type"), "event_id", 5000, 42)
+
+
+@query("a7_sample_baskets", "order_id:i product_id:i", views=("fx_orders",), oracle="""
+WITH k AS (SELECT DISTINCT order_id FROM fx_orders),
+ s AS (SELECT order_id FROM k ORDER BY substr(md5(CAST(order_id AS VARCHAR) || ':42'), 1, 15), order_id LIMIT 1000)
+SELECT order_id, product_id FROM fx_orders WHERE order_id IN (SELECT order_id FROM s)""")
+def a7_baskets(fx):
+    """All lines of a seeded sample of exactly 1,000 baskets."""
+    return readers.sample_groups(fx("fx_orders").select("order_id", "product_id"), "order_id", 1000, 42)
+
+
 @query("b15_validate_events", "event_id:i is_valid:b", views=("fx_clickstream",), oracle="""
 SELECT event_id, user_id IS NOT NULL AND CAST(user_id AS VARCHAR) <> '' AND session_id IS NOT NULL AND session_id <> ''
  AND sku_id IS NOT NULL AND CAST(sku_id AS VARCHAR) <> '' AND event_type IS NOT NULL AND event_type <> ''

@@ -75,3 +75,14 @@ def e12(fx):
     return c.select("session_id", "device_idx", "referral_idx", "hour_norm",
                     F.size("context").alias("ctx_len"),
                     F.aggregate("context", F.lit(0.0), lambda a, x: a + x).alias("ctx_sum"))
+
+
+@query("k7_window_kpis", "window_start:s events:i page_view:i search:i cart:i purchase:i wishlist:i active_sessions:i", views=("fx_live_clicks",), oracle="""
+WITH e AS (SELECT *, time_bucket(INTERVAL 5 MINUTE, timestamp) - INTERVAL 5 MINUTE * unnest(range(6)) AS w FROM fx_live_clicks WHERE timestamp IS NOT NULL)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events, count_if(event_type = 'page_view') AS page_view, count_if(event_type = 'search') AS search,
+ count_if(event_type = 'cart') AS cart, count_if(event_type = 'purchase') AS purchase, count_if(event_type = 'wishlist') AS wishlist,
+ count(DISTINCT session_id) AS active_sessions FROM e GROUP BY w""")
+def k7(fx):
+    """K7 in batch: event counters and active sessions of every 30-minute window, each five minutes."""
+    out = ss.window_kpis(fx("fx_live_clicks"))
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -74,6 +74,16 @@ def tables_dir(spark: SparkSession) -> str:
     return path
 
 
+def input_state(df: DataFrame) -> tuple:
+    """(file, bytes, time of change) of all files that ``df`` reads."""
+    sc, out = df.sparkSession.sparkContext, []
+    for name in sorted(df.inputFiles()):
+        p = sc._jvm.org.apache.hadoop.fs.Path(name)
+        s = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it as Parquet under the shared folder and read
     it back (a written table cuts the lineage like a reliable checkpoint, but in

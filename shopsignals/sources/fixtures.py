@@ -71,6 +71,13 @@ SELECT event_id * 4 AS event_id, timestamp, user_id, session_id, product_id FROM
 UNION ALL SELECT event_id * 4 + 1, timestamp + INTERVAL 20 SECOND, user_id, session_id || '-new', product_id FROM fx_live_clicks WHERE event_type = 'cart'
 UNION ALL SELECT event_id * 4 + 2, timestamp + INTERVAL 60 SECOND, user_id, session_id || '-new', product_id FROM fx_live_clicks WHERE event_type = 'cart'
 UNION ALL SELECT event_id * 4 + 3, timestamp + INTERVAL 75 SECOND, user_id, session_id, product_id FROM fx_live_clicks WHERE event_type = 'cart'""",
+    # launch dates written in nine ways, one of them no date
+    "fx_mixed_dates": """
+SELECT sku_id, CASE k WHEN 0 THEN concat(d, '/', m, '/', substr(y, 3, 2)) WHEN 1 THEN concat(d, '/', m, '/', y) WHEN 2 THEN concat(y, '-', m, '-', d)
+ WHEN 3 THEN concat(d, ' ', mon, ' ', y) WHEN 4 THEN concat(mon, ' ', d, ', ', y) WHEN 5 THEN concat(m, '/', CAST(CAST(d AS INT) % 10 + 15 AS STRING), '/', substr(y, 3, 2))
+ WHEN 6 THEN concat(y, '-', m, '-', d, ' 10:11:12') WHEN 7 THEN concat(d, '-', m, '-', y) WHEN 8 THEN 'soon' WHEN 9 THEN '31/02/24' ELSE concat(d, '/', m, '/98') END AS launch_date
+ FROM (SELECT sku_id, sku_id % 11 AS k, lpad(CAST(sku_id % 28 + 1 AS STRING), 2, '0') AS d, lpad(CAST(sku_id % 12 + 1 AS STRING), 2, '0') AS m,
+  CAST(2019 + sku_id % 6 AS STRING) AS y, substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST((sku_id % 12) * 3 + 1 AS INT), 3) AS mon FROM fx_catalog) x""",
     # the service-layer catalog: active rows only (what clean_catalog keeps)
     "fx_catalog_active": """
 SELECT * FROM fx_catalog WHERE upper(trim(is_active)) NOT IN ('FALSE', '0')""",
@@ -86,7 +93,7 @@ SELECT concat(' save', CAST(c_custkey AS STRING), ' ') AS code, lower(c_name) AS
 
 # fixture views that read other fixture views
 _DEPS = {"fx_live_clicks": ["fx_clickstream"], "fx_cart_log": ["fx_clickstream"], "fx_price_requests": ["fx_live_clicks"],
-         "fx_catalog_active": ["fx_catalog"]}
+         "fx_catalog_active": ["fx_catalog"], "fx_mixed_dates": ["fx_catalog"]}
 
 
 def _closure(names) -> list[str]:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopsignals.operators.ranks import hash_number, smallest
+
 CLICKSTREAM_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("user_id", T.StringType()),
@@ -118,12 +120,35 @@ def read_profiles(spark, path, fmt="parquet") -> DataFrame:
 
 
 def head_events(df: DataFrame, n: int, order_by: str = "event_id") -> DataFrame:
-    """First ``n`` rows in a stated order (repeatable, unlike file order).
+    """First ``n`` rows in a stated order (repeatable, unlike file order);
+    rows without an order key are left out, ties go by the other columns.
 
-    Rows without an order key are dropped first, whatever the table's size.
-    The plan keeps n rows per task and merges them, so ``n`` bounds both.
+    For numbers and times the n-th key is found from histograms and the rows up to
+    it are a filter that reaches the scan, whatever ``n``; no rows are merged in
+    one task. Other keys fall back on a sort, which keeps n rows per task.
     """
-    return df.where(F.col(order_by).isNotNull()).orderBy(F.col(order_by).asc()).limit(n)
+    kind = df.schema[order_by].dataType
+    exact = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kind.typeName(), lambda c: c.cast("long"))
+    if kind.typeName() not in ("byte", "short", "integer", "long", "timestamp", "date"):
+        return df.where(F.col(order_by).isNotNull()).orderBy(F.col(order_by).asc()).limit(n)
+    ties = [F.col(c) for c in df.columns if c != order_by]
+    if kind.typeName() in ("timestamp", "date"):
+        return smallest(df, exact(F.col(order_by)), n, ties)
+    return smallest(df, F.col(order_by), n, ties)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A seeded sample of exactly ``n`` rows (all with a key, if fewer): those
+    with the smallest hash of the key, ties by key and the other columns. The
+    threshold is found from mergeable histograms of the hash, so that one filter
+    makes the sample; it is the same for any partitioning and engine."""
+    return smallest(df, hash_number(F.col(key), seed), n, [F.col(key), *[F.col(c) for c in df.columns if c != key]])
+
+
+def sample_groups(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """All rows of a seeded sample of exactly ``n`` keys (baskets)."""
+    chosen = sample_rows(df.select(key).where(F.col(key).isNotNull()).distinct(), key, n, seed)
+    return df.join(chosen, key, "left_semi").select(*df.columns)
 
 
 def sample_keyed(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -132,6 +132,28 @@ def live_kpis(stream: DataFrame) -> DataFrame:
                                             F.approx_count_distinct("session_id").alias("sessions"))
 
 
+def live_window_kpis(events: DataFrame, pane: str = "5 minutes", window: str = "30 minutes", delay: str = "10 minutes",
+                     log2_size: int = 12) -> DataFrame:
+    """K7 over a sliding event-time window (append mode; a batch works as well):
+    window_start, window_end, events, one count per live event type, and
+    active_sessions, the distinct sessions of the window.
+
+    An event is counted once, in its pane; a window merges the panes it covers.
+    Sessions are a mergeable sketch of 2 ** ``log2_size`` registers per pane, so
+    state does not grow with sessions; its standard error is about
+    1 / sqrt(2 ** ``log2_size``). ``operators.sessions.window_kpis`` counts exactly.
+    """
+    timed = events.withColumn("_at", F.col("timestamp").cast("timestamp")).where("_at is not null")
+    timed = timed.withWatermark("_at", delay) if events.isStreaming else timed
+    types = [F.count_if(F.col("event_type") == t).alias(t) for t in LIVE_EVENT_TYPES]
+    panes = timed.groupBy(F.window("_at", pane).alias("_pane")).agg(
+        F.count(F.lit(1)).alias("events"), *types, F.hll_sketch_agg(F.col("session_id").cast("string"), log2_size).alias("_sessions"))
+    merged = panes.groupBy(F.window(F.window_time("_pane"), window, pane).alias("_window")).agg(
+        F.sum("events").alias("events"), *[F.sum(t).alias(t) for t in LIVE_EVENT_TYPES], F.hll_union_agg("_sessions").alias("_sessions"))
+    return merged.select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "events", *LIVE_EVENT_TYPES,
+                         F.hll_sketch_estimate("_sessions").alias("active_sessions"))
+
+
 # ------------------------------------------------------------------------ K8
 _REQUEST = "event_id long, timestamp timestamp, product_id long, user_id long, session_id string, variant string"
 _FEATURES = ["intent_probability", "engagement_score", "wtp_estimate"]
