@@ -124,7 +124,7 @@ def _engine_level(cat: DataFrame, key: str | None, k: int, level: int) -> DataFr
         n = cat.select(F.count(F.lit(1))).scalar()
         g = cat.withColumn("_m1", -top2[0]["_ni"]).withColumn(
             "_m2", F.when(F.size(top2) > 1, -top2[1]["_ni"])).withColumn("_gn", n)
-    me = g.withColumn("_which", F.when((F.col("inventory_count") == F.col("_m1"))
+    me = g.where(F.col("_lvl") == level).withColumn("_which", F.when((F.col("inventory_count") == F.col("_m1"))
                                        & (F.coalesce(F.col("_m2"), F.lit(-1)) < F.col("_m1")), "m2")
                       .otherwise("m1"))
     me = me.select("sku_id", *part, "_which", "_gn")
