@@ -5,8 +5,10 @@ The counts of a document come from its whole text. A sketch of a measure is a
 table of counts by logarithmic bin (bins grow by ``GROWTH``, so a quantile is
 off by at most that factor); sketches merge by adding counts, in any order and
 with one result, so one grouped sum builds those of every (lang, source), and
-adding them up gives those of a language and of the corpus, which stand in
-where a group has fewer than ``least`` documents. A document is rejected
+adding them up gives those of a language and of the corpus. The quartiles in
+use are a group's own in the measure n / (n + ``prior``) that its n documents give
+them, for the rest its language's, and these likewise the corpus's: no threshold
+jumps as a group grows. A document is rejected
 where a measure lies beyond the outer fence of its group: upper quartile plus
 ``reach`` times the spread of the quartiles, where the spread counts as no less
 than ``slack``, so that a group of equal values does not reject its first
@@ -37,6 +39,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 LOOKS = 5  # words of a repeated window
 GROWTH = 1.02
+PRIOR = 50  # documents that weigh as much as a group's language
 SHORT = 20  # words at which a mean strays noticeably
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: measure: (value from the counts, least spread, whether it is a mean of the words)
@@ -129,7 +132,7 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return c.groupBy(*keys).agg(F.max("all").alias("n"), at(0.25).alias("lower"), at(0.75).alias("upper"))
 
 
-def thresholds(sketches: DataFrame, least: int = 200, reach: float = 4.0) -> DataFrame:
+def thresholds(sketches: DataFrame, prior: int = PRIOR, reach: float = 4.0) -> DataFrame:
     """Per lang and source: quartiles and reach (fence) of each measure."""
     own = quartiles(sketches, ["lang", "source"])
     lang = quartiles(sketches, ["lang"]).select(
@@ -138,7 +141,8 @@ def thresholds(sketches: DataFrame, least: int = 200, reach: float = 4.0) -> Dat
         F.col("measure").alias("_every"), *[F.col(c).alias(f"all_{c}") for c in ("lower", "upper")])
     t = (own.join(lang, own["lang"].eqNullSafe(lang["_lang"]) & (own["measure"] == lang["_measure"]))
          .join(every, own["measure"] == every["_every"]))
-    pick = lambda c: F.when(F.col("n") >= least, F.col(c)).when(F.col("lang_n") >= least, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
+    own_part, lang_part = (F.col(n) / (F.col(n) + F.lit(prior)) for n in ("n", "lang_n"))
+    pick = lambda c: own_part * F.col(c) + (1 - own_part) * (lang_part * F.col(f"lang_{c}") + (1 - lang_part) * F.col(f"all_{c}"))
     slack = F.create_map(*[F.lit(x) for m, (_, s, _) in MEASURES.items() for x in (m, s)])
     t = t.select("lang", "source", "measure", pick("lower").alias("lower"), pick("upper").alias("upper"))
     fence = F.greatest(F.col("upper") - F.col("lower"), slack[F.col("measure")]) * reach
@@ -147,10 +151,10 @@ def thresholds(sketches: DataFrame, least: int = 200, reach: float = 4.0) -> Dat
           for name, v in (("lower", F.col("lower")), ("upper", F.col("upper")), ("fence", fence))])
 
 
-def verdicts(documents: DataFrame, least: int = 200, reach: float = 4.0) -> DataFrame:
+def verdicts(documents: DataFrame, prior: int = PRIOR, reach: float = 4.0) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     counted = store(counts(documents), "rule-counts")
-    t = thresholds(sketch(counted), least, reach)
+    t = thresholds(sketch(counted), prior, reach)
     t = t.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     d = counted.join(t, counted["lang"].eqNullSafe(t["_lang"]) & counted["source"].eqNullSafe(t["_source"]), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -165,8 +169,8 @@ def verdicts(documents: DataFrame, least: int = 200, reach: float = 4.0) -> Data
                     failed.alias("base_failed"), (~failed & good).alias("kept"))
 
 
-def filter_documents(documents: DataFrame, least: int = 200, reach: float = 4.0) -> DataFrame:
+def filter_documents(documents: DataFrame, prior: int = PRIOR, reach: float = 4.0) -> DataFrame:
     """The documents that are kept, all columns. Of rows that repeat a doc_id all
     stay if one is kept."""
-    kept = (verdicts(documents, least, reach).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
+    kept = (verdicts(documents, prior, reach).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
     return documents.join(kept, documents["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -1,12 +1,13 @@
 """Counts against brute force; sketches against exact quartiles; verdicts."""
 
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from shopsignals.llm.adaptive_rules import GROWTH, counts, filter_documents, quartiles, sketch, verdicts
+from shopsignals.llm.adaptive_rules import GROWTH, MEASURES, counts, filter_documents, quartiles, sketch, thresholds, verdicts
 
 
 def brute(t):
@@ -72,5 +73,59 @@ def test_adapts_to_its_group(docs):
     assert out.columns == d.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(k for k, x in v.items() if x)
 
 
+def plain_kept(rows, prior=50, reach=4.0):
+    """Verdicts by exact counts of logarithmic bins, group by group."""
+    c = {i: (lang, source, *brute(t), len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])) for i, t, lang, source, _ in rows}
+    value = {"symbols": lambda x: x[4] / x[2], "dup_lines": lambda x: x[5] / x[7], "repeats": lambda x: x[6] / x[2], "word_length": lambda x: x[3] / x[2]}
+
+    def quart(vs):
+        b = sorted((-10**9 if v <= 0 else math.ceil(math.log(v) / math.log(GROWTH))) for v in vs)
+        mid = [0.0 if k == -10**9 else GROWTH ** (k - 0.5) for k in b]
+        return [mid[max(0, math.ceil(len(mid) * q) - 1)] for q in (0.25, 0.75)]
+    out = {}
+    for i, x in c.items():
+        n = x[2]
+        good = not (n < 10 or 100 * x[6] > 20 * n)
+        for m, (_, slack, mean) in MEASURES.items():
+            if not n:
+                break
+            same = lambda k: [value[m](y) for y in c.values() if y[2] and y[:k] == x[:k]]
+            own, lang, every = same(2), same(1), same(0)
+            w, v = len(own) / (len(own) + prior), len(lang) / (len(lang) + prior)
+            lo, hi = (w * a + (1 - w) * (v * b + (1 - v) * e) for a, b, e in zip(quart(own), quart(lang), quart(every)))
+            fence = max(hi - lo, slack) * reach * (math.sqrt(1 + 20 / n) if mean else 1)
+            good &= value[m](x) <= hi + fence and (not mean or value[m](x) >= lo - fence)
+        out[i] = good
+    return out
+
+
+def test_verdicts_match_a_plain_version(docs):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(260):
+        t = prose(rnd, rnd.choice([9, 10, 30, 90]))
+        t = t.replace(" ", rnd.choice([" ", " ", "\n", " | ", " # "]), rnd.choice([0, 3, 20]))
+        t += rnd.choice(["", "", "\nagain and again" * rnd.randint(1, 6)])
+        rows.append((i, t, rnd.choice(["en", "de", None]), rnd.choice(["a", "b", None]), 0))
+    rows += [(900, None, "en", "a", 0), (901, "", None, None, 0), (902, "é " * 40, "xx", "only", 0)]
+    got = {r["doc_id"]: r["kept"] for r in verdicts(docs(rows)).collect()}
+    want = plain_kept(rows)
+    assert got == want and 0 < sum(want.values()) < len(want) - 20
+
+
+def test_thresholds_move_continuously_with_a_group(docs):
+    """One document more moves a group's thresholds by little, whatever its size."""
+    rnd = random.Random(13)
+    base = [(i, prose(rnd, 40), "en", "plain", 0) for i in range(200)]
+    odd = [(1000 + i, prose(rnd, 40).replace(" ", " | ", 30), "en", "odd", 0) for i in range(120)]
+    last = None
+    for n in (1, 2, 20, 21, 49, 50, 51, 119, 120):
+        t = thresholds(sketch(counts(docs(base + odd[:n])))).where("source = 'odd'").first()
+        at = t["symbols_upper"] + t["symbols_fence"]
+        if last is not None and n == last[0] + 1:
+            assert abs(at - last[1]) < 0.08
+        last = (n, at)
+
+
 def test_empty_table(docs):
     assert verdicts(docs([])).collect() == []
