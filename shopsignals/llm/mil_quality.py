@@ -6,13 +6,14 @@ learned layer; gated attention (tanh times sigmoid) weighs the passages, and a
 logistic unit scores their weighted sum. Encoder, attention and unit are
 learned together from document labels alone, by Adam on the driver, from a
 bounded sample: at most ``per_class`` documents of each label (by hash of
-doc_id) and ``BAG`` passages, spread evenly over the text, of each. Scores are
+doc_id), with all their passages; a text of more than ``BAG`` passages is learned
+from as BAG stretches of equal length, each the mean of its passages. Scores are
 set back to the share of labels in all rows learned from. Only the text enters
 a score.
 
 Results in cases of doubt: a null text is empty; a text without words is one
 passage without measures; labels of null, other than 0 and 1, or contradicting
-each other for one doc_id are not learned from; without labels of both kinds
+each other for one doc_id are not learned from; of several texts under one labelled doc_id one is; without labels of both kinds
 every score is the share of label 1, or 0.5 without any; rows that repeat a
 doc_id are scored each; a null doc_id is in no held-out part (its remainder is
 null, held_out false); other columns are ignored.
@@ -154,8 +155,9 @@ def _bags(batches):
         for i, j in groups(off):
             x, count = passages(raw, off[i:j + 1])
             for part in np.split(x, np.cumsum(count)[:-1]):
-                keep = np.unique(np.linspace(0, len(part) - 1, min(len(part), BAG)).astype(int))
-                bags.append(part[keep].tobytes())
+                cut = np.linspace(0, len(part), min(len(part), BAG), endpoint=False).astype(int)
+                size = np.diff(np.append(cut, len(part)))
+                bags.append((np.add.reduceat(part, cut, axis=0) / size[:, None]).astype(np.float32).tobytes())
         yield batch(schema, b.column("doc_id"), b.column("label"), pa.array(bags, pa.binary()))
 
 
@@ -181,7 +183,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bags = (texts.join(sample, texts["doc_id"] == sample["_id"]).select("doc_id", "label", "text")
             .mapInArrow(_bags, "doc_id long, label int, bag binary")
-            .orderBy("doc_id", "bag").limit(2 * per_class).collect())
+            .groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).orderBy("doc_id").collect())
     y = np.array([r["label"] for r in bags], np.float32)
     if len(set(y.tolist())) < 2:
         return (seen.get(1, 0) + 1) / (sum(seen.values()) + 2)
