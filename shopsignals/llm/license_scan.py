@@ -1,22 +1,28 @@
 """Licence scan (DataFrame functions only): sparse TF-IDF cosine of headers and
 licence files to templates, then inheritance from the nearest licensed folder.
 
-A text is read whole. Its sentences and lines that hold a licence word are
-headers; the text as a whole is compared as well. Terms are runs of a-z and 0-9
-of the lower-case text, weighted by count times idf = ln((1 + N) / (1 + df)) + 1
+Every text is compared whole and by its sentences and lines (headers) with
+``templates``, whole licence texts and notices. Terms are runs of a-z and 0-9 of
+the lower-case text, weighted by count times idf = ln((1 + N) / (1 + df)) + 1
 with N and df over all given files; a term of no template counts as unseen. A
-header or a whole text matches if its cosine to the best template is at least
-``match``. The best matching header gives a file its licence, else its whole
-text. A file is a licence file if its whole text matches at ``whole``, or a
-header does and it is named like one; it licenses its folder, and all files below without a
-licence of their own get that of the nearest such folder: a join on the
+part matches if its cosine to the best template is at least ``match`` and no
+template of another licence comes nearer than ``margin`` to it: between neighbours
+no licence is named. A part can reach ``match`` only if it holds one of the
+heaviest terms of a template that make up all but ``match`` squared of its weight
+(Cauchy's inequality); other parts are not scored, which loses no match of the
+templates in use. A whole text that matches at ``whole`` gives a file its
+licence, else the best matching header does, else the whole text. A file is a licence file if its whole text matches at ``whole``, or a
+header does and it is named like one; it licenses its folder, and all files below
+without a licence of their own get that of the nearest such folder: a join on the
 folders' paths.
 
-Results in cases of doubt: a null text has no licence of its own; of equal
-cosines the smaller licence name wins; of a folder's licence files the best
-match, then the smaller licence name, then the smaller path; null path: no
-folder, nothing inherited; null parts of a path are left out; rows that repeat
-an id or a path are files each; other columns are ignored.
+Results in cases of doubt: a null text has no licence of its own; the score is
+that of the better match, 0 without one; of equal cosines of one licence's
+templates either; of headers of equal score the smaller licence name wins; of a
+folder's licence files the best match, then the smaller licence name, then the
+smaller path; null path: no folder, nothing inherited; null parts of a path are
+left out; rows that repeat an id or a path are files each; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,29 +34,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopsignals.llm.license_texts import TEMPLATES
 from shopsignals.llm.tables import store
 
-# fixed values: licence names and the notices they are known by
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Proprietary", "Copyright. All rights reserved."),
-]
-CUE = r"(?i)licen[cs]|copyright|spdx|rights reserved"
 FILE_NAME = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)(copying|notice)[^/]*$"
 SENTENCE_END = r"([.!?])[ \t]+"
-MATCH, WHOLE = 0.6, 0.9
+MATCH, WHOLE, MARGIN = 0.75, 0.9, 0.005
 TERM = "[^a-z0-9]+"
 
 
@@ -58,52 +47,66 @@ def _terms(text: str) -> Counter:
     return Counter(t for t in re.split(TERM, text.lower()) if t)
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in _terms(text)})
-
-
 def terms(text: Column) -> Column:
     return F.split(F.lower(text), TERM)
 
 
-def _struct(score: str, name: str) -> Column:
-    """Smallest first: the greater score, then the smaller name."""
-    return F.struct((-F.col(score)).alias("s"), F.col(name).alias("l"))
-
-
-def term_weights(files: DataFrame) -> tuple[DataFrame, float]:
-    """(term, idf, its count in each template t0, t1, ...) and the idf of an
-    unseen term. One row a term of the templates."""
-    known = F.array(*[F.lit(t) for t in VOCABULARY])
-    df = (files.select(F.explode(F.array_intersect(terms(F.col("text")), known)).alias("term"))
+def term_weights(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame, float]:
+    """(term, idf, its count in each template as an array) and the idf of an unseen
+    term. One row a term of the templates."""
+    counts = [_terms(text) for _, text in templates]
+    vocabulary = sorted({t for c in counts for t in c})
+    df = (files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*[F.lit(t) for t in vocabulary]))).alias("term"))
           .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = files.count()
-    counts = [_terms(text) for _, text in TEMPLATES]
-    rows = [F.struct(F.lit(t).alias("_term"), *[F.lit(float(c[t])).alias(f"t{i}") for i, c in enumerate(counts)]) for t in VOCABULARY]
-    vocabulary = files.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    values = ", ".join(f"('{t}', '{','.join(str(c[t]) for c in counts)}')" for t in vocabulary)
+    known = files.sparkSession.sql(f"SELECT _term, transform(split(c, ','), x -> CAST(x AS DOUBLE)) AS t FROM VALUES {values} AS v(_term, c)")
     idf = F.log(F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    out = vocabulary.join(df, vocabulary["_term"] == df["term"], "left").select("_term", idf.alias("idf"), *[f"t{i}" for i in range(len(counts))])
+    out = known.join(df, known["_term"] == df["term"], "left").select("_term", idf.alias("idf"), "t")
     return store(out, "licence-terms"), math.log(1.0 + n) + 1
 
 
-def cosines(texts: DataFrame, weights: DataFrame, unseen: float) -> DataFrame:
-    """uid, part, license, score: the best template of the whole text (part 0) and
-    of each header of ``texts`` (uid, body)."""
-    every = range(len(TEMPLATES))
-    norms = weights.agg(*[F.sqrt(F.sum(F.pow(F.col(f"t{i}") * F.col("idf"), 2))).alias(f"n{i}") for i in every]).first()
+def norms_and_keys(weights: DataFrame, n: int, match: float) -> tuple[list[float], list[str]]:
+    """The norm of each template, and terms of which any text that matches one at
+    ``match`` holds at least one: of each template the heaviest, until the rest
+    is less than ``match`` squared of its squared norm. Bounded by the templates."""
+    rows = [(r["_term"], [r["idf"] * c for c in r["t"]]) for r in weights.collect()]
+    norms, keys = [], set()
+    for i in range(n):
+        heavy = sorted(((w[i] ** 2, t) for t, w in rows if w[i] > 0), reverse=True)
+        rest = total = sum(x for x, _ in heavy)
+        norms.append(math.sqrt(total))
+        for x, t in heavy:
+            if rest < (match - 1e-4) ** 2 * total:
+                break
+            keys.add(t)
+            rest -= x
+    return norms, sorted(keys)
+
+
+def matches(texts: DataFrame, weights: DataFrame, unseen: float, templates: list[tuple[str, str]], match: float, margin: float) -> DataFrame:
+    """uid, part, license, score of every part of ``texts`` (uid, body) that matches:
+    the whole text (part 0) and each header."""
+    names = sorted({n for n, _ in templates})
+    norms, keys = norms_and_keys(weights, len(templates), match)
+    held = F.array(*[F.lit(k) for k in keys])
     sentences = F.split(F.regexp_replace("body", SENTENCE_END, "$1\n"), "\n")
-    parts = F.concat(F.array("body"), F.filter(sentences, lambda s: s.rlike(CUE)))
-    words = (texts.where("body is not null").select("uid", F.posexplode(parts).alias("part", "words"))
+    parts = F.concat(F.array("body"), F.filter(sentences, lambda s: F.arrays_overlap(terms(s), held)))
+    words = (texts.where(F.arrays_overlap(terms(F.col("body")), held)).select("uid", F.posexplode(parts).alias("part", "words"))
              .select("uid", "part", F.explode(terms(F.col("words"))).alias("term")).where("term <> ''"))
     tf = words.groupBy("uid", "part", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # the weights have one row a template term: their size is that of TEMPLATES
+    # the weights have one row a template term: their size is that of the templates
     w = tf.join(F.broadcast(weights), tf["term"] == weights["_term"], "left")
     weight = F.col("tf") * F.coalesce(F.col("idf"), F.lit(unseen))
     dots = w.groupBy("uid", "part").agg(
-        F.sqrt(F.sum(weight * weight)).alias("norm"), *[F.coalesce(F.sum(weight * F.col(f"t{i}") * F.col("idf")), F.lit(0.0)).alias(f"d{i}") for i in every])
+        F.sqrt(F.sum(weight * weight)).alias("norm"),
+        *[F.coalesce(F.sum(weight * F.col("t")[i] * F.col("idf")), F.lit(0.0)).alias(f"d{i}") for i in range(len(templates))])
     # rounded first, so that equal cosines tie whatever the order of their sums
-    scored = [F.struct((-F.round(F.col(f"d{i}") / (F.col("norm") * F.lit(norms[f"n{i}"])), 6)).alias("s"), F.lit(TEMPLATES[i][0]).alias("l")) for i in every]
-    best = F.array_min(F.array(*scored))
-    return dots.select("uid", "part", best["l"].alias("license"), (-best["s"]).alias("score"))
+    of = lambda n: F.greatest(F.lit(0.0), *[F.round(F.col(f"d{i}") / (F.col("norm") * F.lit(norms[i])), 6) for i, (m, _) in enumerate(templates) if m == n])
+    ranked = F.array_sort(F.array(*[F.struct((-of(n)).alias("s"), F.lit(n).alias("l")) for n in names]))
+    best = dots.select("uid", "part", ranked[0].alias("b"), (F.try_element_at(ranked, F.lit(2))["s"] - ranked[0]["s"]).alias("ahead"))
+    sure = (-F.col("b.s") >= match) & F.coalesce(F.col("ahead") >= margin, F.lit(True))
+    return best.where(sure).select("uid", "part", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -123,21 +126,22 @@ def nearest(folders: DataFrame, licensed: DataFrame) -> DataFrame:
             .select(F.col("folder").alias("_folder"), F.col("b.dir_license").alias("inherited"), F.col("b.dir").alias("license_folder")))
 
 
-def scan(files: DataFrame, key: str, match: float = MATCH, whole: float = WHOLE) -> DataFrame:
-    """``key``, path, license, origin (file, header, inherited or none), score (best
-    cosine of the file's own text) and license_folder (of an inherited one).
-    ``files``: ``key``, path, text."""
-    weights, unseen = term_weights(files)
-    rows = store(files.select(F.col(key).alias("_key"), F.col("path").alias("_path"), F.when(F.col("text").rlike(CUE), F.col("text")).alias("body"))
+def scan(files: DataFrame, key: str, match: float = MATCH, whole: float = WHOLE, margin: float = MARGIN,
+         templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``key``, path, license, origin (file, header, inherited or none), score (cosine
+    of the file's own match) and license_folder (of an inherited one). ``files``:
+    ``key``, path, text; ``templates``: (licence, text)."""
+    weights, unseen = term_weights(files, templates)
+    rows = store(files.select(F.col(key).alias("_key"), F.col("path").alias("_path"), F.col("text").alias("body"))
                  .withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
-    best = (cosines(rows.select("uid", "body"), weights, unseen).groupBy(F.col("uid").alias("_uid"))
-            .agg(F.min(F.when(F.col("part") > 0, _struct("score", "license"))).alias("h"),
-                 F.min(F.when(F.col("part") == 0, _struct("score", "license"))).alias("w")))
+    first = F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))
+    best = (matches(rows.select("uid", "body"), weights, unseen, templates, match, margin).groupBy(F.col("uid").alias("_uid"))
+            .agg(F.min(F.when(F.col("part") > 0, first)).alias("h"), F.min(F.when(F.col("part") == 0, first)).alias("w")))
     f = rows.drop("body").join(best, rows["uid"] == best["_uid"], "left")
     in_header, in_whole = (F.coalesce(-F.col(f"{c}.s"), F.lit(0.0)) for c in "hw")
     is_header = in_header >= match
     f = store(f.select("_key", "_path", folder(F.col("_path")).alias("_dir"), F.greatest(in_header, in_whole).alias("score"),
-                       F.when(is_header, F.col("h.l")).when(in_whole >= match, F.col("w.l")).alias("own"),
+                       F.when(in_whole >= whole, F.col("w.l")).when(is_header, F.col("h.l")).when(in_whole >= match, F.col("w.l")).alias("own"),
                        ((in_whole >= whole) | (is_header & F.coalesce(F.col("_path").rlike(FILE_NAME), F.lit(False)))).alias("is_file")), "licence-matches")
     licensed = (f.where("is_file and _dir is not null").groupBy(F.col("_dir").alias("dir"))
                 .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("l"), "_path")).alias("b"))
@@ -173,22 +177,21 @@ size AS (SELECT count(*) AS n FROM d),
 idf AS (SELECT v.term, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary v LEFT JOIN df USING (term), size),
 tw AS (SELECT i, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
 tn AS (SELECT i, license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
-cue AS (SELECT uid, text, [s FOR s IN string_split(regexp_replace(text, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))
-                           IF regexp_matches(s, '{CUE}')] AS parts
-        FROM d WHERE regexp_matches(text, '{CUE}')),
-part AS (SELECT uid, 0 AS part, text AS body FROM cue UNION ALL
-         SELECT uid, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS body FROM cue),
+sentence AS (SELECT uid, text, string_split(regexp_replace(text, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM d WHERE text IS NOT NULL),
+part AS (SELECT uid, 0 AS part, text AS body FROM sentence UNION ALL
+         SELECT uid, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS body FROM sentence),
 tf AS (SELECT uid, part, term, count(*) AS tf FROM
        (SELECT uid, part, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS term FROM part) WHERE term <> '' GROUP BY ALL),
 w AS (SELECT uid, part, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), size),
 pn AS (SELECT uid, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dot AS (SELECT uid, part, i, sum(w.w * tw.w) AS dot FROM w JOIN tw USING (term) GROUP BY ALL),
-cosine AS (SELECT uid, part, license, round(coalesce(dot, 0) / (pn.norm * tn.norm), 6) AS score
-           FROM pn CROSS JOIN tn LEFT JOIN dot USING (uid, part, i)),
-best AS (SELECT uid, part > 0 AS header, license, score FROM cosine
+cosine AS (SELECT uid, part, license, max(round(dot / (pn.norm * tn.norm), 6)) AS score FROM dot JOIN pn USING (uid, part) JOIN tn USING (i) GROUP BY ALL),
+rank1 AS (SELECT *, coalesce(score - lead(score) OVER (PARTITION BY uid, part ORDER BY score DESC, license), score) AS ahead,
+                 row_number() OVER (PARTITION BY uid, part ORDER BY score DESC, license) AS r FROM cosine),
+best AS (SELECT uid, part > 0 AS header, license, score FROM rank1 WHERE r = 1 AND score >= {MATCH} AND ahead >= {MARGIN}
          QUALIFY row_number() OVER (PARTITION BY uid, part > 0 ORDER BY score DESC, license) = 1),
 file AS (SELECT d.uid, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, greatest(coalesce(h.score, 0), coalesce(b.score, 0)) AS score,
-                CASE WHEN h.score >= {MATCH} THEN h.license WHEN b.score >= {MATCH} THEN b.license END AS own,
+                CASE WHEN b.score >= {WHOLE} THEN b.license WHEN h.score >= {MATCH} THEN h.license WHEN b.score >= {MATCH} THEN b.license END AS own,
                 coalesce(b.score >= {WHOLE}, false) OR (coalesce(h.score >= {MATCH}, false) AND regexp_matches(path, '{FILE_NAME}')) AS is_file
          FROM d LEFT JOIN best h ON h.uid = d.uid AND h.header LEFT JOIN best b ON b.uid = d.uid AND NOT b.header),
 licensed AS (SELECT dir AS lic_dir, own AS dir_license FROM file WHERE is_file

@@ -1,6 +1,7 @@
 """Licence matches and inheritance against a plain version."""
 
 import math
+import random
 import re
 
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "path",
 
 def brute(rows):
     split = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
-    df = {v: sum(v in split(t or "") for _, _, t in rows) for v in L.VOCABULARY}
+    df = {v: sum(v in split(t or "") for _, _, t in rows) for v in {x for _, body in L.TEMPLATES for x in split(body)}}
     idf = lambda v: math.log((1 + len(rows)) / (1 + df.get(v, 0))) + 1
 
     def vec(t):
@@ -26,20 +27,19 @@ def brute(rows):
         n = math.sqrt(sum(x * x for x in v.values()))
         if not n:
             return None
-        s = []
+        s = {}
         for name, body in L.TEMPLATES:
             u = vec(body)
-            s.append((-round(sum(v.get(k, 0) * x for k, x in u.items()) / n / math.sqrt(sum(x * x for x in u.values())), 6), name))
-        return min(s)
+            s[name] = max(s.get(name, 0), round(sum(v.get(k, 0) * x for k, x in u.items()) / n / math.sqrt(sum(x * x for x in u.values())), 6))
+        (a, b), (c, _) = sorted((-x, name) for name, x in s.items())[:2]
+        return (a, b) if -a >= L.MATCH and c - a >= L.MARGIN else None
     own = []
     for k, p, t in rows:
-        h = w = None
-        if re.search(L.CUE, t or ""):
-            w = match(t)
-            h = min((m for s in re.sub(L.SENTENCE_END, "\\1\n", t).split("\n") if re.search(L.CUE, s) and (m := match(s))), default=None)
+        w = match(t) if t else None
+        h = min((m for s in re.sub(L.SENTENCE_END, "\\1\n", t or "").split("\n") if (m := match(s))), default=None)
         hs, ws = -h[0] if h else 0, -w[0] if w else 0
-        name = h[1] if hs >= L.MATCH else w[1] if ws >= L.MATCH else None
-        is_file = ws >= L.WHOLE or (hs >= L.MATCH and bool(re.search(L.FILE_NAME, p or "")))
+        name = w[1] if ws >= L.WHOLE else h[1] if h else w[1] if w else None
+        is_file = ws >= L.WHOLE or (h is not None and bool(re.search(L.FILE_NAME, p or "")))
         own.append((k, p, None if p is None else re.sub("/?[^/]*$", "", p, count=1), round(max(hs, ws), 4), name, is_file, max(hs, ws)))
     dirs = {}
     for k, p, d, s, name, is_file, exact in own:
@@ -81,3 +81,28 @@ def test_root_licence_and_empty_table(spark):
 def test_documents_with_nulls(docs):
     out = L.scan_documents(docs([(1, "Released under the MIT License.", "en", "s", 0), (2, "x", "en", "s", 0), (3, None, None, None, None), (None, None, None, None, None)], extra=True)).collect()
     assert {r["doc_id"]: r["origin"] for r in out} == {1: "file", 2: "inherited", 3: "none", None: "none"}
+
+
+def test_whole_texts_are_named_rightly(spark):
+    """Every template as a file of its own among other files, with some words more."""
+    rnd = random.Random(1)
+    prose = [" ".join(rnd.choice(["the", "of", "river", "stone", "a", "light", "over", "in", "house", "and"]) for _ in range(60)) for _ in range(80)]
+    rows = [(f"{k:03d}", f"p{k:03d}/LICENSE", f"Copyright (c) 2024 Someone\n\n{body}\n") for k, (_, body) in enumerate(L.TEMPLATES)]
+    rows += [(f"x{k}", f"p{k:03d}/src/a.py", "print(1)") for k in range(len(L.TEMPLATES))]
+    rows += [(f"y{k}", f"q/{k}.txt", t) for k, t in enumerate(prose)]
+    rows += [("z1", "r/1", "SPDX-License-Identifier: WTFPL"), ("z2", "r/2", "You need a license to fish in this river."), ("z3", "r/3", "Released under the Foobar License.")]
+    df = spark.createDataFrame([r + ("s", "l", "u") for r in rows], SCHEMA).repartition(3)
+    by = {r["id"]: r for r in L.scan(df, "id").collect()}
+    for k, (name, _) in enumerate(L.TEMPLATES):
+        assert (by[f"{k:03d}"]["license"], by[f"x{k}"]["license"], by[f"x{k}"]["origin"]) == (name, name, "inherited"), (k, name, by[f"{k:03d}"])
+    assert all(by[k]["license"] is None for k in [f"y{k}" for k in range(80)] + ["z1", "z2", "z3"])
+
+
+def test_texts_without_key_terms_match_nothing(spark):
+    """What is left out before scoring scores below the match by the plain version."""
+    words = sorted({t for _, body in L.TEMPLATES for t in re.split("[^a-z0-9]+", body.lower()) if t})
+    rnd = random.Random(3)
+    rows = [(str(k), f"d{k}/f", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12)))) for k in range(150)]
+    rows += [(str(200 + k), f"e{k}/f", " ".join(body.split()[:n])) for k, (_, body) in enumerate(L.TEMPLATES) for n in [rnd.randint(1, len(body.split()))]]
+    df = spark.createDataFrame([r + ("s", "l", "u") for r in rows], SCHEMA).repartition(3)
+    assert sorted(map(tuple, L.scan(df, "id").collect()), key=str) == brute(rows)
