@@ -332,11 +332,14 @@ def classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     text to other texts)."""
     members, _, roots, degree = _joined(documents, threshold, recall)
     degree = degree.withColumnRenamed("node", "_d")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    m = members.withColumnRenamed("doc_id", "_m")
     r = roots.withColumnRenamed("node", "_r")
-    out = docs.join(m, docs["doc_id"] == m["_m"], "left")
-    out = out.join(r, out["node"] == r["_r"], "left").join(degree, out["node"] == degree["_d"], "left")
+    nodes = members.select("node").distinct()
+    nodes = nodes.join(r, nodes["node"] == r["_r"], "left").join(degree, nodes["node"] == degree["_d"], "left")
+    # one stored row a text, so that the copies of one text can be split; texts without words stay out of this join
+    nodes = store(nodes.select(F.col("node").alias("_n"), "root", "n_links"), "node-groups")
+    known = members.join(nodes, members["node"] == nodes["_n"]).select(F.col("doc_id").alias("_m"), "node", "root", "n_links")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    out = docs.join(known, docs["doc_id"] == known["_m"], "left")
     return out.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"), F.coalesce("node", "doc_id").alias("text_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
