@@ -7,10 +7,10 @@ the lower-case text, weighted by count times idf = ln((1 + N) / (1 + df)) + 1
 with N and df over all given files; a term of no template counts as unseen. A
 part matches if its cosine to the best template is at least ``match`` and no
 template of another licence comes nearer than ``margin`` to it: between neighbours
-no licence is named. A part can reach ``match`` only if it holds one of the
-heaviest terms of a template that make up all but ``match`` squared of its weight
-(Cauchy's inequality); other parts are not scored, which loses no match of the
-templates in use. A whole text that matches at ``whole`` gives a file its
+no licence is named. A part that holds none of the terms which make up all but
+``match`` squared of a template's squared weight cannot reach ``match`` (Cauchy's
+inequality): so the rarest terms that do so, of every template, tell the parts to
+score, and no match of the templates in use is lost. A whole text that matches at ``whole`` gives a file its
 licence, else the best matching header does, else the whole text. A file is a licence file if its whole text matches at ``whole``, or a
 header does and it is named like one; it licenses its folder, and all files below
 without a licence of their own get that of the nearest such folder: a join on the
@@ -68,15 +68,15 @@ def term_weights(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[Da
 
 def norms_and_keys(weights: DataFrame, n: int, match: float) -> tuple[list[float], list[str]]:
     """The norm of each template, and terms of which any text that matches one at
-    ``match`` holds at least one: of each template the heaviest, until the rest
-    is less than ``match`` squared of its squared norm. Bounded by the templates."""
-    rows = [(r["_term"], [r["idf"] * c for c in r["t"]]) for r in weights.collect()]
+    ``match`` holds at least one: of each template the rarest in the files, until the
+    rest is less than ``match`` squared of its squared norm. Bounded by the templates."""
+    rows = [(r["_term"], [r["idf"] * c for c in r["t"]], r["idf"]) for r in weights.collect()]
     norms, keys = [], set()
     for i in range(n):
-        heavy = sorted(((w[i] ** 2, t) for t, w in rows if w[i] > 0), reverse=True)
-        rest = total = sum(x for x, _ in heavy)
+        rarest = sorted(((idf, w[i] ** 2, t) for t, w, idf in rows if w[i] > 0), reverse=True)
+        rest = total = sum(x for _, x, _ in rarest)
         norms.append(math.sqrt(total))
-        for x, t in heavy:
+        for _, x, t in rarest:
             if rest < (match - 1e-4) ** 2 * total:
                 break
             keys.add(t)
