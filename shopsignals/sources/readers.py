@@ -124,17 +124,16 @@ def head_events(df: DataFrame, n: int, order_by: str = "event_id") -> DataFrame:
     rows without an order key are left out, ties go by the other columns.
 
     For numbers and times the n-th key is found from histograms and the rows up to
-    it are a filter that reaches the scan, whatever ``n``; no rows are merged in
-    one task. Other keys fall back on a sort, which keeps n rows per task.
+    it are a filter that reaches the scan, whatever ``n``; they are sorted by range,
+    no rows are merged in one task. Other keys fall back on a sort, which keeps n rows per task.
     """
     kind = df.schema[order_by].dataType
-    exact = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kind.typeName(), lambda c: c.cast("long"))
+    exact = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kind.typeName())
     if kind.typeName() not in ("byte", "short", "integer", "long", "timestamp", "date"):
         return df.where(F.col(order_by).isNotNull()).orderBy(F.col(order_by).asc()).limit(n)
     ties = [F.col(c) for c in df.columns if c != order_by]
-    if kind.typeName() in ("timestamp", "date"):
-        return smallest(df, exact(F.col(order_by)), n, ties)
-    return smallest(df, F.col(order_by), n, ties)
+    key = exact(F.col(order_by)) if kind.typeName() in ("timestamp", "date") else F.col(order_by)
+    return smallest(df, key, n, ties).orderBy(order_by, *ties)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
