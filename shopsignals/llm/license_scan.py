@@ -84,15 +84,14 @@ def norms_and_keys(weights: DataFrame, n: int, match: float) -> tuple[list[float
     return norms, sorted(keys)
 
 
-def matches(texts: DataFrame, weights: DataFrame, unseen: float, templates: list[tuple[str, str]], match: float, margin: float) -> DataFrame:
+def matches(texts: DataFrame, weights: DataFrame, unseen: float, templates: list[tuple[str, str]], norms: list[float], held: Column,
+            match: float, margin: float) -> DataFrame:
     """uid, part, license, score of every part of ``texts`` (uid, body) that matches:
-    the whole text (part 0) and each header."""
+    the whole text (part 0) and each header that holds one of the terms ``held``."""
     names = sorted({n for n, _ in templates})
-    norms, keys = norms_and_keys(weights, len(templates), match)
-    held = F.array(*[F.lit(k) for k in keys])
     sentences = F.split(F.regexp_replace("body", SENTENCE_END, "$1\n"), "\n")
     parts = F.concat(F.array("body"), F.filter(sentences, lambda s: F.arrays_overlap(terms(s), held)))
-    words = (texts.where(F.arrays_overlap(terms(F.col("body")), held)).select("uid", F.posexplode(parts).alias("part", "words"))
+    words = (texts.where("body is not null").select("uid", F.posexplode(parts).alias("part", "words"))
              .select("uid", "part", F.explode(terms(F.col("words"))).alias("term")).where("term <> ''"))
     tf = words.groupBy("uid", "part", "term").agg(F.count(F.lit(1)).alias("tf"))
     # the weights have one row a template term: their size is that of the templates
@@ -132,10 +131,13 @@ def scan(files: DataFrame, key: str, match: float = MATCH, whole: float = WHOLE,
     of the file's own match) and license_folder (of an inherited one). ``files``:
     ``key``, path, text; ``templates``: (licence, text)."""
     weights, unseen = term_weights(files, templates)
-    rows = store(files.select(F.col(key).alias("_key"), F.col("path").alias("_path"), F.col("text").alias("body"))
+    norms, keys = norms_and_keys(weights, len(templates), match)
+    held = F.array(*[F.lit(k) for k in keys])
+    body = F.when(F.arrays_overlap(terms(F.col("text")), held), F.col("text"))  # texts that can match
+    rows = store(files.select(F.col(key).alias("_key"), F.col("path").alias("_path"), body.alias("body"))
                  .withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
     first = F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))
-    best = (matches(rows.select("uid", "body"), weights, unseen, templates, match, margin).groupBy(F.col("uid").alias("_uid"))
+    best = (matches(rows.select("uid", "body"), weights, unseen, templates, norms, held, match, margin).groupBy(F.col("uid").alias("_uid"))
             .agg(F.min(F.when(F.col("part") > 0, first)).alias("h"), F.min(F.when(F.col("part") == 0, first)).alias("w")))
     f = rows.drop("body").join(best, rows["uid"] == best["_uid"], "left")
     in_header, in_whole = (F.coalesce(-F.col(f"{c}.s"), F.lit(0.0)) for c in "hw")
