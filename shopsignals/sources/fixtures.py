@@ -71,7 +71,7 @@ SELECT event_id * 4 AS event_id, timestamp, user_id, session_id, product_id FROM
 UNION ALL SELECT event_id * 4 + 1, timestamp + INTERVAL 20 SECOND, user_id, session_id || '-new', product_id FROM fx_live_clicks WHERE event_type = 'cart'
 UNION ALL SELECT event_id * 4 + 2, timestamp + INTERVAL 60 SECOND, user_id, session_id || '-new', product_id FROM fx_live_clicks WHERE event_type = 'cart'
 UNION ALL SELECT event_id * 4 + 3, timestamp + INTERVAL 75 SECOND, user_id, session_id, product_id FROM fx_live_clicks WHERE event_type = 'cart'""",
-    # launch dates written in nine ways, one of them no date
+    # launch dates written in eleven ways, some of them no date
     "fx_mixed_dates": """
 SELECT sku_id, CASE k WHEN 0 THEN concat(d, '/', m, '/', substr(y, 3, 2)) WHEN 1 THEN concat(d, '/', m, '/', y) WHEN 2 THEN concat(y, '-', m, '-', d)
  WHEN 3 THEN concat(d, ' ', mon, ' ', y) WHEN 4 THEN concat(mon, ' ', d, ', ', y) WHEN 5 THEN concat(m, '/', CAST(CAST(d AS INT) % 10 + 15 AS STRING), '/', substr(y, 3, 2))
