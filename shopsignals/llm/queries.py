@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsignals.llm import (adaptive_rules, bucket_refinement, entropy_mixing, license_scan, mil_quality, minhash_forest, packing, prefix_trie,
+from shopsignals.llm import (adaptive_rules, bucket_refinement, entropy_mixing, license_scan, mil_quality, minhash_forest, oracles, packing, prefix_trie,
                              rlz_dedup, run_detection, simhash_vptree, topk_search, warc)
 from shopsignals.llm.tables import read
 
@@ -49,7 +49,7 @@ def op2(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op3(spark, sf_dir):
     """All documents without the bytes of 100-byte strings that start earlier."""
     return bucket_refinement.remove_repeated_bytes(read(spark, sf_dir, "documents"), 100)
@@ -68,7 +68,7 @@ def op4(spark, sf_dir):
     return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op5(spark, sf_dir):
     """All documents without the words of repeated 35-word windows."""
     return rlz_dedup.kept_words(read(spark, sf_dir, "documents"), 35)
@@ -81,13 +81,13 @@ def op6(spark, sf_dir):
     return mil_quality.score(documents, mil_quality.train(documents, read(spark, sf_dir, "labels")), 0.3)
 
 
-@query("op7_jaccard_forest")
+@query("op7_jaccard_forest", oracles.JACCARD_JOIN)
 def op7(spark, sf_dir):
     """Near-duplicate groups of all documents at similarity 0.8."""
     return minhash_forest.classes(read(spark, sf_dir, "documents"), 0.8)
 
 
-@query("op8_adaptive_rules")
+@query("op8_adaptive_rules", oracles.RULES)
 def op8(spark, sf_dir):
     """Counts and verdicts of all documents under their group's thresholds."""
     return adaptive_rules.verdicts(read(spark, sf_dir, "documents"))
@@ -111,7 +111,7 @@ def op11(spark, sf_dir):
     return run_detection.run_digests(read(spark, sf_dir, "documents"), rewrite=True)
 
 
-@query("op12_prefix_trie")
+@query("op12_prefix_trie", oracles.PREFIX_TRIE)
 def op12(spark, sf_dir):
     """The prefix trie of all conversations, rebuilt."""
     return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
