@@ -51,8 +51,8 @@ FROM d LEFT JOIN class USING (doc_id) LEFT JOIN root ON root.node = text_id LEFT
 
 RULES = f"""
 WITH d AS (SELECT doc_id, lang, source, {WORDS} AS w, coalesce(text, '') AS t FROM documents),
-win AS (SELECT doc_id, i FROM d, unnest(range(1, len(w) - 3)) AS u(i)
-        QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) > 1),
+five AS MATERIALIZED (SELECT doc_id, i, md5_number(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+win AS (SELECT doc_id, i FROM five JOIN (SELECT doc_id, h FROM five GROUP BY doc_id, h HAVING count(*) > 1) USING (doc_id, h)),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM win, unnest(range(0, 5)) AS u(k) GROUP BY doc_id),
 line AS (SELECT doc_id, l FROM d, unnest(string_split(t, chr(10))) AS u(l) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM line GROUP BY doc_id),
