@@ -4,17 +4,26 @@ A document is the set of its runs of ``WORDS`` consecutive words (fewer words:
 one run of all of them). Documents of one set are one text class, named by its
 smallest doc_id, and take part as one node.
 
-Each of ``TREES`` trees labels a node by ``DEPTH`` minhash values and holds the
-labels as a sorted prefix trie. Two nodes of similarity s share the first d
-values of a tree with probability s**d; the prefix that must match is shortened
-from ``DEPTH`` until the chance that some tree brings two nodes at the threshold
-together, 1 - (1 - s**d)**TREES, reaches the target recall. All pairs of nodes
-below such a prefix are verified on the whole sets: those of a prefix of at most
-LISTED nodes are listed, once for all trees, and their texts brought together;
-a crowded prefix is split by hash into parts of about CROWD nodes, and each two
-parts are compared as one block, which sends on the number of links of each node
-and links enough to join what it found similar, not the pairs. So a crowd of m
-nodes costs m * m comparisons, and m * m / CROWD copies of its texts, a tree.
+The forest holds each node's minhash values as labels of sorted prefix tries. Two
+nodes of similarity s share the first d values of a trie with probability s**d.
+How much of the labels must match depends on how crowded a prefix is:
+
+* every node enters ``TREES`` tries; the prefix that must match is shortened from
+  ``DEPTH`` until the chance that some trie brings two nodes at the threshold
+  together, 1 - (1 - s**d)**TREES, reaches the target recall;
+* a prefix of at most LISTED nodes lists its pairs. The nodes of more crowded
+  prefixes (a template that many texts share) enter a second forest of longer
+  prefixes, up to ``DEPTH`` values, with as many more tries as keep the recall
+  (``deeper``). Two nodes that only meet under crowded prefixes are both in it, so
+  they are missed no more often; texts that have less in common than the
+  threshold part there;
+* what is crowded even in the second forest is mostly similar indeed: such a
+  prefix is split by hash into parts of about CROWD nodes, and each two parts are
+  compared as one block, which sends on the number of links of each node and links
+  enough to join what it found similar, not the pairs. A crowd of m nodes costs
+  m * m comparisons, and m * m / CROWD copies of its texts, a trie.
+
+Listed pairs, once for both forests, are verified on the whole sets.
 
 Links make groups (connected components), found by repeated contraction to
 smaller ids.
@@ -22,11 +31,14 @@ smaller ids.
 Results in cases of doubt: words are taken unchanged; a text without words, or a
 null one, is alone in its group, as is a row without doc_id, whose group is
 null; rows that repeat a doc_id are one document (of different texts under one
-id, one stands for it); other columns are ignored or, in ``keep_one``, kept.
+id, that of the smallest set fingerprint stands for it, the others link nothing);
+other columns are ignored or, in ``keep_one``, kept.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,14 +48,11 @@ from shopsignals.llm.kernels import M1, M2, M3, U, batch, grams, groups, mix, te
 from shopsignals.llm.tables import ship, store
 
 WORDS, TREES, DEPTH = 5, 16, 6
+DEEP = 64  # most tries of the second forest
 LISTED = 16  # most nodes of a prefix whose pairs are listed; more are compared in blocks
 CROWD = 512  # nodes of a part of a crowded prefix; a block holds two parts
 COLUMNS = 4096  # shingles compared at once in a block
 BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (8 bytes each)
-HASHES = TREES * DEPTH
-_rnd = np.random.default_rng(7)
-FACTOR = _rnd.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
-OFFSET = _rnd.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def prefix_depth(threshold: float, recall: float) -> int:
@@ -54,6 +63,24 @@ def prefix_depth(threshold: float, recall: float) -> int:
     return 1
 
 
+def deeper(threshold: float, depth: int) -> tuple[int, int] | None:
+    """(depth, tries) of the second forest: the longest prefix up to ``DEPTH`` at
+    which at most DEEP tries miss a pair at the threshold no more often than TREES
+    tries do at ``depth``; None if there is none longer than ``depth``."""
+    for d in range(DEPTH, depth, -1):
+        tries = math.ceil(TREES * math.log1p(-threshold ** depth) / math.log1p(-threshold ** d)) if threshold < 1 else TREES
+        if tries <= DEEP:
+            return d, tries
+    return None
+
+
+def family(seed: int, tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of the hash functions of a forest, by trie and depth."""
+    rnd = np.random.default_rng(seed)
+    factor = rnd.integers(1, 1 << 63, tries * DEPTH, dtype=np.uint64) * U(2) + U(1)
+    return factor.reshape(tries, DEPTH), rnd.integers(0, 1 << 63, tries * DEPTH, dtype=np.uint64).reshape(tries, DEPTH)
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle identifiers of the rows, sorted within a row, end to end,
     and the row of each."""
@@ -74,34 +101,33 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> tuple[n
     return g[new], r[new]
 
 
-def _sign(threshold: float, recall: float):
-    depth = prefix_depth(threshold, recall)
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()),
+def _sign(depth: int, tries: int, seed: int):
+    """Fingerprint and size of each text's set, and its prefix in each trie."""
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()),
                         ("labels", pa.list_(pa.int64()))])
 
     def apply(batches):
+        factor, offset = family(seed, tries)
         for b in batches:
             raw, off = text_buffer(b.column("text"))
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
+            doc, x = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "x"))
             for i, j in groups(off):
                 g, r = shingle_sets(raw, off[i:j + 1])
                 if not len(g):
                     continue
                 head = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                low = np.empty((len(head), HASHES), U)
-                for k in range(HASHES):
-                    h = g * FACTOR[k]
-                    h += OFFSET[k]
-                    h >>= U(32)
-                    low[:, k] = np.minimum.reduceat(h, head)
-                low = low.reshape(-1, TREES, DEPTH)
-                key = np.arange(1, TREES + 1, dtype=np.uint64) * M3 + np.zeros((len(head), 1), U)
-                for k in range(depth):
-                    key = mix(key, low[:, :, k] + U(k + 1))
+                key = np.arange(1, tries + 1, dtype=np.uint64) * M3 + np.full((len(head), 1), seed, U)
+                for t in range(tries):
+                    for k in range(depth):
+                        h = g * factor[t, k]
+                        h += offset[t, k]
+                        h >>= U(32)
+                        key[:, t] = mix(key[:, t], np.minimum.reduceat(h, head) + U(k + 1))
                 own = mix(g, g ^ M3)
                 f1, f2 = np.add.reduceat(own, head), np.bitwise_xor.reduceat(own * M2, head)
-                labels = pa.ListArray.from_arrays(np.arange(0, key.size + 1, TREES, dtype=np.int32), pa.array(key.ravel().view(np.int64)))
-                yield batch(schema, doc[i + r[head]], f1, f2, np.diff(np.append(head, len(g))), labels)
+                labels = pa.ListArray.from_arrays(np.arange(0, key.size + 1, tries, dtype=np.int32), pa.array(key.ravel().view(np.int64)))
+                at = i + r[head]
+                yield batch(schema, doc[at], x[at], f1, f2, np.diff(np.append(head, len(g))), labels)
     return apply
 
 
@@ -168,8 +194,8 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _block(key, half, node, crowds, text, threshold: float):
     """All pairs of one block: links enough to join what is similar, with their
-    similarity, and each node's number of links. A pair is counted only under the
-    smallest crowded prefix that its nodes share."""
+    similarity, and each node's number of links. A pair counts, for both, only
+    under the smallest crowded prefix that its nodes share."""
     raw, off = text_buffer(text)
     parts = [(g, r + i) for i, j in groups(off) for g, r in [shingle_sets(raw, off[i:j + 1])]]
     g, r = (np.concatenate(x) for x in zip(*parts))
@@ -192,6 +218,10 @@ def _block(key, half, node, crowds, text, threshold: float):
     full[np.ix_(left, right)], value[np.ix_(left, right)] = ok, s
     o = np.argsort(node)
     up, down = (o[x] for x in _spanning((full | full.T)[np.ix_(o, o)]))
+    first = np.zeros((m, m), bool)
+    first[np.ix_(left, right)] = counted
+    new = first[up, down] | first[down, up]  # the ends of the others are joined under the smaller prefix that they share
+    up, down = up[new], down[new]
     return node[up], node[down], np.maximum(value[up, down], value[down, up]), degree
 
 
@@ -277,35 +307,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return store(full.select("a", "b", "ta", "tb").mapInArrow(_similar(threshold), "a long, b long, similarity double"), "links")
 
 
+SIGNED_DDL = "doc_id long, x long, f1 long, f2 long, n long, labels array<long>"
+
+
+def _prefixes(nodes: DataFrame, name: str) -> DataFrame:
+    """key, many, node, n: the prefixes of all tries that two nodes or more share."""
+    rows = nodes.select("node", "n", F.explode("labels").alias("key"))
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("key", "_key")
+    return store(rows.join(many, rows["key"] == many["_key"]).select("key", "many", "node", "n"), name)
+
+
+def _bodies(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (node, x, text) that stand for the ``wanted`` nodes."""
+    wanted = store(nodes.select(F.col("node").alias("_node"), F.col("x").alias("_x")).join(wanted, F.col("_node") == wanted["node"], "left_semi"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)  # beyond that the texts are exchanged by node
+    return (texts.join(wanted, (texts["doc_id"] == wanted["_node"]) & (texts["x"] == wanted["_x"]), "left_semi")
+            .withColumnRenamed("doc_id", "node").dropDuplicates(["node"]))
+
+
 def _joined(documents: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members, links, roots): the node of every document (doc_id, node), the
     verified links between nodes (a, b, similarity) that make the groups, the groups
     of linked nodes (node, root), and all links of each node (node, n_links)."""
     ship(documents.sparkSession)
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = store(texts.mapInArrow(_sign(threshold, recall), "doc_id long, f1 long, f2 long, n long, "
-                                    "labels array<long>"), "signatures")
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+    depth = prefix_depth(threshold, recall)
+    signed = store(texts.mapInArrow(_sign(depth, TREES, 7), SIGNED_DDL), "signatures")
+    one = store(signed.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "x")).alias("s")).select("doc_id", "s.*"), "standing")
     # stored, so that the joins below read two exchanges and a large class can be split
-    classes = store(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
-    members = store(signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).groupBy("doc_id").agg(F.min("node").alias("node")), "members")
+    classes = store(one.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
+    members = store(one.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "node"), "members")
     named = classes.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "node")
     nodes = store(signed.join(named, (signed["doc_id"] == named["node"]) & (signed["f1"] == named["_f1"]) & (signed["f2"] == named["_f2"]))
-                  .groupBy("node").agg(F.first("n").alias("n"), F.first("labels").alias("labels")), "nodes")
-    rows = nodes.select("node", "n", F.explode("labels").alias("key"))
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("key", "_key")
-    rows = store(rows.join(many, rows["key"] == many["_key"]).select("key", "many", "node", "n"), "prefixes")
+                  .groupBy("node").agg(F.min("x").alias("x"), F.first("n").alias("n"), F.first("labels").alias("labels")), "nodes")
+    rows = _prefixes(nodes, "prefixes")
+    few = rows.where(F.col("many") <= LISTED)
     crowded = rows.where(F.col("many") > LISTED)
+    second = deeper(threshold, depth)
+    if second:
+        again = _bodies(texts, nodes, crowded.select("node").distinct())
+        again = again.select(F.col("node").alias("doc_id"), "x", "text").mapInArrow(_sign(*second, 8), SIGNED_DDL)
+        rows = _prefixes(store(again.select(F.col("doc_id").alias("node"), "n", "labels"), "deep-signatures"), "deep-prefixes")
+        few = few.unionByName(rows.where(F.col("many") <= LISTED))
+        crowded = rows.where(F.col("many") > LISTED)
     crowds = store(crowded.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("crowds")), "crowds")
-    pairs = (rows.where(F.col("many") <= LISTED).select("key", "node", "n").repartition("key").sortWithinPartitions("key", "node")
+    pairs = (few.select("key", "node", "n").repartition("key").sortWithinPartitions("key", "node")
              .mapInArrow(_all_pairs(threshold), "a long, b long").distinct())
     ca, cb = (crowds.select(F.col("node").alias(f"_{c}"), F.col("crowds").alias(f"c{c}")) for c in "ab")
     # pairs that share a crowded prefix are counted in its blocks
     pairs = store(pairs.join(ca, F.col("a") == F.col("_a"), "left").join(cb, F.col("b") == F.col("_b"), "left")
                   .where("not coalesce(arrays_overlap(ca, cb), false)").select("a", "b"), "candidates")
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)  # beyond that the texts are exchanged by node
-    bodies = store(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct()
+    bodies = store(_bodies(texts, nodes, wanted), "texts")
     listed = _verified(pairs, bodies, threshold)
     parts = F.ceil(F.col("many") / CROWD)
     blocks = (crowded.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))

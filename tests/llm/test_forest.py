@@ -65,6 +65,20 @@ def test_groups_match_brute_force(docs, seed):
         assert (r["n_links"] > 0) == other
 
 
+def test_template_crowds_part_in_the_second_forest(docs, monkeypatch):
+    """Of texts that share a template and are not similar, few come to blocks."""
+    rows = [(i, " ".join([f"t{k}" for k in range(100)] + [f"o{i}x{k}" for k in range(60)])) for i in range(300)]
+    stored, store = {}, M.store
+
+    def spy(df, name):
+        stored[name] = store(df, name)
+        return stored[name]
+    monkeypatch.setattr(M, "store", spy)
+    assert {r["n_links"] for r in M.classes(docs(rows)).collect()} == {0}
+    size = lambda name: sum(r["many"] for r in stored[name].where(f"many > {M.LISTED}").collect())
+    assert size("prefixes") > 10_000 and size("deep-prefixes") < size("prefixes") / 3
+
+
 def test_one_large_group(docs):
     """Hundreds of near copies: one group, pairs in proportion to its size."""
     rnd = random.Random(5)
@@ -107,6 +121,22 @@ def test_depth_reaches_recall():
     assert M.prefix_depth(0.8, 0.999) == 4 and M.prefix_depth(0.8, 0.99999) < 4 and M.prefix_depth(0.99, 0.9) == M.DEPTH
 
 
+def test_second_forest_keeps_recall():
+    d = M.prefix_depth(0.8, 0.9999)
+    deep, tries = M.deeper(0.8, d)
+    assert d < deep <= M.DEPTH and tries <= M.DEEP
+    assert (1 - 0.8 ** deep) ** tries <= (1 - 0.8 ** d) ** M.TREES
+    assert M.deeper(0.2, M.prefix_depth(0.2, 0.9)) is None and M.deeper(0.8, M.DEPTH) is None
+
+
+def test_one_id_with_two_texts_joins_nothing_unrelated(docs):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(a)), (7, " ".join(b)), (8, " ".join(a + ["more"])), (9, " ".join(["more"] + b))]
+    got = {r["doc_id"]: r["class_id"] for r in M.classes(docs(rows)).collect()}
+    assert got[6] == got[8] != got[7] == got[9]
+    assert got[5] in (got[6], got[7])
+
+
 def template_corpus(seed, n=560, pairs=30):
     """Texts that share three quarters of a pair's union, and pairs above 0.8."""
     rnd = random.Random(seed)
