@@ -52,7 +52,7 @@ DEEP = 64  # most tries of the second forest
 LISTED = 16  # most nodes of a prefix whose pairs are listed; more are compared in blocks
 CROWD = 512  # nodes of a part of a crowded prefix; a block holds two parts
 COLUMNS = 4096  # shingles compared at once in a block
-BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (8 bytes each)
+BROADCAST_IDS = 500_000  # most ids of texts to verify that are broadcast (two longs each)
 
 
 def prefix_depth(threshold: float, recall: float) -> int:
