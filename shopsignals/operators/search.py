@@ -134,7 +134,9 @@ def brand_search(catalog: DataFrame, queries: DataFrame, n: int = 10, min_score:
 
 
 # ------------------------------------------------------------- B11, B14 in bulk
-GRAM = 3
+GRAM = 8  # longest run of characters that postings are kept of
+CHUNK = 1024  # keys or query ids that stand in one row
+TASK_ROWS = 2_000_000  # rows of the answer that one task writes out
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -144,32 +146,85 @@ def _grams(text: Column, size: int) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
+def _alike(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Keys with the same set of texts stand for each other: (class, ``key``) of
+    every key, and the distinct (class, ``text``). A class is known by 128 bits
+    and the size of the set."""
+    rows = rows.select(F.struct(key).alias("_k"), text)
+    bits = [F.bit_xor(F.xxhash64(F.lit(s), text)) for s in (1, 2)]
+    member = rows.groupBy("_k").agg(F.struct(*[b.alias(f"h{i}") for i, b in enumerate(bits)], F.count(F.lit(1)).alias("n")).alias("_class"))
+    member = materialize(member)
+    of = member.groupBy("_class").agg(F.min("_k").alias("_k"))
+    return member.select("_class", F.col(f"_k.{key}").alias(key)), materialize(rows.join(of, "_k").select("_class", text))
+
+
+def _in_chunks(member: DataFrame, cls: str, key: str) -> DataFrame:
+    """(class, list of at most about 2 * CHUNK keys), large classes in many rows."""
+    many = member.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / CHUNK)).alias("_part")
+    return (member.join(many, "_class").select(F.col("_class").alias(cls), part, "_n", key).groupBy(cls, "_part", "_n")
+            .agg(F.collect_list(F.struct(key)).alias(f"{key}_list")))
+
+
+def _expand(pairs: DataFrame, first: DataFrame, on: str, second: DataFrame, by: str, volume: DataFrame) -> DataFrame:
+    """Pairs of classes -> rows: lists of ``first`` go to the pairs, the pairs to
+    the lists of ``second``, a class of many answers to as many copies of its lists
+    as tasks are to write them out."""
+    tasks = volume.select(by, F.ceil(F.col("_rows") / TASK_ROWS).cast("int").alias("_tasks"))
+    left = (pairs.join(first.drop("_n"), on).join(tasks, by)
+            .withColumn("_task", F.pmod(F.xxhash64(on, "_part"), F.col("_tasks")).cast("int")))
+    right = second.drop("_n", "_part").join(tasks, by).select("*", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"))
+    return left.drop("_tasks").join(right.drop("_tasks"), [by, "_task"])
+
+
 def search_many(df: DataFrame, key: str, cols: list[str], queries: DataFrame) -> DataFrame:
     """B11/B14 for a table of queries (qid, q): (qid, ``key``) of every row with
     ``q`` in one of ``cols``, any case, literally.
 
-    Rows are found by postings of character trigrams: each query is looked up by
-    its rarest trigram only, then the texts of these rows are compared. Queries of one or two
-    characters are looked up by postings of that length; NULL and empty ones find
+    Texts are found by postings of runs of 8 characters: each query is looked up by
+    its rarest run only, then the texts of these rows are compared. Shorter queries
+    are looked up by postings of their own length; NULL and empty ones find
     nothing. Rows without a key are not found; a key's rows count as one.
+
+    Keys of the same texts and ids of the same queries are looked up once, as
+    classes, and the answer, which can be much larger than both tables, is
+    written out by the last join from lists of ids: it crosses no shuffle.
     """
     asked = queries.select("qid", F.lower(F.col("q").cast("string")).alias("q")).where("q <> ''").distinct()
-    asked = materialize(asked.withColumn("size", F.least(F.length("q"), F.lit(GRAM))))
-    sizes = sorted(s for s in asked.agg(F.collect_set("size")).first()[0])  # at most three
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array(*[F.lower(F.col(c).cast("string")) for c in cols])).alias("text"))
-    texts = materialize(texts.where("text is not null").distinct())
+    ids, wanted = _alike(asked, "qid", "q")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array(*[F.lower(F.col(c).cast("string")) for c in cols])).alias("text"))
+    keys, texts = _alike(rows.where("text is not null").distinct(), "_key", "text")
+    wanted = wanted.select(F.col("_class").alias("_q"), "q", F.least(F.length("q"), F.lit(GRAM)).alias("size"))
+    texts = texts.withColumnRenamed("_class", "_doc")
+    sizes = sorted(s for s in wanted.agg(F.collect_set("size")).first()[0])  # at most eight
     if not sizes:
         return asked.select("qid", F.lit(None).cast(df.schema[key].dataType).alias(key)).limit(0)
-    each = F.array_distinct(F.concat(*[_grams(F.col("text"), s) for s in sizes]))
-    postings = materialize(texts.select(F.explode(each).alias("gram"), "_key").distinct())
     of_query = F.lit(None).cast("array<string>")
     for s in sizes:
         of_query = F.when(F.col("size") == s, _grams(F.col("q"), s)).otherwise(of_query)
-    used = asked.select("qid", "q", F.explode(of_query).alias("gram"))
+    q = wanted.select("q", "size").distinct()
+    used = materialize(q.select("q", F.explode(of_query).alias("gram")))
+    each = F.concat(*[_grams(F.col("text"), s) for s in sizes])
+    postings = texts.select("_doc", F.explode(each).alias("gram")).join(used.select("gram").distinct(), "gram", "left_semi")
+    postings = materialize(postings.distinct())
     often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a gram without postings is the rarest: the query finds nothing
-    rarest = (used.join(often, "gram", "left").groupBy("qid", "q")
+    rarest = (used.join(often, "gram", "left").groupBy("q")
               .agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
-              .where("r.n is not null").select("qid", "q", F.col("r.gram").alias("gram")))
-    return (postings.join(rarest, "gram").join(texts, "_key").where(F.contains(F.col("text"), F.col("q")))
-            .select("qid", F.col("_key").alias(key)).distinct())
+              .where("r.n is not null").select("q", F.col("r.gram").alias("gram")))
+    found = postings.join(rarest, "gram")
+    whole = found.where(F.length("q") <= GRAM).select("q", "_doc")  # the run is the query
+    longer = found.where(F.length("q") > GRAM).join(texts, "_doc").where(F.contains(F.col("text"), F.col("q"))).select("q", "_doc")
+    pairs = materialize(whole.unionByName(longer).join(wanted.select("_q", "q"), "q").select("_q", "_doc").distinct())
+    ids, keys = (materialize(_in_chunks(m, c, k)) for m, c, k in ((ids, "_q", "qid"), (keys, "_doc", "_key")))
+    sizes_of = [m.select(c, F.col("_n").alias(n)).distinct() for m, c, n in ((ids, "_q", "_ids"), (keys, "_doc", "_keys"))]
+    pairs = materialize(pairs.join(sizes_of[0], "_q").join(sizes_of[1], "_doc"))
+    # of each pair the shorter list travels
+    out = []
+    for fewer, first, on, second, by in (("_keys <= _ids", keys, "_doc", ids, "_q"), ("_keys > _ids", ids, "_q", keys, "_doc")):
+        some = pairs.where(fewer)
+        volume = some.groupBy(by).agg(F.sum(F.col("_ids") * F.col("_keys")).alias("_rows"))
+        out.append(_expand(some.select("_q", "_doc"), first, on, second, by, volume).select("qid_list", "_key_list"))
+    out = out[0].unionByName(out[1])
+    out = out.select(F.explode("qid_list").alias("_a"), "_key_list").select("_a", F.explode("_key_list").alias("_b"))
+    return out.select(F.col("_a.qid").alias("qid"), F.col("_b._key").alias(key))

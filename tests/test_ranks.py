@@ -186,3 +186,24 @@ def test_window_counters_stream_equals_batch(spark, tmp_dir):
     assert all(abs(r["active_sessions"] - want[w]["active_sessions"]) <= 0.06 * want[w]["active_sessions"] + 1 for w, r in got.items())
     batch = {r["window_start"]: r for r in so.live_window_kpis(ev).collect()}
     assert set(batch) == set(want) and all([r[c] for c in exact] == [want[w][c] for c in exact] for w, r in batch.items())
+
+
+def test_bulk_search_answer_crosses_no_shuffle(spark):
+    # 400 copies of three names asked for by 400 copies of two queries: 320,000 answers
+    df = spark.range(1200).select("id", F.expr("concat('Name#0000', id % 3)").alias("a"), F.lit("seg").alias("b"))
+    q = spark.range(800).select(F.col("id").alias("qid"), F.expr("concat('#000', id % 2)").alias("q"))
+    q = q.unionByName(spark.range(800, 1200).select(F.col("id").alias("qid"), F.lit("name#00002").alias("q")))
+    out = se.search_many(df, "id", ["a", "b"], q)
+    assert out.count() == 400 * 1200 + 400 * 400  # '#0001' finds nothing
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and "_b" not in plan[plan.index("Join"):].split("Generate")[0]
+    assert not any(w in plan[:plan.index("Join")] for w in ("Exchange", "Aggregate"))
+
+
+def test_bulk_search_repeated_and_null_ids(spark):
+    rows = [(1, "alpha beta gamma", "x"), (1, "beta", None), (2, "alpha beta gamma", "x"), (3, "x", "alpha beta gamma"), (4, None, None), (None, "beta", "x")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    qs = [(1, "beta"), (1, "alpha beta"), (1, "beta"), (None, "x"), (None, "a beta gam"), (5, "ALPHA"), (6, "alpha"), (7, "alpha beta gamma delta"), (8, "beta gamma"), (8, "x")]
+    q = spark.createDataFrame(qs, "qid long, q string")
+    got = sorted(map(tuple, se.search_many(df, "id", ["a", "b"], q).collect()), key=str)
+    assert got == sorted({(k, i) for k, t in qs for i, a, b in rows if i is not None and any(x is not None and t.lower() in x for x in (a, b))}, key=str)
