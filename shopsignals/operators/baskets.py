@@ -11,14 +11,21 @@ Scale notes
 * Apriori pruning is exact: a pair can only reach ``min_support`` when both
   items do, so items below it are removed before pairing.
 * Pair counts aggregate with map-side partial aggregation.
+* Each step runs in as many tasks as its input, or its counted pairs, need, so
+  that a task's sorts and hash tables stay as they are when the tables grow.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.functions.columns import round_to
+from shopsignals.session import materialize_small, small_tasks, tasks_for
+
+TASK_PAIRS = 500_000  # pairs that one task counts
 
 
 # ------------------------------------------------------------------------ D20
@@ -36,11 +43,12 @@ def baskets(events: DataFrame, key: str, item: str, types: list[str] | None = No
 def filter_baskets(b: DataFrame, min_count: int = 5, min_items: int = 2) -> DataFrame:
     """Drop items seen fewer than ``min_count`` times (duplicates count),
     dedupe items within a basket, keep baskets with ≥ ``min_items`` items."""
+    b = materialize_small(b)  # read twice
     frequent = b.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
-    kept = b.join(frequent.select("item"), "item", "left_semi").distinct()
+    kept = materialize_small(b.join(frequent.select("item"), "item", "left_semi").distinct())
     sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("basket_size")) \
                 .where(F.col("basket_size") >= min_items)
-    return kept.join(sizes, "basket", "inner")
+    return materialize_small(kept.join(sizes, "basket", "inner"))
 
 
 # ------------------------------------------------------------------- C10, D22
@@ -49,19 +57,32 @@ def item_pairs(b: DataFrame, chunk_items: int = 1024, min_pair_count: int = 1) -
 
     ``b`` carries (basket, item, basket_size) with distinct items per basket.
     """
+    out = _pair_counts(materialize_small(b), chunk_items)
+    return out.where(F.col("n_ab") >= min_pair_count) if min_pair_count > 1 else out
+
+
+def _pair_counts(b: DataFrame, chunk_items: int, carry: str | None = None) -> DataFrame:
+    """(item_a, item_b, n_ab) of a written ``b``, with the column ``carry`` of both
+    items where given (one value an item)."""
+    own = F.col("item").alias("i"), *([F.col(carry).alias("c")] if carry else [])
     nchunks = F.greatest(F.lit(1), F.ceil(F.col("basket_size") / F.lit(chunk_items))).cast("int")
     x = b.withColumn("_s", nchunks)
     x = x.withColumn("_c", F.pmod(F.xxhash64(F.col("item")), F.col("_s")).cast("int"))
     left = x.select("basket", F.col("_c").alias("bi"),
                     F.explode(F.sequence(F.col("_c"), F.col("_s") - 1)).alias("bj"),
-                    F.col("item").alias("a"))
+                    F.struct(*own).alias("a"))
     right = x.select("basket", F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("bi"),
-                     F.col("_c").alias("bj"), F.col("item").alias("b"))
+                     F.col("_c").alias("bj"), F.struct(*own).alias("b"))
     j = left.join(right, ["basket", "bi", "bj"], "inner")
-    j = j.where((F.col("bi") < F.col("bj")) | (F.col("a") < F.col("b")))
-    pairs = j.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
-    out = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
-    return out.where(F.col("n_ab") >= min_pair_count) if min_pair_count > 1 else out
+    j = j.where((F.col("bi") < F.col("bj")) | (F.col("a.i") < F.col("b.i")))
+    up = F.col("a.i") < F.col("b.i")
+    low, high = F.when(up, F.col("a")).otherwise(F.col("b")), F.when(up, F.col("b")).otherwise(F.col("a"))
+    ends = [e.getField(f).alias(n + x) for f, n in (("i", "item_"), ("c", "carry_"))[:len(own)] for e, x in ((low, "a"), (high, "b"))]
+    pairs = j.select(*ends)
+    out = pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("n_ab"))
+    with small_tasks(b.sparkSession, tasks_for(b)):
+        n = b.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    return materialize_small(out, math.ceil((n or 0) / TASK_PAIRS))
 
 
 def item_counts(b: DataFrame) -> DataFrame:
@@ -77,24 +98,20 @@ def association_rules(b: DataFrame, min_support: float = 0.0003, min_confidence:
     support = n_ab / N, confidence = support / supp(antecedent),
     lift = confidence / supp(consequent); both directions; rounded 4/4/6.
     """
-    from shopsignals.session import materialize
-
     # b feeds the basket count, the item counts and the pairs: compute it once
-    b = materialize(b)
-    n = b.select(F.countDistinct("basket").alias("n")).scalar()
-    counts = item_counts(b)
-    # exact Apriori pruning: n_a ≥ n_ab ≥ min_support·N
-    if min_support > 0:
-        frequent = counts.where(F.col("n_item") / n >= F.lit(min_support))
-        bb = b.join(frequent.select("item"), "item", "left_semi")
-    else:
-        bb = b  # every item passes: no pruning join
-    pairs = item_pairs(bb, chunk_items)
-    pairs = pairs.withColumn("support", F.col("n_ab") / n).where(F.col("support") >= F.lit(min_support))
-    ca = counts.select(F.col("item").alias("item_a"), (F.col("n_item") / n).alias("supp_a"))
-    cb = counts.select(F.col("item").alias("item_b"), (F.col("n_item") / n).alias("supp_b"))
-    p = pairs.join(ca, "item_a").join(cb, "item_b")
-    # both directions from one row: the pairs and their joins run once
+    return _rules(materialize_small(b), min_support, min_confidence, chunk_items)
+
+
+def _rules(b: DataFrame, min_support: float, min_confidence: float, chunk_items: int = 1024) -> DataFrame:
+    """``association_rules`` of a written ``b``."""
+    with small_tasks(b.sparkSession, tasks_for(b)):
+        n = F.lit(b.select(F.countDistinct("basket")).first()[0])
+    # exact Apriori pruning: n_a ≥ n_ab ≥ min_support·N; the counts go with the items, so the pairs join nothing
+    frequent = item_counts(b).where(F.col("n_item") / n >= F.lit(min_support))
+    pairs = _pair_counts(materialize_small(b.join(frequent, "item")), chunk_items, "n_item")
+    p = (pairs.withColumn("support", F.col("n_ab") / n).where(F.col("support") >= F.lit(min_support))
+         .withColumn("supp_a", F.col("carry_a") / n).withColumn("supp_b", F.col("carry_b") / n))
+    # both directions from one row: the pairs are counted once
     ways = [F.struct(F.col(f"item_{x}").alias("ant"), F.col(f"item_{y}").alias("con"),
                      (F.col("support") / F.col(f"supp_{x}")).alias("confidence"), F.col(f"supp_{y}").alias("supp_con"))
             for x, y in ("ab", "ba")]
@@ -109,8 +126,7 @@ def association_rules(b: DataFrame, min_support: float = 0.0003, min_confidence:
 def rules_from_events(events: DataFrame, key: str, item: str, types=None, min_count: int = 5,
                       min_support: float = 0.0003, min_confidence: float = 0.02) -> DataFrame:
     """D20 → D21 → H1 in one call."""
-    return association_rules(filter_baskets(baskets(events, key, item, types), min_count),
-                             min_support, min_confidence)
+    return _rules(filter_baskets(baskets(events, key, item, types), min_count), min_support, min_confidence)
 
 
 def fpgrowth_pairs(b: DataFrame, min_support: float, min_confidence: float) -> DataFrame:

@@ -6,7 +6,9 @@ own configuration (shuffle partitions, checkpoint dir, memory) always wins.
 
 from __future__ import annotations
 
+import math
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +86,39 @@ def input_state(df: DataFrame) -> tuple:
     return tuple(out)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, n_tasks: int):
+    """Plans that run inside shuffle into ``n_tasks`` partitions (at least one a
+    core), which are not joined together again, and read files in pieces of 16 MB."""
+    n = max(n_tasks, spark.sparkContext.defaultParallelism)
+    ours = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "16m"}
+    before = {k: spark.conf.get(k) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+TASK_BYTES = 4 << 20  # of the files that a plan reads, for one task
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for a plan by the bytes of its input files."""
+    return math.ceil(sum(size for _, size, _ in input_state(df)) / TASK_BYTES)
+
+
+def materialize_small(df: DataFrame, n_tasks: int | None = None) -> DataFrame:
+    """``materialize`` with as many tasks as the rows need (``small_tasks``; by
+    the size of the input files where no number is given): a task's memory stays
+    as it is when the tables grow."""
+    with small_tasks(df.sparkSession, tasks_for(df) if n_tasks is None else n_tasks):
+        return materialize(df)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it as Parquet under the shared folder and read
     it back (a written table cuts the lineage like a reliable checkpoint, but in

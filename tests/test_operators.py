@@ -516,3 +516,19 @@ def test_price_requests_without_an_id_are_rejected(spark):
     comp = spark.createDataFrame([], "product_id long, min double")
     out = pr.price_requests(req, products, feats, comp).collect()
     assert [(r["event_id"], r["variant"]) for r in out] == [(1, "A")]
+
+
+def test_basket_steps_take_tasks_by_size(spark, monkeypatch):
+    from shopsignals import session
+    b = spark.range(4000).select((F.col("id") % 500).alias("basket"), (F.col("id") * 7 % 61).alias("item"))
+    want = {(r["x"], r["y"]): r["n"] for r in b.distinct().alias("l").join(b.distinct().alias("r"), "basket").where("l.item < r.item")
+            .groupBy(F.col("l.item").alias("x"), F.col("r.item").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    monkeypatch.setattr(session, "TASK_BYTES", 400)
+    monkeypatch.setattr(bk, "TASK_PAIRS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    kept = bk.filter_baskets(b, 1, 2)
+    pairs = bk.item_pairs(kept, chunk_items=2)
+    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in pairs.collect()} == want
+    # written by more tasks than the session's partitions, and the session's setting is as before
+    assert len(kept.inputFiles()) > 8 and len(pairs.inputFiles()) > 8
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
