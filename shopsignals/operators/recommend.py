@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsignals.operators.topk import top_k_per_group
-from shopsignals.session import materialize
+from shopsignals.session import materialize, materialize_small
 
 _CARD_COLS = ["sku_id", "category", "subcategory", "review_count", "avg_rating", "inventory_count"]
 
@@ -70,34 +70,51 @@ def similar_products(catalog: DataFrame, k: int = 5) -> DataFrame:
     * score 0: every answer item t is in the first 2k of M_cat(t) and of
       M'_sub(t); in that set at most 2k rows precede t with cat c and at most
       2k with sub u, so the first 5k rows (global sku order) suffice.
+
+    All but the SKU's own removal is the same for all SKUs of a group (c, u), so
+    each group is ranked once, k+1 entries, and handed to its SKUs as one list.
+    Only SKUs listed several times and rows without an id are ranked by themselves.
     """
     cat = materialize(catalog.select("sku_id", "category", "subcategory"))  # read once, ranked several times
     by_id = [F.col("sku_id")]
     g1 = top_k_per_group(cat, ["category", "subcategory"], by_id, k + 1, "_r")
-    s1 = (cat.alias("s").join(g1.select("category", "subcategory", F.col("sku_id").alias("rec_sku")),
-                              ["category", "subcategory"])
-          .where(F.col("rec_sku") != F.col("sku_id")).select("sku_id", "rec_sku", F.lit(1.0).alias("score")))
     r_cs = top_k_per_group(cat, ["category", "subcategory"], by_id, k, "_rcs").drop("_rcs")
     m_c = top_k_per_group(r_cs, ["category"], by_id, 2 * k, "_rc")
     m_u = top_k_per_group(r_cs, ["subcategory"], by_id, 2 * k, "_ru")
-    s2a = (cat.join(m_c.select("category", F.col("subcategory").alias("_sub"), F.col("sku_id").alias("rec_sku")),
-                    "category").where(F.col("_sub") != F.col("subcategory"))
-           .select("sku_id", "rec_sku", F.lit(0.5).alias("score")))
-    s2b = (cat.join(m_u.select("subcategory", F.col("category").alias("_cat"), F.col("sku_id").alias("rec_sku")),
-                    "subcategory").where(F.col("_cat") != F.col("category"))
-           .select("sku_id", "rec_sku", F.lit(0.5).alias("score")))
     # score-0 padding from a bounded global list (scalar subquery)
     g = m_c.select("sku_id", "category", "subcategory").join(m_u.select("sku_id"), "sku_id")
     pad = _top_array(g, by_id, 5 * k, ["sku_id", "category", "subcategory"])
-    s3 = cat.select("sku_id", "category", "subcategory", F.explode(pad).alias("p"))
-    s3 = s3.where((F.col("p.category") != F.col("category")) & (F.col("p.subcategory") != F.col("subcategory"))
-                  & (F.col("p.sku_id") != F.col("sku_id")))
-    s3 = _rank(s3, ["sku_id"], [F.col("p.sku_id")], "_pp").where(F.col("_pp") <= k).select(
-        "sku_id", F.col("p.sku_id").alias("rec_sku"), F.lit(0.0).alias("score"))
-    allc = s1.unionByName(s2a).unionByName(s2b).unionByName(s3)
-    allc = allc.groupBy("sku_id", "rec_sku").agg(F.max("score").alias("score"))
-    r = _rank(allc, ["sku_id"], [F.col("score").desc(), F.col("rec_sku")], "rank").where(F.col("rank") <= k)
-    return r.select("sku_id", "rank", "rec_sku", "score")
+
+    def ranked(who: DataFrame, by: list[str], other: Column, n: int) -> DataFrame:
+        """The first ``n`` candidates (rec_sku, score, rank) of each row of ``who``;
+        ``other`` tells a candidate of scores 1 and 0 from the row itself."""
+        s1 = (who.join(g1.select("category", "subcategory", F.col("sku_id").alias("rec_sku")), ["category", "subcategory"])
+              .where(other).select(*by, "rec_sku", F.lit(1.0).alias("score")))
+        s2a = (who.join(m_c.select("category", F.col("subcategory").alias("_sub"), F.col("sku_id").alias("rec_sku")),
+                        "category").where(F.col("_sub") != F.col("subcategory"))
+               .select(*by, "rec_sku", F.lit(0.5).alias("score")))
+        s2b = (who.join(m_u.select("subcategory", F.col("category").alias("_cat"), F.col("sku_id").alias("rec_sku")),
+                        "subcategory").where(F.col("_cat") != F.col("category"))
+               .select(*by, "rec_sku", F.lit(0.5).alias("score")))
+        s3 = who.withColumn("p", F.explode(pad)).withColumn("rec_sku", F.col("p.sku_id"))
+        s3 = s3.where((F.col("p.category") != F.col("category")) & (F.col("p.subcategory") != F.col("subcategory")) & other)
+        s3 = _rank(s3, by, ["rec_sku"], "_pp").where(F.col("_pp") <= k).select(*by, "rec_sku", F.lit(0.0).alias("score"))
+        allc = s1.unionByName(s2a).unionByName(s2b).unionByName(s3)
+        allc = allc.groupBy(*by, "rec_sku").agg(F.max("score").alias("score"))
+        return _rank(allc, by, [F.col("score").desc(), F.col("rec_sku")], "rank").where(F.col("rank") <= n)
+
+    often = materialize_small(cat.groupBy("sku_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sku_id"))
+    group = ["category", "subcategory"]
+    lists = ranked(g1.select(*group).distinct(), group, F.col("rec_sku").isNotNull(), k + 1)
+    lists = materialize_small(lists.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "rec_sku", "score"))).alias("_l")))
+    once = cat.where(F.col("sku_id").isNotNull()).join(often, "sku_id", "left_anti").join(lists, group)
+    mine = F.slice(F.filter("_l", lambda x: ~x["rec_sku"].eqNullSafe(F.col("sku_id"))), 1, k)
+    out = once.select("sku_id", F.posexplode(mine).alias("_at", "_x")).select(
+        "sku_id", (F.col("_at") + 1).alias("rank"), "_x.rec_sku", "_x.score")
+    more = materialize(cat.join(often, "sku_id", "left_semi").unionByName(cat.where(F.col("sku_id").isNull())))
+    if more.isEmpty():
+        return out
+    return out.unionByName(ranked(more, ["sku_id"], F.col("rec_sku") != F.col("sku_id"), k).select("sku_id", "rank", "rec_sku", "score"))
 
 
 # ------------------------------------------------------------------------- H5

@@ -532,3 +532,34 @@ def test_basket_steps_take_tasks_by_size(spark, monkeypatch):
     # written by more tasks than the session's partitions, and the session's setting is as before
     assert len(kept.inputFiles()) > 8 and len(pairs.inputFiles()) > 8
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_similar_products_ranks_groups_not_skus(spark):
+    cat = spark.range(3000).select(F.col("id").alias("sku_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("category"),
+                                   F.concat(F.lit("s"), F.col("id") % 7).alias("subcategory"))
+    out = rc.similar_products(cat, 5)
+    assert out.count() == 15000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_similar_products_repeated_and_null_ids(spark):
+    rows = [(i % 40 if i % 9 else None, f"c{i % 3}" if i % 11 else None, f"s{i % 4}" if i % 7 else None) for i in range(60)]
+    cat = spark.createDataFrame(rows, "sku_id long, category string, subcategory string")
+    got = {}
+    for r in rc.similar_products(cat, 5).where("sku_id is not null").collect():
+        got.setdefault(r["sku_id"], []).append((r["rank"], r["rec_sku"], r["score"]))
+    counts = {i: sum(r[0] == i for r in rows) for i in range(40)}
+    for i, c, u in rows:
+        if i is None or counts[i] > 1:
+            continue
+        if c is None or u is None:
+            assert i not in got
+            continue
+        score = {}
+        for j, d, v in rows:
+            if j != i and j is not None and d is not None and v is not None:
+                score[j] = max(score.get(j, 0), ((c == d) + (u == v)) / 2)
+        want = sorted((-x, j) for j, x in score.items())
+        mine = [(-x, j) for _, j, x in sorted(got[i], key=lambda t: t[0]) if j is not None and j != i]
+        assert mine == want[:len(mine)] and len(got[i]) == 5, (i, mine, want[:5])
