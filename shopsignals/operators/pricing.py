@@ -135,6 +135,7 @@ def serve_cached(priced: DataFrame, ttl_seconds: int = 60, order=("timestamp", "
     from shopsignals.session import materialize
 
     ttl = int(ttl_seconds) * 1_000_000
+    priced = materialize(priced)  # read for the range split's sample, its rows and the requests without a time
     pair = F.struct("product_id", "user_id")
     timed = priced.withColumn("_pair", pair).withColumn("_us", _gap_clock(order[0]))
     cut = _positions(timed.where("_us is not null"), "_pair", order, ttl_seconds, order[0])

@@ -563,3 +563,20 @@ def test_similar_products_repeated_and_null_ids(spark):
         want = sorted((-x, j) for j, x in score.items())
         mine = [(-x, j) for _, j, x in sorted(got[i], key=lambda t: t[0]) if j is not None and j != i]
         assert mine == want[:len(mine)] and len(got[i]) == 5, (i, mine, want[:5])
+
+
+def test_cached_prices_read_their_requests_once(spark):
+    sc = spark.sparkContext
+    runs = sc.accumulator(0)
+
+    def seen(it):
+        for pdf in it:
+            runs.add(len(pdf))
+            yield pdf
+
+    req = spark.range(300).select("id", (F.col("id") % 3).alias("product_id"), F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"),
+                                  F.when(F.col("id") % 50 != 7, F.timestamp_seconds(F.col("id") * 11)).alias("timestamp"),
+                                  F.lit(10.0).alias("base_price"), F.col("id").cast("double").alias("final_price"), F.lit("r").alias("reason"))
+    out = pr.serve_cached(req.mapInPandas(seen, req.schema)).collect()
+    assert len(out) == 300 and sum(r["timestamp"] is None and not r["cache_hit"] for r in out) == 6
+    assert runs.value == 300
