@@ -7,6 +7,7 @@ model coefficients, sums of products and metric scalars.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from shopsignals.operators import linear
 from shopsignals.operators.features import MODEL_FEATURES
+from shopsignals.session import materialize
+
+TRAIN_ROWS = 50_000  # training rows that one task holds
 
 
 @dataclass
@@ -79,8 +83,14 @@ def gbt_pipeline(spec: ModelSpec) -> Pipeline:
 
 
 def train_price_model(df: DataFrame, spec: ModelSpec = FULL_SPEC) -> PipelineModel:
-    """J2 + J3 (+ J11 with ``scaler='robust'``): scaler fitted on the training rows only."""
-    return gbt_pipeline(spec).fit(df.na.fill(0, subset=spec.features))
+    """J2 + J3 (+ J11 with ``scaler='robust'``): scaler fitted on the training rows only.
+
+    Each tree takes several jobs over all partitions, so the rows are written once
+    and cut by their own number (``TRAIN_ROWS`` a task), not by how many tasks
+    the tables before them took.
+    """
+    rows = materialize(df.na.fill(0, subset=spec.features))
+    return gbt_pipeline(spec).fit(rows.coalesce(max(1, math.ceil(rows.count() / TRAIN_ROWS))))
 
 
 # ------------------------------------------------------------------------- J7

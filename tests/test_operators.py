@@ -565,6 +565,24 @@ def test_similar_products_repeated_and_null_ids(spark):
         assert mine == want[:len(mine)] and len(got[i]) == 5, (i, mine, want[:5])
 
 
+def test_training_takes_tasks_by_rows(spark, monkeypatch):
+    import dataclasses
+
+    parts = []
+
+    class Fit:
+        def fit(self, df):
+            parts.append((df.select(F.spark_partition_id().alias("p")).distinct().count(), df.count()))
+
+    spec = dataclasses.replace(ml.COARSE_SPEC, features=["x"])
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("target")).repartition(40)
+    monkeypatch.setattr(ml, "gbt_pipeline", lambda s: Fit())
+    ml.train_price_model(df, spec)
+    monkeypatch.setattr(ml, "TRAIN_ROWS", 300)
+    ml.train_price_model(df, spec)
+    assert parts[0] == (1, 1000) and 2 <= parts[1][0] <= 4 and parts[1][1] == 1000
+
+
 def test_cached_prices_read_their_requests_once(spark):
     sc = spark.sparkContext
     runs = sc.accumulator(0)
